@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import exact, mixing
+from quillmesh.llm import exact, langid, mixing, quality, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 
