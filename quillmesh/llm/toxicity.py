@@ -82,7 +82,7 @@ def lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
     best = counts.withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).withColumn("gain", F.col("t") * F.log("odds"))
     rows = best.orderBy(F.desc("gain"), "entry").limit(CANDIDATES).collect()
     chosen: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (-len(r.entry), r.entry)):  # a stem has to find much more than any longer entry that it covers
+    for r in sorted(rows, key=lambda r: (-len(r.entry.rstrip('*')), r.entry)):  # a stem has to find much more than any longer entry that it covers
         if not any(e.startswith(r.entry.rstrip("*")) and t >= 0.8 * r.t for e, t in chosen.items()):
             chosen[r.entry] = r.t
     return [r.entry for r in rows if r.entry in chosen][:size]
