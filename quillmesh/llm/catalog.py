@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import exact, langid, mixing, quality, toxicity
+from quillmesh.llm import chat, exact, langid, mixing, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_packing": packing.op2_packing,
+    "op3_chat": chat.op3_chat,
+    "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op9_quality": quality.op9_quality,
@@ -13,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_warc": warc.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
