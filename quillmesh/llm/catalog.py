@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import chat, exact, langid, mixing, packing, quality, toxicity, warc
+from quillmesh.llm import chat, exact, langid, mixing, packing, quality, similarity, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op8_jaccard_join": similarity.op8_jaccard_join,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
