@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import chat, exact, langid, mixing, packing, quality, similarity, toxicity, warc
+from quillmesh.llm import chat, exact, langid, mixing, packing, quality, similarity, substrings, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_packing": packing.op2_packing,
     "op3_chat": chat.op3_chat,
+    "op4_substrings": substrings.op4_substrings,
     "op5_warc": warc.op5_warc,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_exact_dedup": exact.op7_exact_dedup,

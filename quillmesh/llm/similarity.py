@@ -103,10 +103,11 @@ def buckets(reps: DataFrame) -> DataFrame:
         if level == LEVELS - 1 or large.isEmpty():
             break
         full = large.join(reps, "rid")
-        # The share of pairs that agree in a token is the mean similarity of the bucket.
-        seen = full.select("key", "size", F.posexplode(F.slice("tokens", 1, 6)).alias("j", "token")).groupBy("key", "size", "j", "token").count()
+        # The share of pairs that agree in a token, here one drawn by the key, estimates the mean similarity of the bucket.
+        drawn = F.element_at("tokens", (F.pmod(F.xxhash64("key", F.lit("alike")), F.lit(COORDINATES)) + 1).cast("int"))
+        seen = full.groupBy("key", "size", drawn.alias("token")).count()
         alike = seen.groupBy("key", "size").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs"))
-        alike = alike.filter(F.col("pairs") / (6.0 * F.col("size") * F.col("size")) >= ALIKE).select("key")
+        alike = alike.filter(F.col("pairs") / (1.0 * F.col("size") * F.col("size")) >= ALIKE).select("key")
         leaves = leaves.unionByName(large.join(alike, "key", "left_semi"))
         loose = full.join(alike, "key", "left_anti")
         child = [F.xxhash64("key", F.lit(j), F.element_at("tokens", (F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)) + 1).cast("int"))) for j in range(CHILDREN)]
