@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -29,3 +34,16 @@ def local_session(cores: int | None = None, name: str = "quillmesh") -> SparkSes
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the Python workers of this session, unless their path has it."""
+    root = Path(__file__).resolve().parent.parent
+    if any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
+        return spark
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        base = Path(tempfile.mkdtemp(prefix="spark-")) / "quillmesh_package"
+        context.addPyFile(shutil.make_archive(str(base), "zip", root_dir=root, base_dir="quillmesh"))
+        _shipped.add(context.applicationId)
+    return spark

@@ -8,9 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from quillmesh.session import local_session
+    from quillmesh.session import local_session, ship
 
-    session = local_session(cores=4, name="tests")
+    session = ship(local_session(cores=4, name="tests"))
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
