@@ -1,21 +1,21 @@
 """Suffix-array deduplication: remove every byte in a 200-byte string that also starts elsewhere.
 
 Sorting the suffixes of a whole corpus is not needed, for a 200-byte string and its copies agree in
-everything, so also in where their smallest 16-byte gram (by hash, the leftmost of equal ones)
+everything, so also in where their smallest 40-byte gram (by hash, the leftmost of equal ones)
 stands: the anchor. Equal strings have equal anchors at equal offsets.
 
 1. Each text is cut by anchors. An anchor owns the run of 200-byte strings whose anchor it is; its
    row has the gram's hash, and a hash of the owned text. Anchors whose gram is unique drop out.
 2. Owned texts that occur twice as a whole are repeated as a whole. That settles the inside of copies
    of any size, and takes counts only.
-3. What is left are grams with different owned texts, at the ends of copies. For one member of each,
-   the owned strings are dealt into ranges of RANGE offsets. All strings of a range share a core of
+3. What is left are grams with different owned texts, at the ends of copies. The owned strings of one
+   member of each are dealt into ranges of RANGE offsets. All strings of a range share a core of
    201 - RANGE bytes; rows meet by gram, range and the core's hash, and hold the few bytes on either
    side. With the core as one symbol, a 200-byte string is a gram of RANGE symbols, and the suffix
    array of all sides that meet (built by linear grouping) shows which start more than once.
-4. Sides of one core that are very many (MAX_SIDES) are not gathered in a task: they are dealt out
-   once more by single offsets, and counted.
-5. The repeated offsets go back to all members, and each text is cut once.
+4. Where a gram has very many owned texts (MAX_SIDES), its sides are not gathered in a task: they are
+   dealt out by single offsets, and counted.
+5. Each text is cut once.
 
 Rows of step 1 and 2 are a few numbers per about 90 bytes of text. Texts move twice, compressed.
 Hashes are 64-bit numbers that are only compared together with others (gram, owned text, offset).
@@ -33,14 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import written
 from quillmesh.llm.shingles import _power, mix
 from quillmesh.llm.suffixes import repeated_grams
 
-LENGTH, GRAM, RANGE = 200, 16, 16
+LENGTH, GRAM, RANGE = 200, 40, 24
 OFFSETS = LENGTH - GRAM + 1
 MAX_SIDES = 4000
 BATCH_BYTES = 2_000_000
@@ -145,62 +145,60 @@ def sides(text: bytes, p: int, most: int, least: int) -> Iterator[tuple[int, byt
         yield r, text[p - a : p - b + LENGTH], text[p - high : p - a], text[p - b + LENGTH : p - low + LENGTH]
 
 
-def offsets(r: int, left: bytes, right: bytes) -> tuple[int, int]:
-    """The smallest and largest offset that sides cover."""
-    return r * RANGE + RANGE - 1 - len(right), r * RANGE + len(left)
+SIDES = "gram long, range int, core long, copied boolean, hot boolean, doc long, text_id int, place long, left binary, right binary"
 
 
 def uncertain(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members``: doc, text_id, anchors (array of gram, owned, place, n). A row per anchor and range:
-    gram, owned, n, range, core (hash), left, right."""
+    """``members``: doc, text_id, anchors (array of gram, place, copied, hot). A row per anchor and range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        names = [x.split()[0] for x in SIDES.split(", ")]
         for b in batches:
             rows = []
-            for packed, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text_id, packed, found in zip(*(c.to_pylist() for c in b.columns)):
                 text = z.decompress(packed)
                 for x in found:
-                    p, most, least = x["place"] >> 16, x["place"] >> 8 & 255, x["place"] & 255
-                    for r, core, left, right in sides(text, p, most, least):
-                        rows.append((x["gram"], x["owned"], x["n"], r, int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "big", signed=True), left, right))
+                    place = x["place"]
+                    for r, core, left, right in sides(text, place >> 16, place >> 8 & 255, place & 255):
+                        digest = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "big", signed=True)
+                        rows.append((x["gram"], r, digest, x["copied"], x["hot"], doc, text_id, place, left, right))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["gram", "owned", "n", "range", "core", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    both = _compressed(_keyed(docs)).join(members, ["doc", "text_id"]).select("packed", "anchors")
-    return both.mapInArrow(run, "gram long, owned long, n long, range int, core long, left binary, right binary")
+    both = _compressed(_keyed(docs)).join(members, ["doc", "text_id"]).select("doc", "text_id", "packed", "anchors")
+    return both.mapInArrow(run, SIDES)
 
 
 def settle(group: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """Rows (…, owned, n, left, right, range) that share a core, several cores after each other: gram,
-    owned, and the first and last of a run of repeated offsets."""
+    """Rows (gram, range, core, copied, doc, text_id, place, left, right), those of a core after each other:
+    doc, text_id and a span that is repeated, for the members that are not copied as a whole."""
     strings, cores = [], {}
-    for gram, r, core, owned, n, left, right in group:
+    for gram, r, core, _, _, _, _, left, right in group:
         symbol = 256 + cores.setdefault((gram, r, core), len(cores))
         strings.append([*left, symbol, *right])
     out = []
-    for (gram, r, core, owned, n, left, right), seen in zip(group, repeated_grams(strings, RANGE)):
-        low, high = offsets(r, left, right)
-        # The string at place k of the sides begins len(left) - k bytes before the core.
+    for (_, r, _, copied, doc, text_id, place, left, right), seen in zip(group, repeated_grams(strings, RANGE)):
+        if copied:
+            continue
+        begin = (place >> 16) - r * RANGE - len(left)  # of the first string
         run = None
-        for k in range(high - low + 1):
-            if n > 1 or (k < len(seen) and seen[k]):
+        for k, x in enumerate(seen):
+            if x:
                 run = (k, k) if run is None else (run[0], k)
-            elif run is not None:
-                out.append((gram, owned, high - run[1], high - run[0]))
+            if run is not None and (not x or k == len(seen) - 1):
+                out.append((doc, text_id, begin + run[0], begin + run[1] + LENGTH))
                 run = None
-        if run is not None:
-            out.append((gram, owned, high - run[1], high - run[0]))
     return out
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """gram, owned, low, high: repeated offsets."""
+    """doc, text_id, b, e: repeated spans of members that are not copied as a whole."""
     key = ["gram", "range", "core"]
-    sizes = rows.groupBy(*key).agg(F.sum("n").alias("all"), F.count("*").alias("sides")).filter("all > 1")
-    known = rows.join(sizes, key)
-    few = known.filter(F.col("sides") <= MAX_SIDES).select(*key, "owned", "n", "left", "right").repartition(*key).sortWithinPartitions(*key)
+    columns = [*key, "copied", "doc", "text_id", "place", "left", "right"]
+    few = rows.filter("not hot").select(*columns).withColumn("sides", F.count("*").over(Window.partitionBy(*key)))
+    few = few.filter("sides > 1").drop("sides")  # the window leaves the rows of a core together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -208,8 +206,8 @@ def decide(rows: DataFrame) -> DataFrame:
 
         def flush():
             found = settle(held)
-            columns = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4
-            return pa.RecordBatch.from_arrays(columns, names=["gram", "owned", "low", "high"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 4, kinds)], names=["doc", "text_id", "b", "e"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -218,21 +216,20 @@ def decide(rows: DataFrame) -> DataFrame:
                     held.clear()
                     symbols = 0
                 held.append(row)
-                symbols += len(row[5]) + len(row[6]) + 2
+                symbols += len(row[7]) + len(row[8]) + 2
         if held:
             yield flush()
 
-    settled = few.mapInArrow(run, "gram long, owned long, low long, high long")
+    settled = few.mapInArrow(run, "doc long, text_id int, b long, e long")
     # Very many sides: single offsets, whose strings meet by value.
-    many = known.filter(F.col("sides") > MAX_SIDES)
-    low = F.col("range") * RANGE + RANGE - 1 - F.octet_length("right")
-    high = F.col("range") * RANGE + F.octet_length("left")
-    single = many.select(*key, "owned", "n", "left", "right", F.explode(F.sequence(low, high)).alias("o"))
-    own_left = F.substring("left", F.octet_length("left") - (F.col("o") - F.col("range") * RANGE) + 1, F.col("o") - F.col("range") * RANGE)
-    own_right = F.substring("right", F.lit(1), F.col("range") * RANGE + RANGE - 1 - F.col("o"))
-    single = single.select(*key, "o", "owned", "n", F.hex(own_left).alias("l"), F.hex(own_right).alias("r"))
-    again = single.groupBy(*key, "o", "l", "r").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    counted = single.join(again, [*key, "o", "l", "r"]).select("gram", "owned", F.col("o").cast("long").alias("low"), F.col("o").cast("long").alias("high"))
+    base = F.col("range") * RANGE
+    single = rows.filter("hot").select(*columns, F.explode(F.sequence(base + RANGE - 1 - F.octet_length("right"), base + F.octet_length("left"))).alias("o"))
+    own_left = F.substring("left", F.octet_length("left") - (F.col("o") - base) + 1, F.col("o") - base)
+    own_right = F.substring("right", F.lit(1), base + RANGE - 1 - F.col("o"))
+    single = single.select(*key, "o", "copied", "doc", "text_id", "place", F.concat(F.hex(own_left), F.lit("."), F.hex(own_right)).alias("sides"))
+    again = single.groupBy(*key, "o", "sides").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("times")).filter("times > 1").drop("times")
+    begin = F.shiftrightunsigned("place", 16) - F.col("o")
+    counted = single.filter("not copied").join(again, [*key, "o", "sides"]).select("doc", "text_id", begin.alias("b"), (begin + LENGTH).alias("e"))
     return settled.unionByName(counted)
 
 
@@ -242,15 +239,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     twice = found.groupBy("gram").agg(F.count("*").alias("grams")).filter("grams > 1").select("gram")
     shared = written(found.join(twice, "gram"), "shared")
     texts = written(shared.groupBy("gram", "owned").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_id", "place")).alias("member")), "owned")
-    varied = texts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
-    members = texts.join(varied, "gram").select("member.*", "gram", "owned", "n")
-    members = members.groupBy("doc", "text_id").agg(F.collect_list(F.struct("gram", "owned", "place", "n")).alias("anchors"))  # of one text
+    varied = texts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    members = texts.join(varied, "gram").select("member.*", F.struct("gram", "member.place", (F.col("n") > 1).alias("copied"), (F.col("kinds") > MAX_SIDES).alias("hot")).alias("anchor"))
+    members = members.groupBy("doc", "text_id").agg(F.collect_list("anchor").alias("anchors"))  # of one text
     ends = decide(written(uncertain(docs, members), "sides"))
     most, least, p = F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255)), F.shiftrightunsigned("place", 16)
-    whole = shared.join(texts.filter("n > 1").select("gram", "owned"), ["gram", "owned"]).select("doc", "text_id", F.struct((p - most).alias("b"), (p - least + LENGTH).alias("e")).alias("span"))
-    part = shared.join(ends.groupBy("gram", "owned").agg(F.collect_set(F.struct("low", "high")).alias("runs")), ["gram", "owned"]).select("doc", "text_id", "place", F.explode("runs").alias("run"))
-    part = part.select("doc", "text_id", F.struct((p - F.col("run.high")).alias("b"), (p - F.col("run.low") + LENGTH).alias("e")).alias("span"))
-    return whole.unionByName(part).groupBy("doc", "text_id").agg(F.collect_list("span").alias("spans"))
+    whole = shared.join(texts.filter("n > 1").select("gram", "owned"), ["gram", "owned"]).select("doc", "text_id", (p - most).alias("b"), (p - least + LENGTH).alias("e"))
+    return whole.unionByName(ends).groupBy("doc", "text_id").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
