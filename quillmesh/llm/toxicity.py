@@ -36,6 +36,8 @@ LEXICON_SIZE = 96
 STEMS, CANDIDATES = (4, 5, 6), 2000
 #: A lexicon entry is in this share of the toxic sample at least, and this many times likelier there.
 MIN_SUPPORT, MIN_ODDS = 0.02, 8.0
+#: Its count is this unlikely by chance (log-likelihood ratio), given how many words there are to choose from.
+MIN_EVIDENCE = 24.0
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("any_hit", "two_hits", "three_kinds", "rate_1", "rate_3", "shouting", "exclaims")
@@ -79,7 +81,9 @@ def lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
     counts = found.groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     counts = counts.filter(F.col("t") >= max(3, MIN_SUPPORT * total.t))
     odds = ((F.col("t") + 0.5) / (total.t + 1)) / ((F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1))
-    best = counts.withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).withColumn("gain", F.col("t") * F.log("odds"))
+    part = lambda k, share: F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
+    evidence = 2 * (part(F.col("t"), total.t / total.n) + part(F.col("n") - F.col("t"), 1 - total.t / total.n))
+    best = counts.withColumn("odds", odds).filter((F.col("odds") >= MIN_ODDS) & (evidence >= MIN_EVIDENCE)).withColumn("gain", F.col("t") * F.log("odds"))
     rows = best.orderBy(F.desc("gain"), "entry").limit(CANDIDATES).collect()
     chosen: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (-len(r.entry.rstrip('*')), r.entry)):  # a stem has to find much more than any longer entry that it covers
