@@ -133,17 +133,16 @@ def fit(sample: list[tuple[str, str]]) -> Automata | None:
     for lang in sorted(by_lang):
         own, _, _ = encode(by_lang[lang], codes, letters)
         states = suffix_automaton([int(c) for c in own if c > 1])
-        table = np.zeros((len(states), ALPHABET), dtype=np.int32)
-        root = np.full(ALPHABET, base * 2 + 1, dtype=np.int32)
+        lost = base + len(states) * ALPHABET  # after a letter that no reference has; whatever follows begins a phrase
+        table = np.zeros((len(states) + 1, ALPHABET), dtype=np.int32)
+        root = np.full(ALPHABET, lost * 2 + 1, dtype=np.int32)
         for c, s in states[0].items():
             root[c] = (base + s * ALPHABET) * 2 + 1
         table[:] = root
         for i, moves in enumerate(states):
             for c, s in moves.items():
                 table[i, c] = (base + s * ALPHABET) * 2
-        table[0] = root & ~1
-        table[0, 1] = root[1]
-        table[:, 0] = base * 2
+        table[0] = root & ~1  # a lane's first phrase is counted from the start
         roots.append(base)
         bits.append(np.log2(max(2, len(own))))
         tables.append(table.ravel())
