@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from quillmesh.plans import retrieval
+
+_MODULES = (retrieval,)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
