@@ -100,9 +100,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     """The mixed training set itself: the columns of ``docs``, a row per copy taken, range-sorted by
     training position."""
     names = docs.columns
-    rows = _keyed(docs, names)
-    placed = _placed(rows, docs.count(), weights, share, cap, schedules)
-    copies = placed.select(*names, "__tie", F.explode("__mix.positions").alias("__position"))
+    keys = written(_keyed(docs, []), "mix")
+    # Positions are computed without the texts, which move twice: to their positions, and in their order.
+    nth = F.row_number().over(Window.partitionBy("__tie", "__from").orderBy(F.lit(0)))  # tells rows apart that repeat id, text and source
+    origin = F.struct(F.col("__source").isNull(), F.coalesce("__source", F.lit("")))
+    placed = _placed(keys, keys.count(), weights, share, cap, schedules).filter(F.size("__mix.positions") > 0)
+    placed = placed.select("__tie", origin.alias("__from"), "__mix.positions").withColumn("__nth", nth)
+    every = _keyed(docs, names).select(*names, "__tie", origin.alias("__from"))
+    every = every.withColumn("__nth", nth)
+    copies = every.join(placed, ["__tie", "__from", "__nth"]).select(*names, "__tie", F.explode("positions").alias("__position"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return copies.repartitionByRange(n, "__position", "__tie").sortWithinPartitions("__position", "__tie").select(*names)
 
