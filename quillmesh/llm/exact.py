@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import SPACE, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+SALTS = 16
 #: A chunk ends after the first of these, beyond MIN_CHUNK characters.
 BOUNDARY = "(?:[ae][nrst]|[io][nrs]|[0-9][02468])"
 
@@ -56,10 +57,13 @@ def groups(docs: DataFrame, **sizes) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256, n_points, n_chunks."""
     r = recipes(docs, **sizes)
     best = F.min(F.struct((-F.col("n_points")).alias("less"), "doc_id", "row_id"))
-    g = r.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best"))
-    out = r.join(g.withColumnRenamed("recipe", "of"), F.col("recipe") == F.col("of"))
-    return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("best.row_id")).alias("kept"),
-                      "text_sha256", "n_points", F.size("recipe").alias("n_chunks"))
+    g = r.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
+    # A group may hold a third of all rows: they are dealt out over SALTS, the row of a group is given to each.
+    spread = g.select(F.col("recipe").alias("of"), "group_size", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = r.join(spread, (F.col("recipe") == F.col("of")) & (F.pmod("row_id", F.lit(SALTS)) == F.col("salt")), "left")
+    alone = F.col("of").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+                      (alone | (F.col("row_id") == F.col("best.row_id"))).alias("kept"), "text_sha256", "n_points", F.size("recipe").alias("n_chunks"))
 
 
 def keep_first(docs: DataFrame, **sizes) -> DataFrame:
