@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillmesh.plans import retrieval
+from quillmesh.plans import code, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, code)
 
 QUERIES: dict = {}
 ORACLES: dict = {}

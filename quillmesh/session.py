@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(shutil.make_archive(str(base), "zip", root_dir=root, base_dir="quillmesh"))
         _shipped.add(context.applicationId)
     return spark
+
+
+_own_dir: list[str] = []
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the folder in ``spark.checkpoint.dir`` and read it back: the plan is cut
+    there, and what several branches read is computed once. Where the setting is missing (tests in local
+    mode) a fresh temporary folder serves."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        root = _own_dir[0]
+    path = f"{root.rstrip('/')}/quillmesh/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
