@@ -10,7 +10,8 @@ then within a bucket), so that no task holds a source: a source with a third of
 over as many buckets as the row count asks for.
 
 Defined results: a null or empty text has size 0, is taken 0 words and has no position; a null
-source is a source of its own, the last in order; rows that repeat an id are separate documents;
+source is a source of its own, the last in order; rows that repeat an id are separate documents (``mix`` takes the
+other columns of one of those that repeat the text and the source too);
 ties in the order key fall back to the id and the text's digest; extra columns are ignored by
 ``plan`` and carried by ``mix``; an empty table gives an empty result.
 """
@@ -102,13 +103,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     names = docs.columns
     keys = written(_keyed(docs, []), "mix")
     # Positions are computed without the texts, which move twice: to their positions, and in their order.
-    nth = F.row_number().over(Window.partitionBy("__tie", "__from").orderBy(F.lit(0)))  # tells rows apart that repeat id, text and source
+    # Rows that repeat id, text and source are one text with the positions of all of them.
     origin = F.struct(F.col("__source").isNull(), F.coalesce("__source", F.lit("")))
-    placed = _placed(keys, keys.count(), weights, share, cap, schedules).filter(F.size("__mix.positions") > 0)
-    placed = placed.select("__tie", origin.alias("__from"), "__mix.positions").withColumn("__nth", nth)
-    every = _keyed(docs, names).select(*names, "__tie", origin.alias("__from"))
-    every = every.withColumn("__nth", nth)
-    copies = every.join(placed, ["__tie", "__from", "__nth"]).select(*names, "__tie", F.explode("positions").alias("__position"))
+    placed = _placed(keys, keys.count(), weights, share, cap, schedules)
+    placed = placed.select("__tie", origin.alias("__from"), F.explode("__mix.positions").alias("__position"))
+    every = _keyed(docs, names).select(*names, "__tie", origin.alias("__from")).dropDuplicates(["__tie", "__from"])
+    copies = every.join(placed, ["__tie", "__from"]).select(*names, "__tie", "__position")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return copies.repartitionByRange(n, "__position", "__tie").sortWithinPartitions("__position", "__tie").select(*names)
 
