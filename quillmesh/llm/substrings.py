@@ -236,7 +236,8 @@ def decide(rows: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """Per text with repeats: doc, text_id, spans (array of begin, end in bytes; they may overlap)."""
     found = written(find_anchors(docs), "anchors")
-    twice = found.groupBy("gram").agg(F.count("*").alias("grams")).filter("grams > 1").select("gram")
+    # Written, so that the join below has two plain exchanges and Spark can split a very common gram's partition.
+    twice = written(found.groupBy("gram").agg(F.count("*").alias("grams")).filter("grams > 1").select("gram"), "twice")
     shared = written(found.join(twice, "gram"), "shared")
     texts = written(shared.groupBy("gram", "owned").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_id", "place")).alias("member")), "owned")
     varied = texts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
@@ -244,7 +245,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     members = members.groupBy("doc", "text_id").agg(F.collect_list("anchor").alias("anchors"))  # of one text
     ends = decide(written(uncertain(docs, members), "sides"))
     most, least, p = F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255)), F.shiftrightunsigned("place", 16)
-    whole = shared.join(texts.filter("n > 1").select("gram", "owned"), ["gram", "owned"]).select("doc", "text_id", (p - most).alias("b"), (p - least + LENGTH).alias("e"))
+    copied = written(texts.filter("n > 1").select("gram", "owned"), "copied")
+    whole = shared.join(copied, ["gram", "owned"]).select("doc", "text_id", (p - most).alias("b"), (p - least + LENGTH).alias("e"))
     return whole.unionByName(ends).groupBy("doc", "text_id").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
 
 
