@@ -44,7 +44,7 @@ COORDINATES, RUNS = 32, 8
 LEAST_TOKENS = 14
 SMALL, LEVELS, CHILDREN, ALIKE = 256, 4, 2, 0.5
 BLOCK = 1024
-TEXTS_AT_ONCE = 2_000_000
+TEXTS_AT_ONCE = 1_000_000
 
 
 def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -95,7 +95,8 @@ def buckets(reps: DataFrame) -> DataFrame:
     nodes = reps.select("rid", F.explode(F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(r * COORDINATES // RUNS))) for r in range(RUNS)])).alias("key"))
     leaves = None
     for level in range(LEVELS):
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        # Written, so that the join has two plain exchanges and Spark can split a large bucket's partition.
+        sizes = written(nodes.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         nodes = written(nodes.join(sizes, "key"), "nodes")
         large = nodes.filter(F.col("size") > SMALL)
         done = nodes if level == LEVELS - 1 else nodes.filter(F.col("size") <= SMALL)
