@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +64,15 @@ def held_out(doc_id: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it in a lambda."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes of text each (a longer text is a range of its own), so that a
+    batch of long texts is turned into Python objects a little at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+    pa.default_memory_pool().release_unused()

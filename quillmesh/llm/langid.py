@@ -28,19 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import held_out
+from quillmesh.llm.common import held_out, slices
 
-SAMPLE_DOCS, EXCERPT_CHARS = 160, 240
-#: Excerpts of all languages together; with many languages each has fewer, so the tables stay below about 80 MB.
+SAMPLE_DOCS, EXCERPT_CHARS = 128, 240
+#: Excerpts of all languages together; with many languages each has fewer, so the tables stay below about 70 MB.
 TOTAL_DOCS = 1024
 MAX_LANGUAGES = 256
 #: Texts of at least MIN_JUDGED codes that need more bits a character than this are in none of the languages.
 MAX_BITS, MIN_JUDGED = 4.8, 200
-#: Codes of characters: 0 ends a lane, 1 is a letter that no reference has, 2 a space, then the references' letters.
-ALPHABET = 64
+#: Codes of characters: 0 ends a lane, 1 is a letter that no reference has, 2 a space, then the references' letters, so many at most.
+MAX_LETTERS = 61
 BLOCK = 512
 #: Characters parsed at a time in a task.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def excerpts(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = EXCERPT_CHARS) -> DataFrame:
@@ -127,21 +127,22 @@ def fit(sample: list[tuple[str, str]]) -> Automata | None:
     codes = np.where(letters, 1, 2).astype(np.uint8)
     counts = np.bincount(np.frombuffer("".join(t.lower() for ts in by_lang.values() for t in ts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), minlength=0x110000)
     counts[~letters] = 0
-    common = [c for c in np.argsort(-counts, kind="stable")[: ALPHABET - 3] if counts[c]]
+    common = [c for c in np.argsort(-counts, kind="stable")[:MAX_LETTERS] if counts[c]]
     codes[common] = np.arange(3, 3 + len(common))
+    width = 3 + len(common)
     tables, roots, bits, base = [], [], [], 0
     for lang in sorted(by_lang):
         own, _, _ = encode(by_lang[lang], codes, letters)
         states = suffix_automaton([int(c) for c in own if c > 1])
-        lost = base + len(states) * ALPHABET  # after a letter that no reference has; whatever follows begins a phrase
-        table = np.zeros((len(states) + 1, ALPHABET), dtype=np.int32)
-        root = np.full(ALPHABET, lost * 2 + 1, dtype=np.int32)
+        lost = base + len(states) * width  # after a letter that no reference has; whatever follows begins a phrase
+        table = np.zeros((len(states) + 1, width), dtype=np.int32)
+        root = np.full(width, lost * 2 + 1, dtype=np.int32)
         for c, s in states[0].items():
-            root[c] = (base + s * ALPHABET) * 2 + 1
+            root[c] = (base + s * width) * 2 + 1
         table[:] = root
         for i, moves in enumerate(states):
             for c, s in moves.items():
-                table[i, c] = (base + s * ALPHABET) * 2
+                table[i, c] = (base + s * width) * 2
         table[0] = root & ~1  # a lane's first phrase is counted from the start
         roots.append(base)
         bits.append(np.log2(max(2, len(own))))
@@ -215,10 +216,12 @@ def predict(docs: DataFrame, model: Automata | None, carry: list[str]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score, bits = classify(shared.value, batch.column(batch.num_columns - 1).to_pylist())
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(score), pa.array(bits)],
-                                             names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_char"])
+            last = batch.num_columns - 1
+            for lo, hi in slices(batch.column(last), BATCH_CHARS):
+                part = batch.slice(lo, hi - lo)
+                langs, score, bits = classify(shared.value, part.column(last).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(langs, pa.string()), pa.array(score), pa.array(bits)],
+                                                 names=[*batch.schema.names[:-1], "lang_pred", "score", "bits_per_char"])
 
     types = ", ".join([*(f"`{c}` {t}" for c, t in inner.dtypes[:-1]), "lang_pred string", "score double", "bits_per_char double"])
     return inner.mapInArrow(run, types)

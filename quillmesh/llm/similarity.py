@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import written
+from quillmesh.llm.common import slices, written
 from quillmesh.llm.shingles import mix, shingle_sets
 
 SHINGLE = 5
@@ -47,18 +47,6 @@ BLOCK = 1024
 TEXTS_AT_ONCE = 1_000_000
 
 
-def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Slices of about TEXTS_AT_ONCE characters."""
-    at, chars = 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars >= TEXTS_AT_ONCE:
-            yield at, i + 1
-            at, chars = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def tokens(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """COORDINATES minwise tokens of each set (0 for empty sets)."""
     n = len(starts) - 1
@@ -77,9 +65,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for lo, hi in batches_of(texts):
-                h, starts = shingle_sets(texts[lo:hi], SHINGLE)
+            for lo, hi in slices(b.column(2), TEXTS_AT_ONCE):
+                h, starts = shingle_sets(b.column(2).slice(lo, hi - lo).to_pylist(), SHINGLE)
                 t = tokens(h, starts)
                 n = np.diff(starts)
                 keys = [hashlib.blake2b(h[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(starts[:-1], starts[1:])]
@@ -241,9 +228,8 @@ def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            all_texts = b.column(2).to_pylist()
-            for lo, hi in batches_of(all_texts):
-                h, starts = shingle_sets(all_texts[lo:hi], SHINGLE)
+            for lo, hi in slices(b.column(2), TEXTS_AT_ONCE):
+                h, starts = shingle_sets(b.column(2).slice(lo, hi - lo).to_pylist(), SHINGLE)
                 packed = [h[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["rid", "copies", "shingles"])
 

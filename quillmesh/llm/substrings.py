@@ -36,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import written
+from quillmesh.llm.common import slices, written
 from quillmesh.llm.shingles import _power, mix
 from quillmesh.llm.suffixes import repeated_grams
 
 LENGTH, GRAM, RANGE = 200, 40, 24
 OFFSETS = LENGTH - GRAM + 1
 MAX_SIDES = 4000
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Symbols sorted in one suffix array; all sides of a core are in one.
 SORT_SYMBOLS = 20_000
 #: Low bits of an anchor's place: how far the owned strings begin before it, at most and at least.
@@ -90,17 +90,6 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return t, grams[p].view(np.int64), owned.view(np.int64), p - starts[t], p - lo, p - hi
 
 
-def _chunks(raw: list[bytes]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for i, r in enumerate(raw):
-        size += len(r)
-        if size >= BATCH_BYTES:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(raw):
-        yield at, len(raw)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc, text_id (together they name a text) and the text as bytes."""
     text = F.coalesce("text", F.lit(""))
@@ -113,10 +102,10 @@ def find_anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b.column(2).to_pylist()
-            for lo, hi in _chunks(raw):
-                starts = np.concatenate([[0], np.cumsum([len(r) for r in raw[lo:hi]])]).astype(np.int64)
-                t, gram, owned, p, most, least = anchors(np.frombuffer(b"".join(raw[lo:hi]), dtype=np.uint8), starts)
+            for lo, hi in slices(b.column(2), BATCH_BYTES):
+                raw = b.column(2).slice(lo, hi - lo).to_pylist()
+                starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+                t, gram, owned, p, most, least = anchors(np.frombuffer(b"".join(raw), dtype=np.uint8), starts)
                 take = pa.array(t + lo)
                 place = (p << (2 * _BITS)) | (most << _BITS) | least
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(gram), pa.array(owned), pa.array(place)], names=["doc", "text_id", "gram", "owned", "place"])

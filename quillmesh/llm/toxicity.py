@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import held_out, written
+from quillmesh.llm.common import held_out, slices, written
 
 SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 96
@@ -138,9 +138,11 @@ def _apply(docs: DataFrame, carry: list[str], types: str, fn) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            names, arrays = fn(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*b.schema.names[:-1], *names])
+            last = b.num_columns - 1
+            for lo, hi in slices(b.column(last), 1_000_000):
+                part = b.slice(lo, hi - lo)
+                names, arrays = fn(part.column(last).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], *arrays], names=[*b.schema.names[:-1], *names])
 
     return inner.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in inner.dtypes[:-1]), types]))
 
