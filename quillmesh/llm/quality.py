@@ -55,6 +55,11 @@ def repeat_words(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(n < window, F.lit(0)).otherwise(let(keys, count)).cast("long")
 
 
+def _spaced(short: Column) -> Column:
+    """Words as one string, each between spaces of its own, so that a replacement counts them."""
+    return F.concat(F.lit(" "), F.array_join(short, "  "), F.lit(" "))
+
+
 def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, the base counts, the language's key and what the histograms need."""
     t = F.coalesce("text", F.lit(""))
@@ -74,7 +79,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
         *carry, "__lang", F.size("__w").cast("long").alias("n_words"), F.array(*counts).alias("__classes"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         let(F.transform("__w", lambda w: F.xxhash64(w)), repeat_words).alias("n_repeat_words"),
-        F.filter(F.transform(F.filter("__w", lambda w: F.length(w) <= SHORT_WORD + 1), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}']+$", ""))), lambda w: F.length(w).between(1, SHORT_WORD)).alias("__short"),
+        _spaced(F.filter(F.transform(F.filter("__w", lambda w: F.length(w) <= SHORT_WORD + 1), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}']+$", ""))), lambda w: F.length(w).between(1, SHORT_WORD))).alias("__short"),
     )
     rows = rows.withColumn("word_chars", F.aggregate("__classes", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("__classes", F.lit(place["space"])))
     rows = rows.withColumn("n_symbols", F.get("__classes", F.lit(place["symbol"])))
@@ -91,7 +96,7 @@ def references(measured: DataFrame) -> DataFrame:
     total = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
     chars = good.groupBy("__lang").agg(*sums, F.sum("n_words").alias("all_words"))
     chars = chars.select("__lang", "all_words", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(k)]).alias("ref_chars"))
-    counts = good.select("__lang", F.explode("__short").alias("word")).groupBy("__lang", "word").count()
+    counts = good.select("__lang", F.explode(F.split(F.btrim("__short"), "  ")).alias("word")).filter("word <> ''").groupBy("__lang", "word").count()
     rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("count"), "word"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= COMMON_WORDS)
     top = top.groupBy(F.col("__lang").alias("__l")).agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
@@ -118,7 +123,8 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
     rows = measured.join(F.broadcast(refs), F.col("__lang").eqNullSafe(F.col("__ref")), "left")
     n_chars = _total(F.transform("__classes", lambda x: x.cast("double")))
     p_chars = let(n_chars, lambda n: F.transform("__classes", lambda x: x / F.greatest(n, F.lit(1.0))))
-    hits = F.transform("ref_words", lambda w: F.size(F.filter("__short", lambda x: x == w)) / F.greatest(F.col("n_words"), F.lit(1)))
+    count = lambda w: (F.octet_length("__short") - F.octet_length(F.replace(F.col("__short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)
+    hits = F.transform("ref_words", lambda w: count(w) / F.greatest(F.col("n_words"), F.lit(1)))
     p_words = let(hits, lambda h: F.concat(h, F.array(F.greatest(F.lit(0.0), 1 - _total(h)))))
     usable = (F.col("n_words") >= MIN_WORDS) & (1 - F.element_at("ref_shares", -1) >= MIN_REFERENCE)
     rows = rows.withColumn("char_distance", F.when(n_chars >= MIN_CHARS, js_distance(p_chars, F.col("ref_chars"))))
