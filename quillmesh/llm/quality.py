@@ -32,6 +32,7 @@ MIN_CHARS, MIN_WORDS = 100, 80
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.14, 3.0
 MAX_WORD_DISTANCE, WORD_SLACK = 0.15, 2.2
 MIN_REFERENCE = 0.05
+MAX_BROADCAST = 5000
 
 
 def repeat_words(hashes: Column, window: int = WINDOW) -> Column:
@@ -119,8 +120,9 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds char_distance, word_distance (null where a text is too short to tell) and kept. ``refs`` has
-    a row per language, at most a few thousand, each of fixed size, and is broadcast."""
-    rows = measured.join(F.broadcast(refs), F.col("__lang").eqNullSafe(F.col("__ref")), "left")
+    a row of fixed size per language, and is broadcast up to MAX_BROADCAST of them."""
+    side = F.broadcast(refs) if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else refs
+    rows = measured.join(side, F.col("__lang").eqNullSafe(F.col("__ref")), "left")
     n_chars = _total(F.transform("__classes", lambda x: x.cast("double")))
     p_chars = let(n_chars, lambda n: F.transform("__classes", lambda x: x / F.greatest(n, F.lit(1.0))))
     count = lambda w: (F.octet_length("__short") - F.octet_length(F.replace(F.col("__short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)
@@ -137,7 +139,7 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, the base counts, base_failed, the two distances and kept."""
     measured = written(measure(docs, carry), "quality")
-    out = judge(measured, references(measured))
+    out = judge(measured, written(references(measured), "references"))
     return out.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
