@@ -147,3 +147,37 @@ def complete(names: DataFrame, query: str, n: int, kind: str, name: str = "name"
 
 
 ACRONYM_POOL = 200
+
+
+def has_synonyms(terms: DataFrame, stems: DataFrame, dictionary: DataFrame, translations: DataFrame) -> DataFrame:
+    """``terms`` that the dictionary or a translation knows, by themselves or by a stem."""
+    base = terms.select("term", F.lower("term").alias("key"))
+    keys = base.union(base.join(stems.select(F.col("term").alias("key"), "stem"), "key").select("term", "stem")).distinct()
+    known = dictionary.select("key").union(translations.select(F.col("stem").alias("key"))).distinct()
+    return keys.join(known, "key", "left_semi").select("term").distinct()
+
+
+def frequent_keywords(terms_of: DataFrame, most: int = 20) -> DataFrame:
+    """``terms_of``: query, tokens. query, term, n, rank by frequency alone, equal ones in order."""
+    own = terms_of.select("query", F.posexplode("tokens").alias("ord", "term")).groupBy("query", "term").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n"), "ord"))
+    return own.withColumn("rank", rank).filter(F.col("rank") <= most).select("query", "term", "n", "rank")
+
+
+REFERENCE = r"@([\w\-./]*\w)"
+
+
+def at_references(tasks: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``tasks``: query, text. query, ref, kind (file, symbol), target of every @name: with an extension the
+    best file that contains it, else the best symbol, else the best file. Shorter targets are better."""
+    refs = tasks.select("query", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)))).alias("ref")).withColumn("low", F.lower("ref"))
+    refs = refs.withColumn("ext", F.col("ref").rlike(r"\.\w+$"))
+    each = refs.select("ref", "low").distinct()
+    file = files.select("path").join(each, F.contains(F.lower("path"), F.col("low"))).select("ref", "path", F.when(F.contains(F.lower("path"), F.concat(F.lit("/"), "low")), 0).otherwise(1).alias("o"))
+    file = file.groupBy("ref").agg(F.min(F.struct("o", F.length("path").alias("n"), "path")).alias("f"))
+    symbol = symbols.select("name").distinct().join(each, F.contains(F.lower("name"), F.col("low"))).select("ref", "name", F.when(F.lower("name").startswith(F.col("low")), 0).otherwise(1).alias("o"))
+    symbol = symbol.groupBy("ref").agg(F.min(F.struct("o", F.length("name").alias("n"), "name")).alias("s"))
+    both = refs.join(file, "ref", "left").join(symbol, "ref", "left")
+    as_symbol = ~F.col("ext") & F.col("s").isNotNull()
+    out = both.select("query", "ref", F.when(as_symbol, "symbol").otherwise("file").alias("kind"), F.when(as_symbol, F.col("s.name")).otherwise(F.col("f.path")).alias("target"))
+    return out.filter("target is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activity, excerpts, extract, graph, ignore, resolve, rules, score
+from quillmesh.operators import activity, domains, excerpts, extract, graph, ignore, resolve, rules, score
 from quillmesh.plans import project
 from quillmesh.plans.retrieval import quoted
 from quillmesh.plans.values import Values
@@ -138,19 +138,20 @@ def importers(spark, sf):
     return edge_extract(spark, sf).groupBy("href").agg(F.count("*").alias("importers"))
 
 
-_E2 = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09), b2 AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
-_SEEDS = "sd AS (SELECT 1 AS query, 's' || s_suppkey AS node FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 2, 's' || s_suppkey FROM supplier WHERE s_suppkey IN (7, 9))"
+_B2 = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), b2 AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), sd AS (SELECT s_suppkey AS query, 's' || s_suppkey AS node FROM supplier)"
 
 
-@query(f"""WITH {_E2}, {_SEEDS}, d1 AS (SELECT DISTINCT query, dst AS node FROM sd JOIN b2 ON src = node WHERE (query, dst) NOT IN (SELECT query, node FROM sd)),
-d2 AS (SELECT DISTINCT query, dst AS node FROM d1 JOIN b2 ON src = node WHERE (query, dst) NOT IN (SELECT query, node FROM sd UNION ALL SELECT query, node FROM d1))
-SELECT query::BIGINT AS query, node, 1 AS depth, 1.0::DOUBLE AS decay FROM d1 UNION ALL SELECT query::BIGINT, node, 2, 0.5::DOUBLE FROM d2""")
+@query(f"""WITH {_B2}, d1 AS (SELECT query, dst AS node, row_number() OVER (PARTITION BY query ORDER BY dst) AS ord FROM sd JOIN b2 ON src = node),
+n1 AS (SELECT query, 1 + count(*) AS before FROM d1 GROUP BY query), open_ AS (SELECT query FROM n1 WHERE before < 100),
+o2 AS (SELECT d1.query, dst AS node, min(d1.ord) AS via FROM d1 JOIN open_ USING (query) JOIN b2 ON src = node WHERE NOT EXISTS (SELECT 1 FROM d1 x WHERE x.query = d1.query AND x.node = dst) AND dst <> 's' || d1.query GROUP BY d1.query, dst),
+c2 AS (SELECT query, via, coalesce(sum(count(*)) OVER (PARTITION BY query ORDER BY via ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM o2 GROUP BY query, via),
+d2 AS (SELECT o2.query, o2.node FROM o2 JOIN c2 USING (query, via) JOIN n1 USING (query) WHERE before + earlier < 100)
+SELECT query, node, 1 AS depth, 1.0::DOUBLE AS decay FROM d1 UNION ALL SELECT query, node, 2, 0.5::DOUBLE FROM d2""")
 def bfs_depth2_decay(spark, sf):
-    """Two steps from some suppliers over a sparse supplier-part graph (without a bound on nodes)."""
-    e = table(spark, sf, "lineitem").filter("l_quantity >= 49 and l_discount >= 0.09").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 3 or s_suppkey in (7, 9)").select(F.when(F.col("s_suppkey") <= 3, 1).otherwise(2).cast("long").alias("query"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    s = s.withColumn("ord", F.row_number().over(Window.partitionBy("query").orderBy("node")))
-    return graph.bfs(s, e, 2, 1 << 60)
+    """Bounded search from each supplier, a task of its own, over the whole supplier-part graph."""
+    e = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query"), F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1).alias("ord"))
+    return graph.bfs(s, e)
 
 
 _ROOTS = {"php": "app|vendor|tests", "javascript": "src|dist|node_modules|tests?", "python": "app|src|tests?"}
@@ -557,3 +558,47 @@ def pack_tasks(spark, sf):
     diffs = diff_entries(spark, sf).filter("id = 1").select(F.lit(2).cast("long").alias("query"), "file", "status")
     p = engine.pack(idx, project.TASKS.frame(spark), spark.createDataFrame([("src/index.ts", 0.9)], "path string, churn double"), frames_, diffs)
     return p.selected.select("query", "path", "class", "ord", "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
+_FRAMEWORKS = {"laravel": domains.LARAVEL, "nodejs": domains.NODE}
+_CONFIG = domains.Config().put("billing", ["invoice", "dunning"]).put("queue", ["kafka", "topic"]).put("old", ["x"]).drop("old").disable("sms").disable("nova").enable("nova")
+_SOURCES = [("core", 0, DOMAINS), *((n, 1, ds) for n, ds in _FRAMEWORKS.items()), ("custom", 2, _CONFIG.custom)]
+
+
+@query("WITH d AS (" + " UNION ALL ".join(f"SELECT '{d}' AS domain, '{src}' AS source, {o} AS source_ord, {i} AS ord, [{quoted(ws)}] AS words" for src, o, ds in _SOURCES for i, (d, ws) in enumerate(ds.items()))
+       + ") SELECT domain, source, array_to_string(words, ' ') AS words FROM d WHERE domain <> 'sms' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY source_ord DESC, ord) = 1")
+def domain_catalog(spark, sf):
+    """Core, framework and own domains; later sources replace, disabled ones are out."""
+    return domains.active(spark, DOMAINS, _FRAMEWORKS, _CONFIG).select("domain", "source", F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {_DICT}, w AS (SELECT term FROM {_WORDS.sql()}), k AS (SELECT term, lower(term) AS key FROM w UNION SELECT w.term, stem FROM w JOIN st ON st.term = lower(w.term)) SELECT DISTINCT term FROM k WHERE key IN (SELECT key FROM dc) OR key IN (SELECT stem FROM {_TRANSLATIONS.sql()})")
+def has_synonyms(spark, sf):
+    from quillmesh.operators import retrieve
+
+    d = retrieve.dictionary(_GROUPS.frame(spark).withColumnRenamed("grp", "group"), _STEMS.frame(spark))
+    return retrieve.has_synonyms(_WORDS.frame(spark), _STEMS.frame(spark), d, _TRANSLATIONS.frame(spark))
+
+
+@query(f"""WITH u AS (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({quoted(STOPWORDS)})) AS ts FROM benchmark))
+SELECT item_id AS query, term, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, min(i))::INT AS rank FROM u GROUP BY item_id, term QUALIFY rank <= 20""")
+def keyword_frequency(spark, sf):
+    from quillmesh.operators import retrieve
+
+    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.filter(T.keyword_tokens(F.col("text")), lambda w: ~w.isin(*STOPWORDS)).alias("tokens"))
+    return retrieve.frequent_keywords(t)
+
+
+_REF_TASKS = Values("query long, text string", [(1, "see @cartService.ts and @Invoice"), (2, "@loadUser fails, @jobs/report.py too"), (3, "mail me@example.org or ask @nobody"), (4, "@guide")])
+
+
+@query(f"""WITH {FILES_SQL}, {LINES_SQL}, {SYMBOLS_SQL}, rf AS (SELECT DISTINCT query, unnest(regexp_extract_all(text, '@([\\w\\-./]*\\w)', 1)) AS ref FROM {_REF_TASKS.sql()}),
+f AS (SELECT ref, path FROM (SELECT DISTINCT ref FROM rf), files WHERE contains(lower(path), lower(ref)) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY CASE WHEN contains(lower(path), '/' || lower(ref)) THEN 0 ELSE 1 END, length(path), path) = 1),
+y AS (SELECT ref, name FROM (SELECT DISTINCT ref FROM rf), (SELECT DISTINCT name FROM s) WHERE contains(lower(name), lower(ref)) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY CASE WHEN starts_with(lower(name), lower(ref)) THEN 0 ELSE 1 END, length(name), name) = 1)
+SELECT query, rf.ref, CASE WHEN NOT regexp_matches(rf.ref, '\\.\\w+$') AND name IS NOT NULL THEN 'symbol' ELSE 'file' END AS kind, CASE WHEN NOT regexp_matches(rf.ref, '\\.\\w+$') AND name IS NOT NULL THEN name ELSE path END AS target
+FROM rf LEFT JOIN f ON f.ref = rf.ref LEFT JOIN y ON y.ref = rf.ref WHERE target IS NOT NULL""")
+def at_references(spark, sf):
+    from quillmesh.operators import retrieve
+
+    f = files(spark)
+    return retrieve.at_references(_REF_TASKS.frame(spark), f, extract.symbols(f))

@@ -236,3 +236,12 @@ def test_streaming_index(spark, tmp_path):
     t = incremental.load(spark, root, 1)
     assert {(r.path, r.term, r.tf) for r in t["postings"].collect()} == {("a.py", "one", 2), ("c.py", "four", 1)}
     assert {r.path for r in t["files"].collect()} == {"a.py", "c.py"} and t["lengths"].count() == 2
+
+
+def test_domain_configuration(spark):
+    from quillmesh.operators import domains
+
+    c = domains.Config().put("a", ["x"]).put("b", ["y"]).drop("a").disable("auth").disable("auth").disable("ui").enable("ui")
+    assert domains.Config.parse(c.dump()) == c and domains.Config.parse("not json") == domains.Config() and domains.Config.parse(None) == domains.Config()
+    got = {r.domain: r.source for r in domains.active(spark, {"auth": ["l"], "b": ["z"]}, {"fw": {"ui": ["v"]}}, c).collect()}
+    assert got == {"b": "custom", "ui": "fw"}
