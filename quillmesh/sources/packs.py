@@ -99,7 +99,7 @@ def excerpt_documents(excerpts: DataFrame) -> DataFrame:
     return excerpts.select("query", F.concat(T.safe_filename(F.col("path")), F.lit(".md")).alias("name"), text.alias("document"))
 
 
-def archive(folder: str, name: str = "ctx.tgz") -> str:
+def archive(folder: str, name: str = "pack.tgz") -> str:
     """Pack a folder on the driver's disk."""
     out = Path(folder) / name
     with tarfile.open(out, "w:gz") as tar:
