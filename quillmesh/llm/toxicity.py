@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Many weak voters look at a text: one per lexicon entry, a word or the stem of inflected words (does
-the text contain it?), and a few patterns
+the text contain it, or two different words of it?), and a few patterns
 (hits per word, several different hits, shouting, exclamation marks). The lexicon is mined from a
 bounded sample of labelled rows. A generative model with the true label as a hidden variable
 estimates by expectation maximisation how often each voter fires on toxic and on other texts, and
@@ -33,7 +33,7 @@ from quillmesh.llm.common import held_out, slices, written
 SAMPLE_ROWS = 20_000
 LEXICON_SIZE = 96
 #: Lengths of stems, and the candidates that the driver sees.
-STEMS, CANDIDATES = (4, 5, 6), 2000
+STEMS, CANDIDATES = (4, 5, 6, 7), 2000
 #: A lexicon entry is in this share of the toxic sample at least, and this many times likelier there.
 MIN_SUPPORT, MIN_ODDS = 0.02, 8.0
 #: Its count is this unlikely by chance (log-likelihood ratio), given how many words there are to choose from.
@@ -58,11 +58,19 @@ def votes(text: str | None, index: dict[str, int]) -> np.ndarray:
     if not text:
         return out
     found = WORD.findall(text.lower())
-    kinds = {w: hit for w in set(found) if (hit := [index[e] for e in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)) if e in index])}
+    seen: dict[str, list[str]] = {}
+    for w in set(found):
+        for e in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)):
+            if e in index or e + "#" in index:
+                seen.setdefault(e, []).append(w)
+    kinds = set()
+    for e, ws in seen.items():
+        for x in (e, e + "#"):
+            if x in index and (x == e or len(ws) > 1):
+                out[index[x]] = 1
+                kinds.update(ws)
     if kinds:
-        for hit in kinds.values():
-            out[hit] = 1
-        n = sum(found.count(w) for w in kinds)
+        n = sum(w in kinds for w in found)
         out[len(index):len(index) + 5] = (1, n >= 2, len(kinds) >= 3, n >= 0.01 * len(found), n >= 0.03 * len(found))
     out[len(index) + 5] = len(text) >= 40 and text.isupper()
     out[len(index) + 6] = text.count("!") * 50 >= len(text)
@@ -70,14 +78,16 @@ def votes(text: str | None, index: dict[str, int]) -> np.ndarray:
 
 
 def lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
-    """Words and stems (ending in *) that mark toxic texts, by a count of the sample's texts (equal texts count once)."""
+    """Words, stems (ending in *) and stems of two different words (*#) that mark toxic texts, by a count of the sample's texts (equal texts count once)."""
     once = sample.dropDuplicates(["digest", "toxic"])
     total = once.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     if not total.t or total.t == total.n:
         return []
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stem = lambda k: F.transform(F.filter("w", lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
-    found = once.select("toxic", tokens.alias("w")).select("toxic", F.explode(F.array_distinct(F.concat("w", *map(stem, STEMS)))).alias("entry"))
+    rows = once.select("toxic", tokens.alias("w")).select("toxic", "w", F.sort_array(F.concat(*map(stem, STEMS))).alias("s"))
+    twice = F.transform(F.array_distinct(F.filter("s", lambda x, i: (i > 0) & (F.get("s", i - 1) == x))), lambda x: F.concat(x, F.lit("#")))
+    found = rows.select("toxic", F.explode(F.concat("w", F.array_distinct("s"), twice)).alias("entry"))
     counts = found.groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     counts = counts.filter(F.col("t") >= max(3, MIN_SUPPORT * total.t))
     odds = ((F.col("t") + 0.5) / (total.t + 1)) / ((F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1))
@@ -85,10 +95,21 @@ def lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
     evidence = 2 * (part(F.col("t"), total.t / total.n) + part(F.col("n") - F.col("t"), 1 - total.t / total.n))
     best = counts.withColumn("odds", odds).filter((F.col("odds") >= MIN_ODDS) & (evidence >= MIN_EVIDENCE)).withColumn("gain", F.col("t") * F.log("odds"))
     rows = best.orderBy(F.desc("gain"), "entry").limit(CANDIDATES).collect()
+    known = {r.entry: r for r in rows}
+
+    def better(r) -> bool:
+        """Of a stem and of two words of it, the one that tells more: two where they are much likelier in toxic texts and nearly as frequent."""
+        one, two = known.get(r.entry.removesuffix("#")), known.get(r.entry.removesuffix("#") + "#")
+        ask_two = two is not None and (one is None or (two.odds >= 3 * one.odds and two.t >= 0.6 * one.t))
+        return r.entry.endswith("#") == ask_two
+
     chosen: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (-len(r.entry.rstrip('*')), r.entry)):  # a stem has to find much more than any longer entry that it covers
-        if not any(e.startswith(r.entry.rstrip("*")) and t >= 0.8 * r.t for e, t in chosen.items()):
+    for r in sorted(filter(better, rows), key=lambda r: (-len(r.entry.rstrip("*#")), r.entry)):  # a stem has to find much more than any longer entry that it covers
+        if not any(e.startswith(r.entry.rstrip("*#")) and t >= 0.8 * r.t for e, t in chosen.items()):
             chosen[r.entry] = r.t
+    for two in [e for e in chosen if e.endswith("#")]:  # a single word of such a stem says less than two
+        for e in [e for e in chosen if not e.endswith("#") and e.startswith(two.rstrip("*#")) and known[e].odds < known[two].odds]:
+            del chosen[e]
     return [r.entry for r in rows if r.entry in chosen][:size]
 
 
