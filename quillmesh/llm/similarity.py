@@ -19,8 +19,10 @@ pairs. Classes are the connected components of the links.
 
 Defined results: null texts and texts without words link to nothing and are classes of their own; a
 text of one to four words is one shingle; rows that repeat an id are documents of their own, and the
-class id is the smallest doc_id in the class (null if it has only null ids); extra columns are
-ignored by ``join`` and carried by ``keep_one``; an empty table gives an empty result.
+class id is the smallest doc_id in the class (null if it has only null ids), which classes share where
+ids repeat or are null; the class key, the smallest digest of a shingle set in the class, is a class's
+own (null for texts without words); extra columns are ignored by ``join`` and carried by ``keep_one``;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -263,19 +265,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, class_id, n_links (other documents that are similar), n_shingles, text_id."""
+    """A row per document: doc_id, class_id, class_key, n_links (other documents that are similar), n_shingles, text_id."""
     marks = written(sketches(docs), "sketches")
     sets = marks.filter("set_key is not null").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_id")).alias("first"), F.min("n").alias("n"),
                                                                        F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"))
     reps = written(sets.select(F.monotonically_increasing_id().alias("rid"), "set_key", "copies", "first.doc_id", "first.text_id", "n", "least", "tokens"), "classes")
     found = linked(reps, docs)
     labels = components(found.select(F.col("rid").alias("a"), F.col("other").alias("b")))
-    ids = reps.select(F.col("rid").alias("id"), "least").join(labels, "id").groupBy("label").agg(F.min("least").alias("class_id"))
+    ids = reps.select(F.col("rid").alias("id"), "least", "set_key").join(labels, "id").groupBy("label").agg(F.min("least").alias("class_id"), F.min("set_key").alias("class_key"))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     placed = reps.select("rid", "set_key", "copies", "least").join(counts, "rid", "left").join(labels.withColumnRenamed("id", "rid"), "rid", "left").join(ids, "label", "left")
-    placed = placed.select("set_key", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    placed = placed.select("set_key", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "set_key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = marks.select("doc_id", "text_id", "set_key", "n").join(placed, "set_key", "left")
-    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.hex("class_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.col("n").alias("n_shingles"), "text_id", F.col("set_key").isNull().alias("alone"))
 
 
@@ -283,7 +285,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the smallest doc_id."""
     names = docs.columns
     rows = written(join(docs), "near")
-    best = rows.filter("not alone").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_id")).alias("best")).select(F.col("best.doc_id").alias("__d"), F.col("best.text_id").alias("__t"))
+    best = rows.filter("not alone").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_id")).alias("best")).select(F.col("best.doc_id").alias("__d"), F.col("best.text_id").alias("__t"))
     stay = best.unionByName(rows.filter("alone").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t"))).distinct()
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t"))
     stay = stay.withColumn("__d", F.coalesce("__d", F.lit(-(1 << 63))))

@@ -79,6 +79,21 @@ def test_repeated_rows_and_empty_table(spark):
     assert similarity.join(df.limit(0)).count() == 0
 
 
+def test_classes_that_share_an_id_stay_apart(spark):
+    """Unrelated texts with null ids, or with one id, are classes of their own: none is dropped."""
+    long = " ".join(f"x{i}" for i in range(60))
+    rows = [(None, "alpha beta gamma"), (None, "delta epsilon"), (None, long), (None, long + " end"), (7, "one text of it"), (7, "quite another one"), (7, "one text of it"), (8, "quite another one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = similarity.keep_one(df).collect()
+    near = [r.text for r in kept if r.text.startswith(long)]
+    assert len(near) == 1
+    assert sorted((r.doc_id or 0, r.text) for r in kept if r.text != near[0]) == [(0, "alpha beta gamma"), (0, "delta epsilon"), (7, "one text of it"), (7, "quite another one")]
+    classes = {}
+    for r in similarity.join(df).collect():
+        classes.setdefault(r.class_key, []).append((r.class_id, r.n_links))
+    assert sorted(classes.values(), key=str) == [[(7, 1)] * 2, [(7, 1)] * 2, [(None, 0)], [(None, 0)], [(None, 1)] * 2]
+
+
 @pytest.mark.parametrize("texts", [["a b c d e f", None, "", "a b", "é x  y\tz w\nq a b c d e f"]])
 def test_shingle_sets_agree_with_strings(texts):
     h, starts = shingles.shingle_sets(texts)
