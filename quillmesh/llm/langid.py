@@ -3,7 +3,9 @@
 A text is parsed greedily into the longest phrases that occur in a language's reference text; a
 text in that language needs few phrases, any other needs many. The longest match at a place is the
 longest path from the root of the suffix automaton of the reference, so one pass over a text with
-one table look-up per character and language counts the phrases. The number of phrases times
+one table look-up per character and language counts the phrases. The commonest letters of a language
+have columns of their own in its table; the moves by its other letters (most of a Chinese reference)
+are in a sorted list, so every letter of the references takes part. The number of phrases times
 log2(length of the reference) / length of the text is the cross-parsing entropy estimate; the
 language with the least wins.
 
@@ -34,10 +36,12 @@ SAMPLE_DOCS, EXCERPT_CHARS = 128, 240
 #: Excerpts of all languages together; with many languages each has fewer, so the tables stay below about 70 MB.
 TOTAL_DOCS = 1024
 MAX_LANGUAGES = 256
-#: Texts of at least MIN_JUDGED codes that need more bits a character than this are in none of the languages.
-MAX_BITS, MIN_JUDGED = 4.8, 200
-#: Codes of characters: 0 ends a lane, 1 is a letter that no reference has, 2 a space, then the references' letters, so many at most.
-MAX_LETTERS = 61
+#: Texts of at least MIN_JUDGED characters that need more bits a character than this, or than MAX_RATIO times
+#: what the labelled texts of their language need, whichever is more, are in none of the languages.
+MAX_BITS, MAX_RATIO, MIN_JUDGED = 4.8, 1.4, 200
+#: Codes of characters: 0 ends a lane, 1 is a letter that no reference has, 2 a space, then the references' letters.
+#: Columns of a language's table: by code 0 to 2, then its commonest letters, so many at most; LISTED marks its others.
+MAX_LETTERS, LISTED = 61, 64
 BLOCK = 512
 #: Characters parsed at a time in a task.
 BATCH_CHARS = 1_000_000
@@ -55,11 +59,27 @@ def excerpts(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = EXCERPT_
 
 
 class Automata:
-    """The suffix automata of all languages in one table: ``step[state + code]`` is the next state times
-    two, plus one where a new phrase begins."""
+    """The suffix automata of all languages in one table: ``step[state + columns[language, code]]`` is the next
+    state times two, plus one where a new phrase begins. Moves by letters without a column are in ``moves``
+    (state * number of codes + code, sorted) and ``targets``. ``limits``: the most bits a character that a
+    text of each language may need."""
 
-    def __init__(self, languages: list[str], codes: np.ndarray, letters: np.ndarray, step: np.ndarray, roots: np.ndarray, bits: np.ndarray):
-        self.languages, self.codes, self.letters, self.step, self.roots, self.bits = languages, codes, letters, step, roots, bits
+    def __init__(self, languages: list[str], codes: np.ndarray, letters: np.ndarray, columns: np.ndarray, step: np.ndarray, moves: np.ndarray, targets: np.ndarray,
+                 roots: np.ndarray, bits: np.ndarray, limits: np.ndarray):
+        self.languages, self.codes, self.letters, self.columns, self.step = languages, codes, letters, columns, step
+        self.moves, self.targets, self.roots, self.bits, self.limits = moves, targets, roots, bits, limits
+
+    def listed(self, state: np.ndarray, root: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The entries of ``step`` for letters of a language without a column."""
+        n = self.columns.shape[1]
+
+        def look(key):
+            at = np.minimum(np.searchsorted(self.moves, key), len(self.moves) - 1)
+            return at, self.moves[at] == key
+
+        at, hit = look(state.astype(np.int64) * n + code)
+        again, _ = look(root.astype(np.int64) * n + code)  # the root has a move by every letter of its language
+        return np.where(hit, self.targets[at] * 2, self.targets[again] * 2 + 1)
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -123,32 +143,61 @@ def fit(sample: list[tuple[str, str]]) -> Automata | None:
     if len(by_lang) > MAX_LANGUAGES:
         raise ValueError(f"{len(by_lang)} languages; references are broadcast for at most {MAX_LANGUAGES}")
     by_lang = {lang: ts[: max(1, TOTAL_DOCS // len(by_lang))] for lang, ts in by_lang.items()}
+    model = tables(by_lang)
+    halves = {lang: ts[::2] for lang, ts in by_lang.items() if len(ts) > 1}
+    if halves:  # what texts need that their reference has not seen, by half of each reference
+        half = tables(halves)
+        for i, lang in enumerate(half.languages):
+            n, lengths, has = phrases(half, by_lang[lang][1::2])
+            if has.any():
+                need = float(np.median((n[:, i] * half.bits[i] / lengths)[has]))
+                at = model.languages.index(lang)
+                model.limits[at] = max(MAX_BITS, MAX_RATIO * need)
+    return model
+
+
+def tables(by_lang: dict[str, list[str]]) -> Automata:
     letters = _letters()
-    codes = np.where(letters, 1, 2).astype(np.uint8)
-    counts = np.bincount(np.frombuffer("".join(t.lower() for ts in by_lang.values() for t in ts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), minlength=0x110000)
-    counts[~letters] = 0
-    common = [c for c in np.argsort(-counts, kind="stable")[:MAX_LETTERS] if counts[c]]
-    codes[common] = np.arange(3, 3 + len(common))
-    width = 3 + len(common)
-    tables, roots, bits, base = [], [], [], 0
-    for lang in sorted(by_lang):
+    points = np.unique(np.frombuffer("".join(t.lower() for ts in by_lang.values() for t in ts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    points = points[letters[points]]
+    codes = np.where(letters, 1, 2).astype(np.int32)
+    codes[points] = np.arange(3, 3 + len(points))
+    n_codes = 3 + len(points)
+    columns = np.ones((len(by_lang), n_codes), dtype=np.int32)
+    columns[:, :3] = np.arange(3)
+    steps, roots, bits, moves, targets, base = [], [], [], [], [], 0
+    for nth, lang in enumerate(sorted(by_lang)):
         own, _, _ = encode(by_lang[lang], codes, letters)
+        counts = np.bincount(own, minlength=n_codes)
+        counts[:3] = 0
+        ranked = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        columns[nth, ranked] = LISTED
+        columns[nth, ranked[:MAX_LETTERS]] = np.arange(3, 3 + len(ranked[:MAX_LETTERS]))
+        column = columns[nth].tolist()
+        width = 3 + len(ranked[:MAX_LETTERS])
         states = suffix_automaton([int(c) for c in own if c > 1])
-        lost = base + len(states) * width  # after a letter that no reference has; whatever follows begins a phrase
+        lost = base + len(states) * width  # after a letter that this reference has not; whatever follows begins a phrase
         table = np.zeros((len(states) + 1, width), dtype=np.int32)
         root = np.full(width, lost * 2 + 1, dtype=np.int32)
         for c, s in states[0].items():
-            root[c] = (base + s * width) * 2 + 1
+            if column[c] != LISTED:
+                root[column[c]] = (base + s * width) * 2 + 1
         table[:] = root
-        for i, moves in enumerate(states):
-            for c, s in moves.items():
-                table[i, c] = (base + s * width) * 2
+        for i, to in enumerate(states):
+            for c, s in to.items():
+                if column[c] != LISTED:
+                    table[i, column[c]] = (base + s * width) * 2
+                else:
+                    moves.append((base + i * width) * n_codes + c)
+                    targets.append(base + s * width)
         table[0] = root & ~1  # a lane's first phrase is counted from the start
         roots.append(base)
         bits.append(np.log2(max(2, len(own))))
-        tables.append(table.ravel())
+        steps.append(table.ravel())
         base += table.size
-    return Automata(sorted(by_lang), codes, letters, np.concatenate(tables), np.array(roots, dtype=np.int32), np.array(bits))
+    order = np.argsort(np.array(moves, dtype=np.int64))
+    return Automata(sorted(by_lang), codes, letters, columns, np.concatenate(steps), np.array(moves, dtype=np.int64)[order], np.array(targets, dtype=np.int32)[order],
+                    np.array(roots, dtype=np.int32), np.array(bits), np.full(len(by_lang), MAX_BITS))
 
 
 def phrases(model: Automata, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,9 +216,16 @@ def phrases(model: Automata, texts: list[str]) -> tuple[np.ndarray, np.ndarray,
     n_lang, padded = len(model.languages), np.concatenate([own, np.zeros(BLOCK, dtype=own.dtype)])
     state = np.repeat(model.roots[:, None], len(begin), axis=1)
     count = np.ones((n_lang, len(begin)), dtype=np.int32)
+    listed = len(model.moves) > 0
     for t in range(width):
         k = active[t]
-        v = model.step.take(state[:, :k] + padded[begin[:k] + t])
+        code = padded[begin[:k] + t]
+        column = model.columns.take(code, axis=1)
+        v = model.step.take(state[:, :k] + np.where(column == LISTED, 0, column) if listed else state[:, :k] + column)
+        if listed:
+            i, j = np.nonzero(column == LISTED)
+            if len(i):
+                v[i, j] = model.listed(state[i, j], model.roots[i], code[j])
         count[:, :k] += v & 1
         state[:, :k] = v >> 1
     out = np.zeros((n_lang, len(texts)), dtype=np.int64)
@@ -230,8 +286,12 @@ def predict(docs: DataFrame, model: Automata | None, carry: list[str]) -> DataFr
 def accept(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are in one of the learned languages."""
     names = docs.columns
-    marked = predict(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "text"), learn(docs), [f"c{i}" for i in range(len(names))])
-    foreign = (F.col("bits_per_char") > MAX_BITS) & (F.length(f"c{names.index('text')}") >= MIN_JUDGED)
+    model = learn(docs)
+    marked = predict(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "text"), model, [f"c{i}" for i in range(len(names))])
+    limit = F.lit(MAX_BITS)
+    for lang, most in zip(model.languages, model.limits) if model else []:
+        limit = F.when(F.col("lang_pred") == lang, F.lit(float(most))).otherwise(limit)
+    foreign = (F.col("bits_per_char") > limit) & (F.length(f"c{names.index('text')}") >= MIN_JUDGED)
     return marked.filter((F.col("lang_pred") != "und") & ~foreign).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -51,6 +51,25 @@ def test_blocks_do_not_change_the_winner_of_long_texts():
     assert langs == ["de", "en", "und", "und", "und", "und"] and score[2] == 0 and 0 < score[0] <= 1
 
 
+def test_every_letter_of_the_references_counts(spark):
+    """Two languages of some 1500 letters each, beside one of 26: none loses its alphabet or its texts."""
+    rng = random.Random(7)
+    words = {lang: ["".join(chr(at + min(int(rng.expovariate(0.004)), 1500)) for _ in range(2)) for _ in range(900)] for lang, at in (("zh", 0x4E00), ("ko", 0xAC00))}
+    words["en"] = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
+    text = lambda lang, n: ("" if lang != "en" else " ").join(rng.choice(words[lang]) for _ in range(n))
+    m = langid.fit([(lang, text(lang, 60)) for lang in words for _ in range(60)])
+    texts = [text(lang, 80) for lang in words for _ in range(20)]
+    langs, score, _ = langid.classify(m, texts)
+    assert langs == [lang for lang in words for _ in range(20)] and score.min() > 0.1
+    small = langid.fit([("zh", texts[1]), ("ko", texts[21])])
+    n, _, _ = langid.phrases(small, [texts[0], texts[2] + texts[20]])
+    for i, t in enumerate([texts[0], texts[2] + texts[20]]):
+        for j, ref in enumerate([texts[21], texts[1]]):
+            assert n[i, j] == naive_phrases(*[list(langid.encode([x], small.codes, small.letters)[0]) for x in (ref, t)])
+    docs = spark.createDataFrame([(i, text(lang, 120), lang) for i in range(60) for lang in words], "doc_id long, text string, lang string")
+    assert langid.accept(docs).count() == 180
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = langid.op1_language_id(spark, SF).join(docs, "doc_id")
