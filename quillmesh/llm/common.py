@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +36,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillmesh/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and what
-    several branches read is computed once."""
+    several branches read is computed once. ``spent`` are tables of this function that nothing reads
+    any more once ``df`` is written; their files are deleted then."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in spent:
+        _delete(spark, table.scratch_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def one_of(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row for each value of ``keys``, with the columns ``names``; where several rows have the same keys, the
+    one whose other columns come first as JSON, so that reruns agree. A group of one keeps its row."""
+    other = F.to_json(F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names) if n != "text"], F.lit(0).alias("none")))
+    whole = F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)])
+    best = rows.groupBy(*keys).agg(F.min_by(whole, other).alias("__row"))
+    return best.select(*[F.col(f"__row.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def words(text: Column) -> Column:

@@ -1,24 +1,28 @@
 """Suffix-array deduplication: remove every byte in a 200-byte string that also starts elsewhere.
 
-Sorting the suffixes of a whole corpus is not needed, for a 200-byte string and its copies agree in
-everything, so also in where their smallest 40-byte gram (by hash, the leftmost of equal ones)
-stands: the anchor. Equal strings have equal anchors at equal offsets.
+Sorting the suffixes of a whole corpus in one array is not needed, for a 200-byte string and its copies
+agree in everything, so also in where their smallest 40-byte gram (by hash, the leftmost of equal
+ones) stands: the anchor. Equal strings have equal anchors at equal offsets, so the suffixes that can
+match are those of the texts around equal anchors, and there the suffix arrays are built.
 
 1. Each text is cut by anchors. An anchor owns the run of 200-byte strings whose anchor it is; its
-   row has the gram's hash, and a hash of the owned text. Anchors whose gram is unique drop out.
-2. Owned texts that occur twice as a whole are repeated as a whole. That settles the inside of copies
-   of any size, and takes counts only.
-3. What is left are grams with different owned texts, at the ends of copies. The owned strings of one
-   member of each are dealt into ranges of RANGE offsets. All strings of a range share a core of
-   201 - RANGE bytes; rows meet by gram, range and the core's hash, and hold the few bytes on either
-   side. With the core as one symbol, a 200-byte string is a gram of RANGE symbols, and the suffix
-   array of all sides that meet (built by linear grouping) shows which start more than once.
-4. Where a gram has very many owned texts (MAX_SIDES), its sides are not gathered in a task: they are
-   dealt out by single offsets, and counted.
-5. Each text is cut once.
-
-Rows of step 1 and 2 are a few numbers per about 90 bytes of text. Texts move twice, compressed.
-Hashes are 64-bit numbers that are only compared together with others (gram, owned text, offset).
+   row has the gram's hash, a hash of the owned text, and how often the row occurs (texts are known by
+   a 128-bit digest, so rows that repeat are one row with a count). Anchors whose gram is unique drop out.
+2. The owned texts of a gram are a group. They are recoded: their left and right sides are cut wherever
+   any two of them part, a piece between cuts is one symbol, and the core that none of them cuts is one
+   symbol. If the offsets of the owned strings fall into E classes by that, a 200-byte string is a gram of
+   E symbols. An owned text that occurs more than once stands in the group twice.
+3. The suffix array of the group (by linear grouping, see ``suffixes``) and its LCP array show which
+   grams of E symbols start more than once: neighbours with a common prefix of E symbols.
+   Owned texts that are all equal are a core alone (E = 1), for which no bytes have to be gathered.
+4. Where very many different owned texts meet (over MAX_SIDES), a group is one offset's strings: the
+   cores are whole 200-byte strings, known by digest, equal ones stand in the array twice, and groups are
+   small whatever a text is shared by. The same arrays decide.
+5. Repeated strings lead back, by gram and owned text, to all texts that have them; each is cut once.
+
+Rows of step 1 are a few numbers per about 80 bytes of text. Texts move twice, compressed. Owned texts
+of a gram count as equal by a 64-bit hash, strings at one offset of a gram by another; a false match
+needs a collision within a gram.
 
 Defined results: null is the empty text; a text below 200 bytes loses nothing; removed runs that
 touch are one span; rows that repeat are copies of each other, and all lose what they share; extra
@@ -28,23 +32,24 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import slices, written
 from quillmesh.llm.shingles import _power, mix
 from quillmesh.llm.suffixes import repeated_grams
 
-LENGTH, GRAM, RANGE = 200, 40, 24
+LENGTH, GRAM = 200, 40
 OFFSETS = LENGTH - GRAM + 1
-MAX_SIDES = 4000
+#: Different owned texts that are gathered as one group; of more, each offset is a group.
+MAX_SIDES = 500
 BATCH_BYTES = 1_000_000
-#: Symbols sorted in one suffix array; all sides of a core are in one.
+#: Symbols sorted in one suffix array; a group is in one.
 SORT_SYMBOLS = 20_000
 #: Low bits of an anchor's place: how far the owned strings begin before it, at most and at least.
 _BITS = np.int64(8)
@@ -90,15 +95,17 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return t, grams[p].view(np.int64), owned.view(np.int64), p - starts[t], p - lo, p - hi
 
 
+TEXT = ["t1", "t2"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc, text_id (together they name a text) and the text as bytes."""
+    """t1, t2 (together the text's digest), doc_id and the text as bytes."""
     text = F.coalesce("text", F.lit(""))
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
-    return docs.select(doc.alias("doc"), F.hash(text).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("raw"))
+    return docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("raw"))
 
 
 def find_anchors(docs: DataFrame) -> DataFrame:
-    """doc, text_id, gram, owned, place (of the anchor, with the two offsets in its low bits)."""
+    """t1, t2, gram, owned, place (of the anchor, with the two offsets in its low bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,9 +115,9 @@ def find_anchors(docs: DataFrame) -> DataFrame:
                 t, gram, owned, p, most, least = anchors(np.frombuffer(b"".join(raw), dtype=np.uint8), starts)
                 take = pa.array(t + lo)
                 place = (p << (2 * _BITS)) | (most << _BITS) | least
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(gram), pa.array(owned), pa.array(place)], names=["doc", "text_id", "gram", "owned", "place"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(gram), pa.array(owned), pa.array(place)], names=[*TEXT, "gram", "owned", "place"])
 
-    return _keyed(docs).select("doc", "text_id", "raw").mapInArrow(run, "doc long, text_id int, gram long, owned long, place long")
+    return _keyed(docs).select(*TEXT, "raw").mapInArrow(run, "t1 long, t2 long, gram long, owned long, place long")
 
 
 def _compressed(keyed: DataFrame, *more: str) -> DataFrame:
@@ -118,125 +125,188 @@ def _compressed(keyed: DataFrame, *more: str) -> DataFrame:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             last = b.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array([z.compress(r) for r in b.column(last).to_pylist()], pa.binary())], names=[*b.schema.names[:last], "packed"])
-
-    kinds = {"doc": "long", "text_id": "int", "doc_id": "long"}
-    names = ["doc", "text_id", *more]
-    return keyed.select(*names, "raw").mapInArrow(run, ", ".join([*(f"{n} {kinds[n]}" for n in names), "packed binary"]))
+            for lo, hi in slices(b.column(last), BATCH_BYTES):
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array([z.compress(r) for r in part.column(last).to_pylist()], pa.binary())], names=[*b.schema.names[:last], "packed"])
 
+    names = [*TEXT, *more]
+    return keyed.select(*names, "raw").mapInArrow(run, ", ".join([*(f"{n} long" for n in names), "packed binary"]))
 
-def sides(text: bytes, p: int, most: int, least: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Of an anchor's owned strings, by range of offsets: the range, the core, and what of the owned
-    text is to the left and to the right of it."""
-    for r in range(least // RANGE, most // RANGE + 1):
-        a, b = r * RANGE, r * RANGE + RANGE - 1
-        low, high = max(a, least), min(b, most)
-        yield r, text[p - a : p - b + LENGTH], text[p - high : p - a], text[p - b + LENGTH : p - low + LENGTH]
 
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, named)], names=[n for n, _ in named])
 
-SIDES = "gram long, range int, core long, copied boolean, hot boolean, doc long, text_id int, place long, left binary, right binary"
 
-
-def uncertain(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members``: doc, text_id, anchors (array of gram, place, copied, hot). A row per anchor and range."""
+def _from_members(docs: DataFrame, members: DataFrame, schema: str, rows_of: Callable) -> DataFrame:
+    """``members``: gram, owned, copied and member, a text and a place in it. ``rows_of``: text, gram, owned,
+    copied, place of the anchor, largest and smallest offset -> rows."""
+    anchor = F.struct("gram", "owned", "copied", F.col("member.place").alias("place"))
+    wanted = members.groupBy("member.t1", "member.t2").agg(F.collect_list(anchor).alias("anchors"))  # of one text
+    texts = _compressed(_keyed(docs)).dropDuplicates(TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        names = [x.split()[0] for x in SIDES.split(", ")]
         for b in batches:
             rows = []
-            for doc, text_id, packed, found in zip(*(c.to_pylist() for c in b.columns)):
-                text = z.decompress(packed)
-                for x in found:
+            for packed, found in zip(b.column(0), b.column(1)):
+                text = z.decompress(packed.as_py())
+                for x in found.as_py():
                     place = x["place"]
-                    for r, core, left, right in sides(text, place >> 16, place >> 8 & 255, place & 255):
-                        digest = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "big", signed=True)
-                        rows.append((x["gram"], r, digest, x["copied"], x["hot"], doc, text_id, place, left, right))
+                    rows += rows_of(text, x["gram"], x["owned"], x["copied"], place >> 16, place >> 8 & 255, place & 255)
+                if len(rows) > 4000:
+                    yield _rows(rows, schema)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                yield _rows(rows, schema)
+
+    return texts.join(wanted, TEXT).select("packed", "anchors").mapInArrow(run, schema)
+
 
-    both = _compressed(_keyed(docs)).join(members, ["doc", "text_id"]).select("doc", "text_id", "packed", "anchors")
-    return both.mapInArrow(run, SIDES)
+SIDES = "gram long, owned long, copied boolean, most int, least int, left binary, right binary"
 
 
-def settle(group: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """Rows (gram, range, core, copied, doc, text_id, place, left, right), those of a core after each other:
-    doc, text_id and a span that is repeated, for the members that are not copied as a whole."""
-    strings, cores = [], {}
-    for gram, r, core, _, _, _, _, left, right in group:
-        symbol = 256 + cores.setdefault((gram, r, core), len(cores))
-        strings.append([*left, symbol, *right])
+def sides(text: bytes, gram: int, owned: int, copied: bool, p: int, most: int, least: int) -> list[tuple]:
+    """The owned text on either side of the anchor."""
+    return [(gram, owned, copied, most, least, text[p - most : p], text[p : p - least + LENGTH])]
+
+
+STRINGS = "gram long, owned long, copied boolean, o int, d1 long, d2 long"
+
+
+def strings(text: bytes, gram: int, owned: int, copied: bool, p: int, most: int, least: int) -> list[tuple]:
+    """A row per owned string: its offset and digest."""
     out = []
-    for (_, r, _, copied, doc, text_id, place, left, right), seen in zip(group, repeated_grams(strings, RANGE)):
-        if copied:
-            continue
-        begin = (place >> 16) - r * RANGE - len(left)  # of the first string
-        run = None
-        for k, x in enumerate(seen):
-            if x:
-                run = (k, k) if run is None else (run[0], k)
-            if run is not None and (not x or k == len(seen) - 1):
-                out.append((doc, text_id, begin + run[0], begin + run[1] + LENGTH))
-                run = None
+    for o in range(least, most + 1):
+        d = hashlib.blake2b(text[p - o : p - o + LENGTH], digest_size=16).digest()
+        out.append((gram, owned, copied, o, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
     return out
 
 
-def decide(rows: DataFrame) -> DataFrame:
-    """doc, text_id, b, e: repeated spans of members that are not copied as a whole."""
-    key = ["gram", "range", "core"]
-    columns = [*key, "copied", "doc", "text_id", "place", "left", "right"]
-    few = rows.filter("not hot").select(*columns).withColumn("sides", F.count("*").over(Window.partitionBy(*key)))
-    few = few.filter("sides > 1").drop("sides")  # the window leaves the rows of a core together
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        symbols = 0
+def common(a: bytes, b: bytes) -> int:
+    """The length of the common prefix."""
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (x.bit_length() + 7) // 8
+
+
+def recode(group: list[tuple]) -> tuple[list[int], list[list[tuple]], list[tuple[int, int]]]:
+    """Of the rows (of SIDES) of a gram: the offsets at which the classes of offsets begin (and the end of the
+    last), and per row its symbols and the first and last class of its owned strings. The strings of a class of
+    a row repeat, or do not, together."""
+    cuts = {x for r in group for x in (r[4], r[3] + 1)}
+    lefts = sorted(r[5][::-1] for r in group)
+    rights = sorted(r[6] for r in group)
+    for a, b in zip(lefts, lefts[1:]):
+        cuts.add(common(a, b) + 1)
+    for a, b in zip(rights, rights[1:]):
+        cuts.add(LENGTH - common(a, b))
+    low, high = min(r[4] for r in group), max(r[3] for r in group) + 1
+    at = sorted(c for c in cuts if low <= c <= high)
+    n = len(at) - 1
+    place = {c: k for k, c in enumerate(at)}
+    out, classes = [], []
+    for _, _, _, most, least, left, right in group:
+        first, last = place[least], place[most + 1] - 1
+        # Left pieces from the outermost to the core, the core, right pieces outwards. A string at the k-th cut
+        # reaches at[k] bytes to the left of the anchor and LENGTH - at[k] to the right.
+        own = [("l", k, left[most - at[k] : most - at[k - 1]]) for k in range(last, 0, -1)]
+        own.append(("c", 0, left[most - at[0] :], right[: LENGTH - at[n - 1]]))
+        own += [("r", k, right[LENGTH - at[k] : LENGTH - at[k - 1]]) for k in range(n - 1, first, -1)]
+        out.append(own)
+        classes.append((first, last))
+    return at, out, classes
+
+
+DECIDED = "gram long, owned long, low int, high int"
+
+
+def settle(groups: list[list[tuple]]) -> list[tuple]:
+    """Per repeated run of owned strings (gram, owned, the smallest and largest offset), of groups of rows of SIDES."""
+    texts, sizes, about = [], [], []
+    known: dict[tuple, int] = {}
+    for nth, group in enumerate(groups):
+        at, coded, classes = recode(group)
+        for row, own, (first, last) in zip(group, coded, classes):
+            symbols = [known.setdefault((nth, *x), len(known)) for x in own]
+            for again in range(2 if row[2] else 1):  # the last one's marks hold for both
+                texts.append(symbols)
+                sizes.append(len(at) - 1)
+                about.append((row, at, last) if not again else None)
+    out = []
+    for here, seen in zip(about, repeated_grams(texts, sizes)):
+        if here is None:
+            continue
+        (gram, owned, *_), at, last = here
+        for k, x in enumerate(seen):  # the k-th gram is the string of class last - k
+            if x:
+                out.append((gram, owned, at[last - k], at[last - k + 1] - 1))
+    return out
 
-        def flush():
-            found = settle(held)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 4, kinds)], names=["doc", "text_id", "b", "e"])
 
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if symbols >= SORT_SYMBOLS and held[-1][:3] != row[:3]:
-                    yield flush()
-                    held.clear()
-                    symbols = 0
-                held.append(row)
-                symbols += len(row[7]) + len(row[8]) + 2
-        if held:
-            yield flush()
-
-    settled = few.mapInArrow(run, "doc long, text_id int, b long, e long")
-    # Very many sides: single offsets, whose strings meet by value.
-    base = F.col("range") * RANGE
-    single = rows.filter("hot").select(*columns, F.explode(F.sequence(base + RANGE - 1 - F.octet_length("right"), base + F.octet_length("left"))).alias("o"))
-    own_left = F.substring("left", F.octet_length("left") - (F.col("o") - base) + 1, F.col("o") - base)
-    own_right = F.substring("right", F.lit(1), base + RANGE - 1 - F.col("o"))
-    single = single.select(*key, "o", "copied", "doc", "text_id", "place", F.concat(F.hex(own_left), F.lit("."), F.hex(own_right)).alias("sides"))
-    again = single.groupBy(*key, "o", "sides").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("times")).filter("times > 1").drop("times")
-    begin = F.shiftrightunsigned("place", 16) - F.col("o")
-    counted = single.filter("not copied").join(again, [*key, "o", "sides"]).select("doc", "text_id", begin.alias("b"), (begin + LENGTH).alias("e"))
-    return settled.unionByName(counted)
+def by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settle groups of sorted rows of SIDES."""
+    groups: list[list[tuple]] = []
+    size = 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if not groups or groups[-1][0][0] != row[0]:
+                if size >= SORT_SYMBOLS:
+                    yield _rows(settle(groups), DECIDED)
+                    groups, size = [], 0
+                groups.append([])
+            groups[-1].append(row)
+            size += 8  # symbols of a row, most often
+    if groups:
+        yield _rows(settle(groups), DECIDED)
+
+
+def by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are groups of a core alone, with ``copied`` last: those that the array finds repeated."""
+    for b in batches:
+        for lo in range(0, b.num_rows, SORT_SYMBOLS // 4):
+            part = b.slice(lo, SORT_SYMBOLS // 4)
+            twice = part.column(part.num_columns - 1).to_pylist()
+            of = [i for i, x in enumerate(twice) for _ in range(2 if x else 1)]
+            seen = repeated_grams([[i] for i in of], [1] * len(of))
+            yield part.take(pa.array(sorted({i for i, (x,) in zip(of, seen) if x}), pa.int64()))
+
+
+def decide(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``texts``: gram, owned, n, kinds, member. The repeated strings: DECIDED."""
+    owned = texts.withColumn("copied", F.col("n") > 1)
+    most, least = F.shiftrightunsigned("member.place", 8).bitwiseAND(F.lit(255)), F.col("member.place").bitwiseAND(F.lit(255))
+    lone = owned.filter("kinds = 1").select("gram", "owned", least.cast("int").alias("low"), most.cast("int").alias("high"), "copied")
+    lone = lone.mapInArrow(by_core, DECIDED + ", copied boolean").drop("copied")
+    few = _from_members(docs, owned.filter(f"kinds between 2 and {MAX_SIDES}"), SIDES, sides)
+    few = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(by_gram, DECIDED)
+    out = lone.unionByName(few)
+    many = owned.filter(f"kinds > {MAX_SIDES}")
+    if many.isEmpty():
+        return out
+    single = written(_from_members(docs, many, STRINGS, strings), "strings")
+    key = ["gram", "o", "d1", "d2"]
+    cores = single.groupBy(*key).agg((F.sum(F.when(F.col("copied"), 2).otherwise(1)) > 1).alias("copied"))
+    again = written(cores.mapInArrow(by_core, "gram long, o int, d1 long, d2 long, copied boolean").select(*key), "cores")
+    return out.unionByName(single.join(again, key).select("gram", "owned", F.col("o").alias("low"), F.col("o").alias("high")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Per text with repeats: doc, text_id, spans (array of begin, end in bytes; they may overlap)."""
+    """Per text with repeats: t1, t2, spans (array of begin, end in bytes; they may overlap)."""
     found = written(find_anchors(docs), "anchors")
     # Written, so that the join below has two plain exchanges and Spark can split a very common gram's partition.
     twice = written(found.groupBy("gram").agg(F.count("*").alias("grams")).filter("grams > 1").select("gram"), "twice")
-    shared = written(found.join(twice, "gram"), "shared")
-    texts = written(shared.groupBy("gram", "owned").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_id", "place")).alias("member")), "owned")
-    varied = texts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    members = texts.join(varied, "gram").select("member.*", F.struct("gram", "member.place", (F.col("n") > 1).alias("copied"), (F.col("kinds") > MAX_SIDES).alias("hot")).alias("anchor"))
-    members = members.groupBy("doc", "text_id").agg(F.collect_list("anchor").alias("anchors"))  # of one text
-    ends = decide(written(uncertain(docs, members), "sides"))
-    most, least, p = F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255)), F.shiftrightunsigned("place", 16)
-    copied = written(texts.filter("n > 1").select("gram", "owned"), "copied")
-    whole = shared.join(copied, ["gram", "owned"]).select("doc", "text_id", (p - most).alias("b"), (p - least + LENGTH).alias("e"))
-    return whole.unionByName(ends).groupBy("doc", "text_id").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    shared = found.join(twice, "gram").groupBy(*TEXT, "gram", "owned", "place").agg(F.count("*").alias("n"))
+    shared = written(shared, "shared", spent=[found, twice])
+    texts = written(shared.groupBy("gram", "owned").agg(F.sum("n").alias("n"), F.min(F.struct(*TEXT, "place")).alias("member")), "owned")
+    varied = written(texts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "varied")
+    kinded = written(texts.join(varied, "gram", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))), "kinds", spent=[texts, varied])
+    decided = written(decide(docs, kinded), "decided")
+    p = F.shiftrightunsigned("place", 16)
+    spans = shared.join(decided, ["gram", "owned"]).select(*TEXT, (p - F.col("high")).alias("b"), (p - F.col("low") + LENGTH).alias("e"))
+    return written(spans.groupBy(*TEXT).agg(F.collect_list(F.struct("b", "e")).alias("spans")), "spans", spent=[shared, kinded, decided])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -260,16 +330,16 @@ def remove(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for doc_id, packed, spans in zip(*(c.to_pylist() for c in b.columns)):
-                text = z.decompress(packed)
-                kept, removed, runs = cut(text, [(s["b"], s["e"]) for s in spans or ()])
-                rows.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            if rows:
+            for lo, hi in slices(b.column(1), BATCH_BYTES):
+                rows = []
+                for doc_id, packed, spans in zip(*(c.to_pylist() for c in b.slice(lo, hi - lo).columns)):
+                    text = z.decompress(packed)
+                    kept, removed, runs = cut(text, [(s["b"], s["e"]) for s in spans or ()])
+                    rows.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = _compressed(_keyed(docs), "doc_id").join(repeated(docs), ["doc", "text_id"], "left").select("doc_id", "packed", "spans")
+    joined = _compressed(_keyed(docs), "doc_id").join(repeated(docs), TEXT, "left").select("doc_id", "packed", "spans")
     out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
 

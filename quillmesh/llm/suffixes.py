@@ -17,9 +17,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 
+def by_first(s: Sequence[int]) -> list[int]:
+    """Positions by their symbol, equal ones in order, by counting; symbols are small numbers."""
+    before = [0] * (max(s, default=-1) + 2)
+    for x in s:
+        before[x + 1] += 1
+    for x in range(1, len(before)):
+        before[x] += before[x - 1]
+    out = [0] * len(s)
+    for i, x in enumerate(s):
+        out[before[x]] = i
+        before[x] += 1
+    return out
+
+
 def suffix_array(s: Sequence[int]) -> list[int]:
     n = len(s)
-    sa = sorted(range(n), key=s.__getitem__)
+    sa = by_first(s)
     place = [0] * n  # of a suffix in sa
     group = [0] * n  # of a suffix: where its group begins in sa
     size = [0] * n  # of the group that begins at an index
@@ -98,19 +112,22 @@ def lcp_array(s: Sequence[int], sa: Sequence[int]) -> list[int]:
     return out
 
 
-def repeated_grams(strings: Sequence[Sequence[int]], d: int) -> list[list[bool]]:
-    """For each string and each start of ``d`` symbols in it: do they start anywhere else too? One suffix
-    array of all strings; each ends in a separator of its own, so no match crosses an end."""
+def repeated_grams(strings: Sequence[Sequence[int]], sizes: Sequence[int]) -> list[list[bool]]:
+    """For each string and each start of so many symbols in it as ``sizes`` says: do they start anywhere else
+    too? Strings that share a symbol have one size. One suffix array of all strings; each ends in a separator
+    of its own, so no match crosses an end."""
     text: list[int] = []
+    need: list[int] = []
     starts = []
-    for i, t in enumerate(strings):
+    for i, (t, d) in enumerate(zip(strings, sizes)):
         starts.append(len(text))
         text.extend(x + len(strings) for x in t)
         text.append(i)
+        need.extend([d] * (len(t) + 1))
     sa = suffix_array(text)
     lcp = lcp_array(text, sa)
     seen = bytearray(len(text))
     for at in range(1, len(sa)):
-        if lcp[at] >= d:
+        if lcp[at] >= need[sa[at]]:
             seen[sa[at]] = seen[sa[at - 1]] = 1
-    return [[bool(x) for x in seen[b : b + max(0, len(t) - d + 1)]] for b, t in zip(starts, strings)]
+    return [[bool(x) for x in seen[b : b + max(0, len(t) - d + 1)]] for b, t, d in zip(starts, strings, sizes)]

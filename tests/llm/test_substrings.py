@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,6 +65,28 @@ def test_many_sides_match_brute_force(spark, monkeypatch):
     assert result(df) == brute(odd_rows())
 
 
+def test_only_the_suffix_arrays_find_repeats(spark, monkeypatch):
+    for name in ("by_gram", "by_core"):  # the two places that build them
+        monkeypatch.setattr(substrings, name, lambda batches: iter(()))
+    df = spark.createDataFrame(odd_rows(), "doc_id long, text string")
+    assert {r.n_removed for r in substrings.remove(df).collect()} == {0}
+
+
+def test_rows_that_repeat_many_times(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    own = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, text)] * 2000 + [(None, text)] * 2000 + [(2, own), (3, own[:150] + text[1000:1300])]
+    took = time.time()
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    took = time.time() - took
+    want = brute([(1, text), (None, text), (2, own), (3, own[:150] + text[1000:1300])])
+    assert sorted(set(got), key=str) == want and len(got) == len(rows)
+    apart = time.time()
+    assert len(result(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))) == len(rows)
+    assert took < 2 * (time.time() - apart) + 5
+
+
 def test_empty_table_and_kept_text(spark):
     df = spark.createDataFrame([(1, "b" * 300 + "tail")], "doc_id long, text string")
     assert substrings.remove(df.limit(0)).count() == 0
@@ -84,4 +107,4 @@ def test_suffix_array_is_the_order_of_suffixes(s):
 def test_repeated_grams(strings):
     grams = [[tuple(t[i:i + 3]) for i in range(len(t) - 2)] for t in strings]
     every = [g for gs in grams for g in gs]
-    assert repeated_grams(strings, 3) == [[every.count(g) > 1 for g in gs] for gs in grams]
+    assert repeated_grams(strings, [3] * len(strings)) == [[every.count(g) > 1 for g in gs] for gs in grams]
