@@ -3,16 +3,21 @@
 Base counts are those of common heuristics: words, characters in words, markup symbols, lines that
 repeat an earlier line, and words inside eight-word windows that occur again in the text. Beyond
 them, two histograms of a text are held against references of its language, which are summed over
-the whole corpus: the shares of character classes, and the shares of the language's common short
-words among the text's words. The measure is the Jensen-Shannon distance (base 2, between 0 and 1).
+the whole corpus: the shares of character classes, and the shares of the language's common words
+among the text's words. The measure is the Jensen-Shannon distance (base 2, between 0 and 1).
 Short texts give coarse histograms, so a text is judged by its characters only from MIN_CHARS and by
 its words only from MIN_WORDS on, and the limits widen as 1/sqrt(length) above that.
 
-Everything is computed inside the row, apart from the references (one small aggregate); no text is
-shuffled. Defined results: null and empty texts have no words and fail the base rules; rows without
-a language are held against the reference of all such rows; a language whose common words are rare
-(MIN_REFERENCE) is judged by characters only; ties among common words go to the first in order; rows
-that repeat are judged each; extra columns are ignored by ``measure`` and carried by ``keep_good``.
+A word of the histogram is a run of letters and marks of any length in lower case. A first pass counts
+all words of all texts and gives the CANDIDATES most frequent of each language; the second counts those
+in each text, and of them the COMMON_WORDS that are most frequent in texts that pass the base rules make
+the reference.
+
+Everything is computed inside the row, apart from the word counts and the references (aggregates by
+language and word); no text is shuffled. Defined results: null and empty texts have no words and fail
+the base rules; rows without a language are held against the reference of all such rows; a language whose
+common words are rare (MIN_REFERENCE) is judged by characters only; ties among common words go to the
+first in order; rows that repeat are judged each; extra columns are ignored unless they are named in ``carry``.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ WINDOW = 8
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Character classes, each counted in what the former leave.
 CLASSES = (("lower", r"\p{Ll}+"), ("space", SPACE + "+"), ("upper", r"\p{Lu}+"), ("digit", r"\p{N}+"), ("symbol", r"[#*$%&|<>]+"), ("letter", r"[\p{L}\p{M}]+"), ("stop", r"[.,;:!?]+"))
-SHORT_WORD, COMMON_WORDS = 4, 24
+CANDIDATES, COMMON_WORDS = 64, 24
 MIN_CHARS, MIN_WORDS = 100, 80
 #: Limits for long texts, and what is added for short ones, divided by the root of the characters or words.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.14, 3.0
@@ -56,15 +61,43 @@ def repeat_words(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(n < window, F.lit(0)).otherwise(let(keys, count)).cast("long")
 
 
-def _spaced(short: Column) -> Column:
-    """Words as one string, each between spaces of its own, so that a replacement counts them."""
-    return F.concat(F.lit(" "), F.array_join(short, "  "), F.lit(" "))
+def spaced(text: Column) -> Column:
+    """The runs of letters and marks of a text in lower case, with two spaces between any two of them."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", "  "))
+
+
+def frequent(docs: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """Per language its most frequent words: __of, __words (in order of frequency)."""
+    every = docs.filter("text is not null").select("lang", F.explode(F.split(spaced(F.col("text")), "  ")).alias("word")).filter("word <> ''")
+    counts = every.groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    top = counts.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return top.groupBy(F.col("lang").alias("__of")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("__words"))
+
+
+def _by_language(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``side`` has a row of fixed size per language, and is broadcast up to MAX_BROADCAST of them."""
+    small = side.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(side) if small else side, F.col("__lang").eqNullSafe(F.col(key)), "left").drop(key)
+
+
+def n_words(x: Column) -> Column:
+    """Of words with two spaces between them."""
+    return F.when(x == "", F.lit(0)).otherwise(F.length(F.replace(x, F.lit("  "), F.lit("   "))) - F.length(x) + 1)
+
+
+def occurrences(x: Column, word: Column) -> Column:
+    """How often a word is among them: each has a space of its own on either side."""
+    own = F.concat(F.lit(" "), word, F.lit(" "))
+    whole = F.concat(F.lit(" "), x, F.lit(" "))
+    return ((F.octet_length(whole) - F.octet_length(F.replace(whole, own, F.lit("")))) / (F.octet_length(word) + 2)).cast("long")
 
 
-def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry``, the base counts, the language's key and what the histograms need."""
+def measure(docs: DataFrame, carry: list[str], words_of: DataFrame) -> DataFrame:
+    """``carry``, the base counts, the language's key and what the histograms need. ``words_of``: see ``frequent``."""
     t = F.coalesce("text", F.lit(""))
-    rows = docs.select(*carry, F.col("lang").alias("__lang"), t.alias("__t"), words(F.col("text")).alias("__w"), F.length(t).alias("__n"))
+    rows = docs.select(*carry, F.col("lang").alias("__lang"), t.alias("__t"))
+    rows = _by_language(rows, words_of, "__of").withColumn("__w", words(F.col("__t"))).withColumn("__n", F.length("__t"))
     left, counts = F.col("__t"), []
     for name, pattern in CLASSES:
         rows = rows.withColumn(f"__without_{name}", F.regexp_replace(left, pattern, "")).withColumn(f"__left_{name}", F.length(f"__without_{name}"))
@@ -80,7 +113,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
         *carry, "__lang", F.size("__w").cast("long").alias("n_words"), F.array(*counts).alias("__classes"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         let(F.transform("__w", lambda w: F.xxhash64(w)), repeat_words).alias("n_repeat_words"),
-        _spaced(F.filter(F.transform(F.filter("__w", lambda w: F.length(w) <= SHORT_WORD + 1), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{M}']+$", ""))), lambda w: F.length(w).between(1, SHORT_WORD))).alias("__short"),
+        let(spaced(F.col("__t")), lambda x: F.struct(n_words(x).alias("all"), F.transform("__words", lambda w: occurrences(x, w)).alias("of"))).alias("__histogram"),
     )
     rows = rows.withColumn("word_chars", F.aggregate("__classes", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("__classes", F.lit(place["space"])))
     rows = rows.withColumn("n_symbols", F.get("__classes", F.lit(place["symbol"])))
@@ -88,22 +121,21 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """Per language: shares of character classes, its common words and their shares of all words (with
-    the rest as the last share). One row per language; texts that fail the base rules don't count."""
+def references(measured: DataFrame, words_of: DataFrame) -> DataFrame:
+    """Per language: shares of character classes, the places of its common words among the frequent ones and
+    their shares of all words (with the rest as the last share). One row per language; texts that fail the
+    base rules don't count."""
     good = measured.filter(~F.col("base_failed"))
     k = len(CLASSES) + 1
     sums = [F.sum(F.get("__classes", F.lit(i))).alias(f"c{i}") for i in range(k)]
+    hits = [F.sum(F.get("__histogram.of", F.lit(i))).alias(f"w{i}") for i in range(CANDIDATES)]
     total = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
-    chars = good.groupBy("__lang").agg(*sums, F.sum("n_words").alias("all_words"))
-    chars = chars.select("__lang", "all_words", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(k)]).alias("ref_chars"))
-    counts = good.select("__lang", F.explode(F.split(F.btrim("__short"), "  ")).alias("word")).filter("word <> ''").groupBy("__lang", "word").count()
-    rank = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("count"), "word"))
-    top = counts.withColumn("rank", rank).filter(F.col("rank") <= COMMON_WORDS)
-    top = top.groupBy(F.col("__lang").alias("__l")).agg(F.sort_array(F.collect_list(F.struct("rank", "word", "count"))).alias("top"))
-    both = chars.join(top, F.col("__lang").eqNullSafe(F.col("__l")), "left")
-    share = F.transform("top", lambda x: x["count"] / F.col("all_words"))
-    return both.select(F.col("__lang").alias("__ref"), "ref_chars", F.transform("top", lambda x: x["word"]).alias("ref_words"),
+    sums = good.groupBy(F.col("__lang").alias("__ref")).agg(*sums, *hits, F.sum("__histogram.all").alias("all_words"))
+    sums = sums.join(words_of, F.col("__ref").eqNullSafe(F.col("__of")), "left")
+    ranked = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"w{i}") > 0, F.struct((-F.col(f"w{i}")).alias("less"), F.get("__words", F.lit(i)).alias("word"), F.lit(i).alias("place"))) for i in range(CANDIDATES)])))
+    rows = sums.select("__ref", "all_words", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(k)]).alias("ref_chars"), F.slice(ranked, 1, COMMON_WORDS).alias("top"))
+    share = F.transform("top", lambda x: -x["less"] / F.col("all_words"))
+    return rows.select("__ref", "ref_chars", F.transform("top", lambda x: x["place"]).alias("ref_places"),
                        let(share, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - _total(s))))).alias("ref_shares"))
 
 
@@ -119,14 +151,11 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
-    """Adds char_distance, word_distance (null where a text is too short to tell) and kept. ``refs`` has
-    a row of fixed size per language, and is broadcast up to MAX_BROADCAST of them."""
-    side = F.broadcast(refs) if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else refs
-    rows = measured.join(side, F.col("__lang").eqNullSafe(F.col("__ref")), "left")
+    """Adds char_distance, word_distance (null where a text is too short to tell) and kept."""
+    rows = _by_language(measured, refs, "__ref")
     n_chars = _total(F.transform("__classes", lambda x: x.cast("double")))
     p_chars = let(n_chars, lambda n: F.transform("__classes", lambda x: x / F.greatest(n, F.lit(1.0))))
-    count = lambda w: (F.octet_length("__short") - F.octet_length(F.replace(F.col("__short"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)
-    hits = F.transform("ref_words", lambda w: count(w) / F.greatest(F.col("n_words"), F.lit(1)))
+    hits = F.transform("ref_places", lambda i: F.get("__histogram.of", i) / F.greatest("__histogram.all", F.lit(1)))
     p_words = let(hits, lambda h: F.concat(h, F.array(F.greatest(F.lit(0.0), 1 - _total(h)))))
     usable = (F.col("n_words") >= MIN_WORDS) & (1 - F.element_at("ref_shares", -1) >= MIN_REFERENCE)
     rows = rows.withColumn("char_distance", F.when(n_chars >= MIN_CHARS, js_distance(p_chars, F.col("ref_chars"))))
@@ -138,8 +167,9 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
 
 def assess(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry``, the base counts, base_failed, the two distances and kept."""
-    measured = written(measure(docs, carry), "quality")
-    out = judge(measured, written(references(measured), "references"))
+    words_of = written(frequent(docs), "frequent")
+    measured = written(measure(docs, carry, words_of), "quality")
+    out = judge(measured, written(references(measured, words_of), "references", spent=[words_of]))
     return out.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 

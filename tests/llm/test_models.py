@@ -145,6 +145,63 @@ def test_quality_base_counts(spark):
         assert not (r.base_failed and r.kept)
 
 
+def plain_verdicts(rows):
+    """doc_id -> (kept, char_distance, word_distance), in plain Python."""
+    import math
+
+    import regex
+
+    classes = [regex.compile(x) for x in (r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"\p{N}", r"[#*$%&|<>]", r"[\p{L}\p{M}]", r"[.,;:!?]")]
+
+    def histogram(t):
+        out = []
+        for c in classes:
+            left = c.sub("", t)
+            out.append(len(t) - len(left))
+            t = left
+        return [*out, len(t)]
+
+    own = {d: (lang, brute_quality(t), histogram(t or ""), regex.findall(r"[\p{L}\p{M}]+", (t or "").lower())) for d, t, lang in rows}
+    refs = {}
+    for lang in {x[0] for x in own.values()}:
+        every, good, chars, n = {}, {}, [0] * 8, 0
+        for of, base, h, w in own.values():
+            if of == lang:
+                for x in w:
+                    every[x] = every.get(x, 0) + 1
+                if not base[-1]:
+                    chars, n = [a + b for a, b in zip(chars, h)], n + len(w)
+                    for x in w:
+                        good[x] = good.get(x, 0) + 1
+        frequent = sorted(every, key=lambda x: (-every[x], x))[:quality.CANDIDATES]
+        top = sorted((x for x in frequent if good.get(x)), key=lambda x: (-good[x], x))[:quality.COMMON_WORDS]
+        shares = [good[x] / n for x in top]
+        refs[lang] = [c / max(1, sum(chars)) for c in chars], top, [*shares, max(0.0, 1 - sum(shares))]
+
+    def distance(p, q):
+        part = lambda a, m: a * math.log2(a / m) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q)) / 2))
+
+    out = {}
+    for d, (lang, base, h, w) in own.items():
+        ref, top, shares = refs[lang]
+        chars = distance([c / max(1, sum(h)) for c in h], ref) if sum(h) >= 100 else None
+        hits = [w.count(x) / max(1, len(w)) for x in top]
+        words = distance([*hits, max(0.0, 1 - sum(hits))], shares) if base[0] >= 80 and 1 - shares[-1] >= 0.05 else None
+        far = (chars or 0) > quality.MAX_CHAR_DISTANCE + quality.CHAR_SLACK / math.sqrt(max(1, sum(h))) or (words or 0) > quality.MAX_WORD_DISTANCE + quality.WORD_SLACK / math.sqrt(max(1, base[0]))
+        out[d] = (not base[-1] and not far, chars, words)
+    return out
+
+
+def test_quality_verdicts_match_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = plain_verdicts([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    same = lambda a, b: a == b if a is None or b is None else abs(a - b) < 1e-9
+    for r in quality.op9_quality(spark, SF).collect():
+        kept, chars, words = want[r.doc_id]
+        assert same(r.char_distance, chars) and same(r.word_distance, words) and r.kept == kept, r
+
+
 def test_quality_odd_rows(spark):
     same = "a b c d e f g h i j k l m n o p q r s t u v w x y z\n"
     texts = [None, "", " \n ", "x", same * 3, same + "\n \n" + same.upper(), "a " * 500, "Ä́ ß # | 1½ \U0001F600 " * 30, "one\r\ntwo\n\ntwo\r\n", "w" * 100_000]
