@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_chat": chat.ORACLE,
     "op5_warc": warc.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
     "op10_mixing": mixing.ORACLE,

@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import random
+import re
 from collections import defaultdict
 
 from compare import connect, differences
@@ -88,7 +90,7 @@ def test_chat_links_quotes(spark):
     assert text(2, 0) == "<|im_start|>user\nok<|im_end|>\n" and text(3, 0) == "<|im_start|>user\n<|im_end|>\n" and text(3, 2) == "<|im_start|>user\na > b\nx wrote: y<|im_end|>\n"
     assert (got[3, 0].quoted, got[3, 0].linked) == (2, 0)
     assert chat.format_messages(messages(spark, rows)).count() == len(rows)
-    whole = {(r.conv_id, r.root_turn): r.content for r in chat.threads(chat.format_messages(messages(spark, rows[:4]))).collect()}
+    whole = {(r.conv_id, r.root_turn): r.content for r in chat.conversations(chat.format_messages(messages(spark, rows[:4]))).collect()}
     assert whole[1, 0].index("Hello") < whole[1, 0].index("It is easy") < whole[1, 0].index("Thanks") < whole[1, 0].index("Also me")
 
 
@@ -100,17 +102,33 @@ def test_chat_long_chain_and_empty(spark):
 
 
 def brute_chat(rows):
-    """(conv, turn) -> parent by scanning all earlier messages, for texts of one line a passage."""
-    own = {(c, t): [x for x in text.split("\n") if not x.startswith(">")] for c, t, _, text in rows}
+    """(conv, turn) -> parent, root, depth, content, by comparing every quote with all messages, for (conv, turn) that do not repeat."""
+    squeeze = lambda x: " ".join(x.lower().split())
+    parsed = {}
+    for c, t, role, text in rows:
+        lines = []
+        for x in (text or "").split("\n"):
+            marks = re.match(r"(?:[ \t]*>)*", x)[0]
+            lines.append((marks.count(">"), re.sub(r"^(?:[ \t]*>)+[ \t]?", "", x)))
+        lines = [x for x, after in zip(lines, [*lines[1:], (0, "")]) if not (x[0] == 0 and after[0] > 0 and re.search(r"(wrote|said)\s*:\s*$", x[1]))]
+        runs = [list(g) for _, g in itertools.groupby(lines, key=lambda x: (x[0], x[1].strip(" ") == ""))]
+        found = {(r[0][0], squeeze(" ".join(b for _, b in r)), True) for r in runs} | {(n, squeeze(b), False) for r in runs if len(r) > 1 for n, b in r}
+        parsed[c, t] = {p for p in found if p[1]}, f"<|im_start|>{role or 'user'}\n" + re.sub(r"\n{3,}", "\n\n", "\n".join(b for n, b in lines if n == 0)).strip(" \t\r\n") + "<|im_end|>\n"
+    parent = {}
+    for (c, t), (ps, _) in parsed.items():
+        votes = {}
+        for level, said, _ in ps:
+            origins = [u for (d, u), (qs, _) in parsed.items() if d == c and any(n == 0 and x == said for n, x, _ in qs)]
+            if level and origins and min(origins) < t:
+                near, chars = votes.get(min(origins), (-99, 0))
+                votes[min(origins)] = max(near, -level), chars + len(said)
+        parent[c, t] = max(votes, key=lambda u: (*votes[u], u)) if votes else None
     out = {}
-    for c, t, _, text in rows:
-        votes = defaultdict(int)
-        for line in text.split("\n"):
-            if line.startswith("> "):
-                said = [u for (d, u), ls in own.items() if d == c and line[2:] in ls]
-                if said and min(said) < t:
-                    votes[min(said)] += len(line) - 2
-        out[c, t] = max(votes, key=lambda u: (votes[u], u)) if votes else None
+    for (c, t), (_, content) in parsed.items():
+        root, depth = t, 0
+        while parent[c, root] is not None:
+            root, depth = parent[c, root], depth + 1
+        out[c, t] = parent[c, t], root, depth, content
     return out
 
 
@@ -119,16 +137,35 @@ def test_chat_matches_brute_force(spark):
     rows = []
     for c in range(6):
         said = []
-        for t in range(15):
-            lines = [f"> {rng.choice(said)}\n\n" for _ in range(rng.randrange(3)) if said]
-            mine = f"line {rng.randrange(30)} of {'x' * rng.randrange(9)}"
-            rows.append((c, t, "user", "".join(lines).replace("\n\n", "\n") + mine))
-            said.append(mine)
-    # Adjacent quotes are one passage and its lines; single lines decide where passages are unknown.
-    got = {(r.conv_id, r.turn): r.parent_turn for r in chat.format_messages(messages(spark, rows)).collect()}
-    single = [r for r in rows if r[3].count("\n") <= 1]
+        for t in range(20):
+            lines = [f"{'>' * rng.randrange(1, 3)} {rng.choice(said)}" for _ in range(rng.randrange(4)) if said]
+            if lines and rng.random() < .3:
+                lines.insert(0, "Anna wrote:")
+            mine = [f"line {rng.randrange(30)} of {'x' * rng.randrange(9)}" for _ in range(rng.randrange(1, 4))]
+            rows.append((c, t, rng.choice(["user", None]), "\n".join([*lines, *[""] * rng.randrange(4), *mine])))
+            said += [*mine, "\n> ".join(mine)]
     want = brute_chat(rows)
-    assert all(got[c, t] == want[c, t] for c, t, _, _ in single)
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.content) for r in chat.format_messages(messages(spark, rows)).collect()}
+    assert got == want
+    threads = defaultdict(list)
+    for (c, t), (parent, root, depth, content) in sorted(want.items()):
+        threads[c, root].append((t, parent, depth, content))
+    for r in chat.conversations(chat.format_messages(messages(spark, rows))).collect():
+        assert list(zip(r.turns, r.parents, r.depths)) == [x[:3] for x in threads[r.conv_id, r.root_turn]] and r.content == "".join(x[3] for x in threads.pop((r.conv_id, r.root_turn)))
+    assert not threads
+
+
+def test_chat_oracle(spark):
+    assert differences(chat.op3_chat(spark, SF), connect(SF), chat.ORACLE) == ""
+
+
+def test_chat_repeated_turns_and_null_ids(spark):
+    rows = [(1, 0, "user", "start")] + [(1, 1, "user", f"> start\nreply {i % 7}") for i in range(3000)] + [(1, 2, "user", "> reply 3\nend")] + [(None, 1, "user", "lost")] * 900 + [(1, None, "user", "lost")] * 900
+    got = chat.conversations(chat.format_messages(messages(spark, rows))).collect()
+    assert sum(r.n_messages for r in got) == len(rows) and max(r.n_messages for r in got) < 600
+    assert sorted(r.n_messages for r in got if r.conv_id is None or r.root_turn is None) == [1] * 1800
+    parts = sorted((r for r in got if r.root_turn == 0), key=lambda r: (r.part, r.at, r.piece))
+    assert [t for r in parts for t in r.turns] == [0] + [1] * 3000 + [2]
 
 
 def test_warc_oracle(spark):
