@@ -3,14 +3,16 @@
 Texts count as equal when they agree after deleting white space. Each normalised text is cut into
 chunks at content-defined places; the distinct chunks are gathered once (each task first drops the
 chunks it has already seen, so a copied text is moved about once per task and not once per copy),
-and it is verified that every chunk identifier stands for one content. A text is then its ordered
-list of identifiers, its recipe; recipes are compared, texts are not moved again. Were two contents
-to share an identifier, recipes hold the chunks themselves instead, and the result stays exact.
+and it is verified that every 128-bit chunk identifier stands for one content. A text is then its ordered
+list of identifiers, its recipe; recipes are compared, texts are not moved again. Should contents share an
+identifier, these chunks alone, in all recipes, stand for themselves, and the result stays exact (with
+more than MAX_REPAIRS such identifiers, which takes an attack on the hash, all chunks do).
 
 Defined results: null counts as the empty text, and all texts without a visible character form one
 group with an empty recipe; of equal texts the row with the most code points in the original text,
-then the smallest doc_id (null first) stays, and of wholly repeated rows one; extra columns are
-ignored by ``groups`` and carried by ``keep_first``; an empty table gives an empty result.
+then the smallest doc_id (null first) stays, and of rows that repeat both one (``keep_first``: the one whose
+other columns are first as JSON); extra columns are ignored by ``groups`` and carried by ``keep_first``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import SPACE, written
+from quillmesh.llm.common import SPACE, one_of, written
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-SALTS = 16
+#: Identifiers with more than one content that are listed in the plan.
+MAX_REPAIRS = 1000
 #: A chunk ends after the first of these, beyond MIN_CHUNK characters.
 BOUNDARY = "(?:[ae][nrst]|[io][nrs]|[0-9][02468])"
 
@@ -36,7 +39,7 @@ def chunks(norm: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK, boundary
 
 
 def chunk_id(chunk: Column) -> Column:
-    return F.xxhash64(chunk)
+    return F.unhex(F.md5(chunk))
 
 
 def ambiguous_ids(docs: DataFrame, **sizes) -> DataFrame:
@@ -47,7 +50,14 @@ def ambiguous_ids(docs: DataFrame, **sizes) -> DataFrame:
 
 def recipes(docs: DataFrame, **sizes) -> DataFrame:
     """A row per document: row_id, doc_id, n_points, text_sha256 and the recipe."""
-    one = chunk_id if ambiguous_ids(docs, **sizes).isEmpty() else (lambda c: c)
+    shared = [r.id for r in ambiguous_ids(docs, **sizes).limit(MAX_REPAIRS + 1).collect()]
+    itself = lambda c: F.encode(F.concat(F.lit("=" * 17), c), "UTF-8")  # longer than an identifier
+    if not shared:
+        one = chunk_id
+    elif len(shared) <= MAX_REPAIRS:
+        one = lambda c: F.when(chunk_id(c).isin(*[F.lit(x) for x in shared]), itself(c)).otherwise(chunk_id(c))
+    else:
+        one = itself
     base = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n_points"), normalised(F.col("text")).alias("norm"))
     return written(base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"),
                                F.transform(chunks(F.col("norm"), **sizes), one).alias("recipe")), "recipes")
@@ -57,10 +67,9 @@ def groups(docs: DataFrame, **sizes) -> DataFrame:
     """A row per document: doc_id, keep_id, group_size, kept, text_sha256, n_points, n_chunks."""
     r = recipes(docs, **sizes)
     best = F.min(F.struct((-F.col("n_points")).alias("less"), "doc_id", "row_id"))
-    g = r.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
-    # A group may hold a third of all rows: they are dealt out over SALTS, the row of a group is given to each.
-    spread = g.select(F.col("recipe").alias("of"), "group_size", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = r.join(spread, (F.col("recipe") == F.col("of")) & (F.pmod("row_id", F.lit(SALTS)) == F.col("salt")), "left")
+    # Written, so that the join has two plain exchanges and Spark can split the partition of a group with a third of all rows.
+    g = written(r.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1"), "groups")
+    out = r.join(g.withColumnRenamed("recipe", "of"), F.col("recipe") == F.col("of"), "left")
     alone = F.col("of").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                       (alone | (F.col("row_id") == F.col("best.row_id"))).alias("kept"), "text_sha256", "n_points", F.size("recipe").alias("n_chunks"))
@@ -74,7 +83,7 @@ def keep_first(docs: DataFrame, **sizes) -> DataFrame:
     keyed = docs.select(*names, text_id.alias("__d"), F.sha2(normalised(F.col("text")), 256).alias("__h"),
                         F.length(F.coalesce("text", F.lit(""))).alias("__n"))
     # Rows that repeat id, text and length are one document; the keys are those of the join, so nothing is dealt out anew.
-    return keyed.join(stay, ["__d", "__h", "__n"], "left_semi").dropDuplicates(["__d", "__h", "__n"]).select(*names)
+    return one_of(keyed.join(stay, ["__d", "__h", "__n"], "left_semi"), ["__d", "__h", "__n"], names)
 
 
 ORACLE = """

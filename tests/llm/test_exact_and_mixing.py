@@ -41,11 +41,22 @@ def test_exact_small_chunks_and_collisions(spark, monkeypatch):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact.groups(frame(spark, rows), least=8, most=32).collect()), key=str) == brute_groups(rows)
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(exact, "chunk_id", lambda c: F.length(c).cast("long"))
+    monkeypatch.setattr(exact, "chunk_id", lambda c: F.unhex(F.md5(F.length(c).cast("string"))))
     assert exact.ambiguous_ids(frame(spark, rows), least=8, most=32).count() > 0
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact.groups(frame(spark, rows), least=8, most=32).collect()), key=str) == brute_groups(rows)
 
 
+def test_only_colliding_chunks_stand_for_themselves(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact, "chunk_id", lambda c: F.unhex(F.md5(F.when(c.isin("aaaa", "bbbb"), F.lit("?")).otherwise(c))))
+    df = spark.createDataFrame([(1, "aaaa", "s"), (2, "bbbb", "s"), (3, "cccc", "s"), (4, "a aaa", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: len(r.recipe[0]) for r in exact.recipes(df).collect()} == {1: 21, 2: 21, 3: 16, 4: 21}
+    assert {r.doc_id: r.keep_id for r in exact.groups(df).collect()} == {1: 4, 2: 2, 3: 3, 4: 4}
+    monkeypatch.setattr(exact, "MAX_REPAIRS", 0)
+    assert {r.doc_id: r.keep_id for r in exact.groups(df).collect()} == {1: 4, 2: 2, 3: 3, 4: 4}
+
+
 def test_chunks_are_the_whole_text(spark):
     from pyspark.sql import functions as F
 
@@ -108,6 +119,24 @@ def test_mixing_odd_rows(spark, monkeypatch):
     assert mixing.plan(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 64)
+    df = spark.createDataFrame([(None, "x y", "a")] * 1000 + [(1, "x", "a")] * 300 + [(i, "u v w", "b") for i in range(50)], "doc_id long, text string, source string")
+    got = mixing.plan(df).collect()
+    assert len(got) == 1350 and sorted(r.copies for r in got if r.size == 2 or r.size == 1)[0] >= 1
+    places = [r.position for r in got if r.size == 2]
+    assert len(set(places)) == 1000 and mixing.mix(df).count() == sum(r.copies for r in got)
+    got = [r.position for r in mixing.plan(df).select("position").toLocalIterator()]
+    assert got == sorted(got, key=lambda x: (x is None, x))
+
+
+def test_targets_with_many_sources(spark):
+    sizes = {f"s{i:03}": (i * 37) % 91 + 1 for i in range(300)} | {None: 5}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = fill(sizes)
+    assert len(got) == 301 and all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
 def test_mixing_order_follows_position(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     first = {r.doc_id: r.position for r in mixing.plan(df).collect() if r.copies == 1}

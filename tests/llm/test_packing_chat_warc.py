@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import defaultdict
 
 from compare import connect, differences
@@ -37,6 +38,25 @@ def test_best_fit_takes_the_tightest_compatible_bin(items):
     assert packing.best_fit(items, 20) == naive_best_fit(items, 20)
 
 
+@given(st.lists(st.tuples(st.integers(1, 40), st.sampled_from([0, 1, 1, 1, 2, 4, 8]), st.sampled_from([0, 1, 1, 2])), max_size=120))
+@settings(max_examples=150, deadline=None)
+def test_best_fit_in_small_blocks(items):
+    packing.PER_BLOCK, before = 2, packing.PER_BLOCK
+    try:
+        assert packing.best_fit(items, 40) == naive_best_fit(items, 40)
+    finally:
+        packing.PER_BLOCK = before
+
+
+def test_packing_many_equal_rows(spark):
+    began = time.time()
+    df = spark.range(100_000).selectExpr("cast(null as long) AS doc_id", "'a b c' AS text", "'s' AS source")
+    out = packing.pack(df)
+    assert out.count() == out.select("bin_id").distinct().count() == 100_000
+    assert out.selectExpr("bin_id >> 24 AS shard").groupBy("shard").count().agg({"count": "max"}).first()[0] < 2 * packing.ROWS_PER_SHARD
+    assert time.time() - began < 90
+
+
 def test_packing_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     about = {r.doc_id: (r.source, "".join((r.text or "").split()), len((r.text or "").split())) for r in docs.collect()}
