@@ -47,7 +47,7 @@ from quillmesh.llm.suffixes import repeated_grams
 LENGTH, GRAM = 200, 40
 OFFSETS = LENGTH - GRAM + 1
 #: Different owned texts that are gathered as one group; of more, each offset is a group.
-MAX_SIDES = 500
+MAX_SIDES = 4000
 BATCH_BYTES = 1_000_000
 #: Symbols sorted in one suffix array; a group is in one.
 SORT_SYMBOLS = 20_000
@@ -240,9 +240,13 @@ def settle(groups: list[list[tuple]]) -> list[tuple]:
         if here is None:
             continue
         (gram, owned, *_), at, last = here
-        for k, x in enumerate(seen):  # the k-th gram is the string of class last - k
-            if x:
-                out.append((gram, owned, at[last - k], at[last - k + 1] - 1))
+        high = None  # of the run of repeated strings; the k-th gram is the string of class last - k
+        for k, x in enumerate([*seen, False]):
+            if x and high is None:
+                high = at[last - k + 1] - 1
+            elif not x and high is not None:
+                out.append((gram, owned, at[last - k + 1], high))
+                high = None
     return out
 
 
@@ -298,8 +302,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = written(find_anchors(docs), "anchors")
     # Written, so that the join below has two plain exchanges and Spark can split a very common gram's partition.
     twice = written(found.groupBy("gram").agg(F.count("*").alias("grams")).filter("grams > 1").select("gram"), "twice")
-    shared = found.join(twice, "gram").groupBy(*TEXT, "gram", "owned", "place").agg(F.count("*").alias("n"))
-    shared = written(shared, "shared", spent=[found, twice])
+    met = written(found.join(twice, "gram"), "met", spent=[found, twice])
+    shared = written(met.groupBy(*TEXT, "gram", "owned", "place").agg(F.count("*").alias("n")), "shared", spent=[met])
     texts = written(shared.groupBy("gram", "owned").agg(F.sum("n").alias("n"), F.min(F.struct(*TEXT, "place")).alias("member")), "owned")
     varied = written(texts.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "varied")
     kinded = written(texts.join(varied, "gram", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))), "kinds", spent=[texts, varied])
@@ -329,13 +333,17 @@ def remove(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
+        last, done = None, ()
         for b in batches:
             for lo, hi in slices(b.column(1), BATCH_BYTES):
                 rows = []
-                for doc_id, packed, spans in zip(*(c.to_pylist() for c in b.slice(lo, hi - lo).columns)):
-                    text = z.decompress(packed)
-                    kept, removed, runs = cut(text, [(s["b"], s["e"]) for s in spans or ()])
-                    rows.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+                part = b.slice(lo, hi - lo)
+                for doc_id, packed, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    if packed != last:  # copies of a text come after each other
+                        text = z.decompress(packed)
+                        kept, removed, runs = cut(text, [(s["b"], s["e"]) for s in spans.as_py() or ()])
+                        last, done = packed, (len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept if keep_text else None)
+                    rows.append((doc_id, *done))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
