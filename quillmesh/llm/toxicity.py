@@ -10,11 +10,14 @@ voter, so noisy labels are outvoted. Voters that say the same thing share their
 posterior labels then train a linear (logistic) classifier on the voters alone, which scores every
 whole text.
 
-The fit sees at most about SAMPLE_ROWS labelled rows, chosen by a hash of the id; scores are computed
-for all rows. Defined results: null and empty texts have no votes and get the classifier's base
-score; without labelled rows of both kinds the score is the share of toxic labels (0 if there are
-none); of several labels for one id the highest counts; rows that repeat an id are scored each; extra
-columns are ignored.
+The fit sees about SAMPLE_ROWS labelled rows, chosen by a hash of id and text; scores are computed for all
+rows. An entry needs MIN_TOXIC toxic texts and evidence beyond chance, however rare it is among all
+toxic texts, so a language with few labels gets words of its own once it has a handful of toxic texts.
+LEXICON_SIZE bounds the size of the model, as the sample bounds what it learns from: of more entries those
+that say most are voters. Defined results: null
+and empty texts have no votes and get the classifier's base score; without labelled rows of both kinds the
+score is the share of toxic labels (0 if there are none); of several labels for one id the highest counts;
+rows that repeat an id are scored each, and learned from once for each text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import held_out, slices, written
 
 SAMPLE_ROWS = 20_000
-LEXICON_SIZE = 96
-#: Lengths of stems, and the candidates that the driver sees.
-STEMS, CANDIDATES = (4, 5, 6, 7), 2000
-#: A lexicon entry is in this share of the toxic sample at least, and this many times likelier there.
-MIN_SUPPORT, MIN_ODDS = 0.02, 8.0
+LEXICON_SIZE = 512
+#: Lengths of stems, and the candidates that the driver chooses from.
+STEMS, CANDIDATES = (4, 5, 6, 7), 20_000
+#: A lexicon entry is in this many toxic texts at least, and this many times likelier there.
+MIN_TOXIC, MIN_ODDS = 4, 8.0
 #: Its count is this unlikely by chance (log-likelihood ratio), given how many words there are to choose from.
 MIN_EVIDENCE = 24.0
 THRESHOLD = 0.3
@@ -52,7 +55,20 @@ class Model:
     correlations: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
 
-def votes(text: str | None, index: dict[str, int]) -> np.ndarray:
+class Entries(dict):
+    """The entries of a lexicon (and the stems of those that ask for two words) that a word is or begins with, worked out once a word."""
+
+    def __init__(self, index: dict[str, int]):
+        self.known = {e.rstrip("#") for e in index}
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        found = tuple(e for e in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)) if e in self.known)
+        if len(self) < 200_000:
+            self[word] = found
+        return found
+
+
+def votes(text: str | None, index: dict[str, int], entries: Entries) -> np.ndarray:
     """One 0/1 vote per lexicon entry, then one per pattern."""
     out = np.zeros(len(index) + len(PATTERNS), dtype=np.int8)
     if not text:
@@ -60,9 +76,8 @@ def votes(text: str | None, index: dict[str, int]) -> np.ndarray:
     found = WORD.findall(text.lower())
     seen: dict[str, list[str]] = {}
     for w in set(found):
-        for e in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)):
-            if e in index or e + "#" in index:
-                seen.setdefault(e, []).append(w)
+        for e in entries[w]:
+            seen.setdefault(e, []).append(w)
     kinds = set()
     for e, ws in seen.items():
         for x in (e, e + "#"):
@@ -89,7 +104,7 @@ def lexicon(sample: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
     twice = F.transform(F.array_distinct(F.filter("s", lambda x, i: (i > 0) & (F.get("s", i - 1) == x))), lambda x: F.concat(x, F.lit("#")))
     found = rows.select("toxic", F.explode(F.concat("w", F.array_distinct("s"), twice)).alias("entry"))
     counts = found.groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    counts = counts.filter(F.col("t") >= max(3, MIN_SUPPORT * total.t))
+    counts = counts.filter(F.col("t") >= MIN_TOXIC)
     odds = ((F.col("t") + 0.5) / (total.t + 1)) / ((F.col("n") - F.col("t") + 0.5) / (total.n - total.t + 1))
     part = lambda k, share: F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
     evidence = 2 * (part(F.col("t"), total.t / total.n) + part(F.col("n") - F.col("t"), 1 - total.t / total.n))
@@ -175,7 +190,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     share = min(1.0, rows / max(1, known.count()))
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about `rows` pairs of ints
-    sample = written(sample.select("text", "toxic", F.xxhash64("text").alias("digest")), "labelled")
+    sample = sample.select("text", "toxic", F.xxhash64("text").alias("digest"), F.xxhash64("doc_id", "text").alias("row")).dropDuplicates(["row"])
+    sample = written(sample, "labelled")
+    n = sample.count()
+    if n > 2 * rows:  # ids with many texts
+        sample = written(sample.filter(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(rows / n * 1_000_000)), "labelled", spent=[sample])
     words = lexicon(sample)
     if not words:
         seen = sample.agg(F.avg("toxic")).first()[0]
@@ -184,7 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     index = {w: i for i, w in enumerate(words)}
 
     def bits(texts):
-        return ["votes"], [pa.array([votes(t, index).tobytes() for t in texts], pa.binary())]
+        entries = Entries(index)
+        return ["votes"], [pa.array([votes(t, index, entries).tobytes() for t in texts], pa.binary())]
 
     got = _apply(sample, ["toxic"], "votes binary", bits).toPandas()
     x = np.frombuffer(b"".join(got.votes), dtype=np.int8).reshape(len(got), -1)
@@ -198,10 +218,14 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """The columns ``carry`` and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    held: list = []  # of a task: the index and the entries of words seen so far
+
     def run(texts):
         m = shared.value
-        index = {w: i for i, w in enumerate(m.lexicon)}
-        x = np.stack([votes(t, index) for t in texts]) if texts else np.zeros((0, len(m.weights)))
+        if not held:
+            index = {w: i for i, w in enumerate(m.lexicon)}
+            held.extend((index, Entries(index)))
+        x = np.stack([votes(t, *held) for t in texts]) if texts else np.zeros((0, len(m.weights)))
         return ["score"], [pa.array(1 / (1 + np.exp(-np.clip(x @ m.weights + m.bias, -30, 30))), pa.float64())]
 
     return _apply(docs, carry, "score double", run)

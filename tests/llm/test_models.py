@@ -113,6 +113,72 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def plain_votes(text, lexicon):
+    import re
+
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    hits, out = set(), []
+    for e in lexicon:
+        base = e.rstrip("*#")
+        mine = {w for w in found if (w.startswith(base) and len(w) > len(base) if "*" in e else w == base)}
+        out.append(int(len(mine) >= (2 if e.endswith("#") else 1)))
+        hits |= mine if out[-1] else set()
+    n = sum(w in hits for w in found)
+    out += [n > 0, n >= 2, len(hits) >= 3, n > 0 and n >= .01 * len(found), n > 0 and n >= .03 * len(found)]
+    text = text or ""
+    return [*map(int, out), int(len(text) >= 40 and text.isupper()), int(len(text) > 0 and text.count("!") * 50 >= len(text))]
+
+
+def test_toxicity_scores_match_plain_python(spark):
+    """The lexicon by plain counts, votes and scores by plain loops over whole texts."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = toxicity.learn(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, m, ["doc_id"]).collect():
+        x = plain_votes(texts[r.doc_id], m.lexicon)
+        assert abs(r.score - 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, m.weights)) + m.bias)))) < 1e-9
+    toxic = {}
+    for r in labels.collect():
+        toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, 0))
+    known = {(texts[d], y) for d, y in toxic.items() if d in texts and zlib.crc32(str(d).encode()) % 4 != 2}
+    yes, n = sum(y for _, y in known), len(known)
+    counts = {}
+    for t, y in known:
+        for w in set(plain_words(t)):
+            a, b = counts.get(w, (0, 0))
+            counts[w] = a + y, b + 1
+    part = lambda k, share, of: k * math.log(k / (of * share)) if k else 0.0
+    strong = {w for w, (t, k) in counts.items() if t >= toxicity.MIN_TOXIC and ((t + .5) / (yes + 1)) / ((k - t + .5) / (n - yes + 1)) >= toxicity.MIN_ODDS
+              and 2 * (part(t, yes / n, k) + part(k - t, 1 - yes / n, k)) >= toxicity.MIN_EVIDENCE}
+    covered = lambda w: any(w.startswith(e.rstrip("*#")) for e in m.lexicon)
+    assert strong and all(covered(w) for w in strong)
+    assert all(e in strong for e in m.lexicon if e[-1] not in "*#")
+
+
+def plain_words(t):
+    import re
+
+    return re.findall(r"[^\W\d_]+", (t or "").lower())
+
+
+def test_toxicity_learns_rare_languages_and_bounds_repeated_ids(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    text = lambda *more: " ".join([*rng.choices(words, k=30), *more])
+    rows = [(i, text("vile") if i % 10 == 0 else text(), int(i % 10 == 0)) for i in range(6000)]
+    rows += [(10_000 + i, text("ужас") if i < 16 else text("мир"), int(i < 16)) for i in range(60)]  # 2 % of the toxic rows at most
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "ужас" in m.lexicon and "vile" in m.lexicon
+    sizes = []
+    monkeypatch.setattr(toxicity, "label_model", lambda x, y: sizes.append(len(x)) or (y, None, None))
+    same = spark.range(3000).selectExpr("1 AS doc_id", "concat('vile ', id) AS text")
+    toxicity.learn(df.select("doc_id", "text").unionByName(same), df.select("doc_id", "toxic"), rows=300)
+    assert 0 < sizes[0] <= 700
+
+
 def test_toxicity_odd_tables(spark):
     docs = spark.createDataFrame([(1, "you idiot", "x"), (2, None, "x"), (3, "", "x"), (None, "fine", "x"), (1, "you idiot", "x")], "doc_id long, text string, votes string")
     labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (3, 1, 0), (None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
