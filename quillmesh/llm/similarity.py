@@ -7,18 +7,25 @@ most. Each run picks a token position, so that the sets fall into buckets by the
 large buckets are split again and again by further sampled positions (two a level, so that a pair of
 similar sets stays together in one of them). A bucket is compared by brute force when it is small,
 when its sets are so alike that splitting does not separate them, or at the last level; large ones
-in blocks of BLOCK rows, pair of blocks by pair of blocks. A pair of similarity 0.8 shares a given
-token with probability 0.8; RUNS runs miss it with probability 0.2^RUNS, about 3 in a million, and
-pairs more alike less often.
+in blocks of BLOCK rows, pair of blocks by pair of blocks.
+
+Runs are repeated, RUNS at a time, until the recall that is measured reaches TARGET: SAMPLE sets, chosen by
+a hash of their digest, are held against the tokens of all sets, and of the pairs that agree in at least
+SEEN tokens (an estimated similarity of 0.78 or more) the share is counted that some bucket holds. A
+pair of similarity 0.8 shares a given token with probability 0.8, so eight runs without splits miss it with
+probability 0.2^8, about 3 in a million; each split keeps it with probability 0.96, so with three splits
+in all runs it is (1 - 0.8 * 0.96^3)^8, about 5 in 100 000. More similar pairs are missed less often.
 
 A pair that several buckets hold is compared in the first of them alone. First, the buckets are read
 with the tokens only, and rows that have no partner of fitting size and tokens drop out; then the
 shingle sets of the others are recomputed from their texts and compared exactly. Comparing yields
 one row per member and bucket (its number of links, and a member that it is connected to), never the
-pairs. Classes are the connected components of the links.
+pairs. Classes are the connected components of the links. The number of links of each document is
+exact, so among n different texts that are all alike n^2 / 2 pairs are compared, in blocks, by many tasks.
 
 Defined results: null texts and texts without words link to nothing and are classes of their own; a
-text of one to four words is one shingle; rows that repeat an id are documents of their own, and the
+text of one to four words is one shingle; rows that repeat an id are documents of their own (of wholly repeated ones ``keep_one`` keeps one, of those that
+repeat id and text the one whose other columns are first as JSON), and the
 class id is the smallest doc_id in the class (null if it has only null ids), which classes share where
 ids repeat or are null; the class key, the smallest digest of a shingle set in the class, is a class's
 own (null for texts without words); extra columns are ignored by ``join`` and carried by ``keep_one``;
@@ -35,13 +42,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import slices, written
+from quillmesh.llm.common import one_of, slices, written
 from quillmesh.llm.shingles import mix, shingle_sets
 
 SHINGLE = 5
 #: Similarity as a fraction, so that comparing is exact.
 NUM, DEN = 4, 5
-COORDINATES, RUNS = 32, 8
+COORDINATES, RUNS, MAX_RUNS = 32, 8, 32
+#: Repeat runs until this share of the sample's pairs is found. The sample's size, and what counts as a pair in it.
+TARGET, SAMPLE, SEEN = 0.999, 256, 25
 #: A pair of similarity 0.8 agrees in fewer tokens than this once in a million.
 LEAST_TOKENS = 14
 SMALL, LEVELS, CHILDREN, ALIKE = 256, 4, 2, 0.5
@@ -79,14 +88,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return inner.mapInArrow(run, "doc_id long, text_id long, set_key binary, n long, tokens array<long>")
 
 
-def buckets(reps: DataFrame) -> DataFrame:
-    """``reps``: rid, tokens. The buckets that are to be compared: key, rid, size."""
-    nodes = reps.select("rid", F.explode(F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(r * COORDINATES // RUNS))) for r in range(RUNS)])).alias("key"))
-    leaves = None
+def buckets(reps: DataFrame, runs: range) -> DataFrame:
+    """``reps``: rid, tokens. The buckets of these runs that are to be compared: key, rid, size."""
+    first = [F.xxhash64(F.lit(r), F.get("tokens", F.lit(r * 5 % COORDINATES))) for r in runs]  # every run has a token of its own
+    nodes = reps.select("rid", F.explode(F.array(*first)).alias("key"))
+    leaves, spent = None, []
     for level in range(LEVELS):
         # Written, so that the join has two plain exchanges and Spark can split a large bucket's partition.
         sizes = written(nodes.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        nodes = written(nodes.join(sizes, "key"), "nodes")
+        nodes = written(nodes.join(sizes, "key"), "nodes", spent=[sizes])
+        spent.append(nodes)
         large = nodes.filter(F.col("size") > SMALL)
         done = nodes if level == LEVELS - 1 else nodes.filter(F.col("size") <= SMALL)
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -102,7 +113,56 @@ def buckets(reps: DataFrame) -> DataFrame:
         loose = full.join(alike, "key", "left_anti")
         child = [F.xxhash64("key", F.lit(j), F.element_at("tokens", (F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)) + 1).cast("int"))) for j in range(CHILDREN)]
         nodes = loose.select("rid", F.explode(F.array(*child)).alias("key"))
-    return written(leaves.select("key", "rid", "size"), "buckets")
+    return written(leaves.select("key", "rid", "size"), "buckets", spent=spent)
+
+
+def with_leaves(reps: DataFrame, leaves: DataFrame) -> DataFrame:
+    """rid, n, tokens, leaves (the keys of its buckets), of sets that are in any."""
+    own = leaves.groupBy("rid").agg(F.collect_set("key").alias("leaves"))  # at most CHILDREN ** (LEVELS - 1) keys a run
+    return reps.select("rid", "n", "tokens").join(own, "rid")
+
+
+def measured(reps: DataFrame, about: DataFrame, size: int = SAMPLE) -> tuple[int, int]:
+    """``about``: see ``with_leaves``. Of the pairs of a sample of sets with any set: how many agree in SEEN tokens
+    and are of fitting size, and how many of these some bucket holds. Sets without a bucket count as missed."""
+    spark = reps.sparkSession
+    n_sets = reps.count()
+    drawn = reps.filter(F.pmod(F.xxhash64("set_key"), F.lit(1 << 40)) < int(min(1.0, size / max(1, n_sets)) * (1 << 40))).select("rid", "n", "tokens").limit(4 * size)
+    held = drawn.join(about.select("rid", "leaves"), "rid", "left").collect()  # about `size` rows
+    asked = spark.sparkContext.broadcast((np.array([r.rid for r in held]), np.array([r.n for r in held]), np.array([r.tokens for r in held], dtype=np.int64).reshape(-1, COORDINATES), [set(r.leaves or ()) for r in held]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rids, sizes, tokens_, leaves = asked.value
+        every = hits = 0
+        for b in batches:
+            t = np.array(b.column(2).flatten()).reshape(-1, COORDINATES)
+            n = b.column(1).to_numpy()
+            same = np.zeros((len(t), len(rids)), dtype=np.int8)
+            for j in range(COORDINATES):
+                same += t[:, j, None] == tokens_[None, :, j]
+            fits = DEN * np.minimum.outer(n, sizes) >= NUM * np.maximum.outer(n, sizes)
+            where, who = np.nonzero((same >= SEEN) & fits & (b.column(0).to_numpy()[:, None] != rids[None, :]))
+            every += len(where)
+            for i in np.unique(where):
+                mine = set(b.column(3)[int(i)].as_py() or ())
+                hits += sum(not mine.isdisjoint(leaves[k]) for k in who[where == i])
+        yield pa.RecordBatch.from_arrays([pa.array([every]), pa.array([hits])], names=["every", "hits"])
+
+    rows = reps.select("rid", "n", "tokens").join(about.select("rid", "leaves"), "rid", "left")
+    got = rows.mapInArrow(run, "every long, hits long").agg(F.sum("every"), F.sum("hits")).first()
+    return (got[0] or 0, got[1] or 0) if held else (0, 0)
+
+
+def repeat_runs(reps: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame, float]:
+    """The buckets of as many runs as reach the target, ``with_leaves`` of them, and the measured recall."""
+    leaves, runs = None, 0
+    while True:
+        more = buckets(reps.select("rid", "tokens"), range(runs, runs + RUNS))
+        leaves, runs = more if leaves is None else leaves.unionByName(more), runs + RUNS
+        about = written(with_leaves(reps, leaves), "leaves")
+        every, hits = measured(reps, about)
+        if runs >= MAX_RUNS or hits >= target * every:
+            return leaves, about, hits / every if every else 1.0
 
 
 def blocks(found: DataFrame) -> DataFrame:
@@ -110,7 +170,7 @@ def blocks(found: DataFrame) -> DataFrame:
     n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     side = F.when(F.col("size") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("rid"), n)).cast("int")
     rows = found.select("key", "rid", "size", side.alias("side"))
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(j, F.col("side")) * 65536 + F.greatest(j, F.col("side")))
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(j, F.col("side")).cast("long") * (1 << 31) + F.greatest(j, F.col("side")))
     return rows.select("key", "rid", "side", F.explode(pairs).alias("part"))
 
 
@@ -194,10 +254,8 @@ def compare(n: np.ndarray, copies: np.ndarray, rids: np.ndarray, sets: list[np.n
 
 
 def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``reps``: rid, doc_id, text_id, copies, n, tokens. Per rid and bucket with links: rid, links, other."""
-    leaves = buckets(reps.select("rid", "tokens"))
-    own = leaves.groupBy("rid").agg(F.collect_set("key").alias("leaves"))  # at most RUNS * CHILDREN ** (LEVELS - 1) keys
-    about = reps.select("rid", "n", "tokens").join(own, "rid")
+    """``reps``: rid, set_key, doc_id, text_id, copies, n, tokens. Per rid and bucket with links: rid, links, other."""
+    leaves, about, _ = repeat_runs(reps)
     rows = blocks(leaves).join(about, "rid").repartition("key", "part").sortWithinPartitions("key", "part")
     cols = ["key", "part", "rid", "side", "n", "tokens", "leaves"]
 
@@ -290,7 +348,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t"))
     stay = stay.withColumn("__d", F.coalesce("__d", F.lit(-(1 << 63))))
     # Rows that repeat id and text are one document.
-    return keyed.join(stay, ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).select(*names)
+    return one_of(keyed.join(stay, ["__d", "__t"], "left_semi"), ["__d", "__t"], names)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

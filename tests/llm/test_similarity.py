@@ -59,6 +59,43 @@ def test_large_groups_match_brute_force(spark, monkeypatch):
     assert result(df) == brute(rows)
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    """2000 pairs of similarity 0.8 to 0.86 among 4000 texts of one vocabulary, at production settings."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows, pairs = [], 0
+    while pairs < 2000:
+        t = [rng.choice(words) for _ in range(rng.randrange(60, 160))]
+        u = list(t)
+        while True:
+            u[rng.randrange(len(u))] = rng.choice(words)
+            a, b = shingle_set(" ".join(t)), shingle_set(" ".join(u))
+            if len(a & b) / len(a | b) < .86:
+                break
+        if 5 * len(a & b) >= 4 * len(a | b):
+            rows += [(2 * pairs, " ".join(t)), (2 * pairs + 1, " ".join(u))]
+            pairs += 1
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sum(got[2 * i + 1] == (2 * i, 1) for i in range(pairs))
+    assert found >= 0.999 * pairs and max(n for _, n in got.values()) == 1
+
+
+def test_runs_are_repeated_until_the_target(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(300):
+        t = [rng.choice(words) for _ in range(80)]
+        rows.append((2 * i, " ".join(t)))
+        t[3], t[50] = "other", "words"
+        rows.append((2 * i + 1, " ".join(t)))
+    marks = similarity.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    reps = similarity.written(marks.selectExpr("doc_id AS rid", "set_key", "n", "tokens"), "reps")
+    monkeypatch.setattr(similarity, "RUNS", 1)
+    recalls = [similarity.repeat_runs(reps, target)[2] for target in (0.0, 0.9, 0.999)]
+    assert recalls[0] < 0.97 and recalls[1] >= 0.9 and recalls[2] >= 0.999 and recalls == sorted(recalls)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(30_000))
     rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n", "a"), (4, "one two", "a"), (5, "one  two", "b"), (6, "one two three", "b"), (7, long, "b"), (8, long + " end", None),
