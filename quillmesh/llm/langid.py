@@ -11,7 +11,8 @@ language with the least wins.
 
 References are fitted on a bounded sample: per language SAMPLE_DOCS excerpts of EXCERPT_CHARS
 characters from labelled rows, chosen by a hash of the id, so the automata have a fixed size and can
-be broadcast. Prediction reads every whole text. Texts are parsed in blocks of BLOCK characters (a
+be broadcast. Of more than MAX_LANGUAGES labels (a column of dirty labels may have any number) those with
+the most labelled rows are learned, so the driver never gathers more than that many. Prediction reads every whole text. Texts are parsed in blocks of BLOCK characters (a
 block starts a new phrase, for every language alike), so a batch of texts of any length is one
 matrix and a very long text takes as long as many short ones.
 
@@ -36,9 +37,10 @@ SAMPLE_DOCS, EXCERPT_CHARS = 128, 240
 #: Excerpts of all languages together; with many languages each has fewer, so the tables stay below about 70 MB.
 TOTAL_DOCS = 1024
 MAX_LANGUAGES = 256
-#: Texts of at least MIN_JUDGED characters that need more bits a character than this, or than MAX_RATIO times
-#: what the labelled texts of their language need, whichever is more, are in none of the languages.
-MAX_BITS, MAX_RATIO, MIN_JUDGED = 4.8, 1.4, 200
+#: Texts that need more bits a character than this, or than MAX_RATIO times what the labelled texts of their
+#: language need, whichever is more, are in none of the languages. An estimate from n characters may exceed
+#: the limit by SLACK / n: phrases at the end of a reference's knowledge weigh more in a short text.
+MAX_BITS, MAX_RATIO, SLACK = 4.8, 1.4, 200.0
 #: Codes of characters: 0 ends a lane, 1 is a letter that no reference has, 2 a space, then the references' letters.
 #: Columns of a language's table: by code 0 to 2, then its commonest letters, so many at most; LISTED marks its others.
 MAX_LETTERS, LISTED = 61, 64
@@ -48,14 +50,18 @@ BATCH_CHARS = 1_000_000
 
 
 def excerpts(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = EXCERPT_CHARS) -> DataFrame:
-    """Per language at most ``docs`` excerpts, from anywhere in a text. Only (lang, hash, excerpt) rows
-    are sorted, and each task keeps at most ``docs`` of a language before the shuffle."""
+    """Per language (of the MAX_LANGUAGES with the most rows) at most ``docs`` excerpts, and at most TOTAL_DOCS of
+    all if each language has one at least, from anywhere in a text. Only (lang, hash, excerpt) rows are sorted,
+    and each task keeps at most ``docs`` of a language before the shuffle."""
+    labelled = labelled.filter("lang is not null and text is not null")
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    most = max(1, min(docs, TOTAL_DOCS // max(1, known.count())))
     h = F.xxhash64(F.col("doc_id"))
     at = F.pmod(h, F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    rows = labelled.filter("lang is not null and text is not null").select("lang", h.alias("h"), at.alias("at"), "text")
+    rows = labelled.select("lang", h.alias("h"), at.alias("at"), "text").join(F.broadcast(known), "lang", "left_semi")
     rows = rows.select("lang", "h", F.col("text").substr(F.col("at"), F.lit(chars)).alias("excerpt"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= docs).select("lang", "h", "excerpt")
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "h", "excerpt")
 
 
 class Automata:
@@ -140,9 +146,6 @@ def fit(sample: list[tuple[str, str]]) -> Automata | None:
         by_lang.setdefault(lang, []).append(text)
     if not by_lang:
         return None
-    if len(by_lang) > MAX_LANGUAGES:
-        raise ValueError(f"{len(by_lang)} languages; references are broadcast for at most {MAX_LANGUAGES}")
-    by_lang = {lang: ts[: max(1, TOTAL_DOCS // len(by_lang))] for lang, ts in by_lang.items()}
     model = tables(by_lang)
     halves = {lang: ts[::2] for lang, ts in by_lang.items() if len(ts) > 1}
     if halves:  # what texts need that their reference has not seen, by half of each reference
@@ -291,7 +294,7 @@ def accept(docs: DataFrame) -> DataFrame:
     limit = F.lit(MAX_BITS)
     for lang, most in zip(model.languages, model.limits) if model else []:
         limit = F.when(F.col("lang_pred") == lang, F.lit(float(most))).otherwise(limit)
-    foreign = (F.col("bits_per_char") > limit) & (F.length(f"c{names.index('text')}") >= MIN_JUDGED)
+    foreign = F.col("bits_per_char") > limit + SLACK / F.greatest(F.length(f"c{names.index('text')}"), F.lit(1))
     return marked.filter((F.col("lang_pred") != "und") & ~foreign).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

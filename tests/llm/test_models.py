@@ -80,6 +80,29 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert sum(held) / len(held) > 0.97
 
 
+def test_language_limits(spark):
+    """What accept() drops: long texts far from what its languages need; nothing in them, and no short text."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    known = {"la": [word("abcdefghi") for _ in range(300)], "gr": [word("αβγδεζηθι") for _ in range(300)]}
+    rows = [(i, " ".join(rng.choices(known[lang], k=80)), lang) for i in range(80) for lang in known]
+    junk = lambda n: "".join(rng.choice("abcdefghiαβγδεζ") for _ in range(n))
+    more = [(1000, junk(4000), None), (1001, junk(30), None), (1002, "абвгд " * 300, None), (1003, "abc", None), (1004, "日本" * 600, None)]
+    kept = {r.doc_id for r in langid.accept(spark.createDataFrame(rows + more, "doc_id long, text string, lang string")).collect()}
+    assert kept == {r[0] for r in rows} | {1001, 1003}
+
+
+def test_language_with_very_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 8)
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(40)] + [(100 + i, "el gato y el perro " * 3, "es") for i in range(40)] + [(1000 + i, f"odd {i}", f"http://x/{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.excerpts(df).count() <= langid.TOTAL_DOCS
+    m = langid.learn(df)
+    assert len(m.languages) == 8 and {"en", "es"} <= set(m.languages)
+    got = langid.predict(df, m, ["doc_id"]).collect()
+    assert {r.lang_pred for r in got if r.doc_id < 100} == {"en"} and {r.lang_pred for r in got if 100 <= r.doc_id < 1000} == {"es"}
+
+
 def test_language_odd_tables(spark):
     df = spark.createDataFrame([(1, "abc def", "en", 1), (3, None, None, 2), (None, "x", None, 3), (4, "12", "en", 4)], "doc_id long, text string, lang string, score int")
     out = langid.accept(df)
