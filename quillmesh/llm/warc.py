@@ -30,17 +30,26 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import fresh_path, written
+from quillmesh.llm.common import fresh_path, slices, written
 
 MIN_REVISIT = 100
 #: Ranges of a file are read together if at most GAP bytes lie between them, up to CHUNK bytes at once.
 GAP, CHUNK = 64 << 10, 8 << 20
+#: Bytes of payload, and index rows, that a task holds as Python objects at once.
+PAYLOAD_BYTES, SPANS = 4 << 20, 4096
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, verified boolean, payload binary"
 #: A fixed date keeps the archives of equal pages equal.
 DATE = "2024-01-01T00:00:00Z"
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder in Spark's notation, and the path in it. Hadoop's names of a store are mapped to
+    those of pyarrow."""
+    scheme, _, rest = folder.partition(":")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs"}.get(scheme, scheme) + ":" + rest if rest else folder)
+
+
 def record_id(page_id: int | None) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
@@ -76,10 +85,8 @@ def revisits(keys: DataFrame) -> DataFrame:
     """``keys``: page_id, payload_bytes, payload_digest. The pages that revisit another: page_id, refers_to."""
     big = keys.filter((F.col("payload_bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull())
     first = big.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # One payload may be that of a third of all pages: its rows are dealt out over 32 salts.
-    salted = big.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(32)).cast("int"))
-    spread = first.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(32)])))
-    found = salted.join(spread, ["payload_digest", "payload_bytes", "salt"]).filter(F.col("page_id") != F.col("refers_to"))
+    # Written, so that the join has two plain exchanges and Spark can split the partition of a payload of a third of all pages.
+    found = big.join(written(first, "responses"), ["payload_digest", "payload_bytes"]).filter(F.col("page_id") != F.col("refers_to"))
     return found.select("page_id", "payload_digest", "refers_to").distinct()
 
 
@@ -92,12 +99,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     marked = p.join(revisits(keys), ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         out, name, at = None, "", 0
         try:
-            for b in batches:
+            for part in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b.column(2), PAYLOAD_BYTES)):
                 rows = []
-                for r in b.to_pylist():
+                for r in part.to_pylist():
                     if out is None:
                         fs.create_dir(root, recursive=True)
                         name = f"pages-{uuid.uuid4().hex}.warc.gz"
@@ -133,10 +140,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     wanted = index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         names = [x.split()[0] for x in RECORD.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
-        for b in batches:
+        for b in (b.slice(lo, SPANS) for b in batches for lo in range(0, b.num_rows, SPANS)):
             by_file: dict[str, list[tuple[int, int]]] = {}
             for r in b.to_pylist():
                 by_file.setdefault(r["file"], []).append((r["offset"], r["length"]))
