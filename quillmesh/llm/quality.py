@@ -31,7 +31,9 @@ WINDOW = 8
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Character classes, each counted in what the former leave.
 CLASSES = (("lower", r"\p{Ll}+"), ("space", SPACE + "+"), ("upper", r"\p{Lu}+"), ("digit", r"\p{N}+"), ("symbol", r"[#*$%&|<>]+"), ("letter", r"[\p{L}\p{M}]+"), ("stop", r"[.,;:!?]+"))
-CANDIDATES, COMMON_WORDS = 64, 24
+CANDIDATES, COMMON_WORDS = 32, 24
+#: Candidates of all languages together that are listed in the plan.
+MAX_LISTED = 4000
 MIN_CHARS, MIN_WORDS = 100, 80
 #: Limits for long texts, and what is added for short ones, divided by the root of the characters or words.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.14, 3.0
@@ -96,6 +98,9 @@ def occurrences(x: Column, word: Column) -> Column:
 def measure(docs: DataFrame, carry: list[str], words_of: DataFrame) -> DataFrame:
     """``carry``, the base counts, the language's key and what the histograms need. ``words_of``: see ``frequent``."""
     t = F.coalesce("text", F.lit(""))
+    listed = [r.w for r in words_of.select(F.explode("__words").alias("w")).distinct().limit(MAX_LISTED + 1).collect()]
+    candidate = (lambda w: w.isin(*listed)) if 0 < len(listed) <= MAX_LISTED else (lambda w: F.array_contains("__words", w))
+    among = lambda x: F.array_join(F.filter(F.split(x, "  "), candidate), "  ")  # the candidates, so that counting reads less
     rows = docs.select(*carry, F.col("lang").alias("__lang"), t.alias("__t"))
     rows = _by_language(rows, words_of, "__of").withColumn("__w", words(F.col("__t"))).withColumn("__n", F.length("__t"))
     left, counts = F.col("__t"), []
@@ -113,7 +118,7 @@ def measure(docs: DataFrame, carry: list[str], words_of: DataFrame) -> DataFrame
         *carry, "__lang", F.size("__w").cast("long").alias("n_words"), F.array(*counts).alias("__classes"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         let(F.transform("__w", lambda w: F.xxhash64(w)), repeat_words).alias("n_repeat_words"),
-        let(spaced(F.col("__t")), lambda x: F.struct(n_words(x).alias("all"), F.transform("__words", lambda w: occurrences(x, w)).alias("of"))).alias("__histogram"),
+        let(spaced(F.col("__t")), lambda x: F.struct(n_words(x).alias("all"), let(among(x), lambda c: F.transform("__words", lambda w: occurrences(c, w))).alias("of"))).alias("__histogram"),
     )
     rows = rows.withColumn("word_chars", F.aggregate("__classes", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("__classes", F.lit(place["space"])))
     rows = rows.withColumn("n_symbols", F.get("__classes", F.lit(place["symbol"])))
