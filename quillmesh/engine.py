@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.operators import discover, excerpts, extract, graph, ignore, index, resolve, score
+from quillmesh.operators import discover, excerpts, extract, graph, ignore, index, resolve, score, synonyms
 from quillmesh.plans.words import CHANGE_TYPES, DOMAINS, STOPWORDS, SYMBOL_STOPWORDS
 from quillmesh.session import staged
+from quillmesh.sources import packs
 
 
 @dataclass
@@ -20,6 +22,8 @@ class Index:
     files: DataFrame  # path, language, size, mtime, hash
     symbols: DataFrame  # path, name, kind, start_line, end_line, signature
     edges: DataFrame  # src, dst, how
+    postings: DataFrame  # path, term, tf of path and content
+    lengths: DataFrame  # path, len
 
     @classmethod
     def build(cls, tree: DataFrame, ignored: str = "") -> Index:
@@ -27,7 +31,9 @@ class Index:
         kept = ignore.keep(tree, ignored)
         files = staged(index.catalogue(kept), "files")
         content = kept.select("path", "content").join(files.select("path", "language"), "path")
-        return cls(content.select("path", "content"), files, staged(extract.symbols(content), "symbols"), staged(graph.resolve(extract.imports(content), files), "edges"))
+        searched = content.select("path", F.concat_ws(" ", "path", "content").alias("content"))
+        return cls(content.select("path", "content"), files, staged(extract.symbols(content), "symbols"), staged(graph.resolve(extract.imports(content), files), "edges"),
+                   staged(index.postings(searched), "postings"), staged(index.lengths(searched), "lengths"))
 
 
 @dataclass
@@ -38,21 +44,40 @@ class Pack:
     selected: DataFrame
     excerpts: DataFrame
 
+    def reports(self, idx: Index, at: Column, diffs: DataFrame | None = None) -> DataFrame:
+        """query, slug, name, body: all that is written for each task."""
+        return packs.documents(self.tasks, self.selected, self.excerpts, idx.files, idx.symbols, idx.edges, at, diffs)
 
-def pack(idx: Index, tasks: DataFrame, git: DataFrame, frames: DataFrame | None = None, diffs: DataFrame | None = None, highlights: DataFrame | None = None, most: int = score.MAX_FILES) -> Pack:
-    """``tasks``: query, text; ``git``: path, churn; ``frames``: query, file, function; ``diffs``: query, file,
-    status; ``highlights``: query, path, line."""
+    def write(self, idx: Index, at: Column, folder: str, diffs: DataFrame | None = None) -> None:
+        """A Parquet table of documents, partitioned by the pack's slug."""
+        self.reports(idx, at, diffs).write.mode("append").partitionBy("slug").parquet(folder)
+
+
+def highlighted(content: DataFrame, frames: DataFrame | None, changed: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
+    """query, path, line: the lines of frames (query, file, line), of changes (query, path, line) and those given."""
+    parts = [p.select("query", "path", "line") for p in (changed, more) if p is not None]
+    if frames is not None and "line" in frames.columns:
+        hits = discover.match_paths(frames.select("query", F.col("file").alias("pattern")), content.select("path"))
+        named = frames.select("query", discover.T.normalize_path(F.col("file")).alias("pattern"), "line")
+        parts.append(hits.join(named, ["query", "pattern"]).select("query", "path", "line"))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else None
+
+
+def pack(idx: Index, tasks: DataFrame, git: DataFrame, frames: DataFrame | None = None, diffs: DataFrame | None = None, changed: DataFrame | None = None, highlights: DataFrame | None = None, most: int = score.MAX_FILES) -> Pack:
+    """``tasks``: query, text; ``git``: path, churn; ``frames``: query, file, function and, if known, line; ``diffs``:
+    query, file, status; ``changed`` (by a diff) and further ``highlights``: query, path, line."""
     spark = tasks.sparkSession
     resolved = resolve.resolve(tasks, STOPWORDS, SYMBOL_STOPWORDS, DOMAINS, CHANGE_TYPES, frames, diffs)
-    resolved = staged(resolved, "tasks")
-    found = discover.discover(resolved, idx.content, idx.symbols, idx.edges, frames, diffs)
+    resolved = staged(synonyms.widen(resolved), "tasks")
+    found = discover.discover(resolved, idx.content, idx.symbols, idx.edges, idx.postings, idx.lengths, frames, diffs)
     chosen = score.select(score.score(found, resolved, git, DOMAINS), resolved, most)
     chosen = staged(chosen, "selected")
     # Excerpts of one (query, path) each: the pair stands for the path.
     key = F.concat_ws("\n", F.col("query").cast("string"), "path")
     rows = chosen.join(idx.content, "path").select(key.alias("path"), "content", (F.col("stacktrace_hit") | F.col("diff_hit")).alias("in_trace"), F.col("symbol_match").alias("has_symbol"))
     own = chosen.select("query", "path").join(idx.symbols, "path").withColumn("path", key)
-    lines = spark.createDataFrame([], "path string, line int") if highlights is None else highlights.select(key.alias("path"), "line")
+    lit = highlighted(idx.content, frames, changed, highlights)
+    lines = spark.createDataFrame([], "path string, line int") if lit is None else lit.join(chosen.select("query", "path"), ["query", "path"], "left_semi").select(key.alias("path"), "line")
     cut = excerpts.excerpts(rows, own, lines)
     parts = F.split("path", "\n", 2)
     kind = dict(tasks.dtypes)["query"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import stem as S
 from quillmesh.functions import text as T
 from quillmesh.operators import extract, graph, retrieve, rules
+from quillmesh.operators.contain import containing
 from quillmesh.operators.score import merge, signals
 from quillmesh.session import staged
 
@@ -27,7 +28,7 @@ def match_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     left = w.join(whole.select("query", "pattern"), ["query", "pattern"], "left_anti").select("query", "pattern", F.lower("pattern").alias("low"))
     low = f.select("path", F.lower("path").alias("low_path"))
     same = left.withColumn("base", T.basename(F.col("low"))).join(low.withColumn("base", T.basename(F.col("low_path"))), "base").select("query", "pattern", "path", F.lit(True).alias("exact"))
-    inside = low.join(rules.small(left), F.contains("low_path", "low")).select("query", "pattern", "path", F.lit(False).alias("exact"))
+    inside = containing(low, "low_path", left, "low").select("query", "pattern", "path", F.lit(False).alias("exact"))
     return whole.unionByName(same).unionByName(inside).groupBy("query", "pattern", "path").agg(F.bool_or("exact").alias("exact"))
 
 
@@ -43,8 +44,9 @@ def from_diff(diffs: DataFrame, files: DataFrame) -> DataFrame:
 
 def match_symbols(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """``names``: query, name. query, path, kind, symbol of symbols that contain a name, case aside."""
-    n = rules.small(names.select("query", F.lower("name").alias("needle")).distinct())
-    return symbols.select("path", "kind", F.col("name").alias("symbol")).join(n, F.contains(F.lower("symbol"), F.col("needle")))
+    n = names.select("query", F.lower("name").alias("needle")).distinct()
+    rows = symbols.select("path", "kind", F.col("name").alias("symbol"), F.lower("name").alias("low"))
+    return containing(rows, "low", n, "needle").drop("low")
 
 
 def from_symbols(tasks: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -52,12 +54,11 @@ def from_symbols(tasks: DataFrame, symbols: DataFrame) -> DataFrame:
     return signals(match_symbols(names, symbols), symbol_match=F.lit(True), exact_symbol=F.lit(True))
 
 
-def from_keywords(tasks: DataFrame, files: DataFrame) -> DataFrame:
+def from_keywords(tasks: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
     """The best files of each of a task's first keywords; a keyword of several words needs all of them."""
     k = tasks.select("query", F.explode(F.slice("keywords", 1, MOST_KEYWORDS)).alias("keyword"))
     terms = k.select(F.col("keyword").alias("query"), F.explode(F.array_distinct(T.search_tokens(T.sanitize_query(F.col("keyword"))))).alias("term")).distinct()
-    docs = files.select("path", F.concat_ws(" ", "path", "content").alias("content"))
-    best = retrieve.top(retrieve.bm25(docs, terms, "path", every=True), PER_KEYWORD, "query", "score", "path")
+    best = retrieve.top(retrieve.bm25(postings, lengths, terms, "path", every=True), PER_KEYWORD, "query", "score", "path")
     return signals(best.select(F.col("query").alias("keyword"), "path").join(k, "keyword"), keyword_match=F.lit(True))
 
 
@@ -80,7 +81,7 @@ def from_names(tasks: DataFrame, files: DataFrame) -> DataFrame:
     group = own.join(lead, ["query", "form"]).groupBy("query", "word").agg(F.min_by("lead", "lead_ord").alias("group"))
     own = own.join(group, ["query", "word"]).select("query", "group", "form").distinct()
     exact = forms(seg, "term").select("path", "form").distinct().join(own, "form").select("query", "path", "group")
-    inside = files.select("path", F.lower("path").alias("low")).join(rules.small(own), F.contains("low", "form")).select("query", "path", "group")
+    inside = containing(files.select("path", F.lower("path").alias("low")), "low", own, "form").select("query", "path", "group")
     expanded = exact.union(inside).groupBy("query", "path").agg(F.countDistinct("group").alias("path_matches"))
     in_base = forms(base, "term").select("path", "form").distinct().join(own, "form").groupBy("query", "path").agg(F.countDistinct("group").alias("basename_matches"))
     raw = seg.join(tasks.select("query", F.explode("raw_words").alias("term")), "term").groupBy("query", "path").agg(F.countDistinct("term").alias("raw_path_matches"))
@@ -133,10 +134,10 @@ def from_rules(merged: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFra
     return signals(hits, related_file=F.col("signal") == "related_file", test_file=F.col("signal") == "test_file", example_usage=F.col("signal") == "example_usage")
 
 
-def discover(tasks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, frames: DataFrame | None = None, diffs: DataFrame | None = None) -> DataFrame:
-    """``tasks`` of ``resolve``; ``files``: path, content; ``edges``: src, dst. The merged candidates. Steps that
+def discover(tasks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, postings: DataFrame, lengths: DataFrame, frames: DataFrame | None = None, diffs: DataFrame | None = None) -> DataFrame:
+    """``tasks`` of ``resolve``; ``files``: path, content; ``edges``: src, dst; ``postings``, ``lengths`` of paths and contents. The merged candidates. Steps that
     look at candidates see those of the steps before."""
-    parts = [from_symbols(tasks, symbols), from_keywords(tasks, files), from_hints(tasks, files), from_names(tasks, files)]
+    parts = [from_symbols(tasks, symbols), from_keywords(tasks, postings, lengths), from_hints(tasks, files), from_names(tasks, files)]
     if frames is not None:
         parts.append(from_trace(frames, files))
     if diffs is not None:

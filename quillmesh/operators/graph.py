@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.session import staged
 
 # What may follow a specifier's path, in this order.
 PROBES = {
@@ -53,19 +54,19 @@ def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int = 2, most: int = 100) -> DataFrame:
     """``seeds``: query, node, ord; ``edges``: src, dst, followed both ways. query, node, depth, decay of the
     nodes found beyond the seeds. Nodes are expanded in queue order while fewer than ``most`` have been
-    visited: node i of a level if seeds and first discoveries before it are below that. Each level is two
-    joins and one window per query over what it reached."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
-    visited = seeds.select("query", "node", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("depth"))
-    level = visited
+    visited: node i of a level if seeds and first discoveries before it are below that. Queries that have
+    reached the bound are not joined to edges at all. Each level is two joins and one window per query over
+    what it reached; it is written, so later ones read and do not recompute it."""
+    both = staged(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "both-ways")
+    visited = level = staged(seeds.select("query", "node", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("depth")), "level")
     for d in range(1, depth + 1):
-        out = level.join(both, level.node == both.src).select("query", F.col("ord").alias("by"), F.col("dst").alias("node"))
-        fresh = out.join(visited.select("query", "node"), ["query", "node"], "left_anti").groupBy("query", "node").agg(F.min("by").alias("by"))
-        counts = visited.groupBy("query").agg(F.count("*").alias("before"))
+        counts = visited.groupBy("query").agg(F.count("*").alias("before")).filter(F.col("before") < most)
+        out = level.join(counts.select("query"), "query", "left_semi").join(both, F.col("node") == F.col("src")).select("query", F.col("ord").alias("by"), F.col("dst").alias("node"))
+        fresh = staged(out.join(visited.select("query", "node"), ["query", "node"], "left_anti").groupBy("query", "node").agg(F.min("by").alias("by")), "fresh")
         found_by = fresh.groupBy("query", "by").agg(F.count("*").alias("n"))
         earlier = F.coalesce(F.sum("n").over(Window.partitionBy("query").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         open_ = found_by.withColumn("earlier", earlier).join(counts, "query").filter(F.col("before") + F.col("earlier") < most).select("query", "by")
         order = F.row_number().over(Window.partitionBy("query").orderBy("by", "node")).cast("long")
-        level = fresh.join(open_, ["query", "by"]).select("query", "node", order.alias("ord"), F.lit(d).alias("depth"))
+        level = staged(fresh.join(open_, ["query", "by"]).select("query", "node", order.alias("ord"), F.lit(d).alias("depth")), "level", spent=[fresh])
         visited = visited.unionByName(level)
     return visited.filter("depth > 0").select("query", "node", "depth", F.try_divide(F.lit(1.0), F.col("depth")).alias("decay"))

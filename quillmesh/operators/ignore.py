@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rules that always hold.
-BUILT_IN = (".context/", ".idea/", ".vscode/", "*.swp", "*.swo", ".DS_Store", "Thumbs.db")
+BUILT_IN = (".quillmesh/", ".idea/", ".vscode/", "*.swp", "*.swo", ".DS_Store", "Thumbs.db")
 
 
 def to_regex(rule: str) -> str:

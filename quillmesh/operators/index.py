@@ -6,13 +6,13 @@ recomputes the rows of changed paths and drops those of vanished ones, in every
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 
 MAX_FILE_SIZE = 1 << 20
-ALWAYS_EXCLUDED = (".git", ".context")
+ALWAYS_EXCLUDED = (".git", ".quillmesh")
 
 
 def catalogue(files: DataFrame, languages: list[str] | None = None, max_size: int = MAX_FILE_SIZE, excluded: tuple[str, ...] = ()) -> DataFrame:
@@ -45,8 +45,15 @@ def delete(keys: DataFrame, *tables: DataFrame, key: str = "path") -> list[DataF
 
 
 def postings(docs: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """key, term, tf: how often each term occurs in each document."""
-    return docs.select(key, F.explode(T.search_tokens(F.col(content))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf: how often each term occurs in each document (keys are unique). Counted in the document's
+    row, from the runs of its sorted tokens, so no token is shuffled."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        counted = lambda b: F.transform(b, lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - x).cast("long").alias("tf")))
+        return F.get(F.transform(F.array(starts), counted), F.lit(0))
+
+    tokens = docs.select(key, F.sort_array(T.search_tokens(F.col(content))).alias("tokens")).filter(F.size("tokens") > 0)
+    return tokens.select(key, F.explode(F.get(F.transform(F.array("tokens"), runs), F.lit(0))).alias("p")).select(key, "p.term", "p.tf")
 
 
 def lengths(docs: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -64,6 +71,11 @@ def incremental(stored: dict[str, DataFrame], files: DataFrame) -> dict[str, Dat
     return {"files": now, "postings": posts.unionByName(postings(fresh)), "lengths": lens.unionByName(lengths(fresh))}
 
 
+def truncate(stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The same tables without rows."""
+    return {name: t.limit(0) for name, t in stored.items()}
+
+
 def statistics(**tables: DataFrame) -> DataFrame:
     """name, n: the number of rows of each table."""
     out = None

@@ -1,7 +1,7 @@
 """Retrieval: BM25, TF-IDF, RAKE, synonyms and completion, for many tasks at once.
 
-Corpus-side work is a scan with partial aggregation. The terms of the tasks restrict the exploded
-tokens before they are counted, so the shuffle holds matches only and not the postings of the corpus.
+Corpus-side work reads the index (postings and lengths, see ``index``), which is written once; documents are
+not tokenised again for a batch of tasks. The terms of the tasks restrict the postings first.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.operators.contain import containing
+from quillmesh.session import staged
 
 K1, B = 1.2, 0.75
 
@@ -19,20 +21,24 @@ def idf_bm25(n_docs: Column, df: Column) -> Column:
     return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(1e-6))
 
 
-def matches(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """``terms``: a column term, each once. key, len (of the document), term, tf of the terms' occurrences."""
-    tokens = T.search_tokens(F.col("content"))
-    rows = docs.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return rows.join(terms, "term").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+#: Terms that are broadcast to the postings; of more, the postings meet them by a shuffle.
+MOST_TERMS = 100_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "path", k1: float = K1, b: float = B, every: bool = False) -> DataFrame:
-    """``docs``: key, content; ``queries``: query, term (distinct). query, key, score, n_terms of all
-    documents with any term (with ``every``: with all)."""
-    found = matches(docs, queries.select("term").distinct(), key)
+def matches(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings (key, term, tf) of the terms (a column term, each once). Terms are broadcast behind a check of
+    their number. Beyond it both sides are dealt by term: a posting is a row per document and term already."""
+    small = terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    return postings.join(F.broadcast(terms) if small else terms, "term")
+
+
+def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, key: str = "path", k1: float = K1, b: float = B, every: bool = False) -> DataFrame:
+    """``postings``: key, term, tf; ``lengths``: key, len; ``queries``: query, term (distinct). query, key, score,
+    n_terms of all documents with any term (with ``every``: with all). Documents themselves are not read."""
+    found = staged(matches(postings, staged(queries.select("term").distinct(), "terms")), "found")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = docs.select(F.size(T.search_tokens(F.col("content"))).alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    weighed = found.join(df, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
+    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    weighed = found.join(df, "term").join(lengths, key).crossJoin(F.broadcast(corpus))  # corpus is one row
     part = idf_bm25(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scores = weighed.select(key, "term", part.alias("part")).join(queries, "term").groupBy("query", key).agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
     if every:
@@ -47,18 +53,24 @@ def top(scored: DataFrame, n: int, group: str, score: str, tie: str) -> DataFram
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))).filter(F.col("rank") <= n)
 
 
-def tf_idf(docs: DataFrame, terms_of: DataFrame, key: str = "path") -> DataFrame:
-    """``docs``: key, tokens (array); ``terms_of``: query, tokens. query, term, tf, idf, tfidf by the
-    document frequencies of ``docs``."""
+def tf_idf(postings: DataFrame, lengths: DataFrame, terms_of: DataFrame) -> DataFrame:
+    """``postings``, ``lengths`` of the corpus; ``terms_of``: query, tokens. query, term, tf, idf, tfidf."""
     own = terms_of.select("query", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("query", "term").agg((F.count("*") / F.first("len")).alias("tf"))
-    seen = docs.select(key, F.explode(F.array_distinct("tokens")).alias("term")).join(own.select("term").distinct(), "term")
-    df = seen.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
+    own = staged(own, "own")
+    df = matches(postings, own.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
+    n = lengths.agg(F.count("*").alias("n_docs"))
     out = own.join(df, "term", "left").crossJoin(F.broadcast(n))
     idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     return out.select("query", "term", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf"))
 
 
+def weights(terms_of: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """query, term, tfidf: by the corpus where there is one that has documents, else by the look of the terms."""
+    if postings is not None and lengths is not None and not lengths.isEmpty():
+        return tf_idf(postings, lengths, terms_of).select("query", "term", "tfidf")
+    return tf_idf_heuristic(terms_of, baseline).select("query", "term", "tfidf")
+
+
 def specificity(term: Column) -> Column:
     """What stands in for an idf where there is no corpus."""
     add = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
@@ -173,9 +185,9 @@ def at_references(tasks: DataFrame, files: DataFrame, symbols: DataFrame) -> Dat
     refs = tasks.select("query", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(1)))).alias("ref")).withColumn("low", F.lower("ref"))
     refs = refs.withColumn("ext", F.col("ref").rlike(r"\.\w+$"))
     each = refs.select("ref", "low").distinct()
-    file = files.select("path").join(each, F.contains(F.lower("path"), F.col("low"))).select("ref", "path", F.when(F.contains(F.lower("path"), F.concat(F.lit("/"), "low")), 0).otherwise(1).alias("o"))
+    file = containing(files.select("path", F.lower("path").alias("hay")), "hay", each, "low").select("ref", "path", F.when(F.contains(F.lower("path"), F.concat(F.lit("/"), "low")), 0).otherwise(1).alias("o"))
     file = file.groupBy("ref").agg(F.min(F.struct("o", F.length("path").alias("n"), "path")).alias("f"))
-    symbol = symbols.select("name").distinct().join(each, F.contains(F.lower("name"), F.col("low"))).select("ref", "name", F.when(F.lower("name").startswith(F.col("low")), 0).otherwise(1).alias("o"))
+    symbol = containing(symbols.select("name", F.lower("name").alias("hay")).distinct(), "hay", each, "low").select("ref", "name", F.when(F.lower("name").startswith(F.col("low")), 0).otherwise(1).alias("o"))
     symbol = symbol.groupBy("ref").agg(F.min(F.struct("o", F.length("name").alias("n"), "name")).alias("s"))
     both = refs.join(file, "ref", "left").join(symbol, "ref", "left")
     as_symbol = ~F.col("ext") & F.col("s").isNotNull()

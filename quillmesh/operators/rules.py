@@ -3,8 +3,8 @@
 A rule is a function of the candidates (query, path, content), all files (path, content) and the tasks
 (query, domains, keywords, symbols) to found files: query, path, signal. The registry applies those
 that fit the tree and leaves out paths that are candidates already. Rules are equi-joins on parts of
-paths (basename, directory, stem), so they hold for large trees; the few `contains` rules join the
-tasks' side, which is small, by a broadcast behind ``SMALL_SIDE`` rows.
+paths (basename, directory, stem) or on words, so they hold for large trees; the few `contains` rules
+go through ``contain.containing``.
 """
 
 from __future__ import annotations
@@ -12,18 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.operators.contain import containing
 
 # Role suffixes, and what configuration looks like.
 ROLES = ("Controller", "Service", "Repository", "Model", "Handler", "Middleware", "Provider")
 CONFIG_LIKE = r"\.config\.|config/|\.env\.example$|tsconfig\.json$|package\.json$|composer\.json$|eslint|prettier"
 # Words of migrations that say nothing about what they change.
 MIGRATION_WORDS = ("add", "create", "remove", "drop", "update", "delete", "modify", "alter", "change", "make", "set", "rename", "nullable", "default", "index", "foreign", "column", "field", "table", "to", "from", "in", "on", "the", "and")
-#: Up to so many needles a non-equi join broadcasts them; beyond, Spark shuffles.
-SMALL_SIDE = 10_000
 
 Rule = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
 REGISTRY: dict[str, tuple[str | None, str | None, Rule]] = {}
@@ -37,14 +36,21 @@ def rule(name: str, marker: str | None = None, requires: str | None = None):
     return register
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else df
-
-
 def found(df: DataFrame, signal: str) -> DataFrame:
     return df.select("query", "path", F.lit(signal).alias("signal")).distinct()
 
 
+def words_of(text: Column) -> Column:
+    """The distinct words of a text in lower case, identifiers as a whole and in their parts."""
+    names = F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(names, lambda n: F.concat(F.array(F.lower(n)), F.transform(F.split(n, f"{T.HUMPS}|_"), F.lower)))))
+
+
+def task_words(words: Column) -> Column:
+    """Words of a task that are looked up: in lower case, three letters or more, each once; phrases in their words."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(words, lambda w: F.split(F.lower(w), " "))), lambda w: F.length(w) > 2))
+
+
 @rule("configs")
 def configs(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Configuration in a candidate's directory, the one above, or the root."""
@@ -66,11 +72,12 @@ def roles(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFram
 @rule("node-tests", "package.json")
 def node_tests(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Tests named after a candidate, wherever they are."""
-    ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    names = F.array(*[F.concat(T.stem_name(F.col("path")), F.lit(x), ext) for x in (".test", ".spec")])
-    mine = candidates.select("query", F.explode(names).alias("name"))
+    ext, stem, d = F.regexp_extract("path", r"(\.[^./]+)$", 1), T.stem_name(F.col("path")), T.dirname(F.col("path"))
+    # Anywhere: name.test.ext and name.spec.ext, so also in __tests__, tests and test; and a file of the very name beside it in __tests__.
+    mine = candidates.select("query", F.explode(F.array(*[F.concat(stem, F.lit(x), ext) for x in (".test", ".spec")])).alias("name"))
     other = files.select("path", T.basename(F.col("path")).alias("name"))
-    plain = candidates.select("query", F.concat(T.dirname(F.col("path")), F.lit("/__tests__/"), T.basename(F.col("path"))).alias("path"))
+    beside = F.when(d == ".", F.lit("")).otherwise(F.concat(d, F.lit("/")))
+    plain = candidates.select("query", F.concat(beside, F.lit("__tests__/"), stem, ext).alias("path"))
     return found(other.join(mine, "name").select("query", "path").union(plain.join(files.select("path"), "path").select("query", "path")), "test_file")
 
 
@@ -89,15 +96,14 @@ def _controllers(candidates: DataFrame) -> DataFrame:
 def laravel_views(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Views whose path has a controller's subject."""
     views = files.filter(F.col("path").rlike(r"^resources/views/.*\.blade\.php$")).select("path", F.lower("path").alias("low"))
-    mine = small(_controllers(candidates).select("query", F.lower("subject").alias("subject")))
-    return found(views.join(mine, F.contains("low", "subject")), "related_file")
+    return found(containing(views, "low", _controllers(candidates).select("query", F.lower("subject").alias("subject")), "subject"), "related_file")
 
 
 @rule("laravel-requests", "composer.json", "laravel/framework")
 def laravel_requests(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Form requests named after a controller's subject."""
     requests = files.filter(F.contains("path", F.lit("app/Http/Requests/"))).select("path", T.stem_name(F.col("path")).alias("name"))
-    return found(requests.join(small(_controllers(candidates)), F.contains("name", "subject")), "related_file")
+    return found(containing(requests, "name", _controllers(candidates), "subject"), "related_file")
 
 
 @rule("laravel-routes", "composer.json", "laravel/framework")
@@ -108,21 +114,18 @@ def laravel_routes(candidates: DataFrame, files: DataFrame, tasks: DataFrame) ->
     return found(files.select("path", T.stem_name(F.col("path")).alias("name")).filter(F.col("path").endswith(".php")).join(names, "name"), "related_file")
 
 
-ROUTE_LINE = r"""Route::\w+\s*\(\s*['"]([^'"]+)['"][^;]*?([A-Z][a-zA-Z]+Controller)(?:::class\s*,\s*['"](\w+)['"]|@(\w+)|::class)"""
-
-
 @rule("laravel-routes-by-word", "composer.json", "laravel/framework")
 def laravel_routes_by_word(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Route files with a word of the task, and the controllers of the routes with one."""
-    words = F.array_distinct(F.transform(F.filter(F.concat("keywords", F.transform("domains", lambda d: d["domain"]), "symbols"), lambda w: F.length(w) > 2), F.lower))
-    needles = small(tasks.select("query", words.alias("words")))
+    words = tasks.select("query", F.explode(task_words(F.concat("keywords", F.transform("domains", lambda d: d["domain"]), "symbols"))).alias("word"))
     routes = files.filter(F.col("path").isin("routes/web.php", "routes/api.php"))
-    whole = routes.crossJoin(needles).filter(F.exists("words", lambda w: F.contains(F.lower("content"), w)))  # two files at most
-    each = routes.select(F.explode(F.regexp_extract_all("content", F.lit(ROUTE_LINE), F.lit(0))).alias("route")).crossJoin(needles)
-    text = F.lower(F.concat_ws(" ", *[F.regexp_extract("route", ROUTE_LINE, i) for i in (1, 2, 3, 4)]))
-    names = each.filter(F.exists("words", lambda w: F.contains(text, w))).select("query", F.regexp_extract("route", ROUTE_LINE, 2).alias("name")).distinct()
+    whole = routes.select("path", F.explode(words_of(F.col("content"))).alias("word")).join(words, "word").select("query", "path")
+    each = routes.select(F.explode(F.split("content", ";")).alias("statement")).filter(F.contains("statement", F.lit("Route::")))
+    told = F.regexp_replace("statement", r"(?s)^.*?Route::\w+", "")  # without the verb
+    each = each.select(F.regexp_extract("statement", r"([A-Z]\w*Controller)\b", 1).alias("name"), F.explode(words_of(told)).alias("word")).filter("name <> ''")
+    names = each.join(words, "word").select("query", "name").distinct()
     named = files.select("path", T.stem_name(F.col("path")).alias("name")).join(names, "name")
-    return found(whole.select("query", "path").union(named.select("query", "path")), "related_file")
+    return found(whole.union(named.select("query", "path")), "related_file")
 
 
 def _models(candidates: DataFrame) -> DataFrame:
@@ -132,18 +135,19 @@ def _models(candidates: DataFrame) -> DataFrame:
 @rule("laravel-migrations", "composer.json", "laravel/framework")
 def laravel_migrations(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Migrations of a model's table."""
-    mine = small(_models(candidates).select("query", T.snake_plural(T.stem_name(F.col("path"))).alias("table")))
-    own = F.contains("path", F.concat(F.lit("_"), F.col("table"), F.lit("_table"))) | F.contains("path", F.concat(F.lit("_create_"), F.col("table")))
-    return found(files.filter(F.contains("path", F.lit("database/migrations/"))).select("path").join(mine, own), "related_file")
+    table = T.snake_plural(T.stem_name(F.col("path")))
+    mine = _models(candidates).select("query", F.explode(F.array(F.concat(F.lit("_"), table, F.lit("_table")), F.concat(F.lit("_create_"), table))).alias("named"))
+    return found(containing(files.filter(F.contains("path", F.lit("database/migrations/"))).select("path"), "path", mine, "named"), "related_file")
 
 
-RELATIONS = r"(?:hasMany|belongsTo|hasOne|belongsToMany|morphTo|morphMany|morphOne|morphToMany|morphedByMany)\s*\(\s*([A-Z][a-zA-Z]+)::class"
+# Methods that declare a relation of models.
+RELATION_METHODS = ("hasOne", "hasMany", "belongsTo", "belongsToMany", "morphOne", "morphMany", "morphTo", "morphToMany", "morphedByMany")
 
 
 @rule("laravel-relations", "composer.json", "laravel/framework")
 def laravel_relations(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Models that a model is related to."""
-    names = _models(candidates).select("query", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(RELATIONS), F.lit(1)))).alias("name"))
+    names = _models(candidates).select("query", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"->\s*(?:{'|'.join(RELATION_METHODS)})\(\s*\\?(?:\w+\\)*(\w+)::class"), F.lit(1)))).alias("name"))
     return found(files.filter(F.contains("path", F.lit("app/Models/"))).select("path", T.stem_name(F.col("path")).alias("name")).join(names, "name"), "related_file")
 
 
@@ -178,22 +182,22 @@ def statamic_templates(candidates: DataFrame, files: DataFrame, tasks: DataFrame
 @rule("statamic-taxonomies", "composer.json", "statamic/cms")
 def statamic_taxonomies(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Templates that use a candidate's taxonomy."""
-    mine = small(candidates.select("query", F.regexp_extract("path", r"content/taxonomies/([^/]+)/", 1).alias("name")).filter("name <> ''").distinct())
-    uses = reduce(lambda a, b: a | b, [F.contains("content", F.concat(F.lit(x), F.col("name"), F.lit(y))) for x, y in (('from="', '"'), ('taxonomy="', '"'), (":", ""))])
-    return found(files.filter(F.col("path").rlike(TEMPLATE)).join(mine, uses), "example_usage")
+    mine = candidates.select("query", F.regexp_extract("path", r"content/taxonomies/([^/]+)/", 1).alias("name")).filter("name <> ''").distinct()
+    used = F.regexp_extract_all("content", F.lit(r"""(?:\b(?:from|taxonomy)=['"]|:)([\w-]+)"""), F.lit(1))
+    return found(files.filter(F.col("path").rlike(TEMPLATE)).select("path", F.explode(F.array_distinct(used)).alias("name")).join(mine, "name"), "example_usage")
 
 
 @rule("statamic-fieldsets", "composer.json", "statamic/cms")
 def statamic_fieldsets(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Fieldsets that a candidate blueprint imports."""
-    names = candidates.filter(F.contains("path", F.lit("resources/blueprints/"))).select("query", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?i)(?:import|fieldset):\s*([a-z_]+)"), F.lit(1)))).alias("name"))
+    names = candidates.filter(F.contains("path", F.lit("resources/blueprints/"))).select("query", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^[\s-]*(?:fieldset|import):\s*['\"]?(\w+)"), F.lit(1)))).alias("name"))
     return found(files.select("path", F.regexp_extract("path", r"^resources/fieldsets/([a-zA-Z_]+)", 1).alias("name")).filter("name <> ''").join(names, "name"), "related_file")
 
 
 @rule("statamic-partials", "composer.json", "statamic/cms")
 def statamic_partials(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Partials that a candidate template includes."""
-    names = candidates.filter(F.col("path").endswith(".antlers.html")).select("query", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"""\{\{\s*partial(?::|\s+src=["'])([^"'\s}]+)"""), F.lit(1)))).alias("name"))
+    names = candidates.filter(F.col("path").endswith(".antlers.html")).select("query", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"""\{\{[%\s]*partial(?:\s+src=|:)["']?([\w./-]+)"""), F.lit(1)))).alias("name"))
     own = F.regexp_replace(F.regexp_extract("path", r"^resources/views/(?:partials/|components/)?(.+?)(?:\.antlers\.html|\.blade\.php)$", 1), "/_", "/")
     return found(files.select("path", own.alias("name")).filter("name <> ''").join(names, "name"), "related_file")
 
@@ -201,9 +205,9 @@ def statamic_partials(candidates: DataFrame, files: DataFrame, tasks: DataFrame)
 @rule("statamic-examples", "composer.json", "statamic/cms")
 def statamic_examples(candidates: DataFrame, files: DataFrame, tasks: DataFrame) -> DataFrame:
     """Templates with two or more of the task's domains and first five keywords."""
-    words = F.array_distinct(F.transform(F.concat(F.transform("domains", lambda d: d["domain"]), F.slice("keywords", 1, 5)), F.lower))
-    each = files.filter(F.col("path").rlike(TEMPLATE)).crossJoin(small(tasks.select("query", words.alias("words"))))  # every template meets every task
-    return found(each.filter(F.size(F.filter("words", lambda w: F.contains(F.lower("content"), w))) >= 2), "example_usage")
+    words = tasks.select("query", F.explode(task_words(F.concat(F.transform("domains", lambda d: d["domain"]), F.slice("keywords", 1, 5)))).alias("word"))
+    used = files.filter(F.col("path").rlike(TEMPLATE)).select("path", F.explode(words_of(F.col("content"))).alias("word"))
+    return found(used.join(words, "word").groupBy("query", "path").agg(F.count("*").alias("n")).filter("n >= 2"), "example_usage")
 
 
 def apply(candidates: DataFrame, files: DataFrame, tasks: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activity, domains, excerpts, extract, graph, ignore, resolve, rules, score
+from quillmesh.operators import activity, discover, domains, excerpts, extract, graph, ignore, resolve, rules, score
 from quillmesh.plans import project
 from quillmesh.plans.retrieval import quoted
 from quillmesh.plans.values import Values
@@ -47,15 +47,7 @@ def files(spark):
     return f.select("path", "content", T.language(F.col("path")).alias("language"))
 
 
-def grammar_sql(known) -> str:
-    return f"CASE WHEN language IN ({quoted(known)}) THEN language WHEN language IN ({quoted(extract.ALIASES)}) THEN 'java' ELSE 'other' END"
-
-
-_SYMBOL_TRIES = " UNION ALL ".join(f"SELECT path, line, body, {i} AS ord, '{kind}' AS kind, regexp_extract(body, {lit(p)}, 1) AS name FROM g WHERE gr = '{lang}' AND regexp_matches(body, {lit(p)})"
-                                   for lang, gs in extract.SYMBOLS.items() for i, (kind, p) in enumerate(gs))
-SYMBOLS_SQL = f"""g AS (SELECT *, {grammar_sql(extract.SYMBOLS)} AS gr FROM ls WHERE language <> 'unknown'), t AS ({_SYMBOL_TRIES}),
-one AS (SELECT path, line, body, min_by({{'o': ord, 'kind': kind, 'name': name}}, ord) AS m FROM t GROUP BY path, line, body),
-s AS (SELECT path, m.name AS name, m.kind AS kind, line AS start_line, trim(body, chr(9) || chr(32) || chr(13)) AS signature FROM one WHERE m.name NOT IN ({quoted(extract.NO_NAMES)}) QUALIFY row_number() OVER (PARTITION BY path, m.name ORDER BY m.o, line) = 1),
+SYMBOLS_SQL = f"""s AS (SELECT path, name, kind, line AS start_line, trim(body, chr(9) || chr(32) || chr(13)) AS signature FROM {project.SYMBOLS.sql()} JOIN ls USING (path, line)),
 n AS (SELECT path, line, length(regexp_replace(body, '[^{{(]', '', 'g')) AS up, length(regexp_replace(body, '[^)}}]', '', 'g')) AS down FROM ls),
 r AS (SELECT s.path, s.start_line, n.line, sum(up - down) OVER w AS bal, sum(up) OVER w AS opened FROM s JOIN n ON n.path = s.path AND n.line BETWEEN s.start_line AND s.start_line + 501 WINDOW w AS (PARTITION BY s.path, s.start_line ORDER BY n.line)),
 e AS (SELECT path, start_line, coalesce(min(CASE WHEN opened > 0 AND bal = 0 THEN line END), max(line)) AS end_line FROM r GROUP BY ALL)"""
@@ -78,11 +70,7 @@ def symbol_catalog(spark, sf):
     return s.withColumn("rank", F.row_number().over(Window.orderBy("name", "path")))
 
 
-_EXTERNAL = f"""CASE WHEN gr IN ('typescript', 'javascript') THEN NOT regexp_matches(spec, '^(\\.|/|[@~]/)') WHEN gr = 'python' THEN string_split(spec, '.')[1] IN ({quoted(extract.PYTHON_MODULES)})
-WHEN gr = 'go' THEN NOT starts_with(spec, '.') AND (contains(spec, 'github.com') OR NOT contains(spec, '/') OR starts_with(spec, 'golang.org')) WHEN gr = 'rust' THEN NOT regexp_matches(spec, '^(crate|super|self)')
-""" + " ".join(f"WHEN gr = '{lang}' THEN " + " OR ".join(f"starts_with(spec, {lit(v)})" for v in vs) for lang, vs in extract.VENDORS.items()) + " ELSE false END"
-_IMPORT_TRIES = " UNION ALL ".join(f"SELECT path, gr, unnest(regexp_extract_all(content, {lit(p)}, 1)) AS spec FROM gi WHERE gr = '{lang}'" for lang, ps in extract.IMPORTS.items() for p in ps)
-IMPORTS_SQL = f"gi AS (SELECT *, {grammar_sql(extract.IMPORTS)} AS gr FROM files), im AS (SELECT DISTINCT path, gr, spec FROM ({_IMPORT_TRIES}) WHERE spec <> '' AND NOT ({_EXTERNAL}))"
+IMPORTS_SQL = f"im AS (SELECT * FROM {project.IMPORTS.sql()})"
 
 
 @query(f"WITH {FILES_SQL}, {IMPORTS_SQL} SELECT path, gr AS language, spec AS specifier FROM im")
@@ -152,39 +140,12 @@ def bfs_depth2_decay(spark, sf):
     return graph.bfs(s, e)
 
 
-_ROOTS = {"php": "app|vendor|tests", "javascript": "src|dist|node_modules|tests?", "python": "app|src|tests?"}
-
-
-def _frame_sql(g, name, p, f, ln, col, fn, roots) -> str:
-    p = re2(p)
-    pick = lambda i: f"nullif(regexp_extract(m, {lit(p)}, {i}), '')" if i else "NULL"
-    file = pick(f)
-    if name == "java":
-        file = f"replace(regexp_replace({file}, '\\.[^.]*$', ''), '.', '/') || '.java'"
-    elif roots:
-        file = f"regexp_replace({file}, '^.*?((?:{roots})/)', '\\1')"
-    fun = f"regexp_extract({pick(fn)}, '([^.]+)$', 1)" if name == "java" else pick(fn)
-    return f"SELECT id, {g} AS g, pos, '{name}' AS grammar, {file} AS raw, {pick(ln)}::INT AS line, ({pick(col)})::INT AS col, trim({fun}) AS function FROM (SELECT id, unnest(regexp_extract_all(content, {lit(p)}, 0)) AS m, generate_subscripts(regexp_extract_all(content, {lit(p)}, 0), 1) AS pos FROM logs)"
-
-
-LOGS_SQL = f"logs AS (SELECT * FROM {project.LOGS.sql()})"
-_MESSAGES = " || ".join(f"list_transform(regexp_extract_all(content, {lit(p)}, 1), lambda m: trim(m))" for p in extract.ERRORS)
-ERRORS_SQL = f"""em AS (SELECT id, unnest(ms) AS message, generate_subscripts(ms, 1) AS i FROM (SELECT id, list_filter({_MESSAGES}, lambda m: length(m) > 5 AND length(m) < 500) AS ms FROM logs)),
-er AS (SELECT id, message, row_number() OVER (PARTITION BY id ORDER BY min(i))::INT AS ord FROM em GROUP BY id, message)"""
-
-
-@query(f"WITH {LOGS_SQL}, {ERRORS_SQL} SELECT id, ord, message FROM er")
+@query(f"SELECT * FROM {project.MESSAGES.sql()}")
 def error_messages(spark, sf):
     return extract.error_messages(project.LOGS.frame(spark))
 
 
-FRAMES_SQL = f"""fr AS ({" UNION ALL ".join(_frame_sql(g, *x) for g, x in enumerate(extract.FRAMES))}),
-fn AS (SELECT *, regexp_replace(regexp_replace(replace(regexp_replace(raw, '^file://', ''), '\\', '/'), '^.*?([A-Za-z]+/)', '\\1'), '^/+', '') AS file FROM fr),
-fk AS (SELECT * FROM fn WHERE line > 0 AND NOT regexp_matches(raw, {lit(extract.EXTERNAL_FRAMES)}) AND NOT regexp_matches(file, {lit(extract.EXTERNAL_FRAMES)}) QUALIFY row_number() OVER (PARTITION BY id, regexp_extract(file, '([^/]*)$', 1), line ORDER BY g, pos) = 1),
-fo AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY g, pos)::INT AS ord FROM fk)"""
-
-
-@query(f"WITH {LOGS_SQL}, {ERRORS_SQL}, {FRAMES_SQL} SELECT fo.id, fo.ord, grammar, file, line, col, function, er.message FROM fo LEFT JOIN er ON er.id = fo.id AND er.ord = 1 AND fo.ord = 1")
+@query(f"SELECT * FROM {project.FRAMES.sql()}")
 def frames(spark, sf):
     return extract.frames(project.LOGS.frame(spark))
 
@@ -223,17 +184,7 @@ def diff_hunks(spark, sf):
     return extract.changed_lines(project.HUNKS.frame(spark))
 
 
-_REF_PARTS = []
-for _kind, _p, _filtered in extract.REFERENCES:
-    _where = {"class": f"upper(ref) NOT IN ({quoted(extract.COMMON_CONSTANTS)})" if _filtered else "true",
-              "method": "length(ref) > 2" + (f" AND ref NOT IN ({quoted(extract.COMMON_METHODS)})" if _filtered else ""),
-              "path": f"contains(ref, '/') AND NOT starts_with(ref, 'http') AND NOT regexp_matches(ref, '[<>:\"|?*]') AND lower(regexp_extract(ref, '\\.([^.]*)$', 1)) IN ({quoted(extract.PATH_EXTENSIONS)})"}[_kind]
-    _REF_PARTS.append(f"SELECT path, '{_kind}' AS kind, ref FROM (SELECT path, unnest(regexp_extract_all(content, {lit(re2(_p))}, 1)) AS ref FROM files) WHERE {_where}")
-for _p in extract.ROUTES:
-    _REF_PARTS.append(f"SELECT path, 'route', upper(regexp_extract(m, {lit(re2(_p))}, 1)) || ' ' || regexp_extract(m, {lit(re2(_p))}, 2) FROM (SELECT path, unnest(regexp_extract_all(content, {lit(re2(_p))}, 0)) AS m FROM files)")
-
-
-@query(f"WITH {FILES_SQL} SELECT DISTINCT path, kind, ref FROM ({' UNION ALL '.join(_REF_PARTS)})")
+@query(f"SELECT * FROM {project.REFERENCES.sql()}")
 def references(spark, sf):
     return extract.references(files(spark))
 
@@ -249,9 +200,14 @@ def tasks(spark, sf):
 _ENTITIES = {"class": resolve.CLASS, "snake": resolve.SNAKE, "member": resolve.MEMBER, "camel": resolve.CAMEL, "file": resolve.FILE, "route": resolve.ROUTE, "code": resolve.CODE}
 
 
-@query("SELECT DISTINCT query, kind, name FROM (" + " UNION ALL ".join(f"SELECT query, '{k}' AS kind, unnest(regexp_extract_all(text, {lit(re2(p))}, 1)) AS name FROM {project.TASKS.sql()}" for k, p in _ENTITIES.items()) + ")")
+#: A file is a whole word of path characters.
+_FILES_OF = "list_filter(string_split_regex(text, '[^\\w/.-]+'), lambda w: regexp_matches(w, '(?i)^([\\w-]+/)*[\\w-]+(\\.[\\w-]+)*\\.(php|ts|tsx|js|jsx|py|rb|go|rs|java|vue|svelte)\\.?$'))"
+
+
+@query(f"WITH {_TASKS} SELECT DISTINCT query, kind, name FROM (" + " UNION ALL ".join(f"SELECT query, '{k}' AS kind, unnest(regexp_extract_all(text, {lit(re2(p))}, 1)) AS name FROM tasks" for k, p in _ENTITIES.items() if k != "file")
+       + f" UNION ALL SELECT query, 'file', rtrim(unnest({_FILES_OF}), '.') FROM tasks)")
 def task_entities(spark, sf):
-    t = project.TASKS.frame(spark)
+    t = tasks(spark, sf)
     parts = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _named(k)) for k, p in _ENTITIES.items()]
     return t.select("query", F.explode(F.flatten(F.array(*parts))).alias("e")).select("query", "e.kind", "e.name").distinct()
 
@@ -277,29 +233,29 @@ def change_type(spark, sf):
 
 
 def _has(kind: str) -> str:
-    return f"regexp_matches(text, {lit(re2(_ENTITIES[kind]))})"
+    return f"len({_FILES_OF}) > 0" if kind == "file" else f"regexp_matches(text, {lit(re2(_ENTITIES[kind]))})"
 
 
-_CONF = f"""c AS (SELECT query, {_has('file')} AS f, {_has('class')} OR {_has('snake')} AS c, {_has('member')} AS m, {_has('route')} AS r, {_has('code')} AS e, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)) AS k FROM {project.TASKS.sql()}),
+_CONF = f"""{_TASKS}, c AS (SELECT query, {_has('file')} AS f, {_has('class')} OR {_has('snake')} AS c, {_has('member')} AS m, {_has('route')} AS r, {_has('code')} AS e, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)) AS k FROM tasks),
 d AS (SELECT query, f, c OR m AS cm, r, round(least(1.0, 0.3 * f::INT + 0.25 * c::INT + 0.2 * m::INT + 0.2 * r::INT + 0.15 * e::INT + least(0.2, 0.05 * k)), 6)::DOUBLE AS confidence FROM c)"""
 
 
-def _task_signals(spark):
+def _task_signals(spark, sf):
     has = lambda k: F.col("text").rlike(_ENTITIES[k])
-    return project.TASKS.frame(spark).select("query", has("file").alias("f"), (has("class") | has("snake")).alias("c"), has("member").alias("m"), has("route").alias("r"), has("code").alias("e"), F.size(T.keyword_tokens(F.col("text"))).alias("k"))
+    return tasks(spark, sf).select("query", has("file").alias("f"), (has("class") | has("snake")).alias("c"), has("member").alias("m"), has("route").alias("r"), has("code").alias("e"), F.size(T.keyword_tokens(F.col("text"))).alias("k"))
 
 
 @query(f"WITH {_CONF} SELECT query, confidence, CASE WHEN confidence < 0.3 THEN 'vague' WHEN confidence < 0.5 THEN 'clarify' ELSE 'clear' END AS clarity FROM d")
 def confidence(spark, sf):
     no = F.lit(False)
     c = resolve.confidence(F.col("f"), no, no, F.col("c"), F.col("m"), F.col("r"), F.col("e"), F.col("k"))
-    return _task_signals(spark).select("query", c.alias("confidence")).withColumn("clarity", resolve.clarity(F.col("confidence")))
+    return _task_signals(spark, sf).select("query", c.alias("confidence")).withColumn("clarity", resolve.clarity(F.col("confidence")))
 
 
 @query(f"""WITH {_CONF} SELECT query, list_filter([CASE WHEN NOT f THEN 'Name a file (for example app/Services/PaymentService.php)' END, CASE WHEN NOT cm THEN 'Name a class or a method' END, CASE WHEN NOT r THEN 'Name a route if there is one (for example /api/checkout)' END,
 'Give a log with the error', 'Give a branch to compare with'], lambda x: x IS NOT NULL) AS suggestions FROM d""")
 def suggestions(spark, sf):
-    return _task_signals(spark).select("query", resolve.suggestions(F.col("f"), F.col("c") | F.col("m"), F.col("r")).alias("suggestions"))
+    return _task_signals(spark, sf).select("query", resolve.suggestions(F.col("f"), F.col("c") | F.col("m"), F.col("r")).alias("suggestions"))
 
 
 _LOG = "log AS (SELECT 'user/' || user_id || '/' || event_type AS path, ts FROM events)"
@@ -498,7 +454,7 @@ def node_rules(spark, sf):
 m AS (SELECT query, path FROM c WHERE regexp_matches(path, 'app/Models/[A-Z][a-zA-Z]+\\.php$')),
 r AS (SELECT query, path FROM files, s WHERE regexp_matches(path, '^resources/views/.*\\.blade\\.php$') AND contains(lower(path), lower(s)) UNION ALL SELECT query, path FROM files, s WHERE contains(path, 'app/Http/Requests/') AND contains(path, s)
   UNION ALL SELECT query, f.path FROM files f, m WHERE contains(f.path, 'database/migrations/') AND contains(f.path, '_create_' || lower(regexp_extract(m.path, '([^/]+)\\.php$', 1)) || 's')
-  UNION ALL SELECT m.query, 'app/Models/' || unnest(regexp_extract_all(f.content, {lit(rules.RELATIONS)}, 1)) || '.php' FROM m JOIN files f USING (path))
+  UNION ALL SELECT m.query, 'app/Models/' || unnest(regexp_extract_all(f.content, 'belongsTo\\((\\w+)::class', 1)) || '.php' FROM m JOIN files f USING (path))
 SELECT DISTINCT query, path, 'related_file' AS signal FROM r WHERE path IN (SELECT path FROM files) AND (query, path) NOT IN (SELECT query, path FROM c)""")
 def laravel_rules(spark, sf):
     return _rules(spark, "laravel-views", "laravel-requests", "laravel-migrations", "laravel-relations")
@@ -600,3 +556,66 @@ def at_references(spark, sf):
 
     f = files(spark)
     return retrieve.at_references(_REF_TASKS.frame(spark), f, extract.symbols(f))
+
+
+# Discovery over the tables: documents and pages are files, the benchmark's items and the pages' links are tasks.
+_TREE = f"""tree AS (SELECT 'src/' || source || '/doc_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.test' ELSE '' END || '.py' AS path, text AS content, doc_id FROM documents)"""
+
+
+def tree_of_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("src/"), "source", F.lit("/doc_"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".test").otherwise(""), F.lit(".py"))
+    return d.select(name.alias("path"), F.col("text").alias("content"), "doc_id")
+
+
+@query(f"""WITH {_TREE}, w AS (SELECT item_id AS query, CASE item_id % 4 WHEN 0 THEN 'x/doc_' || item_id || '.py' WHEN 1 THEN './src/web/doc_' || item_id || '.py' WHEN 2 THEN 'Doc_' || item_id ELSE 'DOC_' || item_id || '.test.py' END AS p FROM benchmark),
+n AS (SELECT query, regexp_replace(p, '^\\./', '') AS pattern FROM w), whole AS (SELECT query, pattern, path, true AS exact FROM n JOIN tree ON path = pattern),
+rest AS (SELECT *, lower(pattern) AS low FROM n WHERE (query, pattern) NOT IN (SELECT query, pattern FROM whole)),
+h AS (SELECT * FROM whole UNION ALL SELECT query, pattern, path, true FROM rest JOIN tree ON lower(regexp_extract(path, '([^/]*)$', 1)) = regexp_extract(low, '([^/]*)$', 1)
+  UNION ALL SELECT query, pattern, path, false FROM rest JOIN tree ON contains(lower(path), low))
+SELECT query, pattern, path, bool_or(exact) AS exact FROM h GROUP BY ALL""")
+def discover_paths(spark, sf):
+    """Files by path, by basename and by a part of the path."""
+    i = F.col("item_id").cast("string")
+    pattern = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("x/doc_"), i, F.lit(".py"))).when(F.col("item_id") % 4 == 1, F.concat(F.lit("./src/web/doc_"), i, F.lit(".py"))).when(
+        F.col("item_id") % 4 == 2, F.concat(F.lit("Doc_"), i)).otherwise(F.concat(F.lit("DOC_"), i, F.lit(".test.py")))
+    return discover.match_paths(table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), pattern.alias("pattern")), tree_of_documents(spark, sf))
+
+
+@query(f"""WITH {_TREE}, c AS (SELECT doc_id % 10 AS query, path, doc_id FROM tree WHERE doc_id % 3 = 1),
+t AS (SELECT path AS test, replace(path, '.test.py', '.py') AS path FROM tree WHERE contains(path, '.test.')),
+s AS (SELECT path, 'sym_' || doc_id AS name FROM tree WHERE doc_id % 3 = 1 UNION ALL SELECT path, 'test_sym_' || (doc_id + 1) FROM tree WHERE doc_id % 3 = 0)
+SELECT DISTINCT query, test AS path FROM c JOIN t USING (path) UNION SELECT c.query, x.path FROM c JOIN s o ON o.path = c.path JOIN s x ON x.name = 'test_' || o.name WHERE contains(x.path, '.test.')""")
+def discover_tests(spark, sf):
+    """Tests of candidates: by the symbols that they name (and by path, where a tested file is a candidate)."""
+    tree = tree_of_documents(spark, sf)
+    c = tree.filter("doc_id % 3 = 1").select((F.col("doc_id") % 10).alias("query"), "path")
+    own = tree.filter("doc_id % 3 = 1").select("path", F.concat(F.lit("sym_"), "doc_id").alias("name"))
+    tests = tree.filter("doc_id % 3 = 0").select("path", F.concat(F.lit("test_sym_"), F.col("doc_id") + 1).alias("name"))
+    return discover.from_tests(c, tree, own.unionByName(tests)).select("query", "path")
+
+
+@query("""WITH s AS (SELECT 'part_' || p_partkey AS path, 'class' AS kind, replace(p_name, ' ', '_') || '_' || p_size AS name FROM part), n AS (SELECT DISTINCT p_size % 25 AS query, lower(split_part(p_name, ' ', 2)) || '_' || p_size AS needle FROM part WHERE p_partkey % 7 = 0)
+SELECT query::BIGINT AS query, path, kind, name AS symbol FROM s JOIN n ON contains(lower(name), needle)""")
+def discover_symbols(spark, sf):
+    """Symbols that contain a name."""
+    p = table(spark, sf, "part")
+    symbols = p.select(F.concat(F.lit("part_"), "p_partkey").alias("path"), F.lit("class").alias("kind"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), "p_size").alias("name"))
+    names = p.filter("p_partkey % 7 = 0").select((F.col("p_size") % 25).cast("long").alias("query"), F.concat(F.split("p_name", " ")[1], F.lit("_"), "p_size").alias("name"))
+    return discover.match_symbols(names, symbols).select("query", "path", "kind", "symbol")
+
+
+@query(f"""WITH f AS (SELECT 'host/' || regexp_extract(url, '://([^/?#]+)', 1) || '/page_' || page_id || '.html' AS path FROM pages),
+seg AS (SELECT DISTINCT path, lower(x) AS term FROM (SELECT path, unnest(string_split_regex(path, '[-_./]')) AS x FROM f) WHERE length(x) >= 2),
+w AS (SELECT DISTINCT query, word FROM (SELECT page_id % 20 AS query, unnest(string_split_regex(lower(regexp_extract(url, '://([^/?#]+)', 1)), '[.]')) AS word FROM pages WHERE page_id % 5 = 0) WHERE length(word) >= 3),
+e AS (SELECT query, path, count(DISTINCT term)::INT AS n FROM seg JOIN w ON term = word GROUP BY ALL) SELECT query, path, n AS raw_path_matches FROM e""")
+def discover_names(spark, sf):
+    """Files whose path has words of a task as typed, and how many."""
+    host = F.regexp_extract("url", r"://([^/?#]+)", 1)
+    p = table(spark, sf, "pages")
+    files_ = p.select(F.concat(F.lit("host/"), host, F.lit("/page_"), "page_id", F.lit(".html")).alias("path"))
+    words = F.filter(F.split(F.lower(host), "[.]"), lambda w: F.length(w) >= 3)
+    t = p.filter("page_id % 5 = 0").select((F.col("page_id") % 20).alias("query"), F.explode(words).alias("w")).groupBy("query").agg(F.array_distinct(F.collect_list("w")).alias("raw_words"))
+    none = F.array().cast("array<string>")
+    t = t.select("query", "raw_words", none.alias("symbols"), none.alias("keywords"), F.array().cast("array<struct<domain:string,weight:int>>").alias("domains"))
+    return discover.from_names(t, files_).filter("raw_path_matches > 0").select("query", "path", F.col("raw_path_matches").cast("int").alias("raw_path_matches"))

@@ -66,3 +66,27 @@ RULES = "# build\ndist/\n*.log\n!keep.log\n/docs/*.md\n**/fixtures/**\nsrc/*/tmp
 PATHS = Values("path string", [(p,) for p in (
     "dist/app.js", "src/dist/app.js", "dist", "a/b.log", "keep.log", "logs/keep.log", "docs/a.md", "docs/sub/a.md", "x/docs/a.md", "tests/fixtures/a/b.txt", "fixtures/c.txt", "src/a/tmp/f.txt", "src/a/b/tmp/f.txt", "src/a/tmp",
     ".env.local", ".env.example", ".vscode/settings.json", "a/.idea/x.xml", "a/b.swp", ".DS_Store", "src/index.ts", "logs\\win.log")])
+
+# What the extractors have to find in the tables above, read off by eye.
+SYMBOLS = Values("path string, line int, kind string, name string", [
+    ("app/Http/Controllers/InvoiceController.php", 7, "class", "InvoiceController"), ("app/Http/Controllers/InvoiceController.php", 9, "function", "store"), ("app/Http/Controllers/InvoiceController.php", 14, "function", "listAll"),
+    ("app/Http/Requests/StoreInvoiceRequest.php", 2, "class", "StoreInvoiceRequest"), ("app/Models/Customer.php", 2, "class", "Customer"), ("app/Models/Invoice.php", 2, "class", "Invoice"), ("app/Models/Invoice.php", 4, "function", "customer"),
+    ("cmd/main.go", 8, "class", "Server"), ("cmd/main.go", 12, "function", "Start"), ("jobs/report.py", 6, "class", "Report"), ("jobs/report.py", 7, "function", "rows"), ("jobs/report.py", 11, "function", "build"),
+    ("jobs/util.py", 1, "function", "chunk"), ("jobs/util.py", 5, "function", "flat"), ("lib/logger.js", 1, "function", "logLine"), ("pkg/store.go", 3, "function", "Open"),
+    ("src/cart/cartService.ts", 4, "class", "CartService"), ("src/cart/cartService.ts", 7, "method", "total"), ("src/cart/cartService.ts", 15, "function", "emptyCart"), ("src/cart/order.ts", 1, "interface", "Order"), ("src/cart/order.ts", 5, "interface", "OrderId"),
+    ("src/index.ts", 5, "function", "main"), ("src/lib/price.ts", 2, "function", "roundPrice"), ("src/userController.js", 1, "class", "UserController"), ("src/userController.js", 2, "method", "show"), ("src/userService.js", 1, "function", "loadUser")])
+IMPORTS = Values("path string, gr string, spec string", [
+    ("app/Http/Controllers/InvoiceController.php", "php", "App\\Models\\Invoice"), ("cmd/main.go", "go", "shop/pkg/store"), ("jobs/__init__.py", "python", "jobs.report"), ("jobs/report.py", "python", ".util"), ("jobs/report.py", "python", "jobs.util"),
+    ("src/cart/__tests__/cartService.ts", "typescript", "../cartService"), ("src/cart/cartService.test.ts", "typescript", "./cartService"), ("src/cart/cartService.ts", "typescript", "../lib/price"), ("src/cart/cartService.ts", "typescript", "./order"),
+    ("src/cart/index.ts", "typescript", "./cartService"), ("src/index.ts", "typescript", "./cart/cartService.js"), ("src/index.ts", "typescript", "@/lib/logger"), ("src/lib/price.ts", "typescript", "../cart/order")])
+FRAMES = Values("id long, ord int, grammar string, file string, line int, col int, function string, message string", [
+    (1, 1, "javascript", "src/cart/cartService.ts", 7, 12, "CartService.total", "Cannot read properties of undefined"), (1, 2, "javascript", "src/index.ts", 6, 3, "main", None),
+    (2, 1, "php", "app/Http/Controllers/InvoiceController.php", 11, None, "App\\Models\\Invoice::create()", "Uncaught Exception: Payment gateway timed out"), (2, 2, "php", "app/Models/Invoice.php", 6, None, "belongsTo()", None), (2, 3, "php-line", "config.php", 3, None, None, None),
+    (3, 1, "python", "app/jobs/report.py", 8, None, "rows", "empty chunk list"), (4, 1, "java", "com/acme/shop/Billing.java", 42, None, "charge", None), (4, 2, "go", "main.go", 13, None, None, None), (4, 3, "ruby", "lib/worker.rb", 9, None, "perform", None), (4, 4, "rust", "src/net/tcp.rs", 101, 5, None, None)])
+MESSAGES = Values("id long, ord int, message string", [(1, 1, "Cannot read properties of undefined"), (2, 1, "Uncaught Exception: Payment gateway timed out"), (2, 2, "Payment gateway timed out"), (3, 1, "empty chunk list")])
+REFERENCES = Values("path string, kind string, ref string", [(p, k, r) for p, k, rs in (
+    ("app/Http/Controllers/InvoiceController.php", "class", "Controller Invoice InvoiceController InvoiceService Request"), ("app/Http/Controllers/InvoiceController.php", "method", "fetchOpen listAll store"), ("app/Http/Requests/StoreInvoiceRequest.php", "class", "StoreInvoiceRequest"),
+    ("app/Models/Invoice.php", "class", "Customer Model"), ("app/Models/Invoice.php", "method", "belongsTo customer"), ("docs/guide.md", "class", "InvoiceController"), ("docs/guide.md", "method", "loadUser store"), ("docs/guide.md", "path", "lib/logger.js src/cart/cartService.ts"),
+    ("lib/logger.js", "method", "logLine"), ("routes/web.php", "class", "InvoiceController Route"), ("routes/web.php", "method", "listAll post"), ("src/cart/__tests__/cartService.ts", "class", "CartService"), ("src/cart/cartService.test.ts", "class", "CartService"),
+    ("src/cart/cartService.ts", "class", "CartService"), ("src/index.ts", "class", "CartService"), ("src/index.ts", "method", "main"), ("src/index.ts", "path", "cart/cartService.js"), ("src/lib/price.ts", "method", "roundPrice"), ("src/userController.js", "class", "UserController"), ("src/userService.js", "method", "loadUser"),
+) for r in rs.split()] + [("docs/guide.md", "route", "POST /invoices"), ("routes/web.php", "route", "GET /invoices"), ("routes/web.php", "route", "POST /invoices")])

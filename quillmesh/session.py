@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,29 +43,48 @@ def ship(spark: SparkSession) -> SparkSession:
     root = Path(__file__).resolve().parent.parent
     if any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)):
         return spark
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
         base = Path(tempfile.mkdtemp(prefix="spark-")) / "quillmesh_package"
-        context.addPyFile(shutil.make_archive(str(base), "zip", root_dir=root, base_dir="quillmesh"))
-        _shipped.add(context.applicationId)
+        sc.addPyFile(shutil.make_archive(str(base), "zip", root_dir=root, base_dir="quillmesh"))
+        _shipped.add(sc.applicationId)
     return spark
 
 
 _own_dir: list[str] = []
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the folder in ``spark.checkpoint.dir`` and read it back: the plan is cut
-    there, and what several branches read is computed once. Where the setting is missing (tests in local
-    mode) a fresh temporary folder serves."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset
+    (tests in local mode) a fresh folder under the machine's temporary folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return _own_dir[0]
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/quillmesh/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and what
+    several branches read is computed once. ``spent`` are such tables that nothing reads any more once
+    ``df`` is written; their files are deleted then."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        root = _own_dir[0]
-    path = f"{root.rstrip('/')}/quillmesh/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in spent:
+        delete(spark, table.scratch_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out

@@ -56,6 +56,13 @@ def diff(spark: SparkSession, root: str, base: str) -> DataFrame:
     return extract.diff_entries(frame(git(root, "diff", "--name-status", base)), frame(git(root, "diff", "--numstat", base))).drop("id")
 
 
+def changes(spark: SparkSession, root: str, base: str, head: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The entries and the changed lines between two commits or branches (from their common ancestor), or of the
+    working tree against ``base``."""
+    span = base if head is None else f"{base}...{head}"
+    return diff(spark, root, span), changed_lines(spark, root, span)
+
+
 def modified(entries: DataFrame) -> DataFrame:
     return entries.filter("status <> 'deleted'").select("file")
 
@@ -69,7 +76,7 @@ def diff_text(root: str, base: str, *files: str) -> str:
 
 
 def changed_lines(spark: SparkSession, root: str, base: str) -> DataFrame:
-    """path, line of all changed lines, from one diff without context."""
+    """path, line of all changed lines, from one diff without surrounding lines."""
     text = git(root, "diff", "-U0", base) or ""
     rows = spark.createDataFrame([(text,)], "content string").select(F.explode(F.expr(r"split(content, '(?m)^diff --git ')")).alias("content"))
     parts = rows.select(F.regexp_extract("content", r"(?m)^\+\+\+ b/(.+)$", 1).alias("id"), "content").filter("id <> ''")

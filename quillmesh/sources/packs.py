@@ -49,6 +49,16 @@ def catalogue(written: DataFrame) -> DataFrame:
     return written.select("slug", T.slug_parts(F.col("slug")).alias("p"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("n_files")).filter("p is not null").select("slug", "p.date", "p.time", "p.task", "n_files").orderBy(F.desc("slug"))
 
 
+def latest(packs: DataFrame) -> DataFrame:
+    """The newest pack of a catalogue."""
+    return packs.orderBy(F.desc("slug")).limit(1)
+
+
+def by_prefix(packs: DataFrame, prefix: str) -> DataFrame:
+    """Packs whose slug, or the task in it, begins with ``prefix``, the newest first."""
+    return packs.filter(F.col("slug").startswith(prefix) | F.col("task").startswith(prefix)).orderBy(F.desc("slug"))
+
+
 def commands(selected: DataFrame) -> DataFrame:
     """query, commands: how to test the selected files."""
     each = [F.when(F.bool_or(F.col("path").rlike(p)), F.array(*[F.lit(c) for c in cs])).otherwise(F.array().cast("array<string>")) for p, cs in COMMANDS.items()]
@@ -85,6 +95,45 @@ def pack_report(tasks: DataFrame, selected: DataFrame) -> DataFrame:
     return t.select("query", F.concat_ws("\n", F.lit("# Goal\n"), "text", F.lit("\n# Files\n"), "listed", F.lit("\n# Commands\n"), F.array_join(F.transform("commands", lambda c: F.concat(F.lit("- "), c)), "\n"), F.lit("\n# Notes\n"), F.array_join(notes, "\n")).alias("report"))
 
 
+def task_report(tasks: DataFrame) -> DataFrame:
+    """query, report: what was understood of the task."""
+    several = lambda title, values: F.when(F.size(values) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(F.transform(values, lambda v: F.concat(F.lit("- "), v)), "\n")))
+    weighed = F.transform("domains", lambda d: F.concat(d["domain"], F.lit(" ("), d["weight"].cast("string"), F.lit(")")))
+    text = F.concat_ws("\n\n", F.lit("# Task"), "text", F.concat(F.lit("**Kind of change:** "), "change_type"), F.concat(F.lit("**Confidence:** "), _percent(F.col("confidence"))), several("Keywords", F.col("keywords")),
+                       several("Symbols", F.col("symbols")), several("Files", F.col("files_hint")), several("Domains", weighed))
+    return tasks.select("query", text.alias("report"))
+
+
+def graph_report(selected: DataFrame, edges: DataFrame) -> DataFrame:
+    """query, report: imports among the selected files, and those that look like entry points."""
+    line = F.concat(F.lit("- "), "path", F.lit(" "), "direction", F.lit(" "), "other")
+    links = edges_within(selected, edges).groupBy("query").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("links"))
+    entries = selected.filter(F.col("path").rlike(ENTRY_LIKE)).groupBy("query").agg(F.array_join(_in_order(F.concat(F.lit("- "), "path")), "\n").alias("entries"))
+    rows = selected.select("query").distinct().join(links, "query", "left").join(entries, "query", "left")
+    return rows.select("query", F.concat_ws("\n\n", F.lit("# Graph"), F.lit("## Imports"), F.coalesce("links", F.lit("none")), F.lit("## Entry points"), F.coalesce("entries", F.lit("none"))).alias("report"))
+
+
+def tests_report(selected: DataFrame) -> DataFrame:
+    """query, report: the selected tests, and the commands that run them."""
+    tests = selected.filter(F.col("path").rlike(r"(?i)test|spec")).groupBy("query").agg(F.array_join(_in_order(F.concat(F.lit("- "), "path")), "\n").alias("tests"))
+    rows = commands(selected).join(tests, "query", "left")
+    run = F.array_join(F.transform("commands", lambda c: F.concat(F.lit("- `"), c, F.lit("`"))), "\n")
+    return rows.select("query", F.concat_ws("\n\n", F.lit("# Tests"), F.coalesce("tests", F.lit("none")), F.lit("## Commands"), run).alias("report"))
+
+
+def documents(tasks: DataFrame, selected: DataFrame, excerpts: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, at: Column, diffs: DataFrame | None = None) -> DataFrame:
+    """query, slug, name, body: the manifest, the reports (the diff's where there is one) and the excerpts of each task."""
+    reports = {"PACK.md": pack_report(tasks, selected), "TASK.md": task_report(tasks), "FILES.md": files_report(selected, files, symbols), "GRAPH.md": graph_report(selected, edges), "TESTS.md": tests_report(selected)}
+    if diffs is not None:
+        reports["DIFF.md"] = diff_report(diffs)
+    m = manifests(tasks, selected, excerpts, at)
+    out = m.select("query", F.lit("manifest.json").alias("name"), F.col("manifest").alias("body"))
+    for name, report in reports.items():
+        out = out.unionByName(report.select("query", F.lit(name).alias("name"), F.col("report").alias("body")))
+    out = out.unionByName(excerpt_documents(excerpts).select("query", F.concat(F.lit("excerpts/"), "name").alias("name"), F.col("document").alias("body")))
+    return out.join(m.select("query", "slug"), "query").select("query", "slug", "name", "body")
+
+
 def diff_report(entries: DataFrame) -> DataFrame:
     """``entries``: query, file, status, additions, deletions. query, n, additions, deletions, report."""
     icon = F.when(F.col("status") == "added", "+").when(F.col("status") == "deleted", "-").when(F.col("status") == "renamed", "→").otherwise("M")

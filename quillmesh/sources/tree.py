@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-NEVER = {".git", ".context"}
+NEVER = {".git", ".quillmesh"}
 
 
 class Directory(InputPartition):

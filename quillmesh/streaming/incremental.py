@@ -1,12 +1,15 @@
 """Incremental indexing of a stream of changed files.
 
-Each micro-batch holds (path, content, deleted) rows; the last of a path in a batch counts. The
-index tables are Parquet folders that hold a version each; a batch writes the next version from the
-current one and moves a pointer last, so a batch that is tried again starts from the same version.
+Each micro-batch holds (path, content, deleted, seq) rows; the last of a path in a batch counts. The index tables
+are dealt to PARTS by a hash of the path, and each part of a table has a folder per version. A batch reads and
+writes the parts of its paths only, as one new version; then a pointer file, written last and replaced
+as a whole, says which version each part is in. A batch that is tried again starts from the pointer of the batch
+before and writes the same version anew; folders that no pointer of the last two batches names are deleted.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,22 +17,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmesh.operators import index
+from quillmesh.session import delete
 
 TABLES = {
     "files": "path string, language string, size long, mtime long, hash string",
     "postings": "path string, term string, tf long",
     "lengths": "path string, len long",
 }
+PARTS = 64
 
 
-def version_path(root: str, table: str, version: int) -> str:
-    return f"{root}/{table}/v{version}"
+def part_of(path: str = "path"):
+    return F.pmod(F.xxhash64(path), F.lit(PARTS)).cast("int")
 
 
-def load(spark: SparkSession, root: str, version: int) -> dict[str, DataFrame]:
+def folder(root: str, table: str, part: int, version: int) -> str:
+    return f"{root}/{table}/v{version}/part={part}"
+
+
+def _pointer(root: str, version: int) -> str:
+    return f"{root}/pointers/v{version}"
+
+
+def pointer(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    """Part -> the version that it is in, after batch ``version`` (none before the first)."""
     if version < 0:
+        return {}
+    (row,) = spark.read.text(_pointer(root, version), wholetext=True).collect()
+    return {int(k): v for k, v in json.loads(row.value).items()}
+
+
+def load(spark: SparkSession, root: str, version: int, parts: list[int] | None = None) -> dict[str, DataFrame]:
+    """The tables after a batch, or those parts of them."""
+    at = {k: v for k, v in pointer(spark, root, version).items() if parts is None or k in parts}
+    if not at:
         return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
-    return {t: spark.read.schema(s).parquet(version_path(root, t, version)) for t, s in TABLES.items()}
+    return {t: spark.read.schema(s).parquet(*[folder(root, t, k, v) for k, v in sorted(at.items())]) for t, s in TABLES.items()}
 
 
 def latest_rows(batch: DataFrame) -> DataFrame:
@@ -50,16 +73,36 @@ def apply_batch(stored: dict[str, DataFrame], batch: DataFrame) -> dict[str, Dat
 
 
 def writer(root: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: batch n writes version n from version n - 1."""
+    """For foreachBatch: batch n writes the parts of its paths as version n."""
     def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
         batch.persist()
-        for name, table in apply_batch(load(batch.sparkSession, root, n - 1), batch).items():
-            table.write.mode("overwrite").parquet(version_path(root, name, n))
+        touched = sorted(r.part for r in batch.select(part_of().alias("part")).distinct().collect())  # PARTS at most
+        before = pointer(spark, root, n - 1)
+        for name, table in apply_batch(load(spark, root, n - 1, touched), batch).items():
+            for k in touched:  # a part that has become empty has a folder too
+                spark.createDataFrame([], TABLES[name]).coalesce(1).write.mode("overwrite").parquet(folder(root, name, k, n))
+            table.withColumn("part", part_of()).repartition("part").write.mode("append").partitionBy("part").parquet(f"{root}/{name}/v{n}")
+        now = before | {k: n for k in touched}
+        spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(root, n))
+        prune(spark, root, n, now)
         batch.unpersist()
 
     return write
 
 
+def prune(spark: SparkSession, root: str, n: int, now: dict[int, int]) -> None:
+    """Delete what the pointers of batches n - 1 and n do not name: what batch n - 1 replaced."""
+    if n < 2:
+        return
+    old, last = pointer(spark, root, n - 2), pointer(spark, root, n - 1)
+    for k, v in old.items():
+        if last.get(k) != v and now.get(k) != v:
+            for name in TABLES:
+                delete(spark, folder(root, name, k, v))
+    delete(spark, _pointer(root, n - 2))
+
+
 def start(changes: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """``changes``: a stream of path, content, deleted, seq. Runs over what is there and stops."""
     return changes.writeStream.foreachBatch(writer(root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -238,6 +238,59 @@ def test_streaming_index(spark, tmp_path):
     assert {r.path for r in t["files"].collect()} == {"a.py", "c.py"} and t["lengths"].count() == 2
 
 
+def test_grammars(spark):
+    from quillmesh.operators import extract
+
+    code = {
+        "a.ts": ("typescript", "export default class Shop<T> {\nexport async function* pull() {}\nexport type Id = string\nconst f = async (x: number): Promise<void> => {}\n  private async load<T>(id: string): Promise<T> {\n  if (x) {\nlet n = 3\n"),
+        "b.php": ("php", "abstract class Cart\ntrait Sums\n  public static function &total()\n  return new Cart();\n"),
+        "c.py": ("python", "class A(B):\n    async def go(self):\ndef end():\nprint(x)\n"),
+        "d.go": ("go", "type Box[T any] struct {\ntype Shape interface {\nfunc (b *Box) Open() {\nfunc Map[K any](k K) {\n"),
+        "e.rs": ("rust", "pub(crate) struct P;\nenum E {\ntrait T {\nimpl<T> P {\npub async fn run() {\n"),
+        "f.rb": ("ruby", "module M\nclass C < D\n  def self.make\n  def each\n"),
+        "g.java": ("java", "public final class Main {\ninterface Greets {\n  private static List<String> names(int n) {\n  return size(x);\n"),
+        "h.kt": ("kotlin", "class K\n"), "i.cs": ("csharp", "public enum Colour {\n"),
+    }
+    df = spark.createDataFrame([(p, lang, c) for p, (lang, c) in code.items()], "path string, language string, content string")
+    got = {}
+    for r in extract.symbols(df).collect():
+        got.setdefault(r.path, {})[r.name] = (r.kind, r.start_line)
+    assert got == {
+        "a.ts": {"Shop": ("class", 1), "pull": ("function", 2), "Id": ("interface", 3), "f": ("function", 4), "load": ("method", 5)}, "b.php": {"Cart": ("class", 1), "Sums": ("interface", 2), "total": ("function", 3)},
+        "c.py": {"A": ("class", 1), "go": ("function", 2), "end": ("function", 3)}, "d.go": {"Box": ("class", 1), "Shape": ("interface", 2), "Open": ("function", 3), "Map": ("function", 4)},
+        "e.rs": {"P": ("class", 1), "E": ("class", 2), "T": ("interface", 3), "run": ("function", 5)}, "f.rb": {"M": ("class", 1), "C": ("class", 2), "make": ("function", 3), "each": ("function", 4)},
+        "g.java": {"Main": ("class", 1), "Greets": ("interface", 2), "names": ("method", 3)}, "h.kt": {"K": ("class", 1)}, "i.cs": {"Colour": ("class", 1)},
+    }
+    code = {"a.js": ("javascript", "import a, { b } from './x';\nimport './y';\nconst z = require('../z');\nimport('./lazy');\nimport r from 'react';\nconst s = 'from nowhere';\n"), "b.rb": ("ruby", "require_relative 'lib/x'\nrequire 'json'\n"),
+            "c.rs": ("rust", "use crate::a::b;\nuse std::fs;\n"), "d.java": ("java", "import static com.acme.X.y;\nimport java.util.List;\n"), "e.php": ("php", "use App\\A as B;\nrequire_once('inc/x.php');\nuse Symfony\\X;\n")}
+    df = spark.createDataFrame([(p, lang, c) for p, (lang, c) in code.items()], "path string, language string, content string")
+    assert sorted(tuple(r) for r in extract.imports(df).collect()) == [("a.js", "javascript", "../z"), ("a.js", "javascript", "./lazy"), ("a.js", "javascript", "./x"), ("a.js", "javascript", "./y"), ("b.rb", "ruby", "lib/x"),
+                                                                       ("c.rs", "rust", "crate::a::b"), ("d.java", "java", "com.acme.X.y"), ("e.php", "php", "App\\A"), ("e.php", "php", "inc/x.php")]
+
+
+def test_containing_beyond_a_broadcast(spark, monkeypatch):
+    from quillmesh.operators import contain
+
+    rows = spark.createDataFrame([(i, f"src/app_{i}/x{i % 7}.py") for i in range(200)], "id long, hay string")
+    needles = spark.createDataFrame([(q, n) for q in range(3) for n in ("app_1", "x3", "_", "none", "x5.py", "app_19/x5")], "query long, needle string")
+    want = sorted((r.id, r.query, r.needle) for r in contain.containing(rows, "hay", needles, "needle").collect())
+    monkeypatch.setattr(contain, "SMALL_SIDE", 2)
+    assert sorted((r.id, r.query, r.needle) for r in contain.containing(rows, "hay", needles, "needle").collect()) == want and len(want) > 600
+
+
+def test_synonyms_and_logs(spark, tmp_path):
+    from quillmesh.operators import synonyms
+    from quillmesh.sources import logs
+
+    t = spark.createDataFrame([(1, ["signin", "checkout page"]), (2, ["carrello"]), (3, [])], "query long, keywords array<string>")
+    got = {r.query: r.keywords for r in synonyms.widen(t).collect()}
+    assert got[1][:2] == ["signin", "checkout page"] and {"login", "order", "screen"} <= set(got[1]) and "cart" in got[2] and "basket" in got[2] and got[3] == []
+    assert {r.lang: r.n_words for r in synonyms.statistics(synonyms.tables(spark)[0]).collect()}["en"] > 100
+    (tmp_path / "a.log").write_text("2024-01-10 09:00:00 old\n at old\n2024-01-12 09:00:00 new\n at new\n")
+    assert [r.body for r in logs.lines(spark, str(tmp_path), F.lit("2024-01-11").cast("timestamp")).orderBy("line").collect()] == ["2024-01-12 09:00:00 new", " at new", ""]
+    assert logs.contents(spark, str(tmp_path)).count() == 1
+
+
 def test_domain_configuration(spark):
     from quillmesh.operators import domains
 
