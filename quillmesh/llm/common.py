@@ -2,59 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.session import fresh_path, staged as written  # noqa: F401
+
 #: Characters between words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset
-    (tests in local mode) a fresh folder under the machine's temporary folder."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return _own_dir[0]
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillmesh/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and what
-    several branches read is computed once. ``spent`` are tables of this function that nothing reads
-    any more once ``df`` is written; their files are deleted then."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    for table in spent:
-        _delete(spark, table.scratch_path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def one_of(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One row for each value of ``keys``, with the columns ``names``; where several rows have the same keys, the
     one whose other columns come first as JSON, so that reruns agree. A group of one keeps its row."""
