@@ -68,7 +68,8 @@ def pack(idx: Index, tasks: DataFrame, git: DataFrame, frames: DataFrame | None
     query, file, status; ``changed`` (by a diff) and further ``highlights``: query, path, line."""
     spark = tasks.sparkSession
     resolved = resolve.resolve(tasks, STOPWORDS, SYMBOL_STOPWORDS, DOMAINS, CHANGE_TYPES, frames, diffs)
-    resolved = staged(synonyms.widen(resolved), "tasks")
+    resolved = staged(resolved, "resolved")
+    resolved = staged(synonyms.widen(resolved), "tasks", spent=[resolved])
     found = discover.discover(resolved, idx.content, idx.symbols, idx.edges, idx.postings, idx.lengths, frames, diffs)
     chosen = score.select(score.score(found, resolved, git, DOMAINS), resolved, most)
     chosen = staged(chosen, "selected")

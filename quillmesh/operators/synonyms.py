@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import stem as S
 from quillmesh.operators import retrieve
+from quillmesh.session import staged
 
 #: Each line is a group.
 GROUPS = {
@@ -113,7 +114,7 @@ def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """The dictionary (lang, key, synonym) and the translations (stem, english)."""
     groups = spark.createDataFrame([(lang, i, w) for lang, lines in GROUPS.items() for i, line in enumerate(lines.split("\n")) for w in line.split()], "lang string, group int, word string")
     pairs = spark.createDataFrame([tuple(line.split()) for line in TRANSLATIONS.split("\n")], "term string, english string")
-    dictionary = retrieve.dictionary(groups, S.stems(groups.select(F.col("word").alias("term"))))
+    dictionary = staged(retrieve.dictionary(groups, S.stems(groups.select(F.col("word").alias("term")))), "dictionary")
     return dictionary, pairs.join(S.stems(pairs.select("term")).filter("lang = 'it'"), "term").select("stem", "english").distinct()
 
 
@@ -127,7 +128,8 @@ def widen(tasks: DataFrame, dictionary: DataFrame | None = None, translations: D
     if dictionary is None or translations is None:
         dictionary, translations = tables(tasks.sparkSession)
     words = tasks.select("query", F.explode(F.array_distinct(F.flatten(F.transform("keywords", lambda k: F.split(F.lower(k), " "))))).alias("term"))
-    each = words.select("term").distinct()
-    expanded = retrieve.expand_synonyms(each, S.stems(each).select("term", "stem"), dictionary, translations).filter((F.length("expansion") > 2) & (F.col("expansion") != F.col("term")))
+    each = staged(words.select("term").distinct(), "words")
+    stems = staged(S.stems(each).select("term", "stem"), "stems")
+    expanded = retrieve.expand_synonyms(each, stems, dictionary, translations).filter((F.length("expansion") > 2) & (F.col("expansion") != F.col("term")))
     more = words.join(expanded, "term").groupBy("query").agg(F.slice(F.array_sort(F.collect_set("expansion")), 1, most).alias("__more"))
     return tasks.join(more, "query", "left").withColumn("keywords", F.array_distinct(F.concat("keywords", F.coalesce("__more", F.array().cast("array<string>"))))).drop("__more")
