@@ -385,22 +385,21 @@ def pack_catalog(spark, sf):
     return packs.catalogue(m).join(least, "slug").select("path", "slug", "n_files")
 
 
-# Long files: the names of a brand's parts, a line each.
-_BRAND = "f AS (SELECT p_brand || '.txt' AS path, string_agg('part ' || p_partkey || ' ' || p_name, chr(10) ORDER BY p_partkey) AS content FROM part, (SELECT unnest(generate_series(1, 8)) AS k) GROUP BY p_brand)"
+# Long files: the documents with a word on each line.
+_WORDY = "f AS (SELECT 'doc_' || doc_id || '.txt' AS path, 'w ' || regexp_replace(text, '[ \\r\\n]+', chr(10) || 'w ', 'g') AS content FROM documents WHERE text IS NOT NULL)"
 
 
-def brand_files(spark, sf):
-    p = table(spark, sf, "part").crossJoin(F.broadcast(spark.range(8)))
-    line = F.concat(F.lit("part "), "p_partkey", F.lit(" "), "p_name")
-    return p.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("content")).select(F.concat("p_brand", F.lit(".txt")).alias("path"), "content")
+def wordy_files(spark, sf):
+    content = F.concat(F.lit("w "), F.regexp_replace("text", r"[ \r\n]+", "\nw "))
+    return table(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("path"), content.alias("content"))
 
 
-_CHOSEN = f"""{_BRAND}, ls AS (SELECT path, unnest(string_split(content, chr(10))) AS body, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line, len(string_split(content, chr(10))) AS n FROM f),
+_CHOSEN = f"""{_WORDY}, ls AS (SELECT path, unnest(string_split(content, chr(10))) AS body, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line, len(string_split(content, chr(10))) AS n FROM f),
 pr AS (SELECT *, CASE WHEN line <= 10 OR abs(line - 250) <= 20 THEN 0 WHEN line BETWEEN 400 AND 430 THEN 1 ELSE 3 END AS p FROM ls WHERE n > 200), rk AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY p, line) AS rn FROM pr), ch AS (SELECT path, line, body, n FROM rk WHERE rn <= 300 OR p = 0)"""
 
 
 def _excerpt_inputs(spark, sf):
-    f = brand_files(spark, sf).select("path", "content", F.lit(True).alias("in_trace"), F.lit(False).alias("has_symbol"))
+    f = wordy_files(spark, sf).select("path", "content", F.lit(True).alias("in_trace"), F.lit(False).alias("has_symbol"))
     s = f.select("path", F.lit("block").alias("name"), F.lit("function").alias("kind"), F.lit(400).alias("start_line"), F.least(F.lit(430), F.size(F.split("content", "\n"))).alias("end_line"))
     return f, s, f.select("path", F.lit(250).alias("line"))
 
