@@ -31,18 +31,18 @@ def quoted(words) -> str:
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files: path, content."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.concat(F.lit("src/"), "source", F.lit("/doc_"), "doc_id", F.lit("."), F.when(F.col("doc_id") % 3 == 0, "md").when(F.col("doc_id") % 3 == 1, "py").otherwise("dat")).alias("path"), F.col("text").alias("content"))
+    return d.select("doc_id", F.concat(F.lit("src/"), "source", F.lit("/doc_"), "doc_id", F.lit("."), F.when(F.col("doc_id") % 3 == 0, "md").when(F.col("doc_id") % 3 == 1, "py").otherwise("ts")).alias("path"), F.col("text").alias("content"))
 
 
-CORPUS_SQL = """corpus AS (SELECT doc_id, 'src/' || source || '/doc_' || doc_id || '.' || CASE doc_id % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'py' ELSE 'dat' END AS path, text AS content FROM documents)"""
+CORPUS_SQL = """corpus AS (SELECT doc_id, 'src/' || source || '/doc_' || doc_id || '.' || CASE doc_id % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'py' ELSE 'ts' END AS path, text AS content FROM documents)"""
 TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-@query(f"""WITH {CORPUS_SQL} SELECT path, CASE doc_id % 3 WHEN 0 THEN 'markdown' ELSE 'python' END AS language, strlen(content)::BIGINT AS size, md5(content) AS hash
-FROM corpus WHERE doc_id % 3 <> 2 AND strlen(content) BETWEEN 1 AND 16000""")
+@query(f"""WITH {CORPUS_SQL} SELECT path, CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' ELSE 'typescript' END AS language, strlen(content)::BIGINT AS size, md5(content) AS hash
+FROM corpus WHERE strlen(content) BETWEEN 1 AND 1048576""")
 def file_catalog(spark, sf):
-    """Admitted files with language, size and fingerprint; `.dat` is unknown and drops out."""
-    return index.catalogue(corpus(spark, sf), max_size=16000).drop("mtime")
+    """Admitted files with language, size and fingerprint."""
+    return index.catalogue(corpus(spark, sf)).drop("mtime")
 
 
 @query("SELECT page_id, CASE regexp_extract(lower(regexp_extract(url, '^[^?#]*')), '\\.([a-z0-9]+)$', 1) WHEN 'html' THEN 'html' WHEN 'php' THEN 'php' WHEN 'js' THEN 'javascript' ELSE 'unknown' END AS language, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages")
@@ -134,30 +134,42 @@ def acronym_match(spark, sf):
 
 IDENTIFIERS = Values("id long, name string", list(enumerate((
     "manage_credit", "ManageCredit", "userProfileID", "SMSService", "HTTPServerError2", "simple", "a_b", "x", "kebab-case.name", "Category", "TaxBox", "branch", "__init__", "parseJSONFile"))))
+IDENTIFIERS_SQL = f"""(SELECT * FROM {IDENTIFIERS.sql()} UNION ALL SELECT 100 + p_partkey, CASE p_partkey % 3 WHEN 0 THEN a || '_' || b || '_' || p_size WHEN 1 THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] || 'ID' ELSE a || '-' || b || '.v' || p_size END
+  FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part))"""
+
+
+def identifiers(spark, sf):
+    """Invented names, and those of all parts in three styles."""
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    kind = F.col("p_partkey") % 3
+    name = F.when(kind == 0, F.concat(a, F.lit("_"), b, F.lit("_"), "p_size")).when(kind == 1, F.concat(F.initcap(a), F.initcap(b), F.lit("ID"))).otherwise(F.concat(a, F.lit("-"), b, F.lit(".v"), "p_size"))
+    return IDENTIFIERS.frame(spark).unionByName(table(spark, sf, "part").select((F.col("p_partkey") + 100).alias("id"), name.alias("name")))
+
+
 SPLIT_SQL = "regexp_replace(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
 
 
-@query(f"""SELECT id, name, list_filter(list_transform(string_split_regex({SPLIT_SQL.format('name')}, '[ \\-_.]'), lambda x: lower(x)), lambda x: length(x) >= 2) AS segments FROM {IDENTIFIERS.sql()}""")
+@query(f"""SELECT id, name, list_filter(list_transform(string_split_regex({SPLIT_SQL.format('name')}, '[ \\-_.]'), lambda x: lower(x)), lambda x: length(x) >= 2) AS segments FROM {IDENTIFIERS_SQL}""")
 def segment_identifiers(spark, sf):
-    return IDENTIFIERS.frame(spark).select("id", "name", T.identifier_segments(F.col("name")).alias("segments"))
+    return identifiers(spark, sf).select("id", "name", T.identifier_segments(F.col("name")).alias("segments"))
 
 
 PASCAL_SQL = "array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || w[2:]), '')"
 SNAKE_SQL = "regexp_replace(lower(regexp_replace(name, '([A-Z])', '_\\1', 'g')), '^_', '')"
 
 
-@query(f"""WITH f AS (SELECT id, name, contains(name, '_') AS s, regexp_matches(name, '[a-z][A-Z]|^[A-Z][a-z]') AS c FROM {IDENTIFIERS.sql()}),
+@query(f"""WITH f AS (SELECT id, name, contains(name, '_') AS s, regexp_matches(name, '[a-z][A-Z]|^[A-Z][a-z]') AS c FROM {IDENTIFIERS_SQL}),
 v AS (SELECT id, name, unnest([name, lower(name), CASE WHEN s THEN string_split(name, '_')[1] || substr({PASCAL_SQL}, length(string_split(name, '_')[1]) + 1) END,
   CASE WHEN s THEN {PASCAL_SQL} END, CASE WHEN s THEN replace(name, '_', '') END, CASE WHEN c THEN {SNAKE_SQL} END]) AS variant FROM f)
 SELECT DISTINCT id, name, variant FROM v WHERE variant <> ''""")
 def case_variants(spark, sf):
-    return IDENTIFIERS.frame(spark).select("id", "name", F.explode(T.case_variants(F.col("name"))).alias("variant"))
+    return identifiers(spark, sf).select("id", "name", F.explode(T.case_variants(F.col("name"))).alias("variant"))
 
 
-@query(f"""WITH s AS (SELECT id, {SNAKE_SQL} AS s FROM {IDENTIFIERS.sql()})
+@query(f"""WITH s AS (SELECT id, {SNAKE_SQL} AS s FROM {IDENTIFIERS_SQL})
 SELECT id, CASE WHEN s LIKE '%y' THEN s[:-2] || 'ies' WHEN regexp_matches(s, '(s|x|ch|sh)$') THEN s || 'es' ELSE s || 's' END AS table_name FROM s""")
 def snake_plural(spark, sf):
-    return IDENTIFIERS.frame(spark).select("id", T.snake_plural(F.col("name")).alias("table_name"))
+    return identifiers(spark, sf).select("id", T.snake_plural(F.col("name")).alias("table_name"))
 
 
 @query("""WITH s AS (SELECT page_id, strlen(html) * (1 + page_id % 3 * 2000) AS n FROM pages)
