@@ -3,13 +3,15 @@
 Five stages, each one operator of ``quillmesh.llm`` with its production parameters; what a stage
 returns is written as Parquet and read as the next one's documents.
 
-1. language: rows in none of the languages learned from the labelled rows go;
+1. language: rows in none of the languages learned from the labelled rows go: those without letters, and those
+   whose text needs more bits a character than max(4.8, 1.4 times the need of its language) + 200 / length;
 2. exact: of texts that are equal apart from white space one stays, the longest original;
 3. near: of each class of five-word-shingle near duplicates (0.8) the row with the smallest id stays;
 4. mix: sources are brought to their target weights; a row per copy taken, in training order;
 5. pack: the copies are packed into sequences of 2048 words. A row per piece.
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Of rows that repeat id and text the one whose other columns
+are first as JSON stands for all.
 """
 
 from __future__ import annotations
