@@ -210,6 +210,13 @@ def statamic_examples(candidates: DataFrame, files: DataFrame, tasks: DataFrame)
     return found(used.join(words, "word").groupBy("query", "path").agg(F.count("*").alias("n")).filter("n >= 2"), "example_usage")
 
 
+def needs(package: str) -> Column:
+    """Whether a manifest's JSON requires a package, for use or for development."""
+    parts = F.from_json("content", "require map<string,string>, `require-dev` map<string,string>")
+    has = lambda c: F.coalesce(F.map_contains_key(c, package), F.lit(False))
+    return has(parts["require"]) | has(parts["require-dev"])
+
+
 def apply(candidates: DataFrame, files: DataFrame, tasks: DataFrame, names: list[str] | None = None) -> DataFrame:
     """query, path, signal of all rules that apply to the tree (or of those named), without candidates."""
     parts = []
@@ -218,7 +225,7 @@ def apply(candidates: DataFrame, files: DataFrame, tasks: DataFrame, names: list
             continue
         if names is None and marker is not None:
             found_marker = files.filter(F.col("path") == marker)
-            if (found_marker.filter(F.contains("content", F.lit(f'"{requires}"'))) if requires else found_marker).isEmpty():
+            if (found_marker.filter(needs(requires)) if requires else found_marker).isEmpty():
                 continue
         parts.append(f(candidates, files, tasks))
     every = reduce(DataFrame.unionByName, parts).distinct()

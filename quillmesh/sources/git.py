@@ -36,18 +36,15 @@ def current_commit(root: str) -> str | None:
 
 def history(spark: SparkSession, root: str) -> DataFrame:
     """path, at: a row per file of each commit."""
-    lines = (git(root, "log", "--name-only", "--pretty=format:%x01%ct") or "").splitlines()
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines) if x], "i long, body string")
-    return parse_history(rows)
+    commits = (git(root, "log", "--name-only", "--pretty=format:%x01%ct") or "").split("\x01")
+    return parse_history(spark.createDataFrame([(c,) for c in commits if c], "record string"))
 
 
-def parse_history(rows: DataFrame) -> DataFrame:
-    """``rows``: i, body of a log whose commits begin with a line of \\x01 and their time in seconds."""
-    from pyspark.sql import Window
-
-    at = F.when(F.col("body").startswith("\x01"), F.expr("substring(body, 2)").cast("long"))
-    whole = rows.withColumn("s", F.last(at, ignorenulls=True).over(Window.orderBy("i")))
-    return whole.filter(~F.col("body").startswith("\x01") & (F.col("body") != "")).select(F.col("body").alias("path"), F.timestamp_seconds("s").alias("at"))
+def parse_history(commits: DataFrame) -> DataFrame:
+    """``commits``: record, a commit's time in seconds and its files, a line each. Parsed in the commit's row; a log
+    in a file that all executors see is read with the same records as ``spark.read.option("lineSep", "\\x01").text``."""
+    lines = commits.select(F.split("record", r"\r?\n").alias("ls")).select(F.get("ls", F.lit(0)).try_cast("long").alias("s"), F.explode(F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0)))).alias("path"))
+    return lines.filter("path <> '' and s is not null").select("path", F.timestamp_seconds("s").alias("at"))
 
 
 def diff(spark: SparkSession, root: str, base: str) -> DataFrame:

@@ -291,6 +291,31 @@ def test_synonyms_and_logs(spark, tmp_path):
     assert logs.contents(spark, str(tmp_path)).count() == 1
 
 
+def test_written_packs_and_their_catalogue(spark):
+    from quillmesh import engine
+
+    at = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    tasks = spark.createDataFrame([(1, "Fix the cart", ["cart"], ["src/a.ts"], ["Cart"], "bugfix", 0.4, [("ui", 2)])],
+                                  "query long, text string, keywords array<string>, files_hint array<string>, symbols array<string>, change_type string, confidence double, domains array<struct<domain:string,weight:int>>")
+    sel = spark.createDataFrame([(1, "src/a.ts", 1, 1.0, ["why"]), (1, "src/a.test.ts", 2, 0.5, [])], "query long, path string, ord int, score double, reasons array<string>")
+    cut = spark.createDataFrame([(1, "src/a.ts", "code", 1, 1, 1, False)], "query long, path string, content string, start_line int, end_line int, total_lines int, truncated boolean")
+    files = spark.createDataFrame([("src/a.ts", "typescript", 4)], "path string, language string, size long")
+    syms = spark.createDataFrame([("src/a.ts", "class", "Cart", 1)], "path string, kind string, name string, start_line int")
+    edges = spark.createDataFrame([("src/a.test.ts", "src/a.ts")], "src string, dst string")
+    docs = {r.name: r for r in packs.documents(tasks, sel, cut, files, syms, edges, at).collect()}
+    assert set(docs) == {"manifest.json", "PACK.md", "TASK.md", "FILES.md", "GRAPH.md", "TESTS.md", "excerpts/src_a_ts.md"}
+    assert "bugfix" in docs["TASK.md"].body and "- ui (2)" in docs["TASK.md"].body and "- src/a.test.ts imports src/a.ts" in docs["GRAPH.md"].body and "- src/a.test.ts" in docs["TESTS.md"].body and "`npm test`" in docs["TESTS.md"].body
+    written = spark.createDataFrame([(docs["PACK.md"].slug, docs["manifest.json"].body), ("20230101-000000-old-task", "{}")], "slug string, manifest string")
+    c = packs.catalogue(written)
+    assert packs.latest(c).first().n_files == 2 and [r.slug for r in packs.by_prefix(c, "old").collect()] == ["20230101-000000-old-task"] and packs.by_prefix(c, "2024").count() == 1
+    frames = spark.createDataFrame([(1, "x/src/a.ts", 7), (1, "a.ts", 9)], "query long, file string, line int")
+    changed = spark.createDataFrame([(1, "src/b.ts", 3)], "query long, path string, line int")
+    tree_ = spark.createDataFrame([("src/a.ts",), ("src/b.ts",)], "path string")
+    assert sorted(tuple(r) for r in engine.highlighted(tree_, frames, changed, None).collect()) == [(1, "src/a.ts", 7), (1, "src/a.ts", 9), (1, "src/b.ts", 3)] and engine.highlighted(tree_, None, None, None) is None
+    assert {n: t.count() for n, t in index.truncate({"files": files, "edges": edges}).items()} == {"files": 0, "edges": 0}
+    assert [spark.createDataFrame([(x,)], "content string").filter(rules.needs("a/b")).count() for x in ('{"require": {"a/b": "1"}}', '{"require-dev": {"a/b": "1"}}', '{"name": "a/b"}', "no json")] == [1, 1, 0, 0]
+
+
 def test_domain_configuration(spark):
     from quillmesh.operators import domains
 
