@@ -263,8 +263,8 @@ _CLASS, _METHOD, _FILE = r"[A-Z][A-Za-z0-9]+", r"[a-z]\w*", r"[\w\-./]+\.[A-Za-z
 # How names of classes with a role end.
 _ROLES = ("Controller", "Service", "Model", "Repository", "Factory", "Handler", "Provider", "Middleware", "Request", "Resource", "Event", "Listener", "Job", "Command", "Policy", "Rule", "Exception",
           "Interface", "Trait", "Helper", "Manager", "Facade", "Client", "Gateway", "Adapter", "Builder", "Validator", "Observer", "Seeder", "Migration")
-#: The contexts that make a name a reference: kind, what is before it, the name, what is after it, whether common names drop out.
-CONTEXTS = [
+#: The surroundings that make a name a reference: kind, what is before it, the name, what is after it, whether common names drop out.
+SURROUNDINGS = [
     ("class", r"\bnew\s+", _CLASS, r"\s*\(", False),
     ("class", r"\b(?:implements|extends)\s+", _CLASS, "", False),
     ("class", r"\buse\s+(?:\w+\\)*", _CLASS, r"(?:\s+as\s+\w+)?;", False),
@@ -298,7 +298,7 @@ PATH_EXTENSIONS = ("php", "js", "ts", "jsx", "tsx", "vue", "svelte", "py", "rb",
 def references(files: DataFrame) -> DataFrame:
     """``files``: path, content. path, kind (class, method, path, route), ref: what the content refers to."""
     parts = []
-    for kind, before, name, after, common in CONTEXTS:
+    for kind, before, name, after, common in SURROUNDINGS:
         found = F.regexp_extract_all("content", F.lit(f"{before}({name}){after}"), F.lit(1))
         if kind == "class" and common:
             found = F.filter(found, lambda r: ~F.upper(r).isin(*COMMON_CONSTANTS))

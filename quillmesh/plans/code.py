@@ -421,7 +421,7 @@ def token_estimate(spark, sf):
     return excerpts.budget_tokens(table(spark, sf, "documents").select(F.col("text").alias("content")))
 
 
-@query(f"""SELECT path, path IN ('dist/app.js', 'src/dist/app.js', 'a/b.log', 'docs/a.md', 'tests/fixtures/a/b.txt', 'fixtures/c.txt', 'src/a/tmp/f.txt', 'src/a/tmp', '.env.local', 'logs\\win.log') OR regexp_matches(path, '(^|/)(\\.idea|\\.vscode|\\.context)/|\\.sw[op]$|(^|/)(\\.DS_Store|Thumbs\\.db)$') AS ignored FROM {project.PATHS.sql()}""")
+@query(f"""SELECT path, path IN ('dist/app.js', 'src/dist/app.js', 'a/b.log', 'docs/a.md', 'tests/fixtures/a/b.txt', 'fixtures/c.txt', 'src/a/tmp/f.txt', 'src/a/tmp', '.env.local', 'logs\\win.log') OR regexp_matches(path, '(^|/)(\\.idea|\\.vscode|\\.quillmesh)/|\\.sw[op]$|(^|/)(\\.DS_Store|Thumbs\\.db)$') AS ignored FROM {project.PATHS.sql()}""")
 def ignore_rules(spark, sf):
     return project.PATHS.frame(spark).select("path", ignore.is_ignored(F.col("path"), project.RULES).alias("ignored"))
 
