@@ -17,12 +17,12 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 def one_of(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """One row for each value of ``keys``, with the columns ``names``; where several rows have the same keys, the
-    one whose other columns come first as JSON, so that reruns agree. A group of one keeps its row."""
+    """``keys`` and ``names``: one row for each value of ``keys``; where several rows have the same keys, the one
+    whose other columns come first as JSON, so that reruns agree. Rows stay dealt by ``keys``."""
     other = F.to_json(F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names) if n != "text"], F.lit(0).alias("none")))
     whole = F.struct(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)])
     best = rows.groupBy(*keys).agg(F.min_by(whole, other).alias("__row"))
-    return best.select(*[F.col(f"__row.c{i}").alias(n) for i, n in enumerate(names)])
+    return best.select(*keys, *[F.col(f"__row.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def words(text: Column) -> Column:

@@ -83,7 +83,7 @@ def keep_first(docs: DataFrame, **sizes) -> DataFrame:
     keyed = docs.select(*names, text_id.alias("__d"), F.sha2(normalised(F.col("text")), 256).alias("__h"),
                         F.length(F.coalesce("text", F.lit(""))).alias("__n"))
     # Rows that repeat id, text and length are one document; the keys are those of the join, so nothing is dealt out anew.
-    return one_of(keyed.join(stay, ["__d", "__h", "__n"], "left_semi"), ["__d", "__h", "__n"], names)
+    return one_of(keyed.join(stay, ["__d", "__h", "__n"], "left_semi"), ["__d", "__h", "__n"], names).select(*names)
 
 
 ORACLE = """

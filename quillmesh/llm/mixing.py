@@ -128,11 +128,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     names = docs.columns
     # Positions are computed without the texts, which move twice: to their positions, and in their order.
     # Rows that repeat id, text and source are one text with the positions of all of them.
-    origin = F.struct(F.col("__source").isNull(), F.coalesce("__source", F.lit("")))
+    origin = F.concat(F.when(F.col("__source").isNull(), "-").otherwise("+"), F.coalesce("__source", F.lit("")))
     placed = _placed(docs, [], weights, share, cap, schedules)
-    # Written, so that the join has two plain exchanges and Spark can split the partition of a text with very many positions.
+    # Written, so that the join meets plain columns and the texts stay dealt as they are for picking one of those that repeat.
     placed = written(placed.select("__tie", origin.alias("__from"), F.explode("__mix.positions").alias("__position")), "positions")
-    every = one_of(_keyed(docs, names).withColumn("__from", origin), ["__tie", "__from"], [*names, "__tie", "__from"])
+    every = one_of(_keyed(docs, names).withColumn("__from", origin), ["__tie", "__from"], names)
     copies = every.join(placed, ["__tie", "__from"]).select(*names, "__tie", "__position")
     return copies.repartitionByRange(_partitions(docs), "__position", "__tie").sortWithinPartitions("__position", "__tie").select(*names)
 

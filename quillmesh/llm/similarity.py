@@ -348,7 +348,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t"))
     stay = stay.withColumn("__d", F.coalesce("__d", F.lit(-(1 << 63))))
     # Rows that repeat id and text are one document.
-    return one_of(keyed.join(stay, ["__d", "__t"], "left_semi"), ["__d", "__t"], names)
+    return one_of(keyed.join(stay, ["__d", "__t"], "left_semi"), ["__d", "__t"], names).select(*names)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
