@@ -76,6 +76,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def staged(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and what
     several branches read is computed once. ``spent`` are such tables that nothing reads any more once

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmesh.operators import index
-from quillmesh.session import delete
+from quillmesh.session import delete, exists
 
 TABLES = {
     "files": "path string, language string, size long, mtime long, hash string",
@@ -52,7 +52,11 @@ def load(spark: SparkSession, root: str, version: int, parts: list[int] | None =
     at = {k: v for k, v in pointer(spark, root, version).items() if parts is None or k in parts}
     if not at:
         return {t: spark.createDataFrame([], s) for t, s in TABLES.items()}
-    return {t: spark.read.schema(s).parquet(*[folder(root, t, k, v) for k, v in sorted(at.items())]) for t, s in TABLES.items()}
+    out = {}
+    for t, s in TABLES.items():  # a part without rows has no folder
+        paths = [p for k, v in sorted(at.items()) if exists(spark, p := folder(root, t, k, v))]
+        out[t] = spark.read.schema(s).parquet(*paths) if paths else spark.createDataFrame([], s)
+    return out
 
 
 def latest_rows(batch: DataFrame) -> DataFrame:
@@ -80,8 +84,7 @@ def writer(root: str) -> Callable[[DataFrame, int], None]:
         touched = sorted(r.part for r in batch.select(part_of().alias("part")).distinct().collect())  # PARTS at most
         before = pointer(spark, root, n - 1)
         for name, table in apply_batch(load(spark, root, n - 1, touched), batch).items():
-            for k in touched:  # a part that has become empty has a folder too
-                spark.createDataFrame([], TABLES[name]).coalesce(1).write.mode("overwrite").parquet(folder(root, name, k, n))
+            delete(spark, f"{root}/{name}/v{n}")  # of a batch that is tried again
             table.withColumn("part", part_of()).repartition("part").write.mode("append").partitionBy("part").parquet(f"{root}/{name}/v{n}")
         now = before | {k: n for k in touched}
         spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(root, n))
