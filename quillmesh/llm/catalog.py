@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import chat, exact, langid, mixing, packing, quality, similarity, substrings, toxicity, warc
+from quillmesh.llm import chat, exact, fim, langid, lines, merkle, mixing, packing, quality, similarity, substrings, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": similarity.op8_jaccard_join,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
+    "op11_fim": fim.op11_fim,
+    "op12_lines": lines.op12_lines,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op5_warc": warc.ORACLE,
     "op7_exact_dedup": exact.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_fim": fim.ORACLE,
+    "op12_lines": lines.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
