@@ -5,6 +5,9 @@ Word boundaries are spelled out as look-arounds over ASCII, because ``\b`` is Un
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,9 +150,26 @@ def raw_words(text: Column) -> Column:
     return F.array_distinct(F.filter(stripped, lambda w: (F.length(w) >= 3) | w.isin(*SHORT_WORDS)))
 
 
+@cache
+def _accented() -> tuple[str, str]:
+    """All characters that are one base character and marks, and their base characters."""
+    bases = {}
+    for c in map(chr, range(0x80, 0x110000)):
+        base = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")] if unicodedata.decomposition(c) else []
+        if len(base) == 1 and base[0] != c:
+            bases[c] = base[0]
+    return "".join(bases), "".join(bases.values())
+
+
+def without_accents(text: Column) -> Column:
+    """A text without diacritics, composed or combining; ASCII texts are passed by."""
+    accented, bases = _accented()
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, accented, bases), r"\p{M}+", "")).otherwise(text)
+
+
 def search_tokens(text: Column) -> Column:
-    """Tokens of the search index: runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Tokens of the search index: runs of letters and digits in lower case, without accents."""
+    return F.regexp_extract_all(without_accents(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def sanitize_query(query: Column) -> Column:

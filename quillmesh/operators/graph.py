@@ -33,22 +33,52 @@ def base_path(source: Column, spec: Column, lang: Column) -> Column:
             .otherwise(T.namespace_path(spec, lang)))
 
 
+#: Where the probes of compiled extensions and of similar paths come in the order of preference.
+COMPILED, SIMILAR = 100, 1000
+
+
+def specifiers(edges: DataFrame) -> DataFrame:
+    """``edges``: path, language, specifier, and perhaps doc. Each once, with its base path."""
+    return edges.select(*edges.columns, base_path(F.col("path"), F.col("specifier"), F.col("language")).alias("base")).distinct()
+
+
+def probes(specs: DataFrame) -> DataFrame:
+    """``specs`` of ``specifiers``. A row for each thing that could be what a specifier means: ord, its place in the
+    order of preference, and key: a path, or `~` and a stem for files of a similar path."""
+    base = F.col("base")
+    suffixes = F.coalesce(*[F.when(F.col("language") == lang, F.array(*[F.lit(x) for x in xs])) for lang, xs in PROBES.items()], F.array(F.lit("")))
+    own = F.transform(suffixes, lambda x, i: F.struct(i.alias("ord"), F.concat(base, x).alias("key")))
+    source = F.regexp_replace(base, r"\.m?jsx?$", "")
+    compiled = F.when(F.col("language").isin("typescript", "javascript") & base.rlike(r"\.m?jsx?$"),
+                      F.transform(F.array(F.lit(".ts"), F.lit(".tsx")), lambda x, i: F.struct((i + COMPILED).alias("ord"), F.concat(source, x).alias("key"))))
+    stem = T.stem_name(F.concat(F.lit("x/"), base))
+    similar = F.when(stem != "", F.array(F.struct(F.lit(SIMILAR).alias("ord"), F.concat(F.lit("~"), stem).alias("key"))))
+    none = F.array().cast("array<struct<ord: int, key: string>>")
+    every = F.concat(own, F.coalesce(compiled, none), F.coalesce(similar, none))
+    return specs.select("*", F.explode(every).alias("p")).select(*specs.columns, "p.ord", "p.key")
+
+
+def keys_of(files: DataFrame) -> DataFrame:
+    """``files``: path. key, target: what a file can be probed by."""
+    return files.select(F.explode(F.array(F.col("path"), F.concat(F.lit("~"), T.stem_name(F.col("path"))))).alias("key"), F.col("path").alias("target"))
+
+
+def choose(probed: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """``probed`` of ``probes``, ``keys`` of ``keys_of``. ``by``, dst, how (exact, probe, similar) of the specifiers that
+    mean a file: the first in the order of preference, of similar paths the shortest. One join, one aggregate."""
+    hits = probed.join(keys, "key")
+    near = F.col("ord") >= SIMILAR
+    hits = hits.filter(~near | (T.similar_path(F.col("target"), F.col("specifier")) & (F.col("target") != F.col("path"))))
+    best = hits.groupBy(*by).agg(F.min(F.struct("ord", F.when(near, F.length("target")).otherwise(0).alias("n"), "target")).alias("b"))
+    return best.select(*by, F.col("b.target").alias("dst"), F.when(F.col("b.ord") == 0, "exact").when(F.col("b.ord") < SIMILAR, "probe").otherwise("similar").alias("how"))
+
+
 def resolve(edges: DataFrame, files: DataFrame) -> DataFrame:
     """``edges``: path, language, specifier; ``files``: path. src, dst, how (exact, probe, similar): each
-    specifier's file. Paths are probed in order of preference with one equi-join; a compiled extension
-    finds its source; what is left goes by basename, to a file whose path is similar."""
-    e = edges.select("path", "language", "specifier", base_path(F.col("path"), F.col("specifier"), F.col("language")).alias("base")).distinct()
-    probes = F.coalesce(*[F.when(F.col("language") == lang, F.array(*[F.lit(x) for x in xs])) for lang, xs in PROBES.items()], F.array(F.lit("")))
-    tried = e.select("*", F.posexplode(probes).alias("ord", "suffix")).withColumn("target", F.concat("base", "suffix"))
-    compiled = e.filter(F.col("language").isin("typescript", "javascript") & F.col("base").rlike(r"\.m?jsx?$")).select("*", F.posexplode(F.array(F.lit(".ts"), F.lit(".tsx"))).alias("o", "suffix"))
-    compiled = compiled.select(*e.columns, (F.col("o") + 100).alias("ord"), "suffix", F.concat(F.regexp_replace("base", r"\.m?jsx?$", ""), "suffix").alias("target"))
-    hits = tried.unionByName(compiled).join(files.select(F.col("path").alias("target")), "target")
-    best = hits.withColumn("rn", F.row_number().over(Window.partitionBy("path", "specifier").orderBy("ord"))).filter("rn = 1")
-    direct = best.select(F.col("path").alias("src"), F.col("target").alias("dst"), "specifier", F.when(F.col("ord") == 0, "exact").otherwise("probe").alias("how"))
-    left = e.join(direct.select(F.col("src").alias("path"), "specifier"), ["path", "specifier"], "left_anti").withColumn("stem", T.stem_name(F.concat(F.lit("x/"), "base"))).filter("stem <> ''")
-    near = left.join(files.select(F.col("path").alias("target"), T.stem_name(F.col("path")).alias("stem")), "stem").filter(T.similar_path(F.col("target"), F.col("specifier")) & (F.col("target") != F.col("path")))
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("path", "specifier").orderBy(F.length("target"), "target"))).filter("rn = 1")
-    return direct.select("src", "dst", "how").unionByName(near.select(F.col("path").alias("src"), F.col("target").alias("dst"), F.lit("similar").alias("how"))).groupBy("src", "dst").agg(F.min("how").alias("how"))
+    specifier's file. Paths are probed in order of preference; a compiled extension finds its source; what is left
+    goes by basename, to a file whose path is similar."""
+    found = choose(probes(specifiers(edges)), keys_of(files), ["path", "specifier"])
+    return found.groupBy(F.col("path").alias("src"), "dst").agg(F.min("how").alias("how"))
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int = 2, most: int = 100) -> DataFrame:

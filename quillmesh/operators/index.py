@@ -32,9 +32,9 @@ def changes(stored: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """``new`` replaces rows of the same key."""
+    """``new`` replaces rows of the same key; of new rows that repeat a key one stays, the same in each run."""
     both = stored.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__v")))
+    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("__v"), F.xxhash64(*new.columns)))
     return both.withColumn("__rn", latest).filter("__rn = 1").drop("__v", "__rn")
 
 
@@ -45,15 +45,10 @@ def delete(keys: DataFrame, *tables: DataFrame, key: str = "path") -> list[DataF
 
 
 def postings(docs: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """key, term, tf: how often each term occurs in each document (keys are unique). Counted in the document's
-    row, from the runs of its sorted tokens, so no token is shuffled."""
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        counted = lambda b: F.transform(b, lambda x, k: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - x).cast("long").alias("tf")))
-        return F.get(F.transform(F.array(starts), counted), F.lit(0))
-
-    tokens = docs.select(key, F.sort_array(T.search_tokens(F.col(content))).alias("tokens")).filter(F.size("tokens") > 0)
-    return tokens.select(key, F.explode(F.get(F.transform(F.array("tokens"), runs), F.lit(0))).alias("p")).select(key, "p.term", "p.tf")
+    """key, term, tf: how often each term occurs in each document (keys are unique). Documents are dealt by their
+    key, which is the one exchange: the counts by key and term are hash aggregates where the documents are."""
+    dealt = docs.select(key, content).repartition(key)
+    return dealt.select(key, F.explode(T.search_tokens(F.col(content))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(docs: DataFrame, key: str = "path", content: str = "content") -> DataFrame:

@@ -35,7 +35,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CORPUS_SQL = """corpus AS (SELECT doc_id, 'src/' || source || '/doc_' || doc_id || '.' || CASE doc_id % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'py' ELSE 'ts' END AS path, text AS content FROM documents)"""
-TOKENS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 
 
 @query(f"""WITH {CORPUS_SQL} SELECT path, CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'python' ELSE 'typescript' END AS language, strlen(content)::BIGINT AS size, md5(content) AS hash

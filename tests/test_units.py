@@ -12,7 +12,6 @@ from quillmesh.operators import excerpts, graph, ignore, index, resolve, rules,
 from quillmesh.plans import project
 from quillmesh.plans.words import DOMAINS, STOPWORDS
 from quillmesh.sources import git, packs, tree
-from quillmesh.streaming import incremental
 
 
 def one(spark, column):
@@ -224,20 +223,6 @@ def test_pack_outputs(spark, tmp_path):
     assert tarfile.open(packs.archive(str(tmp_path))).getnames() == ["x.md"]
 
 
-def test_streaming_index(spark, tmp_path):
-    schema = "path string, content string, deleted boolean, seq long"
-    src, root = tmp_path / "in", str(tmp_path / "index")
-    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-    put([("a.py", "one two", False, 1), ("b.py", "three", False, 1), ("a.py", "one one", False, 2)])
-    go = lambda: incremental.start(spark.readStream.schema(schema).parquet(str(src)), root, str(tmp_path / "cp")).awaitTermination(120)
-    go()
-    put([("b.py", None, True, 3), ("c.py", "four", False, 3), ("a.py", "one one", False, 4)])
-    go()
-    t = incremental.load(spark, root, 1)
-    assert {(r.path, r.term, r.tf) for r in t["postings"].collect()} == {("a.py", "one", 2), ("c.py", "four", 1)}
-    assert {r.path for r in t["files"].collect()} == {"a.py", "c.py"} and t["lengths"].count() == 2
-
-
 def test_grammars(spark):
     from quillmesh.operators import extract
 
