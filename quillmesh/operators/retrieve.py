@@ -37,9 +37,9 @@ def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, key: str =
     n_terms of all documents with any term (with ``every``: with all). Documents themselves are not read."""
     found = staged(matches(postings, staged(queries.select("term").distinct(), "terms")), "found")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    weighed = found.join(df, "term").join(lengths, key).crossJoin(F.broadcast(corpus))  # corpus is one row
-    part = idf_bm25(F.col("n_docs"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    corpus = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).first()
+    weighed = found.join(df, "term").join(lengths, key)
+    part = idf_bm25(F.lit(corpus.n_docs), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(corpus.avg_len or 1.0))))
     scores = weighed.select(key, "term", part.alias("part")).join(queries, "term").groupBy("query", key).agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
     if every:
         wanted = queries.groupBy("query").agg(F.count("*").alias("wanted"))
@@ -53,15 +53,18 @@ def top(scored: DataFrame, n: int, group: str, score: str, tie: str) -> DataFram
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie))).filter(F.col("rank") <= n)
 
 
-def tf_idf(postings: DataFrame, lengths: DataFrame, terms_of: DataFrame) -> DataFrame:
-    """``postings``, ``lengths`` of the corpus; ``terms_of``: query, tokens. query, term, tf, idf, tfidf."""
+def tf_idf(postings: DataFrame | None, lengths: DataFrame | None, terms_of: DataFrame, stored=None) -> DataFrame:
+    """``postings``, ``lengths`` of the corpus, or its ``stored`` index (see ``blocks``); ``terms_of``: query, tokens.
+    query, term, tf, idf, tfidf."""
     own = terms_of.select("query", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("query", "term").agg((F.count("*") / F.first("len")).alias("tf"))
     own = staged(own, "own")
-    df = matches(postings, own.select("term").distinct()).groupBy("term").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").alias("n_docs"))
-    out = own.join(df, "term", "left").crossJoin(F.broadcast(n))
-    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    return out.select("query", "term", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf"))
+    terms = own.select("term").distinct()
+    if stored is not None:
+        df, n_docs = stored.frequency(terms), stored.n_docs
+    else:
+        df, n_docs = matches(postings, terms).groupBy("term").agg(F.count("*").alias("df")), lengths.count()
+    idf = F.log(F.lit(n_docs + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    return own.join(df, "term", "left").select("query", "term", "tf", idf.alias("idf"), (F.col("tf") * idf).alias("tfidf"))
 
 
 def weights(terms_of: DataFrame, postings: DataFrame | None = None, lengths: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:

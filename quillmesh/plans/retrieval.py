@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import index, retrieve
+from quillmesh.operators import blocks, index, retrieve
 from quillmesh.plans.values import Values
 from quillmesh.plans.words import STOPWORDS
 from quillmesh.session import staged, table
@@ -232,23 +232,19 @@ w AS (SELECT query, own.term, round(tf * (ln(((SELECT count(*) FROM documents) +
 k AS (SELECT query, term, tfidf, row_number() OVER (PARTITION BY query ORDER BY tfidf DESC, term)::INT AS rank FROM w)"""
 
 
-def indexed(spark, sf):
-    """Postings and lengths of the documents, written: they are tokenised once."""
-    docs = table(spark, sf, "documents")
-    postings = staged(index.postings(docs, "doc_id", "text"), "postings")
-    none = docs.select("doc_id").join(postings.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("len"))
-    return postings, staged(postings.groupBy("doc_id").agg(F.sum("tf").alias("len")).unionByName(none), "lengths")
+def indexed(spark, sf) -> blocks.BlockIndex:
+    """The stored index of the documents: written by the first query that asks for it."""
+    return blocks.BlockIndex.stored(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def tfidf(spark, sf, n: int, of=None) -> DataFrame:
-    postings, lengths = of or indexed(spark, sf)
+def tfidf(spark, sf, n: int, of: blocks.BlockIndex) -> DataFrame:
     tasks = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), T.search_tokens(F.col("text")).alias("tokens"))
-    return retrieve.top(retrieve.tf_idf(postings, lengths, tasks), n, "query", "tfidf", "term").select("query", "term", "tfidf", "rank")
+    return retrieve.top(retrieve.tf_idf(None, None, tasks, of), n, "query", "tfidf", "term").select("query", "term", "tfidf", "rank")
 
 
 @query(f"WITH {POSTINGS_SQL}, {TFIDF_SQL} SELECT query, term, tfidf, rank FROM k WHERE rank <= 20")
 def tfidf_topk(spark, sf):
-    return tfidf(spark, sf, 20)
+    return tfidf(spark, sf, 20, indexed(spark, sf))
 
 
 @query(f"""WITH t AS (SELECT item_id, list_filter({KEYWORDS_SQL.format('text')}, lambda w: w NOT IN ({quoted(STOPWORDS)})) AS tokens FROM benchmark),
@@ -291,7 +287,8 @@ SELECT query, doc_id, score, n_terms::BIGINT AS n_terms, row_number() OVER (PART
 def bm25_topk(spark, sf):
     """Flagship: the ten best documents for each benchmark item by the BM25 of its eight best keywords."""
     of = indexed(spark, sf)
-    return retrieve.top(retrieve.bm25(*of, staged(tfidf(spark, sf, 8, of).select("query", "term"), "terms"), "doc_id"), 10, "query", "score", "doc_id").select("query", "doc_id", "score", "n_terms", "rank")
+    found = of.top(staged(tfidf(spark, sf, 8, of).select("query", "term"), "terms"), 10)
+    return found.select("query", F.col("key").alias("doc_id"), "score", "n_terms", "rank")
 
 
 @query(f"""WITH {POSTINGS_SQL}, {TFIDF_SQL}, {LEN_SQL}, q AS (SELECT query, term FROM k WHERE rank <= 3), {BM25_SQL}
@@ -299,5 +296,6 @@ SELECT query, doc_id, round(score, 6) AS score FROM b WHERE n_terms = (SELECT co
 def bm25_and_query(spark, sf):
     """Documents with all of each item's three best keywords."""
     of = indexed(spark, sf)
-    found = retrieve.bm25(*of, staged(tfidf(spark, sf, 3, of).select("query", "term"), "terms"), "doc_id", every=True)
-    return found.select("query", "doc_id", F.round("score", 6).alias("score"))
+    terms = staged(tfidf(spark, sf, 3, of).select("query", "term"), "terms")
+    found = retrieve.bm25(of.postings(terms.select("term").distinct()), of.docs, terms, "key", every=True)
+    return found.select("query", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
@@ -81,6 +82,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def fingerprint(df: DataFrame, *more: str) -> str:
+    """A digest of the files that ``df`` reads, with their sizes and times, of its columns and of ``more``."""
+    spark = df.sparkSession
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    digest = hashlib.md5(repr((df.dtypes, more)).encode())
+    for name in sorted(df.inputFiles()):
+        status = path(name).getFileSystem(conf).getFileStatus(path(name))
+        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
+def publish(spark: SparkSession, own: str, path: str) -> None:
+    """Make the folder ``own`` known as ``path``, unless another run was first."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(to) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(own), to):
+        delete(spark, own)
+
+
 def staged(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and what
     several branches read is computed once. ``spent`` are such tables that nothing reads any more once
