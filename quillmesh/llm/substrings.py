@@ -14,10 +14,10 @@ match are those of the texts around equal anchors, and there the suffix arrays a
    E symbols. An owned text that occurs more than once stands in the group twice.
 3. The suffix array of the group (by linear grouping, see ``suffixes``) and its LCP array show which
    grams of E symbols start more than once: neighbours with a common prefix of E symbols.
-   Owned texts that are all equal are a core alone (E = 1), for which no bytes have to be gathered.
-4. Where very many different owned texts meet (over MAX_SIDES), a group is one offset's strings: the
-   cores are whole 200-byte strings, known by digest, equal ones stand in the array twice, and groups are
-   small whatever a text is shared by. The same arrays decide.
+4. Two kinds of repeats are counted, and no array is built for them. Where all owned texts of a gram are equal
+   there is nothing to order: each string has as many copies as the text. And where very many different owned
+   texts meet (over MAX_SIDES), whose array would be too large for a task, the strings at each offset of the gram
+   are grouped by their digests, so a group is small whatever a text is shared by.
 5. Repeated strings lead back, by gram and owned text, to all texts that have them; each is cut once.
 
 Rows of step 1 are a few numbers per about 80 bytes of text. Texts move twice, compressed. Owned texts
@@ -267,23 +267,12 @@ def by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(settle(groups), DECIDED)
 
 
-def by_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that are groups of a core alone, with ``copied`` last: those that the array finds repeated."""
-    for b in batches:
-        for lo in range(0, b.num_rows, SORT_SYMBOLS // 4):
-            part = b.slice(lo, SORT_SYMBOLS // 4)
-            twice = part.column(part.num_columns - 1).to_pylist()
-            of = [i for i, x in enumerate(twice) for _ in range(2 if x else 1)]
-            seen = repeated_grams([[i] for i in of], [1] * len(of))
-            yield part.take(pa.array(sorted({i for i, (x,) in zip(of, seen) if x}), pa.int64()))
-
-
 def decide(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``texts``: gram, owned, n, kinds, member. The repeated strings: DECIDED."""
     owned = texts.withColumn("copied", F.col("n") > 1)
     most, least = F.shiftrightunsigned("member.place", 8).bitwiseAND(F.lit(255)), F.col("member.place").bitwiseAND(F.lit(255))
-    lone = owned.filter("kinds = 1").select("gram", "owned", least.cast("int").alias("low"), most.cast("int").alias("high"), "copied")
-    lone = lone.mapInArrow(by_core, DECIDED + ", copied boolean").drop("copied")
+    # Counted: one owned text at a gram, in all its copies.
+    lone = owned.filter("kinds = 1 and copied").select("gram", "owned", least.cast("int").alias("low"), most.cast("int").alias("high"))
     few = _from_members(docs, owned.filter(f"kinds between 2 and {MAX_SIDES}"), SIDES, sides)
     few = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(by_gram, DECIDED)
     out = lone.unionByName(few)
@@ -292,8 +281,9 @@ def decide(docs: DataFrame, texts: DataFrame) -> DataFrame:
         return out
     single = written(_from_members(docs, many, STRINGS, strings), "strings")
     key = ["gram", "o", "d1", "d2"]
-    cores = single.groupBy(*key).agg((F.sum(F.when(F.col("copied"), 2).otherwise(1)) > 1).alias("copied"))
-    again = written(cores.mapInArrow(by_core, "gram long, o int, d1 long, d2 long, copied boolean").select(*key), "cores")
+    # Counted: the strings at each offset of a very common gram.
+    counts = single.groupBy(*key).agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("times"))
+    again = written(counts.filter("times > 1").select(*key), "repeated")
     return out.unionByName(single.join(again, key).select("gram", "owned", F.col("o").alias("low"), F.col("o").alias("high")))
 
 

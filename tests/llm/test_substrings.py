@@ -65,11 +65,19 @@ def test_many_sides_match_brute_force(spark, monkeypatch):
     assert result(df) == brute(odd_rows())
 
 
-def test_only_the_suffix_arrays_find_repeats(spark, monkeypatch):
-    for name in ("by_gram", "by_core"):  # the two places that build them
-        monkeypatch.setattr(substrings, name, lambda batches: iter(()))
-    df = spark.createDataFrame(odd_rows(), "doc_id long, text string")
-    assert {r.n_removed for r in substrings.remove(df).collect()} == {0}
+def test_what_the_arrays_find_and_what_is_counted(spark, monkeypatch):
+    """Texts that share a passage and differ around it are settled by the arrays, and by nothing else; copies of whole
+    texts are counted. Neither of them finds what the other does."""
+    rng = random.Random(5)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, whole = line(500), line(700)
+    df = spark.createDataFrame([(1, line(300) + passage + line(300)), (2, line(250) + passage + line(350)), (3, whole), (4, whole)], "doc_id long, text string")
+    removed = lambda: {r.doc_id: r.n_removed for r in substrings.remove(df).collect()}
+    every = removed()
+    assert 500 <= every[1] <= 504 and every[1] == every[2] and every[3] == every[4] == 700
+    monkeypatch.setattr(substrings, "by_gram", lambda batches: iter(()))
+    without = removed()
+    assert without[3] == without[4] == 700 and without[1] < 500 and without[2] < 500
 
 
 def test_rows_that_repeat_many_times(spark):
