@@ -1,55 +1,62 @@
 """Extraction from source text and logs: symbols, imports, stack frames, errors, diffs, references.
 
-Every extractor is a projection of one content column followed by an explode, so it runs where the
-content is read. What a language writes is kept in tables of its words (declaring words and their kind,
-modifiers, introducing words); a few generic patterns are built from them. Line numbers come from
-exploding lines with their position.
+Source text becomes an array of tokens (words, strings, marks), in the row where the content is read. Every rule looks at
+tokens and their neighbours: a declaration is a small automaton over a line's tokens, an import is a string or a run
+of words behind an introducing word, a reference is a name with certain tokens beside it. Line numbers come from exploding
+lines with their position.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 
+TOKEN = r"""\w+|"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|::|->|=>|\S"""
+#: Tokens of a line that a declaration may take.
+MOST_TOKENS = 60
 
-class Declares(NamedTuple):
-    """What a language declares symbols with."""
 
-    kinds: dict[str, str]  # declaring word -> kind
-    modifiers: str = ""  # words that may precede it
-    forms: tuple[tuple[str, str], ...] = ()  # further (kind, form), see FORMS
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-_ACCESS = "public private protected static abstract final"
-SYMBOLS: dict[str, Declares] = {
-    "python": Declares({"def": "function", "class": "class"}, "async"),
-    "ruby": Declares({"module": "class", "class": "class", "def": "function"}),
-    "rust": Declares({"fn": "function", "trait": "interface", "struct": "class", "enum": "class", "impl": "function"}, "pub async unsafe const"),
-    "go": Declares({"func": "function"}, "", (("class", "go struct"), ("interface", "go interface"))),
-    "php": Declares({"function": "function", "trait": "interface", "interface": "interface", "class": "class"}, _ACCESS + " readonly"),
-    "java": Declares({"interface": "interface", "enum": "class", "class": "class"}, _ACCESS + " sealed open override async", (("method", "typed method"),)),
-    "javascript": Declares({"function": "function", "class": "class"}, "export default async", (("function", "arrow"), ("method", "method"))),
-    "typescript": Declares({"function": "function", "class": "class", "interface": "interface", "type": "interface"}, "export default declare async abstract", (("function", "arrow"), ("method", "method"))),
-    "other": Declares({w: "class" for w in ("type", "trait", "struct", "interface", "enum", "class")}, "export", (("function", "call"),)),
+def is_word(token: Column) -> Column:
+    return token.rlike(r"^\w+$")
+
+
+def is_string(token: Column) -> Column:
+    return token.rlike("""^['"].*['"]$""")
+
+
+def unquoted(token: Column) -> Column:
+    return token.substr(F.lit(2), F.length(token) - 2)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: What declares a symbol, by kind and language; languages share words where they share a family.
+DECLARING = {
+    "class": {"class": "python php ruby java typescript javascript other", "struct": "rust other", "enum": "rust java other", "trait": "other", "interface": "other", "type": "other", "module": "ruby"},
+    "interface": {"interface": "php java typescript", "trait": "php rust", "type": "typescript"},
+    "function": {"def": "python ruby", "function": "php javascript typescript", "fn": "rust", "impl": "rust", "func": "go"},
+    "go type": {"type": "go"},
 }
-#: Languages that share a table.
+#: Words that may stand before, by language.
+BEFORE = {"python": "async", "rust": "pub async unsafe const", "typescript": "export default declare abstract async", "javascript": "export default async", "other": "export",
+          "php": "public protected private static abstract final readonly", "java": "public protected private static abstract final sealed open override async"}
+#: Words before a member of a class, in any language.
+MEMBER = ("public", "protected", "private", "static", "abstract", "final", "readonly", "override", "async", "get", "set")
+_OTHERS = ("python", "php", "ruby", "rust", "go", "java", "typescript", "javascript")
+#: Languages that are read like another.
 ALIASES = {"kotlin": "java", "swift": "java", "csharp": "java"}
-#: What may stand between a declaring word and the name: type parameters, a receiver, a generator's star, PHP's reference sign.
-_GAP = r"(?:<[^>]*>)?\s*(?:\s|[*&])\s*(?:\([^)]*\)\s*|self\.)?"
-_MEMBER = r"(?:(?:public|private|protected|static|abstract|final|readonly|override|async|get|set)\s+)*"
-#: Patterns of declarations without a declaring word; the name is group 1.
-FORMS = {
-    "go struct": r"^\s*type\s+(\w+)(?:\[[^\]]*\])?\s+struct\b",
-    "go interface": r"^\s*type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b",
-    "arrow": r"^\s*(?:export\s+)?(?:let|const|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\w+|\([^)]*\)(?:\s*:[^=]+)?)\s*=>",
-    "method": rf"^\s*{_MEMBER}(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{{;=]+)?\{{",
-    "typed method": rf"^\s*{_MEMBER}(?!return\b|new\b|throw\b|else\b|await\b)[\w.]+(?:<[^(]*>)?(?:\[\])*\s+(\w+)\s*\([^)]*\)",
-    "call": r"^\s*(?:export\s+)?(?:(?:function|func|fn|def)\s+)?(\w+)\s*\(",
-}
+KINDS = {f"{lang} {word}": kind for kind, words in DECLARING.items() for word, langs in words.items() for lang in langs.split()}
 # Words that look like names in these patterns.
 NO_NAMES = (
     "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "try", "catch", "finally", "throw", "new", "this", "super",
@@ -59,28 +66,62 @@ NO_NAMES = (
 MAX_SPAN = 500
 
 
-def declaration(g: Declares) -> str:
-    """The pattern of modifiers, declaring word (group 1) and name (group 2)."""
-    words = "|".join(sorted(g.kinds, key=lambda w: (-len(w), w)))
-    before = rf"(?:(?:{'|'.join(g.modifiers.split())})(?:\([^)]*\))?\s+)*" if g.modifiers else ""
-    return rf"^\s*{before}({words}){_GAP}(\w+)"
-
-
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for p in values.items() for x in p])
 
 
-def declared(body: Column, g: Declares) -> Column:
-    """An array of what a line declares: ord (the declaring words first, then the forms), kind, name."""
-    p = declaration(g)
-    found = [F.when(body.rlike(p), F.struct(F.lit(0).alias("ord"), F.element_at(_map(g.kinds), F.regexp_extract(body, p, 1)).alias("kind"), F.regexp_extract(body, p, 2).alias("name")))]
-    for i, (kind, form) in enumerate(g.forms, 1):
-        found.append(F.when(body.rlike(FORMS[form]), F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.regexp_extract(body, FORMS[form], 1).alias("name"))))
-    return F.array(*found)
-
-
-def grammar(lang: Column, known: dict) -> Column:
-    """The language whose table holds: aliases resolved, `other` for languages without one."""
+def declared(toks: Column, lang: Column) -> Column:
+    """(kind, name) of the symbol that a line declares by a declaring word, null for none. An automaton reads the tokens:
+    words that may stand before (0), the declaring word, what may stand before a name (1), the name (2) and, of a Go
+    type, what kind of type (3). What is in brackets is passed by."""
+    known, before = _map(KINDS), F.array(*[F.lit(f"{k} {w}") for k, ws in BEFORE.items() for w in ws.split()])
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"))
+
+    def step(acc, t):
+        opens, closes = t.isin("(", "[", "<"), t.isin(")", "]", ">")
+        depth = acc["depth"] + opens.cast("int") - closes.cast("int")
+        inside = opens | closes | (acc["depth"] > 0)
+        own = F.concat(lang, F.lit(" "), t)
+        kind = F.element_at(known, own)
+        at = (F.when(acc["at"] == 9, 9).when(inside, acc["at"])
+              .when(acc["at"] == 0, F.when(kind.isNotNull(), 1).when(F.array_contains(before, own), 0).otherwise(9))
+              .when(acc["at"] == 1, F.when(t.isin("*", "&", ".", "self"), 1).when(is_word(t), 2).otherwise(9))
+              .when((acc["at"] == 2) & (acc["kind"] == "go type"), F.when(t.isin("struct", "interface"), 3).otherwise(9)).otherwise(acc["at"]))
+        new_kind = F.when(~inside & (acc["at"] == 0), kind).when((at == 3) & (acc["at"] == 2), F.when(t == "struct", "class").otherwise("interface")).otherwise(acc["kind"])
+        return F.struct(at.alias("at"), depth.alias("depth"), new_kind.alias("kind"), F.when((at == 2) & (acc["at"] == 1), t).otherwise(acc["name"]).alias("name"))
+
+    done = lambda acc: F.when((acc["at"] >= 2) & (acc["at"] < 9) & (acc["kind"] != "go type"), F.struct(acc["kind"].alias("kind"), acc["name"].alias("name")))
+    return F.aggregate(F.slice(toks, 1, MOST_TOKENS), start, step, done)
+
+
+def _first(toks: Column, wanted) -> Column:
+    """The place, from 0, of the first token that ``wanted`` holds for; -1 for none."""
+    return (F.array_position(F.transform(toks, wanted), True) - 1).cast("int")
+
+
+def undeclared(toks: Column, lang: Column) -> Column:
+    """(kind, name) of the function that a line has without a declaring word, null for none: a variable that is given an
+    arrow function, a member followed by parameters and a body, a member with a type before its name, a call by itself."""
+    at = lambda i: F.get(toks, i)
+    count = lambda x: F.size(F.filter(toks, lambda t: t == x))
+    script = lang.isin("typescript", "javascript")
+    lead = (at(F.lit(0)) == "export").cast("int")
+    given, arrow, params = _first(toks, lambda t: t == "="), _first(toks, lambda t: t == "=>"), _first(toks, lambda t: t == "(")
+    value = given + 1 + (at(given + 1) == "async").cast("int")
+    is_arrow = script & at(lead).isin("let", "const", "var") & (given > lead) & (arrow > given) & ((at(value) == "(") | (at(value + 1) == "=>"))
+    member = _first(toks, lambda t: ~t.isin(*MEMBER))
+    is_member = script & is_word(at(member)) & at(member + 1).isin("(", "<") & (F.element_at(toks, -1) == "{") & (count("(") == count(")")) & (params > 0)
+    kind_of_type = at(params - 2)
+    typed = (lang == "java") & (params - 2 >= member) & is_word(at(params - 1)) & (is_word(kind_of_type) | kind_of_type.isin(">", "]")) & ((given < 0) | (given > params))
+    typed = typed & ~at(F.lit(0)).isin("return", "new", "throw", "else", "await")
+    called = lead + at(lead).isin("function", "func", "fn", "def").cast("int")
+    is_call = (lang == "other") & is_word(at(called)) & (at(called + 1) == "(")
+    out = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    return F.when(F.size(toks) > 1, F.when(is_arrow, out("function", at(lead + 1))).when(is_member, out("method", at(member))).when(typed, out("method", at(params - 1))).when(is_call, out("function", at(called))))
+
+
+def grammar(lang: Column, known: tuple[str, ...] = _OTHERS) -> Column:
+    """The language by whose rules a file is read: aliases resolved, `other` for languages without rules."""
     out = F.coalesce(F.element_at(_map(ALIASES), lang), lang)
     return F.when(out.isin(*known), out).otherwise("other")
 
@@ -93,9 +134,9 @@ def lines(files: DataFrame, *keep: str) -> DataFrame:
 def symbols(files: DataFrame) -> DataFrame:
     """``files``: path, language, content. path, name, kind, start_line, end_line, signature; of several
     symbols of a name in a file the one of the first form and line."""
-    ls = lines(files.filter("language <> 'unknown'"), "language").withColumn("grammar", grammar(F.col("language"), SYMBOLS))
-    tries = [F.when(F.col("grammar") == lang, declared(F.col("body"), g)) for lang, g in SYMBOLS.items()]
-    found = ls.select("path", "line", "body", F.explode(F.array_compact(F.coalesce(*tries))).alias("s")).select("path", "line", "body", "s.*").filter(~F.col("name").isin(*NO_NAMES))
+    ls = lines(files.filter("language <> 'unknown'"), "language").select("path", "line", "body", grammar(F.col("language")).alias("lang"), tokens(F.col("body")).alias("toks"))
+    found = F.array_compact(F.array(declared(F.col("toks"), F.col("lang")), undeclared(F.col("toks"), F.col("lang"))))
+    found = ls.filter(F.size("toks") > 1).select("path", "line", "body", F.posexplode(found).alias("ord", "s")).select("path", "line", "body", "ord", "s.*").filter(~F.col("name").isin(*NO_NAMES))
     first = F.row_number().over(Window.partitionBy("path", "name").orderBy("ord", "line"))
     starts = found.withColumn("rn", first).filter("rn = 1").select("path", "name", "kind", F.col("line").alias("start_line"), T.signature(F.col("body")).alias("signature"))
     return starts.join(symbol_ends(files, starts), ["path", "start_line"])
@@ -119,18 +160,6 @@ def symbol_ends(files: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.select("path", F.explode(ends).alias("x")).select("path", "x.*")
 
 
-_QUOTED = r"""['"]([^'"\n]+)['"]"""
-#: What introduces an imported specifier (group 1), by language.
-IMPORTS: dict[str, list[str]] = {
-    "java": [r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"],
-    "ruby": [r"\brequire(?:_relative)?\s+" + _QUOTED],
-    "rust": [r"\buse\s+((?:self|super|crate)(?:::\w+)+)"],
-    "go": [r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?" + _QUOTED + r"\s*$"],
-    "python": [r"(?m)^(?:from|import)\s+([\w.]+)"],
-    "php": [r"(?m)^\s*use\s+([\w\\]+)\s*(?:as\s+\w+\s*)?;", r"\b(?:require|include)(?:_once)?\b\s*\(?\s*" + _QUOTED],
-    "typescript": [r"""\b(?:import\b(?:[^'"();]*?\bfrom\b|\s*\()?|require\s*\()\s*""" + _QUOTED],
-}
-IMPORTS["javascript"] = IMPORTS["typescript"]
 # What marks a specifier as external.
 VENDORS = {
     "php": ["Illuminate\\", "Symfony\\", "Psr\\", "GuzzleHttp\\", "Carbon\\", "Laravel\\"],
@@ -150,25 +179,65 @@ def is_external(lang: Column, spec: Column) -> Column:
             .when(lang == "php", begins(VENDORS["php"])).when(lang == "ruby", begins(VENDORS["ruby"])).when(lang == "java", begins(VENDORS["java"])).otherwise(F.lit(False)))
 
 
+def _run(toks: Column, start: Column, links: tuple[str, ...]) -> Column:
+    """The name at a place: words with one of ``links`` between them, joined."""
+    rest = F.slice(toks, start + 1, F.lit(MOST_TOKENS))
+    odd = _first(rest, lambda t, i: ~(t.isin(*links) | (is_word(t) & ((i == 0) | F.get(rest, i - 1).isin(*links)))))
+    return F.array_join(F.when(odd < 0, rest).otherwise(F.slice(rest, F.lit(1), odd)), "")
+
+
+def _introduced(toks: Column, lang: Column) -> Column:
+    """The imported specifiers among a file's tokens, in order; null where there is none."""
+    at = lambda i: F.get(toks, i)
+
+    def here(t, i):
+        before, two_before = at(i - 1), at(i - 2)
+        # The statement that a `from` belongs to begins with the last `import` or `export` before it.
+        opening = F.filter(F.slice(toks, F.greatest(i - MOST_TOKENS, F.lit(0)) + 1, F.least(i, F.lit(MOST_TOKENS))), lambda x: x.isin("import", "export"))
+        some = (before == "import") | ((before == "from") & (F.coalesce(F.try_element_at(opening, F.lit(-1)), F.lit("")) == "import")) | ((before == "(") & two_before.isin("import", "require"))
+        script = F.when(is_string(t) & some, unquoted(t))
+        loads = ("require", "require_once", "include", "include_once")
+        php = F.when(is_string(t) & (before.isin(*loads) | ((before == "(") & two_before.isin(*loads))), unquoted(t)).when(is_word(t) & (before == "use"), _run(toks, i, ("\\",)))
+        ruby = F.when(is_string(t) & before.isin("require", "require_relative"), unquoted(t))
+        rust = F.when((before == "use") & t.isin("crate", "self", "super"), _run(toks, i, ("::",)))
+        java = F.when(is_word(t) & (t != "static") & ((before == "import") | ((before == "static") & (two_before == "import"))), _run(toks, i, (".",)))
+        return F.when(lang.isin("typescript", "javascript"), script).when(lang == "php", php).when(lang == "ruby", ruby).when(lang == "rust", rust).when(lang == "java", java)
+
+    return F.transform(toks, here)
+
+
+def _by_line(content: Column, lang: Column) -> Column:
+    """The same for languages whose imports are lines: Python's first word, Go's lines that end in a string."""
+    def here(line):
+        def of(toks):
+            first = F.get(toks, F.lit(0))
+            python = F.when(first.isin("from", "import") & ~line.rlike(r"^\s"), _run(toks, F.lit(1), (".",)))
+            last, rest = F.element_at(toks, -1), F.slice(toks, 1, F.size(toks) - 1)
+            go = F.when((F.size(toks) <= 3) & is_string(last) & F.forall(rest, lambda t: is_word(t) | (t == ".")), unquoted(last))
+            return F.when(F.size(toks) > 0, F.when(lang == "python", python).otherwise(go))
+        return let(tokens(line), of)
+
+    # Lines that cannot be imports are not read.
+    return F.transform(F.filter(F.split(content, r"\r?\n"), lambda x: F.when(lang == "python", x.rlike("^(from|import)\\s")).otherwise(F.contains(x, F.lit('"')))), here)
+
+
 def imports(files: DataFrame) -> DataFrame:
     """``files``: path, language, content. path, language, specifier of the imports within the tree, each once."""
-    f = files.withColumn("grammar", grammar(F.col("language"), IMPORTS))
-    found = [F.when(F.col("grammar") == lang, F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in ps]))) for lang, ps in IMPORTS.items()]
-    specs = f.select("path", F.col("grammar").alias("language"), F.explode(F.array_distinct(F.coalesce(*found))).alias("specifier"))
+    f = files.select("path", "content", grammar(F.col("language")).alias("lang")).filter(F.col("lang") != "other")
+    lang = F.col("lang")
+    found = F.when(lang.isin("python", "go"), _by_line(F.col("content"), lang)).otherwise(let(tokens(F.col("content")), lambda toks: _introduced(toks, lang)))
+    specs = f.select("path", lang.alias("language"), F.explode(F.array_distinct(F.array_compact(found))).alias("specifier"))
     return specs.filter((F.col("specifier") != "") & ~is_external(F.col("language"), F.col("specifier")))
 
 
-_EXTENSIONS = {"rb": "ruby", "go": "go", "rs": "rust"}
-#: Frame formats in order of precedence: name, pattern of the whole frame, groups of file, line, column and
-#: function (0 for none), and directories from which the path counts.
-FRAMES = [
-    ("php", r"#\d+[ \t]+([^\n(]+)\((\d+)\):?[ \t]*([^\n]*)", 1, 2, 0, 3, ("app", "tests", "vendor")),
-    ("php-line", r"([^\s\"'()]+\.php)\s+(?:on\s+)?line\s+(\d+)", 1, 2, 0, 0, ()),
-    ("javascript", r"\bat\s+(?:([^\n(]*?)\s*\()?((?:file://)?(?:[A-Za-z]:)?[/\\][^:()\n]*):(\d+)(?::(\d+))?\)?", 2, 3, 4, 1, ("dist", "node_modules", "src", "test", "tests")),
-    ("python", r'File\s+"([^"\n]+)",\s*line\s+(\d+)(?:,\s*in\s+([^\n]+))?', 1, 2, 0, 3, ("app", "src", "test", "tests")),
-    ("java", r"\bat\s+([\w.$]+\.[\w$<>]+)\(\w+\.java:(\d+)\)", 1, 2, 0, 1, ()),
-    ("located", r"([\w./\\-]+\.(?:rb|go|rs|php|py|java|jsx?|tsx?|vue|svelte)):(\d+)(?::(\d+))?(?::in\s+[`']([^'\n]+)')?", 1, 2, 3, 4, ()),
-]
+#: A place in a log: a file, what leads to its line, the line, and perhaps a column.
+PLACE = r"""((?:[A-Za-z]:)?[^\s"'():,]*\.[A-Za-z]{1,6})(["']?,?\s+(?:on\s+)?line\s+|[:(])(\d+)(?::(\d+))?"""
+#: The formats that tell a place in their own way, in order of precedence; the language of a bare place is that of its file.
+FORMATS = ("php", "php-line", "javascript", "python", "java")
+#: Folders from which a path counts, by format.
+ROOTS = {"php": ("app", "tests", "vendor"), "javascript": ("src", "dist", "test", "tests", "node_modules"), "python": ("app", "src", "test", "tests")}
+BARE = {"rb": "ruby", "go": "go", "rs": "rust"}
+SOURCES = ("php", "js", "jsx", "ts", "tsx", "py", "rb", "go", "rs", "java", "vue", "svelte")
 # What marks a frame as external.
 EXTERNAL_FRAMES = r"node_modules/|vendor/|\.phar|(^|/)usr/|(^|/)opt/|site-packages/|\.gem/"
 
@@ -180,29 +249,35 @@ def frame_path(path: Column) -> Column:
 
 
 def frames(logs: DataFrame) -> DataFrame:
-    """``logs``: id, content. id, ord, grammar, file, line, col, function, message. A frame that two
-    formats read with different roots is one, of the first format; external ones drop out; the first error
-    message goes with the first frame."""
-    parts = []
-    for g, (name, p, f, ln, col, fn, roots) in enumerate(FRAMES):
-        pick = lambda x, i, p=p: F.nullif(F.regexp_extract(x, p, i), F.lit("")) if i else F.lit(None).cast("string")
-        found = logs.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(p), F.lit(0))).alias("pos", "m"))
-        file, function, kind = pick(F.col("m"), f), pick(F.col("m"), fn), F.lit(name)
-        if name == "java":  # a class by its package, and the method
-            file, function = F.concat(F.replace(F.regexp_replace(file, r"\.[^.]*$", ""), F.lit("."), F.lit("/")), F.lit(".java")), F.regexp_extract(function, r"([^.]+)$", 1)
-        elif name == "located":
-            kind = F.coalesce(F.element_at(_map(_EXTENSIONS), F.regexp_extract(file, r"\.(\w+)$", 1)), F.lit("generic"))
-        elif roots:
-            file = F.regexp_replace(file, rf"^.*?(?=(?:{'|'.join(roots)})/)", "")
-        parts.append(found.select("id", F.lit(g).alias("g"), "pos", kind.alias("grammar"), frame_path(file).alias("file"), file.alias("raw"), pick(F.col("m"), ln).cast("int").alias("line"),
-                                  pick(F.col("m"), col).cast("int").alias("col"), F.btrim(function).alias("function")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    """``logs``: id, content. id, ord, grammar, file, line, col, function, message. Every place of every line is read once;
+    its format follows from what leads to the line number and from how the log line begins. Of places with the same
+    file name and line the one of the first format counts; external ones drop out; the first error message goes
+    with the first frame."""
+    ls = logs.select("id", F.posexplode(F.split("content", r"\r?\n")).alias("row", "body"))
+    found = ls.select("id", "row", "body", F.posexplode(F.regexp_extract_all("body", F.lit(PLACE), F.lit(0))).alias("pos", "m"))
+    get = lambda i: F.regexp_extract("m", PLACE, i)
+    found = found.select("id", "row", "pos", "body", get(1).alias("raw"), F.btrim(get(2)).alias("lead"), get(3).cast("int").alias("line"), F.nullif(get(4), F.lit("")).cast("int").alias("col"),
+                         F.call_function("substring_index", F.col("body"), F.col("m"), F.lit(1)).alias("head"), F.call_function("substring_index", F.col("body"), F.col("m"), F.lit(-1)).alias("tail"))
+    ext, frame = F.lower(F.regexp_extract("raw", r"\.(\w+)$", 1)), F.regexp_replace("head", r"^\s+", "")
+    kind = (F.when((F.col("lead") == "(") & frame.rlike(r"^#\d+\s"), "php").when((ext == "php") & F.col("lead").endswith("line") & ~frame.startswith("File "), "php-line")
+            .when(frame.startswith("File ") & F.col("lead").endswith("line"), "python")
+            .when((ext == "java") & frame.startswith("at ") & frame.endswith("("), "java").when((F.col("lead") == ":") & frame.rlike(r"^at\s") & F.col("raw").rlike(r"[/\\\\]"), "javascript")
+            .when((F.col("lead") == ":") & ext.isin(*SOURCES), F.coalesce(F.element_at(_map(BARE), ext), F.lit("generic"))))
+    found = found.withColumn("grammar", kind).filter("grammar is not null")
+    called = F.btrim(F.regexp_replace(F.regexp_replace("head", r"^\s*at\s", ""), r"\($", ""))  # what is between `at` and the bracket
+    named = F.regexp_extract("tail", r"^:in\s+[`']([^']+)'", 1)
+    function = (F.when(F.col("grammar") == "php", F.regexp_replace("tail", r"^\):?\s*", "")).when(F.col("grammar") == "python", F.regexp_extract("tail", r"^,\s*in\s+(.+)$", 1))
+                .when(F.col("grammar") == "java", F.element_at(F.split(called, r"\."), -1)).when(F.col("grammar") == "javascript", called).otherwise(named))
+    package = F.concat(F.array_join(F.slice(F.split(called, r"\."), F.lit(1), F.greatest(F.size(F.split(called, r"\.")) - 1, F.lit(0))), "/"), F.lit(".java"))
+    file = F.when(F.col("grammar") == "java", package)
+    for name, roots in ROOTS.items():
+        file = file.when(F.col("grammar") == name, F.regexp_replace("raw", rf"^.*?(?=(?:{'|'.join(roots)})/)", ""))
+    g = F.array_position(F.array(*[F.lit(x) for x in FORMATS]), F.col("grammar"))
+    every = found.select("id", F.when(g == 0, len(FORMATS) + 1).otherwise(g).alias("g"), "row", "pos", "grammar", file.otherwise(F.col("raw")).alias("raw"), frame_path(file.otherwise(F.col("raw"))).alias("file"), "line", "col", F.nullif(F.btrim(function), F.lit("")).alias("function"))
     every = every.filter((F.col("line") > 0) & ~F.col("raw").rlike(EXTERNAL_FRAMES) & ~F.col("file").rlike(EXTERNAL_FRAMES))
-    once = F.row_number().over(Window.partitionBy("id", T.basename(F.col("file")), "line").orderBy("g", "pos"))
+    once = F.row_number().over(Window.partitionBy("id", T.basename(F.col("file")), "line").orderBy("g", "row", "pos"))
     kept = every.withColumn("rn", once).filter("rn = 1")
-    kept = kept.withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy("g", "pos")))
+    kept = kept.withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy("g", "row", "pos")))
     first = error_messages(logs).filter("ord = 1").select("id", F.lit(1).alias("ord"), "message")
     return kept.join(first, ["id", "ord"], "left").select("id", "ord", "grammar", "file", "line", "col", "function", "message")
 
@@ -259,32 +334,12 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
     return h.select("id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line")).distinct()
 
 
-_CLASS, _METHOD, _FILE = r"[A-Z][A-Za-z0-9]+", r"[a-z]\w*", r"[\w\-./]+\.[A-Za-z]{2,5}"
 # How names of classes with a role end.
 _ROLES = ("Controller", "Service", "Model", "Repository", "Factory", "Handler", "Provider", "Middleware", "Request", "Resource", "Event", "Listener", "Job", "Command", "Policy", "Rule", "Exception",
           "Interface", "Trait", "Helper", "Manager", "Facade", "Client", "Gateway", "Adapter", "Builder", "Validator", "Observer", "Seeder", "Migration")
-#: The surroundings that make a name a reference: kind, what is before it, the name, what is after it, whether common names drop out.
-SURROUNDINGS = [
-    ("class", r"\bnew\s+", _CLASS, r"\s*\(", False),
-    ("class", r"\b(?:implements|extends)\s+", _CLASS, "", False),
-    ("class", r"\buse\s+(?:\w+\\)*", _CLASS, r"(?:\s+as\s+\w+)?;", False),
-    ("class", r"@(?:throws|return|param|type|var)\s+\\?", _CLASS, "", False),
-    ("class", r"\b", _CLASS, r"(?=::\w)", True),
-    ("class", "`", _CLASS, r"(?:::\w+)?(?:\(\))?`", True),
-    ("class", r"\b", rf"[A-Z][A-Za-z0-9]*(?:{'|'.join(_ROLES)})", r"\b", False),
-    ("method", r"\bfunction\s+", _METHOD, r"\s*\(", False),
-    ("method", "(?:::|->)", _METHOD, r"\s*\(", True),
-    ("method", r"`(?:[A-Z]\w*::)?", _METHOD, r"\(\)`", True),
-    ("method", r"""::class\s*,\s*['"]""", _METHOD, r"""['"]\s*\]""", False),
-    ("method", r"""['"]action['"]\s*=>\s*['"]""", _METHOD, r"""['"]""", False),
-    ("path", r"""(?m)(?:^|[\s"'`(\[])""", r"(?:src|lib|app|routes|resources|database|config|specs?|tests?)/" + _FILE, "", False),
-    ("path", r"(?<![\w.])\./", _FILE, "", False),
-    ("path", r"\]\((?!http)", rf"[^)\s]+\.[A-Za-z]{{2,5}}", r"\)", False),
-    ("path", r"""\b(?:include|require)(?:_once)?\s*\(?\s*['"]""", _FILE, r"""['"]""", False),
-]
-_VERBS = "get|post|put|patch|delete"
-#: Routes: the verb is group 1, the path group 2.
-ROUTES = [rf"(?i)\b({_VERBS}|head|options)[ \t]+(/[\w\-/{{}}.?&=]*)", rf"""(?i)\b(?:Route::|(?:router|app)\.)({_VERBS}|any|options)\s*\(\s*['"]([^'"\n]+)['"]"""]
+#: Folders that begin a path wherever it stands, and the verbs of routes.
+TOP_FOLDERS = ("src", "lib", "app", "routes", "resources", "database", "config", "spec", "specs", "test", "tests")
+VERBS = ("get", "post", "put", "patch", "delete", "options")
 # Constants and methods too common to be references, and extensions of reference paths.
 COMMON_CONSTANTS = ("HTTP", "API", "DB", "URL", "JSON", "XML", "HTML", "CSS", "SQL", "TRUE", "FALSE", "NULL", "VOID", "INT", "STRING", "BOOL", "ARRAY", "ENV", "CONFIG", "LOG", "DEBUG", "ERROR", "WARNING", "INFO")
 COMMON_METHODS = (
@@ -295,24 +350,54 @@ PATH_EXTENSIONS = ("php", "js", "ts", "jsx", "tsx", "vue", "svelte", "py", "rb",
                    "md", "txt", "sql", "graphql", "gql", "blade", "twig", "ejs", "hbs", "pug", "env", "sh", "bash", "zsh")
 
 
+def _named(toks: Column) -> Column:
+    """Classes and methods that tokens refer to, by what stands beside a name: arrays of (kind, ref)."""
+    at = lambda i: F.coalesce(F.get(toks, i), F.lit(""))
+    ref = lambda kind, name, cond: F.when(cond, F.struct(F.lit(kind).alias("kind"), name.alias("ref")))
+
+    def here(t, i):
+        before, after = at(i - 1), at(i + 1)
+        quoted = F.regexp_replace(F.regexp_replace(t, "^`|`$", ""), r"\(\)$", "")
+        capital = lambda x: x.rlike("^[A-Z][A-Za-z0-9]+$")
+        small = lambda x: x.rlike(r"^[a-z]\w+$") & (F.length(x) > 2)
+        uncommon, unusual = ~F.upper(t).isin(*COMMON_CONSTANTS), lambda x: ~x.isin(*COMMON_METHODS)
+        doc = before.isin("throws", "return", "param", "type", "var") & (at(i - 2) == "@") | ((before == "\\") & (at(i - 3) == "@"))
+        opening = F.filter(F.slice(toks, F.greatest(i - 12, F.lit(0)) + 1, F.least(i, F.lit(12))), lambda x: x.isin("use", "namespace", "new", ";"))
+        used = after.isin(";", "as") & ((before == "use") | ((before == "\\") & (F.coalesce(F.try_element_at(opening, F.lit(-1)), F.lit("")) == "use")))
+        is_class = capital(t) & (((before == "new") & (after == "(")) | before.isin("implements", "extends") | doc | used | ((after == "::") & is_word(at(i + 2)) & uncommon) | reduce(lambda a, r: a | t.endswith(r), _ROLES, F.lit(False)))
+        is_method = small(t) & (((before == "function") & (after == "(")) | (before.isin("::", "->") & (after == "(") & unusual(t)))
+        text_of = unquoted(t)
+        listed = is_string(t) & small(text_of) & (((before == ",") & (at(i - 2) == "class") & (at(i - 3) == "::") & (after == "]")) | ((before == "=>") & at(i - 2).isin("'action'", '"action"')))
+        code = t.startswith("`") & (F.length(t) > 2)
+        parts = F.split(quoted, "::")
+        owner, own = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+        route = F.when(is_string(t) & (before == "(") & F.lower(at(i - 2)).isin(*VERBS, "any") & (((at(i - 3) == "::") & (at(i - 4) == "Route")) | ((at(i - 3) == ".") & at(i - 4).isin("router", "app"))),
+                       F.struct(F.lit("route").alias("kind"), F.concat(F.upper(at(i - 2)), F.lit(" "), text_of).alias("ref")))
+        return F.array(ref("class", t, is_class), ref("method", t, is_method), ref("method", text_of, listed),
+                       ref("class", owner, code & (F.size(parts) <= 2) & capital(owner) & ~F.upper(owner).isin(*COMMON_CONSTANTS)),
+                       ref("method", own, code & t.endswith("()`") & small(own) & unusual(own) & ((F.size(parts) == 1) | capital(owner))), route)
+
+    return F.flatten(F.transform(toks, here))
+
+
+def _pathlike(words: Column) -> Column:
+    """Paths and routes among words (see ``references``), each as (kind, ref)."""
+    at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+
+    def here(w, i):
+        bare = F.regexp_replace(w, r"^(\]|\./)", "")
+        is_path = bare.rlike(r"^[\w./-]+\.[A-Za-z]{2,5}$") & F.contains(bare, F.lit("/")) & F.lower(F.regexp_extract(bare, r"\.(\w+)$", 1)).isin(*PATH_EXTENSIONS)
+        told = w.startswith("]") | w.startswith("./") | F.split(bare, "/")[0].isin(*TOP_FOLDERS) | at(i - 1).isin("include", "include_once", "require", "require_once")
+        is_route = w.startswith("/") & F.lower(at(i - 1)).isin(*VERBS, "head")
+        return (F.when(is_path & told, F.struct(F.lit("path").alias("kind"), bare.alias("ref")))
+                .when(is_route, F.struct(F.lit("route").alias("kind"), F.concat(F.upper(at(i - 1)), F.lit(" "), F.regexp_replace(w, r"[.?]$", "")).alias("ref"))))
+
+    return F.transform(words, here)
+
+
 def references(files: DataFrame) -> DataFrame:
-    """``files``: path, content. path, kind (class, method, path, route), ref: what the content refers to."""
-    parts = []
-    for kind, before, name, after, common in SURROUNDINGS:
-        found = F.regexp_extract_all("content", F.lit(f"{before}({name}){after}"), F.lit(1))
-        if kind == "class" and common:
-            found = F.filter(found, lambda r: ~F.upper(r).isin(*COMMON_CONSTANTS))
-        if kind == "method":
-            found = F.filter(found, lambda r: F.length(r) > 2)
-            found = F.filter(found, lambda r: ~r.isin(*COMMON_METHODS)) if common else found
-        if kind == "path":
-            found = F.filter(found, lambda r: F.contains(r, F.lit("/")) & ~r.rlike(r'[<>:"|?*]') & F.lower(F.regexp_extract(r, r"\.([^.]*)$", 1)).isin(*PATH_EXTENSIONS))
-        parts.append(F.transform(found, _tagged(kind)))
-    for p in ROUTES:
-        both = F.arrays_zip(F.regexp_extract_all("content", F.lit(p), F.lit(1)).alias("v"), F.regexp_extract_all("content", F.lit(p), F.lit(2)).alias("r"))
-        parts.append(F.transform(both, lambda x: F.struct(F.lit("route").alias("kind"), F.concat(F.upper(x["v"]), F.lit(" "), x["r"]).alias("ref"))))
-    return files.select("path", F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("x")).select("path", "x.kind", "x.ref")
-
-
-def _tagged(kind: str):
-    return lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("ref"))
+    """``files``: path, content. path, kind (class, method, path, route), ref: what the content refers to. Names are
+    found among tokens; paths and routes among words, where the target of a link begins with its bracket."""
+    words = F.split(F.replace("content", F.lit("]("), F.lit(" ]")), r"""[\s"'`()<>,;\[]+""")
+    named, paths = let(tokens(F.col("content")), _named), let(words, _pathlike)
+    return files.select("path", F.explode(F.array_distinct(F.array_compact(F.concat(named, paths)))).alias("x")).select("path", "x.kind", "x.ref")

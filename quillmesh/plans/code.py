@@ -197,19 +197,24 @@ def tasks(spark, sf):
     return project.TASKS.frame(spark).unionByName(c)
 
 
-_ENTITIES = {"class": resolve.CLASS, "snake": resolve.SNAKE, "member": resolve.MEMBER, "camel": resolve.CAMEL, "file": resolve.FILE, "route": resolve.ROUTE, "code": resolve.CODE}
-
-
+_PATTERNS = {"route": resolve.ROUTE, "code": resolve.CODE}
 #: A file is a whole word of path characters.
 _FILES_OF = "list_filter(string_split_regex(text, '[^\\w/.-]+'), lambda w: regexp_matches(w, '(?i)^([\\w-]+/)*[\\w-]+(\\.[\\w-]+)*\\.(php|ts|tsx|js|jsx|py|rb|go|rs|java|vue|svelte)\\.?$'))"
+_WORDS_OF = "regexp_extract_all(text, '(?:\\.|::)?[A-Za-z0-9_]+')"
+_BARE = f"list_transform({_WORDS_OF}, lambda w: ltrim(w, '.:'))"
+#: Kinds of words by how they are spelled.
+_SPELLED = {"class": f"list_filter({_BARE}, lambda w: regexp_full_match(w, '(?:[A-Z][a-z]+){{2,}}'))", "snake": f"list_filter({_BARE}, lambda w: regexp_full_match(w, '[a-z][a-z0-9]*(?:_[a-z0-9]+)+'))",
+            "camel": f"list_filter({_BARE}, lambda w: regexp_full_match(w, '[a-z][a-zA-Z0-9]*[A-Z][a-z0-9]+'))",
+            "member": f"list_filter(list_transform(list_filter({_WORDS_OF}, lambda w: w[1] IN ('.', ':')), lambda w: regexp_extract(ltrim(w, '.:'), '^[a-z][a-zA-Z0-9]+')), lambda w: w <> '')"}
+_FOUND = _SPELLED | {k: f"regexp_extract_all(text, {lit(re2(p))}, 1)" for k, p in _PATTERNS.items()} | {"file": f"list_transform({_FILES_OF}, lambda w: rtrim(w, '.'))"}
 
 
-@query(f"WITH {_TASKS} SELECT DISTINCT query, kind, name FROM (" + " UNION ALL ".join(f"SELECT query, '{k}' AS kind, unnest(regexp_extract_all(text, {lit(re2(p))}, 1)) AS name FROM tasks" for k, p in _ENTITIES.items() if k != "file")
-       + f" UNION ALL SELECT query, 'file', rtrim(unnest({_FILES_OF}), '.') FROM tasks)")
+@query(f"WITH {_TASKS} SELECT DISTINCT query, kind, name FROM (" + " UNION ALL ".join(f"SELECT query, '{k}' AS kind, unnest({x}) AS name FROM tasks" for k, x in _FOUND.items()) + ")")
 def task_entities(spark, sf):
-    t = tasks(spark, sf)
-    parts = [F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _named(k)) for k, p in _ENTITIES.items()]
-    return t.select("query", F.explode(F.flatten(F.array(*parts))).alias("e")).select("query", "e.kind", "e.name").distinct()
+    e = resolve.entity_words(F.col("text"))
+    found = {"class": e["classes"], "snake": e["snakes"], "camel": e["camels"], "member": e["members"]} | {k: F.regexp_extract_all("text", F.lit(p), F.lit(1)) for k, p in (_PATTERNS | {"file": resolve.FILE}).items()}
+    parts = [F.transform(x, _named(k)) for k, x in found.items()]
+    return tasks(spark, sf).select("query", F.explode(F.flatten(F.array(*parts))).alias("e")).select("query", "e.kind", "e.name").distinct()
 
 
 def _named(kind):
@@ -233,7 +238,7 @@ def change_type(spark, sf):
 
 
 def _has(kind: str) -> str:
-    return f"len({_FILES_OF}) > 0" if kind == "file" else f"regexp_matches(text, {lit(re2(_ENTITIES[kind]))})"
+    return f"len({_FOUND[kind]}) > 0"
 
 
 _CONF = f"""{_TASKS}, c AS (SELECT query, {_has('file')} AS f, {_has('class')} OR {_has('snake')} AS c, {_has('member')} AS m, {_has('route')} AS r, {_has('code')} AS e, len(list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)) AS k FROM tasks),
@@ -241,8 +246,9 @@ d AS (SELECT query, f, c OR m AS cm, r, round(least(1.0, 0.3 * f::INT + 0.25 * c
 
 
 def _task_signals(spark, sf):
-    has = lambda k: F.col("text").rlike(_ENTITIES[k])
-    return tasks(spark, sf).select("query", has("file").alias("f"), (has("class") | has("snake")).alias("c"), has("member").alias("m"), has("route").alias("r"), has("code").alias("e"), F.size(T.keyword_tokens(F.col("text"))).alias("k"))
+    some, has = lambda c: F.size(c) > 0, lambda p: F.col("text").rlike(p)
+    t = tasks(spark, sf).withColumn("w", resolve.entity_words(F.col("text")))
+    return t.select("query", has(resolve.FILE).alias("f"), (some("w.classes") | some("w.snakes")).alias("c"), some("w.members").alias("m"), has(resolve.ROUTE).alias("r"), has(resolve.CODE).alias("e"), F.size(T.keyword_tokens(F.col("text"))).alias("k"))
 
 
 @query(f"WITH {_CONF} SELECT query, confidence, CASE WHEN confidence < 0.3 THEN 'vague' WHEN confidence < 0.5 THEN 'clarify' ELSE 'clear' END AS clarity FROM d")
