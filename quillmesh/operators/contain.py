@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many needles are broadcast; more meet the rows by a common piece of GRAM characters first.
-SMALL_SIDE, GRAM = 10_000, 3
+from quillmesh.session import staged
 
+#: Characters of a gram, and how many different ones are broadcast to the rows; more meet them by a shuffle.
+GRAM, MAX_BROADCAST = 3, 100_000
 
-def _grams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: text.substr(i, F.lit(GRAM))))
+
+def _grams(text: Column, size: int) -> Column:
+    return F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: text.substr(i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
 def containing(rows: DataFrame, hay: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Pairs of ``rows`` and ``needles`` where the column ``hay`` contains ``needle``. With many needles an
-    equi-join on the needle's first characters finds the pairs to look at; needles shorter than that are few
-    different ones, which are broadcast, and queries that share a needle are joined to it last."""
-    if needles.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE:
-        return rows.join(F.broadcast(needles), F.contains(hay, F.col(needle)))
-    each = needles.select(F.col(needle).alias("__needle")).filter("__needle is not null").distinct()
-    short = each.filter(F.length("__needle") < GRAM)
-    long_ = each.filter(F.length("__needle") >= GRAM).withColumn("__gram", F.substring("__needle", 1, GRAM))
-    cut = rows.withColumn("__gram", F.explode(_grams(F.col(hay)))).join(long_, "__gram").drop("__gram").filter(F.contains(hay, F.col("__needle")))
-    both = cut.unionByName(rows.join(F.broadcast(short), F.contains(hay, F.col("__needle"))))
-    return both.join(needles, F.col("__needle") == F.col(needle)).drop("__needle")
+    """Pairs of ``rows`` and ``needles`` where the column ``hay`` contains ``needle``; empty needles are in no row. Rows
+    meet a needle by its rarest gram, the one that the fewest rows have, and the pairs are looked at then: the work is in
+    proportion to the rows and to what is nearly found, and no gram that all rows have brings them together unless it is
+    the whole of a needle. Needles that queries share are looked for once."""
+    each = staged(needles.select(F.col(needle).alias("__needle")).filter(F.length(needle) > 0).distinct(), "needles")
+    sizes = sorted(r.n for r in each.select(F.least(F.length("__needle"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM rows at most
+    own = F.when(F.length("__needle") >= GRAM, _grams(F.col("__needle"), GRAM)).otherwise(F.array("__needle"))
+    of_needle = each.select("__needle", F.explode(F.array_distinct(own)).alias("__gram"))
+    wanted = of_needle.select("__gram").distinct()
+    small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col(hay), n) for n in sizes or [GRAM]])))
+    met = rows.withColumn("__gram", F.explode(every)).join(F.broadcast(wanted) if small else wanted, "__gram", "left_semi")
+    counts = met.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = of_needle.join(counts, "__gram", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("g"))
+    rarest = rarest.filter("g.n > 0").select("__needle", F.col("g.__gram").alias("__gram"))
+    found = met.join(rarest, "__gram").filter(F.contains(hay, F.col("__needle"))).drop("__gram")
+    return found.join(needles, F.col("__needle") == F.col(needle)).drop("__needle")

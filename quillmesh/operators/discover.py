@@ -67,6 +67,24 @@ def from_hints(tasks: DataFrame, files: DataFrame) -> DataFrame:
     return signals(m, file_hint_hit=F.lit(True), file_hint_exact=F.col("exact"))
 
 
+def grouped(words: DataFrame) -> DataFrame:
+    """``words``: query, word, ord, form. query, group, form: in order, a word joins the first group that has one of its
+    forms and brings its own along, or begins a group; groups are never joined later. A fold over a task's words, in
+    the row of the task."""
+    forms = words.groupBy("query", "word").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_set("form")).alias("forms"))
+    rows = forms.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "forms"))).alias("words"))
+
+    def step(groups, w):
+        def placed(at):  # from 1, 0 for none
+            joined = F.transform(groups, lambda g, i: F.when(i + 1 == at, F.array_union(g, w["forms"])).otherwise(g))
+            return F.when(at == 0, F.concat(groups, F.array(w["forms"]))).otherwise(joined)
+
+        return F.get(F.transform(F.array(F.array_position(F.transform(groups, lambda g: F.arrays_overlap(g, w["forms"])), True)), placed), F.lit(0))
+
+    groups = F.aggregate("words", F.array().cast("array<array<string>>"), step)
+    return rows.select("query", F.posexplode(groups).alias("group", "forms")).select("query", "group", F.explode("forms").alias("form"))
+
+
 def from_names(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """Counts of a task's words in the path: as typed among its segments, and groups of words with a common
     stem among the segments and their stems, in the path and in the basename."""
@@ -76,10 +94,7 @@ def from_names(tasks: DataFrame, files: DataFrame) -> DataFrame:
     stems = staged(S.stems(words.select(F.col("word").alias("term")).union(seg.select("term"))), "stems")
     forms = lambda df, c: df.join(stems.select(F.col("term").alias(c), "stem"), c).withColumnRenamed("stem", "form").select(*[x for x in df.columns if x != c], F.col(c), "form").union(df.select(*[x for x in df.columns if x != c], F.col(c), F.col(c))).distinct()
     own = forms(words, "word")
-    # A word joins the group of the first earlier word with a form in common.
-    lead = own.groupBy("query", "form").agg(F.min_by("word", "ord").alias("lead"), F.min("ord").alias("lead_ord"))
-    group = own.join(lead, ["query", "form"]).groupBy("query", "word").agg(F.min_by("lead", "lead_ord").alias("group"))
-    own = own.join(group, ["query", "word"]).select("query", "group", "form").distinct()
+    own = grouped(own)
     exact = forms(seg, "term").select("path", "form").distinct().join(own, "form").select("query", "path", "group")
     inside = containing(files.select("path", F.lower("path").alias("low")), "low", own, "form").select("query", "path", "group")
     expanded = exact.union(inside).groupBy("query", "path").agg(F.countDistinct("group").alias("path_matches"))
@@ -112,11 +127,23 @@ def from_references(merged: DataFrame, files: DataFrame, symbols: DataFrame) ->
     return signals(every, related_file=F.lit(True))
 
 
+# Folders that hold tests, what marks a test's name before its ending, and the endings it is used with.
+TEST_FOLDERS = ("test", "tests", "spec", "specs", "__tests__")
+TEST_MARKS = {"Test": ("php", "ts", "js"), "_test": ("go", "py")}
+
+
 def tested_path(path: Column) -> Column:
-    """The path of the file that a test is named after."""
-    p = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"(?i)tests?/", ""), r"(?i)specs?/", ""), r"(?i)__tests__/", "")
-    p = F.regexp_replace(F.regexp_replace(p, r"\.(test|spec)\.", "."), r"Test\.(php|ts|js)$", ".$1")
-    return F.regexp_replace(p, r"_test\.(go|py)$", ".$1")
+    """The path of the file that a test is named after: without the first folder of each kind of tests and the mark."""
+    parts, name = F.split(T.dirname(path), "/"), T.basename(path)
+    first = lambda p, i: F.array_position(F.transform(parts, F.lower), F.lower(p)) == i + 1
+    kept = F.filter(parts, lambda p, i: ~(F.lower(p).isin(*TEST_FOLDERS) & first(p, i)) & (p != "."))
+    # A mark is a part of the name by itself, or stands before its last part.
+    pieces = F.split(name, r"\.")
+    middle = F.filter(pieces, lambda x, i: (i == 0) | (i == F.size(pieces) - 1) | ~x.isin("test", "spec"))
+    name = F.array_join(middle, ".")
+    for mark, endings in TEST_MARKS.items():
+        name = F.when(T.extension(name).isin(*endings), F.regexp_replace(name, rf"{mark}(\.[a-z]+)$", "$1")).otherwise(name)
+    return F.array_join(F.concat(kept, F.array(name)), "/")
 
 
 def from_tests(merged: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:

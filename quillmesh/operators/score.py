@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.session import staged
 
 FLAGS = ("stacktrace_hit", "diff_hit", "file_hint_hit", "file_hint_exact", "symbol_match", "exact_symbol", "keyword_match", "graph_related", "test_file", "git_hotspot", "related_file", "example_usage")
 COUNTS = ("raw_path_matches", "path_matches", "basename_matches")
@@ -83,11 +84,13 @@ def reasons(share: Column, domains: Column) -> Column:
 
 def score(candidates: DataFrame, tasks: DataFrame, git: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     """``candidates`` of ``merge``; ``tasks``: query, domains; ``git``: path, churn. Adds score (rounded) and
-    reasons. The same-directory test is a window sum, not a self-join."""
-    c = candidates.join(tasks.select("query", "domains"), "query").join(git.select("path", "churn"), "path", "left")
+    reasons. Directories with a hit are an aggregate, joined back: no window holds the candidates."""
     hit = (F.col("stacktrace_hit") | F.col("diff_hit")).cast("int")
-    near = (F.sum(hit).over(Window.partitionBy("query", T.dirname(F.col("path")))) - hit) > 0
-    c = c.withColumn("share", domain_share(F.col("path"), F.col("domains"), words)).withColumn("near", near)
+    c = candidates.withColumn("dir", T.dirname(F.col("path")))
+    dirs = c.filter(hit == 1).groupBy("query", "dir").agg(F.count("*").alias("hits"))
+    c = c.join(tasks.select("query", "domains"), "query").join(git.select("path", "churn"), "path", "left").join(dirs, ["query", "dir"], "left")
+    c = c.withColumn("near", F.coalesce("hits", F.lit(0)) - hit > 0).drop("dir", "hits")
+    c = c.withColumn("share", domain_share(F.col("path"), F.col("domains"), words))
     out = c.withColumn("score", F.round(base_score(F.col("share")) * bonus(F.col("share"), F.col("churn"), F.col("near")), 6)).withColumn("reasons", reasons(F.col("share"), F.col("domains")))
     return out.drop("near", "share", "churn", "domains")
 
@@ -100,25 +103,28 @@ def test_stem(path: Column) -> Column:
 
 def select(scored: DataFrame, tasks: DataFrame, most: int = MAX_FILES, tests: bool = True, configs: bool = True) -> DataFrame:
     """The files of a pack: named ones always, then shares of what is left for main files, tests of those
-    and configuration of the task's domains. query, path, class, ord, score (1 for the best), reasons."""
+    and configuration of the task's domains. query, path, class, ord, score (1 for the best), reasons. Candidates are
+    counted by aggregates, and only the ``most`` best of each class, which each task picks from its own rows first, are
+    ranked together."""
     test = F.col("path").rlike(TEST)
     kind = F.when((F.col("file_hint_exact") | F.col("exact_symbol")) & ~test, 0).when(test, 2).when(F.col("path").rlike(CONFIG), 3).otherwise(1)
     c = scored.withColumn("class", kind)
-    rank = F.row_number().over(Window.partitionBy("query", "class").orderBy(F.desc("score"), "path"))
-    reserved = F.sum((F.col("class") == 0).cast("int")).over(Window.partitionBy("query"))
-    c = c.withColumn("rank", rank).withColumn("left", F.greatest(F.lit(most) - reserved, F.lit(0)))
-    first = c.filter((F.col("class") == 0) | ((F.col("class") == 1) & (F.col("rank") <= F.floor(F.col("left") * MAIN_SHARE))))
+    left = F.greatest(F.lit(most) - F.count_if(F.col("class") == 0), F.lit(0))
+    c_left = c.groupBy("query").agg(left.alias("left"))
+    # A filter on the rank that the planner knows as a limit of each group, applied before rows are shuffled.
+    best_of = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query", "class").orderBy(F.desc("score"), "path"))).filter(F.col("rank") <= most)
+    within = lambda rows, share: best_of(rows).join(c_left, "query").filter((F.col("class") == 0) | (F.col("rank") <= F.floor(F.col("left") * share))).drop("left")
+    first = staged(within(c.filter("class < 2"), MAIN_SHARE), "main-files")
     parts = [first]
     if tests:
-        stems = first.select("query", F.lower(F.regexp_replace(T.basename(F.col("path")), r"\.[a-z]+$", "")).alias("stem")).distinct()
-        own = c.filter("class = 2").withColumn("own", test_stem(F.col("path")))
-        # At most `most` stems a query; the join is by query.
-        fit = own.join(stems, "query").filter(F.contains("own", "stem") | F.contains("stem", "own")).select("query", "path").distinct()
-        good = own.drop("own").join(fit, ["query", "path"], "left_semi").withColumn("rank", rank)
-        parts.append(good.filter(F.col("rank") <= F.floor(F.col("left") * TEST_SHARE)))
+        stem = F.lower(F.regexp_replace(T.basename(F.col("path")), r"\.[a-z]+$", ""))
+        stems = first.groupBy("query").agg(F.collect_set(stem).alias("stems"))  # at most `most` of a query
+        own = test_stem(F.col("path"))
+        good = c.filter("class = 2").join(stems, "query").filter(F.exists("stems", lambda s: F.contains(own, s) | F.contains(s, own))).drop("stems")
+        parts.append(within(good, TEST_SHARE))
     if configs:
-        good = c.filter("class = 3").join(tasks.select("query", "domains"), "query").filter(F.exists("domains", lambda d: F.contains(F.lower("path"), d["domain"]))).drop("domains").withColumn("rank", rank)
-        parts.append(good.filter(F.col("rank") <= F.floor(F.col("left") * CONFIG_SHARE)))
+        good = c.filter("class = 3").join(tasks.select("query", "domains"), "query").filter(F.exists("domains", lambda d: F.contains(F.lower("path"), d["domain"]))).drop("domains")
+        parts.append(within(good, CONFIG_SHARE))
     chosen = reduce(DataFrame.unionByName, parts).withColumn("ord", F.row_number().over(Window.partitionBy("query").orderBy("class", "rank"))).filter(F.col("ord") <= most)
     best = F.max("score").over(Window.partitionBy("query"))
     return chosen.select("query", "path", "class", "ord", F.when(best > 0, F.round(F.col("score") / best, 6)).otherwise(0.0).alias("score"), "reasons", *FLAGS)

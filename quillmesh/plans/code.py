@@ -624,3 +624,21 @@ def discover_names(spark, sf):
     none = F.array().cast("array<string>")
     t = t.select("query", "raw_words", none.alias("symbols"), none.alias("keywords"), F.array().cast("array<struct<domain:string,weight:int>>").alias("domains"))
     return discover.from_names(t, files_).filter("raw_path_matches > 0").select("query", "path", F.col("raw_path_matches").cast("int").alias("raw_path_matches"))
+
+
+def named_inputs(spark, sf):
+    """Tasks of the benchmark's items, and files with paths of the words that documents begin with."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) >= 3))
+    none = F.array().cast("array<string>")
+    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.slice(words, 1, 6).alias("keywords"), F.slice(words, 4, 6).alias("raw_words"), none.alias("symbols"),
+                                             F.array().cast("array<struct<domain:string,weight:int>>").alias("domains"))
+    f = table(spark, sf, "documents").filter(F.size(words) > 2).select(F.concat_ws("/", F.col("source"), words[0], F.concat(words[1], F.lit("_"), words[2], F.lit("_"), F.col("doc_id"), F.lit(".py"))).alias("path"))
+    return t, f
+
+
+@query()
+def discover_name_counts(spark, sf):
+    """All three counts of ``from_names`` (words of a path as typed, groups of words in the path and in its name). Without
+    SQL, for groups hang on stems; the tests hold it against plain Python."""
+    t, f = named_inputs(spark, sf)
+    return discover.from_names(t, f).select("query", "path", "raw_path_matches", "path_matches", "basename_matches")

@@ -253,16 +253,6 @@ def test_grammars(spark):
                                                                        ("c.rs", "rust", "crate::a::b"), ("d.java", "java", "com.acme.X.y"), ("e.php", "php", "App\\A"), ("e.php", "php", "inc/x.php")]
 
 
-def test_containing_beyond_a_broadcast(spark, monkeypatch):
-    from quillmesh.operators import contain
-
-    rows = spark.createDataFrame([(i, f"src/app_{i}/x{i % 7}.py") for i in range(200)], "id long, hay string")
-    needles = spark.createDataFrame([(q, n) for q in range(3) for n in ("app_1", "x3", "_", "none", "x5.py", "app_19/x5")], "query long, needle string")
-    want = sorted((r.id, r.query, r.needle) for r in contain.containing(rows, "hay", needles, "needle").collect())
-    monkeypatch.setattr(contain, "SMALL_SIDE", 2)
-    assert sorted((r.id, r.query, r.needle) for r in contain.containing(rows, "hay", needles, "needle").collect()) == want and len(want) > 600
-
-
 def test_synonyms_and_logs(spark, tmp_path):
     from quillmesh.operators import synonyms
     from quillmesh.sources import logs
