@@ -56,6 +56,8 @@ LEAST_TOKENS = 14
 SMALL, LEVELS, CHILDREN, ALIKE = 256, 4, 2, 0.5
 BLOCK = 1024
 TEXTS_AT_ONCE = 1_000_000
+#: Rows of tokens that are Python objects, or rows of a matrix, at a time.
+ROWS_AT_ONCE = 1024
 
 
 def tokens(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -134,13 +136,13 @@ def measured(reps: DataFrame, about: DataFrame, size: int = SAMPLE) -> tuple[int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, sizes, tokens_, leaves = asked.value
         every = hits = 0
-        for b in batches:
+        for b in (b.slice(lo, ROWS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, ROWS_AT_ONCE)):
             t = np.array(b.column(2).flatten()).reshape(-1, COORDINATES)
             n = b.column(1).to_numpy()
             same = np.zeros((len(t), len(rids)), dtype=np.int8)
             for j in range(COORDINATES):
                 same += t[:, j, None] == tokens_[None, :, j]
-            fits = DEN * np.minimum.outer(n, sizes) >= NUM * np.maximum.outer(n, sizes)
+            fits = np.greater_equal.outer(DEN * n, NUM * sizes) & np.less_equal.outer(NUM * n, DEN * sizes)
             where, who = np.nonzero((same >= SEEN) & fits & (b.column(0).to_numpy()[:, None] != rids[None, :]))
             every += len(where)
             for i in np.unique(where):
@@ -177,7 +179,7 @@ def blocks(found: DataFrame) -> DataFrame:
 def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
     """Rows of sorted batches by their first ``n_keys`` columns."""
     held: list[tuple] = []
-    for b in batches:
+    for b in (b.slice(lo, ROWS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, ROWS_AT_ONCE)):
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if held and row[:n_keys] != held[0][:n_keys]:
                 yield held
@@ -190,8 +192,9 @@ def groups_of(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[t
 def may_link(n: np.ndarray, t: np.ndarray, leaves: list[list[int]], key: int, side: np.ndarray) -> np.ndarray:
     """Which pairs of a bucket (or of two blocks) are to be compared here."""
     m = len(n)
-    ok = (DEN * np.minimum.outer(n, n) >= NUM * np.maximum.outer(n, n))
-    same = np.zeros((m, m), dtype=np.int16)
+    ok = np.greater_equal.outer(DEN * n, NUM * n)
+    ok &= ok.T.copy()
+    same = np.zeros((m, m), dtype=np.int8)
     for j in range(t.shape[1]):
         same += np.equal.outer(t[:, j], t[:, j])
     ok &= same >= LEAST_TOKENS
