@@ -9,7 +9,7 @@ from quillmesh.functions import text as T
 from quillmesh.operators import activity, discover, domains, excerpts, extract, graph, ignore, resolve, rules, score
 from quillmesh.plans import project
 from quillmesh.plans.retrieval import quoted
-from quillmesh.plans.values import Values
+from quillmesh.plans.values import Grown, Values
 from quillmesh.plans.words import CHANGE_TYPES, DOMAINS, STOPWORDS
 from quillmesh.session import table
 from quillmesh.sources import packs
@@ -42,8 +42,8 @@ FILES_SQL = f"files AS (SELECT path, content, {LANG_SQL} AS language FROM {proje
 LINES_SQL = "ls AS (SELECT path, language, unnest(string_split_regex(content, '\\r?\\n')) AS body, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1)::INT AS line FROM files)"
 
 
-def files(spark):
-    f = project.FILES.frame(spark)
+def files(spark, sf):
+    f = project.FILES.frame(spark, sf)
     return f.select("path", "content", T.language(F.col("path")).alias("language"))
 
 
@@ -55,18 +55,18 @@ e AS (SELECT path, start_line, coalesce(min(CASE WHEN opened > 0 AND bal = 0 THE
 
 @query(f"WITH {FILES_SQL}, {LINES_SQL}, {SYMBOLS_SQL} SELECT s.path, s.name, s.kind, s.start_line::INT AS start_line, e.end_line::INT AS end_line, s.signature FROM s JOIN e USING (path, start_line)")
 def symbols(spark, sf):
-    return extract.symbols(files(spark)).select("path", "name", "kind", "start_line", "end_line", "signature")
+    return extract.symbols(files(spark, sf)).select("path", "name", "kind", "start_line", "end_line", "signature")
 
 
 @query(f"WITH {FILES_SQL}, {LINES_SQL}, {SYMBOLS_SQL} SELECT path, kind, string_agg(name, ', ' ORDER BY start_line) AS names FROM s GROUP BY ALL")
 def symbols_by_kind(spark, sf):
-    s = extract.symbols(files(spark))
+    s = extract.symbols(files(spark, sf))
     return s.groupBy("path", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "name"))), lambda x: x["name"]), ", ").alias("names"))
 
 
 @query(f"WITH {FILES_SQL}, {LINES_SQL}, {SYMBOLS_SQL} SELECT name, path, row_number() OVER (ORDER BY name, path)::INT AS rank FROM (SELECT DISTINCT name, path FROM s WHERE kind IN ('class', 'function', 'method', 'trait', 'interface')) QUALIFY rank <= 5000")
 def symbol_catalog(spark, sf):
-    s = extract.symbols(files(spark)).filter(F.col("kind").isin("class", "function", "method", "trait", "interface")).select("name", "path").distinct().orderBy("name", "path").limit(5000)
+    s = extract.symbols(files(spark, sf)).filter(F.col("kind").isin("class", "function", "method", "trait", "interface")).select("name", "path").distinct().orderBy("name", "path").limit(5000)
     return s.withColumn("rank", F.row_number().over(Window.orderBy("name", "path")))
 
 
@@ -75,7 +75,7 @@ IMPORTS_SQL = f"im AS (SELECT * FROM {project.IMPORTS.sql()})"
 
 @query(f"WITH {FILES_SQL}, {IMPORTS_SQL} SELECT path, gr AS language, spec AS specifier FROM im")
 def import_specifiers(spark, sf):
-    return extract.imports(files(spark))
+    return extract.imports(files(spark, sf))
 
 
 _PROBES = " UNION ALL ".join(f"SELECT '{lang}' AS gr, {i} AS ord, '{s}' AS suffix" for lang, ss in graph.PROBES.items() for i, s in enumerate(ss))
@@ -106,7 +106,7 @@ ed AS (SELECT src, dst, min(how) AS how FROM (SELECT path AS src, target AS dst,
 
 @query(f"WITH {FILES_SQL}, {IMPORTS_SQL}, {EDGES_SQL} SELECT src, dst, how FROM ed")
 def resolve_edges(spark, sf):
-    f = files(spark)
+    f = files(spark, sf)
     return graph.resolve(extract.imports(f), f)
 
 
@@ -142,12 +142,12 @@ def bfs_depth2_decay(spark, sf):
 
 @query(f"SELECT * FROM {project.MESSAGES.sql()}")
 def error_messages(spark, sf):
-    return extract.error_messages(project.LOGS.frame(spark))
+    return extract.error_messages(project.LOGS.frame(spark, sf))
 
 
 @query(f"SELECT * FROM {project.FRAMES.sql()}")
 def frames(spark, sf):
-    return extract.frames(project.LOGS.frame(spark))
+    return extract.frames(project.LOGS.frame(spark, sf))
 
 
 _AT = "try_cast(nullif(regexp_extract(body, '(\\d{4}-\\d{2}-\\d{2})[T\\s](\\d{2}:\\d{2}:\\d{2})', 1) || ' ' || regexp_extract(body, '(\\d{4}-\\d{2}-\\d{2})[T\\s](\\d{2}:\\d{2}:\\d{2})', 2), ' ') AS TIMESTAMP)"
@@ -157,7 +157,7 @@ _AT = "try_cast(nullif(regexp_extract(body, '(\\d{4}-\\d{2}-\\d{2})[T\\s](\\d{2}
 SELECT 'run' AS mode, id, line, body FROM w WHERE last IS NULL OR last >= TIMESTAMP '2024-01-11 12:00:00' UNION ALL SELECT 'line', id, line, body FROM t0 WHERE t IS NULL OR t >= TIMESTAMP '2024-01-11 12:00:00'""")
 def since_filter(spark, sf):
     """Both meanings: untimed lines share the last line's fate, or stay."""
-    t, cut = project.TIMED.frame(spark), F.lit("2024-01-11 12:00:00").cast("timestamp")
+    t, cut = project.TIMED.frame(spark, sf), F.lit("2024-01-11 12:00:00").cast("timestamp")
     both = extract.since(t, cut).select(F.lit("run").alias("mode"), "id", "line", "body")
     return both.unionByName(extract.since(t, cut, keep_untimed=True).select(F.lit("line").alias("mode"), "id", "line", "body"))
 
@@ -169,7 +169,7 @@ d AS (SELECT s.id, s.p[-1] AS file, CASE s.p[1][1] WHEN 'A' THEN 'added' WHEN 'D
 
 @query(f"WITH {_DIFF_SQL} SELECT id, file, status, additions, deletions FROM d")
 def diff_entries(spark, sf):
-    return extract.diff_entries(project.STATUSES.frame(spark), project.NUMSTATS.frame(spark))
+    return extract.diff_entries(project.STATUSES.frame(spark, sf), project.NUMSTATS.frame(spark, sf))
 
 
 @query(f"WITH {_DIFF_SQL} SELECT id AS query, count(*)::BIGINT AS n, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM d GROUP BY id")
@@ -181,12 +181,12 @@ def diff_totals(spark, sf):
 r AS (SELECT id, regexp_extract(h, '\\+(\\d+)', 1)::INT AS a, coalesce(nullif(regexp_extract(h, '\\+\\d+,(\\d+) @@', 1), ''), '1')::INT AS n FROM h)
 SELECT DISTINCT id, unnest(generate_series(a, a + n - 1))::INT AS line FROM r WHERE n > 0""")
 def diff_hunks(spark, sf):
-    return extract.changed_lines(project.HUNKS.frame(spark))
+    return extract.changed_lines(project.HUNKS.frame(spark, sf))
 
 
 @query(f"SELECT * FROM {project.REFERENCES.sql()}")
 def references(spark, sf):
-    return extract.references(files(spark))
+    return extract.references(files(spark, sf))
 
 
 _TASKS = f"tasks AS (SELECT query, text FROM {project.TASKS.sql()} UNION ALL SELECT 1000 + conv_id * 100 + turn, text FROM conversations WHERE role = 'user')"
@@ -427,24 +427,25 @@ def token_estimate(spark, sf):
     return excerpts.budget_tokens(table(spark, sf, "documents").select(F.col("text").alias("content")))
 
 
-@query(f"""SELECT path, path IN ('dist/app.js', 'src/dist/app.js', 'a/b.log', 'docs/a.md', 'tests/fixtures/a/b.txt', 'fixtures/c.txt', 'src/a/tmp/f.txt', 'src/a/tmp', '.env.local', 'logs\\win.log') OR regexp_matches(path, '(^|/)(\\.idea|\\.vscode|\\.quillmesh)/|\\.sw[op]$|(^|/)(\\.DS_Store|Thumbs\\.db)$') AS ignored FROM {project.PATHS.sql()}""")
+@query(f"""SELECT path, path IN ('dist/app.js', 'src/dist/app.js', 'a/b.log', 'docs/a.md', 'tests/fixtures/a/b.txt', 'fixtures/c.txt', 'src/a/tmp/f.txt', 'src/a/tmp', '.env.local', 'logs\\win.log') OR regexp_matches(path, '^(dist/unit_\\d+\\.js|logs/unit_\\d+\\.log)$') OR regexp_matches(path, '(^|/)(\\.idea|\\.vscode|\\.quillmesh)/|\\.sw[op]$|(^|/)(\\.DS_Store|Thumbs\\.db)$') AS ignored FROM {project.PATHS.sql()}""")
 def ignore_rules(spark, sf):
-    return project.PATHS.frame(spark).select("path", ignore.is_ignored(F.col("path"), project.RULES).alias("ignored"))
+    return project.PATHS.frame(spark, sf).select("path", ignore.is_ignored(F.col("path"), project.RULES).alias("ignored"))
 
 
 RULE_CANDIDATES = Values("query long, path string", [(1, "src/cart/cartService.ts"), (1, "src/userController.js"), (2, "app/Http/Controllers/InvoiceController.php"), (2, "app/Models/Invoice.php"), (2, "routes/web.php")])
+RULE_CANDIDATES = Grown(RULE_CANDIDATES, ("documents", "doc_id % 30 = 0", ["3", "'gen/d' || (doc_id % 20) || '/unit_' || doc_id || '.ts'"]))
 
 
-def _rules(spark, *names):
-    f = project.FILES.frame(spark)
-    t = spark.createDataFrame([(1, [], [], []), (2, [("payments", 2)], ["invoice"], [])], "query long, domains array<struct<domain:string,weight:int>>, keywords array<string>, symbols array<string>")
-    return rules.apply(RULE_CANDIDATES.frame(spark).join(f, "path"), f, t, list(names) or None)
+def _rules(spark, sf, *names):
+    f = project.FILES.frame(spark, sf)
+    t = spark.createDataFrame([(1, [], [], []), (2, [("payments", 2)], ["invoice"], []), (3, [], [], [])], "query long, domains array<struct<domain:string,weight:int>>, keywords array<string>, symbols array<string>")
+    return rules.apply(RULE_CANDIDATES.frame(spark, sf).join(f, "path"), f, t, list(names) or None)
 
 
 @query(f"""WITH {FILES_SQL}, c AS (SELECT * FROM {RULE_CANDIDATES.sql()}), d AS (SELECT query, regexp_replace(path, '/[^/]*$', '') AS dir FROM c UNION SELECT query, regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/[^/]*$', '') FROM c UNION SELECT query, '.' FROM c)
 SELECT DISTINCT query, path, 'related_file' AS signal FROM (SELECT path, {_DIR} AS dir FROM files WHERE regexp_matches(path, {lit(rules.CONFIG_LIKE)})) JOIN d USING (dir) WHERE (query, path) NOT IN (SELECT query, path FROM c)""")
 def related_config(spark, sf):
-    return _rules(spark, "configs")
+    return _rules(spark, sf, "configs")
 
 
 @query(f"""WITH {FILES_SQL}, c AS (SELECT * FROM {RULE_CANDIDATES.sql()}), n AS (SELECT query, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') || unnest(['.test', '.spec']) || regexp_extract(path, '(\\.[^./]+)$', 1) AS name FROM c),
@@ -452,7 +453,7 @@ p AS (SELECT query, {_DIR} || '/__tests__/' || regexp_extract(path, '([^/]*)$',
 SELECT DISTINCT query, path, 'test_file' AS signal FROM (SELECT query, path FROM files JOIN n ON regexp_extract(path, '([^/]*)$', 1) = name UNION ALL SELECT query, path FROM p WHERE path IN (SELECT path FROM files)) WHERE (query, path) NOT IN (SELECT query, path FROM c)
 UNION SELECT DISTINCT query, f.path, 'related_file' FROM files f JOIN (SELECT query, {_DIR} AS dir FROM c) x ON regexp_replace(f.path, '/[^/]*$', '') = dir AND regexp_matches(f.path, '/index\\.[jt]sx?$') WHERE (query, f.path) NOT IN (SELECT query, path FROM c)""")
 def node_rules(spark, sf):
-    return _rules(spark, "node-tests", "node-index")
+    return _rules(spark, sf, "node-tests", "node-index")
 
 
 @query(f"""WITH {FILES_SQL}, c AS (SELECT * FROM {RULE_CANDIDATES.sql()}), s AS (SELECT query, regexp_extract(path, '([A-Z][a-zA-Z]*)Controller\\.php$', 1) AS s FROM c WHERE regexp_matches(path, 'Controller\\.php$')),
@@ -462,16 +463,17 @@ r AS (SELECT query, path FROM files, s WHERE regexp_matches(path, '^resources/vi
   UNION ALL SELECT m.query, 'app/Models/' || unnest(regexp_extract_all(f.content, 'belongsTo\\((\\w+)::class', 1)) || '.php' FROM m JOIN files f USING (path))
 SELECT DISTINCT query, path, 'related_file' AS signal FROM r WHERE path IN (SELECT path FROM files) AND (query, path) NOT IN (SELECT query, path FROM c)""")
 def laravel_rules(spark, sf):
-    return _rules(spark, "laravel-views", "laravel-requests", "laravel-migrations", "laravel-relations")
+    return _rules(spark, sf, "laravel-views", "laravel-requests", "laravel-migrations", "laravel-relations")
 
 
 @query()
 def discovery_rules(spark, sf):
     """All rules that apply to the tree."""
-    return _rules(spark)
+    return _rules(spark, sf)
 
 
 TESTED = Values("path string", [(p,) for p in ("tests/user.ts", "src/a.test.ts", "src/__tests__/b.ts", "app/UserTest.php", "pkg/store_test.go", "spec/models/user.rb", "src/contest.ts", "lib/test_util.py")])
+TESTED = Grown(TESTED, ("documents", "doc_id % 3 = 0", ["'tests/unit_' || doc_id || '.ts'"]), ("documents", "doc_id % 3 = 1", ["'gen/unit_' || doc_id || '.test.ts'"]), ("documents", "doc_id % 3 = 2", ["'pkg/unit_' || doc_id || '_test.go'"]))
 
 
 @query(f"""WITH p AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(path, '(?i)tests?/', '', 'g'), '(?i)specs?/', '', 'g'), '(?i)__tests__/', '', 'g') AS t FROM {TESTED.sql()})
@@ -479,13 +481,14 @@ SELECT path, regexp_replace(regexp_replace(regexp_replace(t, '\\.(test|spec)\\.'
 def tested_paths(spark, sf):
     from quillmesh.operators.discover import tested_path
 
-    return TESTED.frame(spark).select("path", tested_path(F.col("path")).alias("tested"), F.col("path").rlike(score.TEST).alias("scored_as_test"))
+    return TESTED.frame(spark, sf).select("path", tested_path(F.col("path")).alias("tested"), F.col("path").rlike(score.TEST).alias("scored_as_test"))
 
 
 _GROUPS = Values("lang string, grp long, word string", [("en", 1, "purchase"), ("en", 1, "buy"), ("en", 1, "order"), ("en", 2, "remove"), ("en", 2, "delete"), ("en", 3, "order"), ("en", 3, "sort"), ("it", 4, "comprare"), ("it", 4, "acquistare"), ("it", 5, "utente")])
 _STEMS = Values("term string, stem string", [("purchase", "purchas"), ("buy", "buy"), ("order", "order"), ("remove", "remov"), ("delete", "delet"), ("sort", "sort"), ("comprare", "compr"), ("acquistare", "acquist"), ("utente", "utent"), ("removed", "remov"), ("utenti", "utent"), ("orders", "order")])
 _TRANSLATIONS = Values("stem string, english string", [("utent", "user"), ("compr", "buy")])
 _WORDS = Values("term string", [("removed",), ("utenti",), ("Orders",), ("comprare",), ("unknown",)])
+_WORDS = Grown(_WORDS, ("benchmark", "item_id IS NOT NULL", ["regexp_extract(lower(text), '[a-z]+', 0)"]))
 _DICT = f"g AS (SELECT * FROM {_GROUPS.sql()}), st AS (SELECT * FROM {_STEMS.sql()}), ky AS (SELECT grp, lang, word AS key FROM g UNION SELECT grp, lang, stem FROM g JOIN st ON st.term = word), dc AS (SELECT DISTINCT key, g.word AS synonym FROM ky JOIN g ON g.grp = ky.grp AND g.lang = ky.lang)"
 
 
@@ -496,7 +499,7 @@ def synonym_expand(spark, sf):
 
     groups = _GROUPS.frame(spark).withColumnRenamed("grp", "group")
     d = retrieve.dictionary(groups, _STEMS.frame(spark))
-    return retrieve.expand_synonyms(_WORDS.frame(spark), _STEMS.frame(spark), d, _TRANSLATIONS.frame(spark))
+    return retrieve.expand_synonyms(_WORDS.frame(spark, sf), _STEMS.frame(spark), d, _TRANSLATIONS.frame(spark))
 
 
 @query()
@@ -512,8 +515,8 @@ def pack_tasks(spark, sf):
     """The whole engine on the invented tree: the files selected for each task."""
     from quillmesh import engine
 
-    idx = engine.Index.build(project.FILES.frame(spark), project.RULES)
-    frames_ = extract.frames(project.LOGS.frame(spark)).filter("id = 1").select(F.lit(1).cast("long").alias("query"), "file", "function")
+    idx = engine.Index.build(project.FILES.frame(spark, sf), project.RULES)
+    frames_ = extract.frames(project.LOGS.frame(spark, sf)).filter("id = 1").select(F.lit(1).cast("long").alias("query"), "file", "function")
     diffs = diff_entries(spark, sf).filter("id = 1").select(F.lit(2).cast("long").alias("query"), "file", "status")
     p = engine.pack(idx, project.TASKS.frame(spark), spark.createDataFrame([("src/index.ts", 0.9)], "path string, churn double"), frames_, diffs)
     return p.selected.select("query", "path", "class", "ord", "score", F.array_join("reasons", "; ").alias("reasons"))
@@ -536,7 +539,7 @@ def has_synonyms(spark, sf):
     from quillmesh.operators import retrieve
 
     d = retrieve.dictionary(_GROUPS.frame(spark).withColumnRenamed("grp", "group"), _STEMS.frame(spark))
-    return retrieve.has_synonyms(_WORDS.frame(spark), _STEMS.frame(spark), d, _TRANSLATIONS.frame(spark))
+    return retrieve.has_synonyms(_WORDS.frame(spark, sf), _STEMS.frame(spark), d, _TRANSLATIONS.frame(spark))
 
 
 @query(f"""WITH u AS (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS i FROM (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({quoted(STOPWORDS)})) AS ts FROM benchmark))
@@ -559,7 +562,7 @@ FROM rf LEFT JOIN f ON f.ref = rf.ref LEFT JOIN y ON y.ref = rf.ref WHERE target
 def at_references(spark, sf):
     from quillmesh.operators import retrieve
 
-    f = files(spark)
+    f = files(spark, sf)
     return retrieve.at_references(_REF_TASKS.frame(spark), f, extract.symbols(f))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmesh.plans.values import Values
+from quillmesh.plans.values import Grown, Values
 
 FILES = Values("path string, content string", [
     ("package.json", '{"name": "shop", "scripts": {"test": "vitest"}}'),
@@ -90,3 +90,30 @@ REFERENCES = Values("path string, kind string, ref string", [(p, k, r) for p, k,
     ("lib/logger.js", "method", "logLine"), ("routes/web.php", "class", "InvoiceController Route"), ("routes/web.php", "method", "listAll post"), ("src/cart/__tests__/cartService.ts", "class", "CartService"), ("src/cart/cartService.test.ts", "class", "CartService"),
     ("src/cart/cartService.ts", "class", "CartService"), ("src/index.ts", "class", "CartService"), ("src/index.ts", "method", "main"), ("src/index.ts", "path", "cart/cartService.js"), ("src/lib/price.ts", "method", "roundPrice"), ("src/userController.js", "class", "UserController"), ("src/userService.js", "method", "loadUser"),
 ) for r in rs.split()] + [("docs/guide.md", "route", "POST /invoices"), ("routes/web.php", "route", "GET /invoices"), ("routes/web.php", "route", "POST /invoices")])
+
+# The same tables with rows of all documents: a source file, a log, a diff and so on for each, and what they say by the
+# way they are made. Expressions are SQL for both engines.
+_NL, _TAB, _BACK = "chr(10)", "chr(9)", "chr(92)"
+_TS, _PY, _PHP = "doc_id % 3 = 0", "doc_id % 3 = 1", "doc_id % 3 = 2"
+_UNIT = "'gen/d' || (doc_id % 20) || '/unit_' || doc_id"
+_PATH = {w: f"{_UNIT} || '.{e}'" for w, e in ((_TS, "ts"), (_PY, "py"), (_PHP, "php"))}
+_BODY = {
+    _TS: f"""'import {{ U }} from "./unit_' || (doc_id + 60) || '";' || {_NL} || {_NL} || 'export class Unit' || doc_id || ' {{' || {_NL} || '  run' || doc_id || '(x: number) {{' || {_NL} || '    return x;' || {_NL} || '  }}' || {_NL} || '}}' || {_NL} || '// ' || source || {_NL}""",
+    _PY: f"""'from .unit_' || (doc_id + 60) || ' import a' || {_NL} || 'class Unit' || doc_id || ':' || {_NL} || '    def run' || doc_id || '(self):' || {_NL} || '        return 1' || {_NL}""",
+    _PHP: f"""'<?php' || {_NL} || 'use App' || {_BACK} || 'Gen' || {_BACK} || 'Unit' || (doc_id + 60) || ';' || {_NL} || 'final class Unit' || doc_id || ' {{' || {_NL} || '    public function run' || doc_id || '() {{' || {_NL} || '        return new Helper' || doc_id || '();' || {_NL} || '    }}' || {_NL} || '}}' || {_NL}""",
+}
+_LINES = {_TS: (3, 4, "method"), _PY: (2, 3, "function"), _PHP: (3, 4, "function")}
+FILES = Grown(FILES, *[("documents", w, [_PATH[w], _BODY[w]]) for w in _BODY])
+SYMBOLS = Grown(SYMBOLS, *[("documents", w, [_PATH[w], str(c), "'class'", "'Unit' || doc_id"]) for w, (c, _, _) in _LINES.items()], *[("documents", w, [_PATH[w], str(m), f"'{k}'", "'run' || doc_id"]) for w, (_, m, k) in _LINES.items()])
+IMPORTS = Grown(IMPORTS, ("documents", _TS, [_PATH[_TS], "'typescript'", "'./unit_' || (doc_id + 60)"]), ("documents", _PY, [_PATH[_PY], "'python'", "'.unit_' || (doc_id + 60)"]),
+                ("documents", _PHP, [_PATH[_PHP], "'php'", f"'App' || {_BACK} || 'Gen' || {_BACK} || 'Unit' || (doc_id + 60)"]))
+REFERENCES = Grown(REFERENCES, *[("documents", _PHP, [_PATH[_PHP], f"'{k}'", r]) for k, r in (("class", "'Unit' || (doc_id + 60)"), ("class", "'Helper' || doc_id"), ("method", "'run' || doc_id"))])
+_ID, _EVERY = "1000 + doc_id", "doc_id IS NOT NULL"
+LOGS = Grown(LOGS, ("documents", _EVERY, [_ID, f"""'ValueError: bad value ' || doc_id || {_NL} || '  File "/opt/app/gen/unit_' || doc_id || '.py", line ' || (doc_id % 50 + 1) || ', in run' || doc_id || {_NL}"""]))
+FRAMES = Grown(FRAMES, ("documents", _EVERY, [_ID, "1", "'python'", "'app/gen/unit_' || doc_id || '.py'", "doc_id % 50 + 1", "NULL", "'run' || doc_id", "'bad value ' || doc_id"]))
+MESSAGES = Grown(MESSAGES, ("documents", _EVERY, [_ID, "1", "'bad value ' || doc_id"]))
+TIMED = Grown(TIMED, ("documents", _EVERY, [_ID, "1", "'[2024-01-' || (10 + doc_id % 5) || ' 00:00:00] begin'"]), ("documents", _EVERY, [_ID, "2", "'then ' || source"]))
+STATUSES = Grown(STATUSES, ("documents", _EVERY, [_ID, f"'M' || {_TAB} || 'gen/unit_' || doc_id || '.py' || {_NL} || 'D' || {_TAB} || 'old/' || source"]))
+NUMSTATS = Grown(NUMSTATS, ("documents", _EVERY, [_ID, f"(doc_id % 9) || {_TAB} || (doc_id % 4) || {_TAB} || 'gen/unit_' || doc_id || '.py'"]))
+HUNKS = Grown(HUNKS, ("documents", _EVERY, ["'unit_' || doc_id", f"'@@ -1,2 +' || (doc_id % 90 + 1) || ',' || (doc_id % 4) || ' @@ x' || {_NL}"]))
+PATHS = Grown(PATHS, ("documents", _TS, ["'dist/unit_' || doc_id || '.js'"]), ("documents", _PY, ["'src/unit_' || doc_id || '.js'"]), ("documents", _PHP, ["'logs/unit_' || doc_id || '.log'"]))

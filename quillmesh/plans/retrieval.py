@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators import blocks, index, retrieve
-from quillmesh.plans.values import Values
+from quillmesh.plans.values import Grown, Values
 from quillmesh.plans.words import STOPWORDS
 from quillmesh.session import staged, table
 
@@ -115,6 +115,7 @@ def like_search_ranked(spark, sf):
 NAMES = Values("path string", [(p,) for p in (
     "app/Http/Controllers/UserController.php", "app/Http/Controllers/UserContractController.php", "app/Models/User.php", "src/user/user-service.ts", "src/UserCard.tsx",
     "web/vendor/UserController.php", "lib/node_modules/uc/index.js", "docs/unit_cost.md", "src/utils/urlCache.ts", "src/UIComponents/UCButton.tsx", "tests/UserControllerTest.php", "a/b/c/usercontrol.py", "src/undoCommand.ts")])
+NAMES = Grown(NAMES, ("part", "p_partkey IS NOT NULL", ["'shop/x_' || replace(p_name, ' ', '_') || '_' || p_partkey || '.ts'"]))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT path AS name FROM {NAMES.sql()} WHERE NOT contains(path, '/vendor/') AND NOT contains(path, '/node_modules/')),
@@ -124,7 +125,7 @@ h AS (SELECT name, 0 AS source, CASE WHEN contains(lower(name), '/ucon') THEN 0
 g AS (SELECT name, min({{'source': source, 'o1': o1, 'o2': o2}}) AS o FROM h GROUP BY name)
 SELECT name, o.source::INT AS source, row_number() OVER (ORDER BY o.source, o.o1, o.o2, name)::INT AS rank FROM g QUALIFY rank <= 8""")
 def completion_topk(spark, sf):
-    return retrieve.complete(NAMES.frame(spark), "ucon", 8, "file", "path")
+    return retrieve.complete(NAMES.frame(spark, sf), "ucon", 8, "file", "path")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g')), '^r([a-z0-9]* )?w')")
@@ -186,12 +187,13 @@ def slugify(spark, sf):
 
 
 SEARCHES = Values("id long, search string", list(enumerate(("user AND login", "test()", '"quoted" phrase', "return -1", "x", "", "NOT near or android", "a*b^c~d", "not"))))
+SEARCHES = Grown(SEARCHES, ("benchmark", "item_id IS NOT NULL", ["1000 + item_id", "substr(text, 1, 60)"]))
 
 
 @query(f"""WITH s AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(search, '[''"():\\-^~*]', ' ', 'g'), '(?i)\\b(AND|OR|NOT|NEAR)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM {SEARCHES.sql()})
 SELECT id, CASE WHEN length(s) < 2 THEN '' ELSE s END AS clean FROM s""")
 def sanitize_search(spark, sf):
-    return SEARCHES.frame(spark).select("id", T.sanitize_query(F.col("search")).alias("clean"))
+    return SEARCHES.frame(spark, sf).select("id", T.sanitize_query(F.col("search")).alias("clean"))
 
 
 KEYWORDS_SQL = "list_filter(string_split_regex(regexp_replace(lower({}), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2)"
