@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmesh.operators import discover, excerpts, extract, graph, ignore, index, resolve, score, synonyms
 from quillmesh.plans.words import CHANGE_TYPES, DOMAINS, STOPWORDS, SYMBOL_STOPWORDS
 from quillmesh.session import staged
-from quillmesh.sources import packs
+from quillmesh.sources import packfiles, packs
 
 
 @dataclass
@@ -52,6 +52,11 @@ class Pack:
         """A Parquet table of documents, partitioned by the pack's slug."""
         self.reports(idx, at, diffs).write.mode("append").partitionBy("slug").parquet(folder)
 
+    def write_files(self, idx: Index, at: Column, folder: str, diffs: DataFrame | None = None) -> None:
+        """The same as files, a folder for each pack."""
+        packfiles.register(idx.content.sparkSession)
+        self.reports(idx, at, diffs).select("slug", "name", "body").write.format("pack").mode("append").save(folder)
+
 
 def highlighted(content: DataFrame, frames: DataFrame | None, changed: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
     """query, path, line: the lines of frames (query, file, line), of changes (query, path, line) and those given."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.session import staged
 
 MAX_FILE_SIZE = 1 << 20
 ALWAYS_EXCLUDED = (".git", ".quillmesh")
@@ -31,6 +32,52 @@ def changes(stored: DataFrame, now: DataFrame) -> DataFrame:
     return both.select("path", kind.alias("change"))
 
 
+def _parent(path: Column) -> Column:
+    """The directory of a path, the empty one for what is in the root."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
+def directories(files: DataFrame) -> DataFrame:
+    """``files``: path, hash. dir, depth, parent, digest of every directory, the root (depth 0) included: the digest of
+    its entries' names and digests, level by level from below. Entries are summed up, so no directory is gathered
+    in one place; the sums are of 128 bits in two halves."""
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    entries = staged(files.select("path", depth.alias("depth"), "hash"), "entries")
+    deepest = entries.agg(F.max("depth")).first()[0] or 0
+    out, below = None, None
+    for level in range(deepest - 1, -1, -1):
+        own = entries.filter(F.col("depth") == level + 1).select("path", "hash")
+        own = own if below is None else own.unionByName(below.select(F.col("dir").alias("path"), F.col("digest").alias("hash")))
+        half = lambda seed: F.xxhash64(F.lit(seed), "path", "hash")
+        sums = own.groupBy(_parent(F.col("path")).alias("dir")).agg(F.count("*").alias("n"), F.bit_xor(half(1)).alias("a"), F.bit_xor(half(2)).alias("b"))
+        below = staged(sums.select("dir", F.lit(level).alias("depth"), _parent(F.col("dir")).alias("parent"), F.md5(F.concat_ws(" ", "n", "a", "b")).alias("digest")), "directories")
+        out = below if out is None else out.unionByName(below)
+    return out if out is not None else files.sparkSession.createDataFrame([], "dir string, depth int, parent string, digest string")
+
+
+def changed_directories(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """``stored``, ``now`` of ``directories``. dir of those whose digests differ or that are on one side alone, compared
+    from the root down: of each level only the directories in unequal ones are looked at."""
+    deepest = max((r[0] or 0 for r in (stored.agg(F.max("depth")).first(), now.agg(F.max("depth")).first())), default=0)
+    unequal, found = None, None
+    for level in range(deepest + 1):
+        sides = [d.filter(F.col("depth") == level).select("dir", "parent", "digest") for d in (stored, now)]
+        if unequal is not None:
+            sides = [d.join(unequal.select(F.col("dir").alias("parent")), "parent", "left_semi") for d in sides]
+        both = sides[0].select("dir", F.col("digest").alias("a")).join(sides[1].select("dir", F.col("digest").alias("b")), "dir", "full_outer")
+        unequal = staged(both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("dir"), "unequal")
+        found = unequal if found is None else found.unionByName(unequal)
+    return found
+
+
+def tree_changes(stored: DataFrame, now: DataFrame, stored_directories: DataFrame | None = None) -> DataFrame:
+    """As ``changes``, without the unchanged: only the files in unequal directories are joined. ``stored_directories``
+    are kept from the last time where there are any."""
+    unequal = changed_directories(stored_directories if stored_directories is not None else directories(stored), directories(now)).select("dir")
+    within = lambda f: f.select("path", "hash").withColumn("dir", _parent(F.col("path"))).join(unequal, "dir", "left_semi").drop("dir")
+    return changes(within(stored), within(now)).filter("change <> 'unchanged'")
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
     """``new`` replaces rows of the same key; of new rows that repeat a key one stays, the same in each run."""
     both = stored.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))

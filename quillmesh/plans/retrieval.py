@@ -80,6 +80,15 @@ def hash_change_detection(spark, sf):
     return index.changes(mark(old), mark(second_version(old)))
 
 
+@query(f"""WITH {V2_SQL} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
+FROM corpus a FULL JOIN v2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR md5(a.content) <> md5(b.content)""")
+def directory_changes(spark, sf):
+    """What changed, found by digests of directories."""
+    mark = lambda df: df.select("path", F.md5("content").alias("hash"))
+    old = corpus(spark, sf)
+    return index.tree_changes(mark(old), mark(second_version(old)))
+
+
 @query(f"""WITH {V2_SQL}, u AS (SELECT path, content, 1 AS v FROM v2 UNION ALL SELECT path, content, 0 FROM corpus)
 SELECT path, md5(content) AS hash FROM u QUALIFY row_number() OVER (PARTITION BY path ORDER BY v DESC) = 1""")
 def upsert_latest(spark, sf):
