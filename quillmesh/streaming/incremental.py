@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,6 +57,13 @@ def small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def together(*writes: Callable[[], object]) -> None:
+    """Run independent writes at the same time: small jobs by themselves leave most of a cluster idle."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        for job in [pool.submit(w) for w in writes]:
+            job.result()
+
+
 def latest_rows(batch: DataFrame) -> DataFrame:
     """One row per path: the one with the largest ``seq``; of equal ones the same in each run."""
     last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq"), F.xxhash64("content", "deleted")))
@@ -182,26 +190,27 @@ def writer(root: str, compact: bool = True) -> Callable[[DataFrame, int], None]:
 
         segment, folder = Segment(f"b{n}", n_fresh, n), f"{root}/segments/b{n}"
         marks = gone.groupBy(word_of(F.col("doc")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("doc", F.lit(WORD)).cast("int"))).alias("bits"))
-        marks.repartition(1).write.mode("overwrite").parquet(f"{root}/dead/b{n}")
-        numbers = fresh.select("path", "doc")
-        postings = index.postings(fresh, "doc")
+        numbers, code = fresh.select("path", "doc"), fresh.select("path", "language", "content")
+        few = F.broadcast(numbers) if n_fresh <= MAX_BROADCAST else numbers
         write_table = lambda df, name: _deal(df, name, n_fresh).write.mode("overwrite").parquet(f"{folder}/{name}")
-        write_table(fresh.withColumn("len", F.size(T.search_tokens(F.col("content"))).cast("long")), "files")
-        write_table(postings, "postings")
-        write_table(extract.symbols(fresh.select("path", "language", "content")).join(small(numbers), "path"), "symbols")
-        own = graph.specifiers(extract.imports(fresh.select("path", "language", "content")).join(small(numbers), "path"))
-        write_table(graph.probes(own), "probes")
+        together(
+            lambda: marks.repartition(1).write.mode("overwrite").parquet(f"{root}/dead/b{n}"),
+            lambda: write_table(fresh.withColumn("len", F.size(T.search_tokens(F.col("content"))).cast("long")), "files"),
+            lambda: write_table(index.postings(fresh, "doc"), "postings"),
+            lambda: write_table(extract.symbols(code).join(few, "path"), "symbols"),
+            lambda: write_table(graph.probes(graph.specifiers(extract.imports(code).join(few, "path"))), "probes"))
 
         after = Snapshot(spark, root, Manifest(n, (*before.manifest.segments, segment), (*before.manifest.dead, n)))
         appeared = fresh.select("path").join(known, "path", "left_anti").select("path")
         vanished = gone.select("path").join(fresh, "path", "left_anti").select("path")
-        edges = resolved(after, staged(appeared.union(vanished), "changed-paths"), segment)
+        changed = staged(appeared.union(vanished), "changed-paths")
+        edges, scratch = resolved(after, changed, segment)
         write_table(edges.withColumn("version", F.lit(n).cast("long")), "edges")
 
         manifest = merged(after, n) if compact else after.manifest
         manifest.write(spark, root)
         prune(spark, root, n, manifest)
-        for t in (rows, known, fresh):
+        for t in (rows, known, fresh, changed, *scratch):
             delete(spark, t.scratch_path)
 
     return write
@@ -216,13 +225,14 @@ def concerned(index_: Snapshot, changed: DataFrame, fresh: Segment) -> DataFrame
     return hit.unionByName(index_.raw("probes", (fresh,)).select(*columns).distinct())
 
 
-def resolved(index_: Snapshot, changed: DataFrame, fresh: Segment) -> DataFrame:
-    """doc, path, specifier, dst (null for none), how of the concerned specifiers, as the files are now."""
+def resolved(index_: Snapshot, changed: DataFrame, fresh: Segment) -> tuple[DataFrame, list[DataFrame]]:
+    """doc, path, specifier, dst (null for none), how of the concerned specifiers, as the files are now; and the written
+    tables that this reads."""
     specs = staged(concerned(index_, changed, fresh), "concerned")
     probed = staged(graph.probes(specs), "probed")
     keys = graph.keys_of(index_.table("files").select("path")).join(small(probed.select("key").distinct()), "key", "left_semi")
     found = graph.choose(probed, keys, ["doc", "specifier"])
-    return specs.select("doc", "path", "specifier").join(found, ["doc", "specifier"], "left")
+    return specs.select("doc", "path", "specifier").join(found, ["doc", "specifier"], "left"), [specs, probed]
 
 
 def to_merge(segments: tuple[Segment, ...], fanout: int = FANOUT) -> list[Segment]:
@@ -242,9 +252,11 @@ def merged(index_: Snapshot, n: int) -> Manifest:
         return index_.manifest
     folder, chosen = f"{index_.root}/segments/m{n}", tuple(old)
     guess = sum(s.files for s in old)
-    for name in TABLES:
+    def write(name: str) -> None:
         rows = index_.live(index_.raw(name, chosen))
         _deal(latest_edges(rows) if name == "edges" else rows, name, guess).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    together(*[lambda name=name: write(name) for name in TABLES])
     files = index_.spark.read.parquet(f"{folder}/files").count()
     segments = tuple(s for s in index_.manifest.segments if s not in old) + (Segment(f"m{n}", files, n),)
     oldest = min(s.at for s in segments)

@@ -7,7 +7,7 @@ from quillmesh.plans import retrieval
 from quillmesh.session import staged
 
 
-@pytest.mark.parametrize("k", [1, 3, 10])
+@pytest.mark.parametrize("k", [1, 10])
 def test_top_equals_scoring_everything(spark, tmp_path, k):
     rows = [(i, " ".join(f"w{(i * j) % (7 + i % 11)} common{j % 3} r{i % 37}" for j in range(1, 2 + i % 19))) for i in range(700)] + [(1000, ""), (1001, None), (1002, "w1 Café")]
     docs = spark.createDataFrame(rows, "id long, body string")
