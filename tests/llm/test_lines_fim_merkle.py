@@ -196,7 +196,7 @@ def merkle_by_loops(rows, arity=3):
 SOURCES = [None, "", "a", "ä", "z", "Z", "\U0001F600", "￮"]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 82, 700])
+@pytest.mark.parametrize("n", [1, 4, 10, 130])
 def test_manifest_equals_loops(spark, n, tmp_path):
     rows = [(i * 7 % n if i % 11 else None, SOURCES[0] if n < 5 else SOURCES[i * i % 8] if i % 3 else "hot", None if i % 5 == 0 else "en", i if i % 4 else None, None if i % 9 == 0 else "x\ny" * (i % 6)) for i in range(n)]
     rows += rows[:n // 4]
