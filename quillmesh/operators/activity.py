@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def hotspots(log: DataFrame, after: Column, most: int = 500) -> DataFrame:
     """path, n, churn (n over the largest n), commits (churn in hundredths) of the most changed paths since ``after``."""
     counts = log.filter(F.col("at") >= after).groupBy("path").agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n").alias("largest"))
-    out = counts.orderBy(F.desc("n"), "path").limit(most).crossJoin(F.broadcast(top))  # one row
-    churn = F.col("n") / F.col("largest")
+    out = counts.orderBy(F.desc("n"), "path").limit(most)
+    churn = F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0)))  # over `most` rows, the largest among them
     return out.select("path", "n", F.round(churn, 6).alias("churn"), F.round(churn * 100).cast("long").alias("commits"))
 
 

@@ -295,8 +295,7 @@ _DOMAIN_TASKS = {1: [("auth", 3), ("payments", 1)], 2: [("database", 2)], 3: []}
 
 
 def candidates(spark, sf):
-    q = spark.createDataFrame([(1,), (2,), (3,)], "query int")
-    d = table(spark, sf, "documents").select("doc_id", "source").crossJoin(F.broadcast(q))  # three tasks
+    d = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("query"))
     n = F.col("doc_id") + F.col("query")
     path = F.expr(_PATH)
     d = d.select(F.col("query").cast("long").alias("query"), path.alias("path"), n.alias("n"), "doc_id")
