@@ -168,8 +168,12 @@ def without_accents(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Tokens of the search index: runs of letters and digits in lower case, without accents."""
-    return F.regexp_extract_all(without_accents(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Tokens of the search index: runs of letters and digits in lower case, without accents. Marks belong to the token
+    that they are in, and only tokens that are not ASCII are mapped."""
+    low = F.lower(text)
+    tokens = lambda marks: F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{N}}{marks}]+"), F.lit(0))
+    plain = F.filter(F.transform(tokens(r"\p{M}"), without_accents), lambda t: t != "")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), plain).otherwise(tokens(""))
 
 
 def sanitize_query(query: Column) -> Column:

@@ -298,3 +298,10 @@ def test_domain_configuration(spark):
     assert domains.Config.parse(c.dump()) == c and domains.Config.parse("not json") == domains.Config() and domains.Config.parse(None) == domains.Config()
     got = {r.domain: r.source for r in domains.active(spark, {"auth": ["l"], "b": ["z"]}, {"fw": {"ui": ["v"]}}, c).collect()}
     assert got == {"b": "custom", "ui": "fw"}
+
+
+def test_search_tokens_have_no_accents(spark):
+    rows = ["Café café CAFÉ", "Ünïcödé Straße ≠ x", "plain text 12", "", "́ lone", "が ガ İstanbul naïve-œuvre ǖ", "áb c̈"]
+    want = [["cafe"] * 3, ["unicode", "straße", "x"], ["plain", "text", "12"], [], ["lone"], ["か", "カ", "istanbul", "naive", "œuvre", "u"], ["ab", "c"]]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(T.search_tokens(F.col("t"))).collect()] == want
