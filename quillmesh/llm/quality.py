@@ -9,9 +9,8 @@ Short texts give coarse histograms, so a text is judged by its characters only f
 its words only from MIN_WORDS on, and the limits widen as 1/sqrt(length) above that.
 
 A word of the histogram is a run of letters and marks of any length in lower case. A first pass counts
-all words of all texts and gives the CANDIDATES most frequent of each language; the second counts those
-in each text, and of them the COMMON_WORDS that are most frequent in texts that pass the base rules make
-the reference.
+all words of all texts that pass the base rules and gives the COMMON_WORDS most frequent of each language;
+the second counts those in each text, and their shares in texts that pass the base rules make the reference.
 
 Everything is computed inside the row, apart from the word counts and the references (aggregates by
 language and word); no text is shuffled. Defined results: null and empty texts have no words and fail
@@ -31,8 +30,8 @@ WINDOW = 8
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Character classes, each counted in what the former leave.
 CLASSES = (("lower", r"\p{Ll}+"), ("space", SPACE + "+"), ("upper", r"\p{Lu}+"), ("digit", r"\p{N}+"), ("symbol", r"[#*$%&|<>]+"), ("letter", r"[\p{L}\p{M}]+"), ("stop", r"[.,;:!?]+"))
-CANDIDATES, COMMON_WORDS = 32, 24
-#: Candidates of all languages together that are listed in the plan.
+COMMON_WORDS = 24
+#: Common words of all languages together that are listed in the plan.
 MAX_LISTED = 4000
 MIN_CHARS, MIN_WORDS = 100, 80
 #: Limits for long texts, and what is added for short ones, divided by the root of the characters or words.
@@ -68,9 +67,16 @@ def spaced(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", "  "))
 
 
-def frequent(docs: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """Per language its most frequent words: __of, __words (in order of frequency)."""
-    every = docs.filter("text is not null").select("lang", F.explode(F.split(spaced(F.col("text")), "  ")).alias("word")).filter("word <> ''")
+def fails(n: Column, repeated: Column) -> Column:
+    """The base rules, of the number of words and of those in repeated windows."""
+    return (n < MIN_BASE_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+
+
+def frequent(docs: DataFrame, most: int = COMMON_WORDS) -> DataFrame:
+    """Per language the most frequent words of its texts that pass the base rules: __of, __words (in order of frequency)."""
+    own = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    good = docs.filter("text is not null").filter(let(own, lambda h: ~fails(F.size(h), repeat_words(h))))
+    every = good.select("lang", F.explode(F.split(spaced(F.col("text")), "  ")).alias("word")).filter("word <> ''")
     counts = every.groupBy("lang", "word").count()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
     top = counts.withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -99,8 +105,8 @@ def measure(docs: DataFrame, carry: list[str], words_of: DataFrame) -> DataFrame
     """``carry``, the base counts, the language's key and what the histograms need. ``words_of``: see ``frequent``."""
     t = F.coalesce("text", F.lit(""))
     listed = [r.w for r in words_of.select(F.explode("__words").alias("w")).distinct().limit(MAX_LISTED + 1).collect()]
-    candidate = (lambda w: w.isin(*listed)) if 0 < len(listed) <= MAX_LISTED else (lambda w: F.array_contains("__words", w))
-    among = lambda x: F.array_join(F.filter(F.split(x, "  "), candidate), "  ")  # the candidates, so that counting reads less
+    common = (lambda w: w.isin(*listed)) if 0 < len(listed) <= MAX_LISTED else (lambda w: F.array_contains("__words", w))
+    among = lambda x: F.array_join(F.filter(F.split(x, "  "), common), "  ")  # the common words, so that counting reads less
     rows = docs.select(*carry, F.col("lang").alias("__lang"), t.alias("__t"))
     rows = _by_language(rows, words_of, "__of").withColumn("__w", words(F.col("__t"))).withColumn("__n", F.length("__t"))
     left, counts = F.col("__t"), []
@@ -122,8 +128,7 @@ def measure(docs: DataFrame, carry: list[str], words_of: DataFrame) -> DataFrame
     )
     rows = rows.withColumn("word_chars", F.aggregate("__classes", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("__classes", F.lit(place["space"])))
     rows = rows.withColumn("n_symbols", F.get("__classes", F.lit(place["symbol"])))
-    failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
+    return rows.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def references(measured: DataFrame, words_of: DataFrame) -> DataFrame:
@@ -133,12 +138,12 @@ def references(measured: DataFrame, words_of: DataFrame) -> DataFrame:
     good = measured.filter(~F.col("base_failed"))
     k = len(CLASSES) + 1
     sums = [F.sum(F.get("__classes", F.lit(i))).alias(f"c{i}") for i in range(k)]
-    hits = [F.sum(F.get("__histogram.of", F.lit(i))).alias(f"w{i}") for i in range(CANDIDATES)]
+    hits = [F.sum(F.get("__histogram.of", F.lit(i))).alias(f"w{i}") for i in range(COMMON_WORDS)]
     total = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
     sums = good.groupBy(F.col("__lang").alias("__ref")).agg(*sums, *hits, F.sum("__histogram.all").alias("all_words"))
     sums = sums.join(words_of, F.col("__ref").eqNullSafe(F.col("__of")), "left")
-    ranked = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"w{i}") > 0, F.struct((-F.col(f"w{i}")).alias("less"), F.get("__words", F.lit(i)).alias("word"), F.lit(i).alias("place"))) for i in range(CANDIDATES)])))
-    rows = sums.select("__ref", "all_words", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(k)]).alias("ref_chars"), F.slice(ranked, 1, COMMON_WORDS).alias("top"))
+    ranked = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"w{i}") > 0, F.struct((-F.col(f"w{i}")).alias("less"), F.get("__words", F.lit(i)).alias("word"), F.lit(i).alias("place"))) for i in range(COMMON_WORDS)])))
+    rows = sums.select("__ref", "all_words", F.array(*[F.col(f"c{i}") / F.greatest(total, F.lit(1)) for i in range(k)]).alias("ref_chars"), ranked.alias("top"))
     share = F.transform("top", lambda x: -x["less"] / F.col("all_words"))
     return rows.select("__ref", "ref_chars", F.transform("top", lambda x: x["place"]).alias("ref_places"),
                        let(share, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - _total(s))))).alias("ref_shares"))

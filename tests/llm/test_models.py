@@ -253,17 +253,13 @@ def plain_verdicts(rows):
     own = {d: (lang, brute_quality(t), histogram(t or ""), regex.findall(r"[\p{L}\p{M}]+", (t or "").lower())) for d, t, lang in rows}
     refs = {}
     for lang in {x[0] for x in own.values()}:
-        every, good, chars, n = {}, {}, [0] * 8, 0
+        good, chars, n = {}, [0] * 8, 0
         for of, base, h, w in own.values():
-            if of == lang:
+            if of == lang and not base[-1]:
+                chars, n = [a + b for a, b in zip(chars, h)], n + len(w)
                 for x in w:
-                    every[x] = every.get(x, 0) + 1
-                if not base[-1]:
-                    chars, n = [a + b for a, b in zip(chars, h)], n + len(w)
-                    for x in w:
-                        good[x] = good.get(x, 0) + 1
-        frequent = sorted(every, key=lambda x: (-every[x], x))[:quality.CANDIDATES]
-        top = sorted((x for x in frequent if good.get(x)), key=lambda x: (-good[x], x))[:quality.COMMON_WORDS]
+                    good[x] = good.get(x, 0) + 1
+        top = sorted(good, key=lambda x: (-good[x], x))[:quality.COMMON_WORDS]
         shares = [good[x] / n for x in top]
         refs[lang] = [c / max(1, sum(chars)) for c in chars], top, [*shares, max(0.0, 1 - sum(shares))]
 
@@ -291,6 +287,15 @@ def test_quality_verdicts_match_plain_python(spark):
         assert same(r.char_distance, chars) and same(r.word_distance, words) and r.kept == kept, r
 
 
+def test_words_of_junk_are_not_common(spark):
+    good = "the cat sat on the mat and looked at a dog that ran from the house to the river with nine old friends of mine"
+    docs = spark.createDataFrame([(i, good, "en") for i in range(3)] + [(9 + i, "spam offer click " * 400, "en") for i in range(40)], "doc_id long, text string, lang string")
+    top = quality.frequent(docs).first()
+    assert top["__words"][0] == "the" and not {"spam", "offer", "click"} & set(top["__words"])
+    kept = {r.doc_id for r in quality.assess(docs, ["doc_id"]).filter("kept").collect()}
+    assert kept == {0, 1, 2}
+
+
 def test_quality_odd_rows(spark):
     same = "a b c d e f g h i j k l m n o p q r s t u v w x y z\n"
     texts = [None, "", " \n ", "x", same * 3, same + "\n \n" + same.upper(), "a " * 500, "Ä́ ß # | 1½ \U0001F600 " * 30, "one\r\ntwo\n\ntwo\r\n", "w" * 100_000]
