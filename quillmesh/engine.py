@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.operators import discover, excerpts, extract, graph, ignore, index, resolve, score, synonyms
+from quillmesh.operators import discover, domains, excerpts, extract, graph, ignore, index, projects, resolve, score, synonyms
 from quillmesh.plans.words import CHANGE_TYPES, DOMAINS, STOPWORDS, SYMBOL_STOPWORDS
 from quillmesh.session import staged
 from quillmesh.sources import packfiles, packs
@@ -68,15 +68,18 @@ def highlighted(content: DataFrame, frames: DataFrame | None, changed: DataFrame
     return reduce(DataFrame.unionByName, parts).distinct() if parts else None
 
 
-def pack(idx: Index, tasks: DataFrame, git: DataFrame, frames: DataFrame | None = None, diffs: DataFrame | None = None, changed: DataFrame | None = None, highlights: DataFrame | None = None, most: int = score.MAX_FILES) -> Pack:
+def pack(idx: Index, tasks: DataFrame, git: DataFrame, frames: DataFrame | None = None, diffs: DataFrame | None = None, changed: DataFrame | None = None, highlights: DataFrame | None = None, most: int = score.MAX_FILES, config: domains.Config = domains.Config()) -> Pack:
     """``tasks``: query, text; ``git``: path, churn; ``frames``: query, file, function and, if known, line; ``diffs``:
-    query, file, status; ``changed`` (by a diff) and further ``highlights``: query, path, line."""
+    query, file, status; ``changed`` (by a diff) and further ``highlights``: query, path, line. Domains are the
+    core's, those of the frameworks that the tree uses, and those of ``config``."""
     spark = tasks.sparkSession
-    resolved = resolve.resolve(tasks, STOPWORDS, SYMBOL_STOPWORDS, DOMAINS, CHANGE_TYPES, frames, diffs)
+    used = [r.name for r in projects.frameworks(idx.content).collect()]  # at most the known frameworks
+    words = projects.words_of(used, DOMAINS, config)
+    resolved = resolve.resolve(tasks, STOPWORDS, SYMBOL_STOPWORDS, words, CHANGE_TYPES, frames, diffs)
     resolved = staged(resolved, "resolved")
     resolved = staged(synonyms.widen(resolved), "tasks", spent=[resolved])
     found = discover.discover(resolved, idx.content, idx.symbols, idx.edges, idx.postings, idx.lengths, frames, diffs)
-    chosen = score.select(score.score(found, resolved, git, DOMAINS), resolved, most)
+    chosen = score.select(score.score(found, resolved, git, words), resolved, most)
     chosen = staged(chosen, "selected")
     # Excerpts of one (query, path) each: the pair stands for the path.
     key = F.concat_ws("\n", F.col("query").cast("string"), "path")

@@ -156,7 +156,7 @@ def mute_generic_migrations(merged: DataFrame, tasks: DataFrame) -> DataFrame:
     c = merged.join(tasks.select("query", "keywords"), "query")
     special = F.exists("keywords", lambda w: (F.length(w) >= 3) & F.contains(F.lower("path"), F.lower(w)) & ~F.lower(w).isin(*MIGRATION_WORDS))
     mute = F.contains("path", F.lit("database/migrations/")) & (F.coalesce("raw_path_matches", F.lit(0)) == 0) & (F.coalesce("path_matches", F.lit(0)) > 0) & ~special
-    return c.withColumn("path_matches", F.when(mute, 0).otherwise(F.col("path_matches"))).withColumn("basename_matches", F.when(mute, 0).otherwise(F.col("basename_matches"))).drop("keywords")
+    return c.withColumns({n: F.when(mute, 0).otherwise(F.col(n)) for n in ("path_matches", "basename_matches")}).drop("keywords")
 
 
 COLLECTION = r"content/collections/([^/]+)/"
@@ -219,14 +219,12 @@ def needs(package: str) -> Column:
 
 def apply(candidates: DataFrame, files: DataFrame, tasks: DataFrame, names: list[str] | None = None) -> DataFrame:
     """query, path, signal of all rules that apply to the tree (or of those named), without candidates."""
-    parts = []
-    for name, (marker, requires, f) in REGISTRY.items():
-        if names is not None and name not in names:
-            continue
-        if names is None and marker is not None:
-            found_marker = files.filter(F.col("path") == marker)
-            if (found_marker.filter(needs(requires)) if requires else found_marker).isEmpty():
-                continue
-        parts.append(f(candidates, files, tasks))
+    if names is None:
+        from quillmesh.operators import projects
+
+        names = [r.name for r in projects.detect(files).collect()]  # at most the registry
+    parts = [f(candidates, files, tasks) for name, (_, _, f) in REGISTRY.items() if name in names]
+    if not parts:
+        return candidates.select("query", "path", F.lit("").alias("signal")).limit(0)
     every = reduce(DataFrame.unionByName, parts).distinct()
     return every.join(candidates.select("query", "path"), ["query", "path"], "left_anti")

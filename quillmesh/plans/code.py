@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import activity, discover, domains, excerpts, extract, graph, ignore, resolve, rules, score
+from quillmesh.operators import activity, discover, domains, excerpts, extract, graph, ignore, projects, resolve, rules, score
 from quillmesh.plans import project
 from quillmesh.plans.retrieval import quoted
 from quillmesh.plans.values import Grown, Values
 from quillmesh.plans.words import CHANGE_TYPES, DOMAINS, STOPWORDS
-from quillmesh.session import table
+from quillmesh.session import staged, table
 from quillmesh.sources import packs
 
 QUERIES, ORACLES = {}, {}
@@ -644,3 +644,62 @@ def discover_name_counts(spark, sf):
     SQL, for groups hang on stems; the tests hold it against plain Python."""
     t, f = named_inputs(spark, sf)
     return discover.from_names(t, f).select("query", "path", "raw_path_matches", "path_matches", "basename_matches")
+
+
+# A tree for each document: its marker file, what was cached of it and its configuration, in SQL for both engines.
+_MARKER = "CASE WHEN doc_id % 5 = 2 THEN 'package.json' WHEN doc_id % 5 = 4 THEN 'README.md' ELSE 'composer.json' END"
+_MANIFEST = """CASE doc_id % 5 WHEN 0 THEN '{"require": {"laravel/framework": "^11"}}' WHEN 1 THEN '{"require-dev": {"statamic/cms": "5"}}' WHEN 3 THEN 'no json' ELSE '{}' END"""
+_CACHED = """CASE WHEN doc_id % 20 = 0 THEN '{"rules": ["configs", "roles", "gone"], "detectedAt": "2024"}' WHEN doc_id % 20 = 1 THEN '{"rules": [' WHEN doc_id % 20 = 4 THEN '{"rules": []}' END"""
+_OWN = """CASE WHEN doc_id % 7 = 0 THEN '{"customDomains": [{"name": "queue", "keywords": ["' || source || '"]}, {"name": "react", "keywords": ["x", "y"]}], "disabledDomains": ["auth", "nova"]}' WHEN doc_id % 7 = 1 THEN 'broken' END"""
+
+
+def _trees(spark, sf):
+    return table(spark, sf, "documents").selectExpr("doc_id AS project", f"{_MARKER} AS path", f"{_MANIFEST} AS content")
+
+
+_BY_KIND = {k: quoted([n for n in rules.REGISTRY if n.startswith(k)]) for k in ("node", "laravel", "statamic")}
+
+
+@query(f"""WITH p AS (SELECT doc_id AS project, doc_id % 5 AS k, doc_id % 20 AS c FROM documents)
+SELECT project, unnest(CASE WHEN c = 0 THEN ['configs', 'roles'] WHEN c = 4 THEN [] WHEN k = 0 THEN list_concat(['configs', 'roles'], [{_BY_KIND['laravel']}]) WHEN k = 1 THEN list_concat(['configs', 'roles'], [{_BY_KIND['statamic']}])
+ WHEN k = 2 THEN list_concat(['configs', 'roles'], [{_BY_KIND['node']}]) ELSE ['configs', 'roles'] END) AS name FROM p""")
+def project_rules(spark, sf):
+    """The rules that apply to each of many trees, by their cached documents or else by their marker files."""
+    kept = table(spark, sf, "documents").selectExpr("doc_id AS project", f"{_CACHED} AS body").filter("body is not null")
+    return projects.applied(_trees(spark, sf), kept, "project")
+
+
+@query(f"""WITH p AS (SELECT doc_id AS project, doc_id % 5 AS k, doc_id % 7 = 0 AS own, source AS word FROM documents),
+d AS (""" + " UNION ALL ".join(f"SELECT '{d}' AS domain, '{src}' AS source, {o} AS ord, '{' '.join(ws)}' AS words" for src, o, ds in _SOURCES[:-1] for d, ws in ds.items()) + """),
+j AS (SELECT project, domain, d.source, ord, words FROM p JOIN d ON d.source = 'core' OR (d.source = 'laravel' AND k = 0) OR (d.source = 'nodejs' AND k = 2)
+  UNION ALL SELECT project, 'queue', 'custom', 2, coalesce(word, '') FROM p WHERE own AND word IS NOT NULL UNION ALL SELECT project, 'react', 'custom', 2, 'x y' FROM p WHERE own AND word IS NOT NULL)
+SELECT project, domain, source, words FROM j JOIN p USING (project) WHERE NOT (own AND word IS NOT NULL AND domain IN ('auth', 'nova')) QUALIFY row_number() OVER (PARTITION BY project, domain ORDER BY ord DESC) = 1""")
+def project_domains(spark, sf):
+    """The domains in force in each of many trees: of the core, of its frameworks and of its own configuration."""
+    own = table(spark, sf, "documents").selectExpr("doc_id AS project", f"{_OWN} AS body").filter("body is not null")
+    return projects.in_force(_trees(spark, sf), DOMAINS, own, "project").withColumn("words", F.array_join("words", " "))
+
+
+@query("""WITH p AS (SELECT doc_id, 'gen/d' || (doc_id % 20) || '/unit_' || doc_id || '.php' AS path FROM documents WHERE doc_id % 3 = 2),
+s AS (SELECT doc_id, 'gen/d' || (doc_id % 20) || '/unit_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.php' END AS path FROM documents)
+SELECT DISTINCT p.doc_id % 5 AS query, s.path FROM p JOIN s ON contains('unit' || s.doc_id, 'unit' || (p.doc_id + 60)) OR contains('run' || s.doc_id, 'run' || p.doc_id)""")
+def second_hop(spark, sf):
+    """What candidates refer to, in five tasks: files that define their classes and methods."""
+    f = files(spark, sf)
+    merged = table(spark, sf, "documents").filter("doc_id % 3 = 2").selectExpr("doc_id % 5 AS query", "concat('gen/d', doc_id % 20, '/unit_', doc_id, '.php') AS path")
+    return discover.from_references(merged, f, staged(extract.symbols(f), "symbols")).select("query", "path")
+
+
+_VERB = "CASE doc_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'add' WHEN 2 THEN 'update' ELSE 'split' END"
+_MIGRATION = f"CASE WHEN doc_id % 6 = 5 THEN 'app/Models/' ELSE 'database/migrations/2024_' END || {_VERB} || '_' || coalesce(source, 'none') || '_' || doc_id || '_table.php'"
+
+
+@query(f"""WITH m AS (SELECT doc_id, {_MIGRATION} AS path, doc_id % 9 = 8 AS typed, CASE WHEN doc_id % 2 = 0 THEN source END AS word, {_VERB} AS verb FROM documents)
+SELECT doc_id AS query, path, CASE WHEN NOT typed AND starts_with(path, 'database/') AND verb <> 'split' AND NOT coalesce(length(word) >= 3 AND contains(path, lower(word)), false) THEN 0 ELSE doc_id % 3 + 1 END AS path_matches,
+CASE WHEN NOT typed AND starts_with(path, 'database/') AND verb <> 'split' AND NOT coalesce(length(word) >= 3 AND contains(path, lower(word)), false) THEN 0 ELSE doc_id % 2 END AS basename_matches FROM m""")
+def generic_migrations(spark, sf):
+    """Candidates of a task each: migrations that only words such as `create` match lose their counts."""
+    d = table(spark, sf, "documents")
+    merged = d.selectExpr("doc_id AS query", f"{_MIGRATION} AS path", "if(doc_id % 9 = 8, 1, 0) AS raw_path_matches", "doc_id % 3 + 1 AS path_matches", "doc_id % 2 AS basename_matches")
+    tasks_ = d.selectExpr("doc_id AS query", f"array_compact(array({_VERB}, 'table', if(doc_id % 2 = 0, source, null))) AS keywords")
+    return rules.mute_generic_migrations(merged, tasks_).select("query", "path", "path_matches", "basename_matches")

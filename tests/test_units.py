@@ -164,6 +164,29 @@ def test_rules_registry(spark):
     assert not any(p == "src/index.ts" for p in {r.path for r in rules.apply(c, bare, t).collect()})
 
 
+def test_projects(spark):
+    from quillmesh.operators import domains, projects
+
+    files = spark.createDataFrame([("a", "package.json", "{}"), ("a", "composer.json", '{"require": {"laravel/framework": "11"}}'), ("b", "x.py", ""), ("c", "sub/package.json", "{}"), (None, "package.json", None)], "tree string, path string, content string")
+    of = lambda df: {t: {r.name for r in df.collect() if r.tree == t} for t in ("a", "b", "c", None)}
+    got = of(projects.detect(files, "tree"))
+    assert {"configs", "roles"} == got["b"] == got["c"] and "node-index" in got["a"] and "laravel-views" in got["a"] and "node-tests" in got[None]
+    assert {r.name for r in projects.detect(files.filter("tree = 'a'").drop("tree")).collect()} == got["a"]
+    kept = projects.cache(projects.detect(files, "tree"), F.lit("2024-01-01 00:00:00").cast("timestamp"), "tree")
+    stale = files.filter("tree <> 'a'").unionByName(spark.createDataFrame([("a", "other", "")], files.schema))
+    assert of(projects.applied(stale, kept, "tree"))["a"] == got["a"]  # as cached
+    again = projects.dropped(kept, files.filter("tree = 'a'"), "tree")
+    assert of(projects.applied(stale, again, "tree"))["a"] == {"configs", "roles"}
+    two = kept.unionByName(spark.createDataFrame([("a", '{"rules": ["roles"], "detectedAt": "2025"}'), ("b", "broken"), ("b", None)], kept.schema))
+    assert of(projects.applied(files, two, "tree"))["a"] == {"roles"} and of(projects.applied(files, two, "tree"))["b"] == {"configs", "roles"}
+    config = domains.Config().put("nova", ["mine"]).disable("core1")
+    table = projects.in_force(files, {"core1": ["c"], "express": ["core"]}, spark.createDataFrame([("a", config.dump()), ("b", "?")], "tree string, body string"), "tree")
+    force = {(r.tree, r.domain): (r.words, r.source) for r in table.collect()}
+    assert force["a", "nova"] == (["mine"], "custom") and ("a", "core1") not in force and force["b", "core1"] == (["c"], "core") and force["a", "express"][1] == "nodejs" and ("b", "nova") not in force
+    assert {d: ws for (t, d), (ws, _) in force.items() if t == "a"} == projects.words_of(["nodejs", "laravel"], {"core1": ["c"], "express": ["core"]}, config)
+    assert projects.detect(files.limit(0), "tree").count() == projects.in_force(files.limit(0), {"a": ["b"]}, kept.limit(0), "tree").count() == 0
+
+
 def test_statamic_rules(spark):
     files = spark.createDataFrame([("composer.json", '{"require": {"statamic/cms": "5"}}'), ("content/collections/blog/a.md", "x"), ("resources/blueprints/collections/blog/post.yaml", "import: seo_fields"), ("resources/fieldsets/seo_fields.yaml", "f"), ("resources/views/blog/show.antlers.html", "{{ partial:nav/menu }} taxonomy=\"tags\""),
                                    ("resources/views/partials/nav/menu.antlers.html", "nav"), ("content/taxonomies/tags/x.yaml", "t")], "path string, content string")
