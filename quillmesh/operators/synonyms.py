@@ -1,11 +1,13 @@
 """Synonyms of the words of tasks, and their use: a task in other words than the code's still finds it.
 
 The groups are words that are used for each other when people talk about software; the translations lead
-from stems of Italian words to English words of the groups.
+from stems of Italian words to English words. Both are text files of words; other ones can be given.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,107 +15,26 @@ from quillmesh.functions import stem as S
 from quillmesh.operators import retrieve
 from quillmesh.session import staged
 
-#: Each line is a group.
-GROUPS = {
-    "en": """login signin authenticate logon
-logout signout logoff
-user account member profile
-password credential secret passphrase
-permission privilege role access
-payment charge billing transaction
-invoice bill receipt
-order purchase checkout
-price cost amount rate
-cart basket
-customer client buyer
-product item article goods
-delete remove destroy erase
-create add make insert
-update edit change modify
-fetch load retrieve get
-save store persist write
-search find lookup query
-list index overview
-mail email message
-notification alert notice
-upload import
-download export
-cache buffer memo
-config configuration setting option preference
-error failure fault exception
-bug defect issue
-test spec check
-job task worker queue
-schedule cron timer
-database schema table
-file document attachment
-picture image photo
-page view screen template
-button link
-form input field
-validate verify check
-convert transform map
-helper utility tool
-log trace journal
-report statistic summary
-slow latency performance
-translate locale language""",
-    "it": """utente cliente iscritto
-accesso ingresso login
-ordine acquisto
-fattura ricevuta
-pagamento addebito transazione
-prezzo costo importo
-carrello cestino
-errore guasto difetto
-eliminare cancellare rimuovere
-creare aggiungere inserire
-modificare aggiornare cambiare
-cercare trovare
-salvare memorizzare
-impostazione configurazione opzione
-documento allegato
-immagine foto
-pagina schermata vista
-messaggio notifica avviso""",
-}
-#: Italian words and the English word of the same meaning.
-TRANSLATIONS = """utente user
-accesso login
-ordine order
-fattura invoice
-pagamento payment
-prezzo price
-carrello cart
-cliente customer
-prodotto product
-errore error
-eliminare delete
-creare create
-aggiungere add
-modificare update
-aggiornare update
-cercare search
-trovare find
-salvare save
-impostazione setting
-documento document
-immagine image
-pagina page
-messaggio message
-notifica notification
-magazzino stock
-spedizione shipping
-sconto discount
-rimborso refund"""
+WORDS = Path(__file__).resolve().parent.parent / "functions" / "words"
+#: Files of groups, one a line, by language.
+GROUPS = {"en": WORDS / "synonyms_en.txt", "it": WORDS / "synonyms_it.txt"}
+#: Italian words and the English word of the same meaning, a pair a line.
+TRANSLATIONS = WORDS / "translations_it.txt"
 #: Expansions of a task's words that are looked for too.
 MOST = 40
 
 
-def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The dictionary (lang, key, synonym) and the translations (stem, english)."""
-    groups = spark.createDataFrame([(lang, i, w) for lang, lines in GROUPS.items() for i, line in enumerate(lines.split("\n")) for w in line.split()], "lang string, group int, word string")
-    pairs = spark.createDataFrame([tuple(line.split()) for line in TRANSLATIONS.split("\n")], "term string, english string")
+def lines(path: Path) -> list[list[str]]:
+    """The words of each line of a file on the driver; blank lines and comments (#) are left out."""
+    rows = (line.split("#")[0].split() for line in path.read_text(encoding="utf-8").splitlines())
+    return [words for words in rows if words]
+
+
+def tables(spark: SparkSession, groups: dict[str, Path] | None = None, translations: Path | None = None) -> tuple[DataFrame, DataFrame]:
+    """The dictionary (lang, key, synonym) and the translations (stem, english), of the files given or those of the library."""
+    words = [(lang, i, w) for lang, path in (groups or GROUPS).items() for i, line in enumerate(lines(path)) for w in line]
+    groups = spark.createDataFrame(words, "lang string, group int, word string")
+    pairs = spark.createDataFrame([(line[0], english) for line in lines(translations or TRANSLATIONS) for english in line[1:]], "term string, english string")
     dictionary = staged(retrieve.dictionary(groups, S.stems(groups.select(F.col("word").alias("term")))), "dictionary")
     return dictionary, pairs.join(S.stems(pairs.select("term")).filter("lang = 'it'"), "term").select("stem", "english").distinct()
 

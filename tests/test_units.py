@@ -284,6 +284,13 @@ def test_synonyms_and_logs(spark, tmp_path):
     got = {r.query: r.keywords for r in synonyms.widen(t).collect()}
     assert got[1][:2] == ["signin", "checkout page"] and {"login", "order", "screen"} <= set(got[1]) and "cart" in got[2] and "basket" in got[2] and got[3] == []
     assert {r.lang: r.n_words for r in synonyms.statistics(synonyms.tables(spark)[0]).collect()}["en"] > 100
+    assert [len(synonyms.lines(p)) for p in (synonyms.GROUPS["en"], synonyms.GROUPS["it"], synonyms.TRANSLATIONS)] >= [89, 60, 190]
+    every = [tuple(x) for p in (*synonyms.GROUPS.values(), synonyms.TRANSLATIONS) for x in synonyms.lines(p)]
+    assert len(every) == len(set(every)) and all(len(x) > 1 and len(x) == len(set(x)) or len(x) == 2 for x in every)
+    (tmp_path / "own.txt").write_text("# of this project\nsku gizmo\n\n")
+    own = synonyms.tables(spark, {"en": tmp_path / "own.txt"}, tmp_path / "own.txt")
+    assert {r.query: r.keywords for r in synonyms.widen(spark.createDataFrame([(1, ["sku"])], "query long, keywords array<string>"), *own).collect()} == {1: ["sku", "gizmo"]}
+    (tmp_path / "own.txt").unlink()
     (tmp_path / "a.log").write_text("2024-01-10 09:00:00 old\n at old\n2024-01-12 09:00:00 new\n at new\n")
     assert [r.body for r in logs.lines(spark, str(tmp_path), F.lit("2024-01-11").cast("timestamp")).orderBy("line").collect()] == ["2024-01-12 09:00:00 new", " at new", ""]
     assert logs.contents(spark, str(tmp_path)).count() == 1
