@@ -48,7 +48,7 @@ from quillmesh.llm.shingles import mix, shingle_sets
 SHINGLE = 5
 #: Similarity as a fraction, so that comparing is exact.
 NUM, DEN = 4, 5
-COORDINATES, RUNS, MAX_RUNS = 32, 8, 32
+COORDINATES, RUNS = 32, 8
 #: Repeat runs until this share of the sample's pairs is found. The sample's size, and what counts as a pair in it.
 TARGET, SAMPLE, SEEN = 0.999, 256, 25
 #: A pair of similarity 0.8 agrees in fewer tokens than this once in a million.
@@ -156,14 +156,16 @@ def measured(reps: DataFrame, about: DataFrame, size: int = SAMPLE) -> tuple[int
 
 
 def repeat_runs(reps: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame, float]:
-    """The buckets of as many runs as reach the target, ``with_leaves`` of them, and the measured recall."""
+    """The buckets of as many runs as reach the target, ``with_leaves`` of them, and the measured recall. Runs beyond
+    COORDINATES begin with a token that an earlier one had and split by others. There is no last run: one finds
+    a pair that agrees in SEEN tokens with a probability of 0.6 or more, so what is missing falls by half or more a run."""
     leaves, runs = None, 0
     while True:
         more = buckets(reps.select("rid", "tokens"), range(runs, runs + RUNS))
         leaves, runs = more if leaves is None else leaves.unionByName(more), runs + RUNS
         about = written(with_leaves(reps, leaves), "leaves")
         every, hits = measured(reps, about)
-        if runs >= MAX_RUNS or hits >= target * every:
+        if hits >= target * every:
             return leaves, about, hits / every if every else 1.0
 
 
@@ -256,9 +258,10 @@ def compare(n: np.ndarray, copies: np.ndarray, rids: np.ndarray, sets: list[np.n
     return [(int(rids[i]), int(links[i]), least[find(i)]) for i in np.flatnonzero(links)]
 
 
-def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """``reps``: rid, set_key, doc_id, text_id, copies, n, tokens. Per rid and bucket with links: rid, links, other."""
-    leaves, about, _ = repeat_runs(reps)
+def linked(reps: DataFrame, docs: DataFrame) -> tuple[DataFrame, float]:
+    """``reps``: rid, set_key, doc_id, text_id, copies, n, tokens. Per rid and bucket with links: rid, links, other; and
+    the measured recall."""
+    leaves, about, recall = repeat_runs(reps)
     rows = blocks(leaves).join(about, "rid").repartition("key", "part").sortWithinPartitions("key", "part")
     cols = ["key", "part", "rid", "side", "n", "tokens", "leaves"]
 
@@ -307,7 +310,7 @@ def linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["rid", "links", "other"])
 
-    return written(full.mapInArrow(exact, "rid long, links long, other long"), "links")
+    return written(full.mapInArrow(exact, "rid long, links long, other long"), "links"), recall
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,12 +329,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, class_id, class_key, n_links (other documents that are similar), n_shingles, text_id."""
+    """A row per document: doc_id, class_id, class_key, n_links (other documents that are similar), n_shingles, text_id;
+    and in every row the recall of the sample's pairs that the runs reached."""
     marks = written(sketches(docs), "sketches")
     sets = marks.filter("set_key is not null").groupBy("set_key").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_id")).alias("first"), F.min("n").alias("n"),
                                                                        F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"))
     reps = written(sets.select(F.monotonically_increasing_id().alias("rid"), "set_key", "copies", "first.doc_id", "first.text_id", "n", "least", "tokens"), "classes")
-    found = linked(reps, docs)
+    found, recall = linked(reps, docs)
     labels = components(found.select(F.col("rid").alias("a"), F.col("other").alias("b")))
     ids = reps.select(F.col("rid").alias("id"), "least", "set_key").join(labels, "id").groupBy("label").agg(F.min("least").alias("class_id"), F.min("set_key").alias("class_key"))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
@@ -339,7 +343,7 @@ def join(docs: DataFrame) -> DataFrame:
     placed = placed.select("set_key", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "set_key").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = marks.select("doc_id", "text_id", "set_key", "n").join(placed, "set_key", "left")
     return out.select("doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.hex("class_key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.col("n").alias("n_shingles"), "text_id", F.col("set_key").isNull().alias("alone"))
+                      F.col("n").alias("n_shingles"), "text_id", F.col("set_key").isNull().alias("alone"), F.lit(recall).alias("recall"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
