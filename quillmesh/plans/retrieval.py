@@ -103,7 +103,7 @@ def delete_cascade(spark, sf):
     """Postings after the vanished files have gone from them."""
     old = corpus(spark, sf)
     gone = index.changes(old.select("path", F.md5("content").alias("hash")), second_version(old).select("path", F.md5("content").alias("hash"))).filter("change = 'deleted'")
-    left, = index.delete(gone, index.postings(old))
+    left, = index.delete(gone, index.postings(old.filter("path is not null")))
     return left.groupBy("path").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
 
 

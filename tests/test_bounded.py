@@ -16,3 +16,13 @@ def test_postings_are_counted_where_the_documents_are(spark):
     assert sorted(map(tuple, got.collect())) == sorted((k, t, n) for k, ts in want.items() for t, n in Counter(ts).items())
     assert got.schema.simpleString() == "struct<path:bigint,term:string,tf:bigint>"
     assert "Exchange" not in plan(got) and "Aggregate" not in plan(got)
+
+
+def test_many_deleted_keys_are_hashed_and_tables_are_not_sorted(spark, monkeypatch):
+    rows = spark.range(50).selectExpr("concat('f', id % 10) AS path", "id AS n")
+    keys = spark.createDataFrame([("f1",), ("f1",), ("f2",), (None,)], "path string")
+    few, = index.delete(keys, rows)
+    monkeypatch.setattr(index, "MOST_KEYS", 1)
+    many, = index.delete(keys, rows)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == [(f"f{i}", n) for i in (0, *range(3, 10)) for n in range(i, 50, 10)]
+    assert "ShuffledHashJoin" in plan(many) and "Sort" not in plan(many)
