@@ -8,6 +8,8 @@ own configuration; a later source replaces a domain of the same name, and disabl
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,21 +67,39 @@ def dropped(cached: DataFrame, trees: DataFrame, *keys: str) -> DataFrame:
     return cached.join(trees.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _fixed(names: tuple[str, ...], core: dict[str, list[str]]) -> list[tuple[str, list[str], str]]:
+    """domain, words, source of a tree with the frameworks ``names``: theirs replace the core's, of two frameworks the one
+    that has the domain further up."""
+    every = {d: (ws, "core", -1) for d, ws in core.items()}
+    for name in names:
+        for i, (d, ws) in enumerate(FRAMEWORKS[name][2].items()):
+            if d not in every or every[d][1] == "core" or i < every[d][2]:
+                every[d] = (ws, name, i)
+    return [(d, ws, source) for d, (ws, source, _) in every.items()]
+
+
 def in_force(files: DataFrame, core: dict[str, list[str]], configs: DataFrame, *keys: str) -> DataFrame:
     """``configs``: keys, body (a JSON configuration). keys, domain, words, source: the domains of each tree. A
-    configuration that cannot be read is none; of a name that it defines twice the last counts."""
+    configuration that cannot be read is none; of a name that it defines twice the last counts. A tree is one narrow row up
+    to the end: the fixed domains are the same for all trees of the same frameworks, and only names are told apart."""
     spark = files.sparkSession
-    fixed = domains.rows(spark, core, "core", 0)
-    for name, (_, _, ds) in FRAMEWORKS.items():
-        fixed = fixed.unionByName(domains.rows(spark, ds, name, 1))
-    own = files.select(*keys).distinct().select(*keys, F.lit("core").alias("source")).unionByName(frameworks(files, *keys).withColumnRenamed("name", "source"))
     doc = configs.select(*keys, F.from_json("body", CONFIG).alias("doc"))
     custom = doc.select(*keys, F.posexplode("doc.customDomains").alias("ord", "d")).filter("d.name is not null")
-    custom = custom.select(*keys, F.col("d.name").alias("domain"), F.coalesce("d.keywords", F.array().cast("array<string>")).alias("words"), F.lit("custom").alias("source"), F.lit(2).alias("source_ord"), (-F.col("ord")).alias("ord"))
-    every = own.join(fixed, "source").select(*custom.columns).unionByName(custom)
+    custom = custom.select(*keys, F.col("d.name").alias("domain"), F.coalesce("d.keywords", F.array().cast("array<string>")).alias("words"), F.lit("custom").alias("source"), "ord")
+    latest = F.row_number().over(Window.partitionBy(*keys, "domain").orderBy(F.desc("ord")))
     off = doc.select(*keys, F.explode("doc.disabledDomains").alias("domain")).distinct()
-    latest = F.row_number().over(Window.partitionBy(*keys, "domain").orderBy(F.desc("source_ord"), "ord"))  # at most one row a source
-    return every.withColumn("__n", latest).filter("__n = 1").join(off, [*keys, "domain"], "left_anti").select(*keys, "domain", "words", "source")
+    custom = custom.withColumn("__n", latest).filter("__n = 1").join(off, [*keys, "domain"], "left_anti")
+    # A tree's frameworks, and the fixed domains that its configuration replaces or disables.
+    names = F.array_compact(F.concat(F.coalesce(F.transform("doc.customDomains", lambda d: d["name"]), F.array().cast("array<string>")), F.coalesce("doc.disabledDomains", F.array().cast("array<string>"))))
+    none, text = F.lit(None).cast("array<string>").alias("__hidden"), F.lit(None).cast("string").alias("__name")
+    about = files.select(*keys, F.lit(True).alias("__tree"), text, none).unionByName(frameworks(files, *keys).select(*keys, F.lit(True).alias("__tree"), F.col("name").alias("__name"), none))
+    about = about.unionByName(doc.select(*keys, F.lit(None).cast("boolean").alias("__tree"), text, names.alias("__hidden")))
+    used = F.concat_ws(",", *[F.max(F.when(F.col("__name") == n, n)) for n in FRAMEWORKS])
+    trees = about.groupBy(*keys).agg(F.max("__tree").alias("__tree"), used.alias("__used"), F.flatten(F.collect_list("__hidden")).alias("__hidden")).filter("__tree")
+    sets = [c for n in range(len(FRAMEWORKS) + 1) for c in combinations(FRAMEWORKS, n)]
+    fixed = spark.createDataFrame([(",".join(c), _fixed(c, core)) for c in sets], "__used string, __fixed array<struct<domain: string, words: array<string>, source: string>>")
+    rows = trees.join(F.broadcast(fixed), "__used").select(*keys, "__hidden", F.inline("__fixed")).filter(~F.array_contains("__hidden", F.col("domain")))
+    return rows.select(*keys, "domain", "words", "source").unionByName(custom.select(*keys, "domain", "words", "source"))
 
 
 def words_of(names: list[str], core: dict[str, list[str]], config: domains.Config) -> dict[str, list[str]]:

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from quillmesh.operators import blocks, index
+from quillmesh.operators import blocks, index, projects
 
 
 def plan(df) -> str:
@@ -36,3 +36,18 @@ def test_parts_of_the_index_follow_its_postings(spark, monkeypatch, tmp_path):
     sizes = [n for _, n in spark.read.parquet(f"{folder}/posts").groupBy("_metadata.file_path").count().collect()]
     assert sum(sizes) == 900 and len(sizes) > 4 and max(sizes) <= 300
     assert spark.read.parquet(f"{folder}/docs").count() == 300
+
+
+def test_domains_of_trees_are_spread_at_the_end(spark):
+    files = spark.createDataFrame([("a", "package.json", "{}"), ("a", "x", ""), ("b", "README", ""), ("c", "composer.json", '{"require": {"laravel/framework": "1"}}'), ("d", "x", "")], "tree string, path string, content string")
+    body = '{"customDomains": [{"name": "one", "keywords": ["first"]}, {"name": "own"}, {"name": "one", "keywords": ["last"]}], "disabledDomains": ["two", "own"]}'
+    configs = spark.createDataFrame([("a", body), ("b", "no"), ("d", '{"disabledDomains": ["one"]}'), ("e", '{"customDomains": [{"name": "far", "keywords": ["f"]}]}')], "tree string, body string")
+    got = projects.in_force(files, {"one": ["1"], "two": ["2"]}, configs, "tree")
+    rows = {(r.tree, r.domain): (r.words, r.source) for r in got.collect()}
+    of = lambda tree, name: {(tree, d): (ws, name) for d, ws in projects.FRAMEWORKS[name][2].items()}
+    core = lambda tree, *ds: {(tree, d): ([{"one": "1", "two": "2"}[d]], "core") for d in ds}
+    assert rows == of("a", "nodejs") | {("a", "one"): (["last"], "custom")} | core("b", "one", "two") | core("c", "one", "two") | of("c", "laravel") | core("d", "two") | {("e", "far"): (["f"], "custom")}
+    # What is spread is neither ranked nor exchanged: the windows rank what configurations define.
+    lines = plan(got).split("\n")
+    spread = next(i for i, line in enumerate(lines) if "Generate inline" in line)
+    assert not any("Window" in line or "Exchange" in line for line in lines[:spread])
