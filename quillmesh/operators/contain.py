@@ -9,6 +9,8 @@ from quillmesh.session import staged
 
 #: Characters of a gram, and how many different ones are broadcast to the rows; more meet them by a shuffle.
 GRAM, MAX_BROADCAST = 3, 100_000
+#: Needles up to which grams have GRAM characters, and each GRAM more.
+PER_GRAM = 10_000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -19,17 +21,25 @@ def containing(rows: DataFrame, hay: str, needles: DataFrame, needle: str) -> Da
     """Pairs of ``rows`` and ``needles`` where the column ``hay`` contains ``needle``; empty needles are in no row. Rows
     meet a needle by its rarest gram, the one that the fewest rows have, and the pairs are looked at then: the work is in
     proportion to the rows and to what is nearly found, and no gram that all rows have brings them together unless it is
-    the whole of a needle. Needles that queries share are looked for once."""
+    the whole of a needle. The more needles there are the longer are the grams, so that not many needles share one.
+    Needles that queries share are looked for once."""
+    needles = staged(needles, "asked")
     each = staged(needles.select(F.col(needle).alias("__needle")).filter(F.length(needle) > 0).distinct(), "needles")
-    sizes = sorted(r.n for r in each.select(F.least(F.length("__needle"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM rows at most
-    own = F.when(F.length("__needle") >= GRAM, _grams(F.col("__needle"), GRAM)).otherwise(F.array("__needle"))
+    gram, n, most = GRAM, each.count(), PER_GRAM
+    while n > most:
+        gram, most = gram + GRAM, most * 1000
+    sizes = sorted(r.n for r in each.select(F.least(F.length("__needle"), F.lit(gram)).alias("n")).distinct().collect())  # gram rows at most
+    own = F.when(F.length("__needle") >= gram, _grams(F.col("__needle"), gram)).otherwise(F.array("__needle"))
     of_needle = each.select("__needle", F.explode(F.array_distinct(own)).alias("__gram"))
     wanted = of_needle.select("__gram").distinct()
     small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col(hay), n) for n in sizes or [GRAM]])))
-    met = rows.withColumn("__gram", F.explode(every)).join(F.broadcast(wanted) if small else wanted, "__gram", "left_semi")
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col(hay), n) for n in sizes or [gram]])))
+    # Of the rows only their grams are counted; they come themselves in the second pass, to the grams that stand for needles.
+    met = rows.select(F.explode(every).alias("__gram")).join(F.broadcast(wanted) if small else wanted, "__gram", "left_semi")
     counts = met.groupBy("__gram").agg(F.count("*").alias("__n"))
     rarest = of_needle.join(counts, "__gram", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("g"))
-    rarest = rarest.filter("g.n > 0").select("__needle", F.col("g.__gram").alias("__gram"))
-    found = met.join(rarest, "__gram").filter(F.contains(hay, F.col("__needle"))).drop("__gram")
-    return found.join(needles, F.col("__needle") == F.col(needle)).drop("__needle")
+    rarest = staged(rarest.filter("g.n > 0").select("__needle", F.col("g.__gram").alias("__gram")), "rarest")
+    few = rarest.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    found = rows.withColumn("__gram", F.explode(every)).join(F.broadcast(rarest) if few else rarest.hint("shuffle_hash"), "__gram").filter(F.contains(hay, F.col("__needle"))).drop("__gram")
+    asked = needles.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    return found.join(F.broadcast(needles) if asked else needles.hint("shuffle_hash"), F.col("__needle") == F.col(needle)).drop("__needle")

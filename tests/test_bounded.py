@@ -51,3 +51,20 @@ def test_domains_of_trees_are_spread_at_the_end(spark):
     lines = plan(got).split("\n")
     spread = next(i for i, line in enumerate(lines) if "Generate inline" in line)
     assert not any("Window" in line or "Exchange" in line for line in lines[:spread])
+
+
+def test_rows_meet_needles_by_longer_grams_and_are_not_exchanged(spark, monkeypatch):
+    from quillmesh.operators import contain
+
+    rows = spark.createDataFrame([(i, f"unit{i}") for i in range(60)] + [(90, "xunit11y"), (91, ""), (92, "it"), (93, None)], "id long, hay string")
+    asked = [(1, "unit1"), (2, "unit11"), (2, "it"), (3, ""), (3, "unit1"), (4, "nit59"), (5, "gone")]
+    needles = spark.createDataFrame(asked, "q long, word string")
+    want = sorted((r.id, q, w) for r in rows.collect() for q, w in asked if w and w in (r.hay or ""))
+    got = contain.containing(rows, "hay", needles, "word")
+    assert sorted((r.id, r.q, r.word) for r in got.collect()) == want
+    assert not any(x in plan(got) for x in ("Exchange hashpartitioning", "SortMergeJoin"))
+    monkeypatch.setattr(contain, "PER_GRAM", 1)
+    monkeypatch.setattr(contain, "MAX_BROADCAST", 1)
+    many = contain.containing(rows, "hay", needles, "word")
+    assert sorted((r.id, r.q, r.word) for r in many.collect()) == want
+    assert "SortMergeJoin" not in plan(many)
