@@ -88,13 +88,13 @@ def grouped(words: DataFrame) -> DataFrame:
 def from_names(tasks: DataFrame, files: DataFrame) -> DataFrame:
     """Counts of a task's words in the path: as typed among its segments, and groups of words with a common
     stem among the segments and their stems, in the path and in the basename."""
+    files = staged(files.select("path"), "paths")  # read six times, and perhaps made from contents
     words = tasks.select("query", F.posexplode(F.array_distinct(F.filter(F.transform(F.concat("symbols", "keywords", F.transform("domains", lambda d: d["domain"])), F.lower), lambda w: F.length(w) >= 3))).alias("ord", "word"))
     seg = files.select("path", F.explode(F.array_distinct(T.path_segments(F.col("path")))).alias("term"))
     base = files.select("path", F.explode(F.array_distinct(T.identifier_segments(T.stem_name(F.col("path")), "[-_]"))).alias("term"))
     stems = staged(S.stems(words.select(F.col("word").alias("term")).union(seg.select("term"))), "stems")
     forms = lambda df, c: df.join(stems.select(F.col("term").alias(c), "stem"), c).withColumnRenamed("stem", "form").select(*[x for x in df.columns if x != c], F.col(c), "form").union(df.select(*[x for x in df.columns if x != c], F.col(c), F.col(c))).distinct()
-    own = forms(words, "word")
-    own = grouped(own)
+    own = staged(grouped(forms(words, "word")), "groups")
     exact = forms(seg, "term").select("path", "form").distinct().join(own, "form").select("query", "path", "group")
     inside = containing(files.select("path", F.lower("path").alias("low")), "low", own, "form").select("query", "path", "group")
     expanded = exact.union(inside).groupBy("query", "path").agg(F.countDistinct("group").alias("path_matches"))

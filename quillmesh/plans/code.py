@@ -634,7 +634,9 @@ def named_inputs(spark, sf):
     none = F.array().cast("array<string>")
     t = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.slice(words, 1, 6).alias("keywords"), F.slice(words, 4, 6).alias("raw_words"), none.alias("symbols"),
                                              F.array().cast("array<struct<domain:string,weight:int>>").alias("domains"))
-    f = table(spark, sf, "documents").filter(F.size(words) > 2).select(F.concat_ws("/", F.col("source"), words[0], F.concat(words[1], F.lit("_"), words[2], F.lit("_"), F.col("doc_id"), F.lit(".py"))).alias("path"))
+    d = table(spark, sf, "documents").select("source", "doc_id", F.slice(words, 1, 3).alias("w")).filter(F.size("w") > 2)
+    w = lambda i: F.get("w", F.lit(i))
+    f = d.select(F.concat_ws("/", F.col("source"), w(0), F.concat(w(1), F.lit("_"), w(2), F.lit("_"), F.col("doc_id"), F.lit(".py"))).alias("path"))
     return t, f
 
 
