@@ -30,7 +30,8 @@ class Index:
         """``tree``: path, content. One projection of the content feeds all extractors."""
         kept = ignore.keep(tree, ignored)
         files = staged(index.catalogue(kept), "files")
-        content = kept.select("path", "content").join(files.select("path", "language"), "path")
+        # Staged, for all steps read it: the rules of what is ignored are applied once.
+        content = staged(kept.select("path", "content").join(files.select("path", "language"), "path"), "content")
         searched = content.select("path", F.concat_ws(" ", "path", "content").alias("content"))
         return cls(content.select("path", "content"), files, staged(extract.symbols(content), "symbols"), staged(graph.resolve(extract.imports(content), files), "edges"),
                    staged(index.postings(searched), "postings"), staged(index.lengths(searched), "lengths"))
