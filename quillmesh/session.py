@@ -101,13 +101,13 @@ def publish(spark: SparkSession, own: str, path: str) -> None:
         delete(spark, own)
 
 
-def staged(df: DataFrame, label: str, spent: Iterable[DataFrame] = ()) -> DataFrame:
+def staged(df: DataFrame, label: str, spent: Iterable[DataFrame] = (), compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and what
     several branches read is computed once. ``spent`` are such tables that nothing reads any more once
-    ``df`` is written; their files are deleted then."""
+    ``df`` is written; their files are deleted then. ``compression``: a codec of Parquet, else the session's."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     for table in spent:
         delete(spark, table.scratch_path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -296,6 +296,20 @@ def test_words_of_junk_are_not_common(spark):
     assert kept == {0, 1, 2}
 
 
+def test_base_rules_are_worked_out_once(spark, monkeypatch, tmp_path):
+    """Both passes over the texts need them; the written words are gone when the result is read."""
+    import pathlib
+
+    from quillmesh import session
+
+    made, own = [], quality.repeat_words
+    monkeypatch.setattr(quality, "repeat_words", lambda h: made.append(1) or own(h))
+    monkeypatch.setattr(session, "_own_dir", [f"file://{tmp_path}"])
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y {i}", "en") for i in range(30)], "doc_id long, text string, lang string")
+    assert quality.assess(docs, ["doc_id"]).filter("not base_failed").count() == 30
+    assert len(made) == 1 and not [p for p in pathlib.Path(tmp_path).rglob("base-*") if p.is_dir()]
+
+
 def test_quality_odd_rows(spark):
     same = "a b c d e f g h i j k l m n o p q r s t u v w x y z\n"
     texts = [None, "", " \n ", "x", same * 3, same + "\n \n" + same.upper(), "a " * 500, "Ä́ ß # | 1½ \U0001F600 " * 30, "one\r\ntwo\n\ntwo\r\n", "w" * 100_000]
