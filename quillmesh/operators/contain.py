@@ -35,11 +35,15 @@ def containing(rows: DataFrame, hay: str, needles: DataFrame, needle: str) -> Da
     small = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     every = F.array_distinct(F.flatten(F.array(*[_grams(F.col(hay), n) for n in sizes or [gram]])))
     # Of the rows only their grams are counted; they come themselves in the second pass, to the grams that stand for needles.
-    met = rows.select(F.explode(every).alias("__gram")).join(F.broadcast(wanted) if small else wanted, "__gram", "left_semi")
-    counts = met.groupBy("__gram").agg(F.count("*").alias("__n"))
+    met = rows.select(F.explode(every).alias("__gram"))
+    counts = (met.join(F.broadcast(wanted), "__gram", "left_semi") if small else met).groupBy("__gram").agg(F.count("*").alias("__n"))
     rarest = of_needle.join(counts, "__gram", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("g"))
     rarest = staged(rarest.filter("g.n > 0").select("__needle", F.col("g.__gram").alias("__gram")), "rarest")
     few = rarest.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    found = rows.withColumn("__gram", F.explode(every)).join(F.broadcast(rarest) if few else rarest.hint("shuffle_hash"), "__gram").filter(F.contains(hay, F.col("__needle"))).drop("__gram")
+    meet = lambda some, stand: some.withColumn("__gram", F.explode(every)).join(stand, "__gram").filter(F.contains(hay, F.col("__needle"))).drop("__gram")
+    if few:
+        found = meet(rows, F.broadcast(rarest))
+    else:  # what has grams is shuffled once for each of them: only the different hays, and the rows join what they contain
+        found = rows.join(meet(rows.select(hay).distinct(), rarest.hint("shuffle_hash")).hint("shuffle_hash"), hay)
     asked = needles.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     return found.join(F.broadcast(needles) if asked else needles.hint("shuffle_hash"), F.col("__needle") == F.col(needle)).drop("__needle")

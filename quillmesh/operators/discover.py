@@ -43,8 +43,9 @@ def from_diff(diffs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def match_symbols(names: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``names``: query, name. query, path, kind, symbol of symbols that contain a name, case aside."""
-    n = names.select("query", F.lower("name").alias("needle")).distinct()
+    """``names``: query, name, and perhaps more. query, path, kind, symbol, and what more there is, of symbols that contain
+    a name, case aside."""
+    n = names.withColumn("needle", F.lower("name")).drop("name").distinct()
     rows = symbols.select("path", "kind", F.col("name").alias("symbol"), F.lower("name").alias("low"))
     return containing(rows, "low", n, "needle").drop("low")
 
@@ -118,12 +119,14 @@ def from_graph(merged: DataFrame, edges: DataFrame, depth: int = 2, most: int =
 def from_references(merged: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """What the candidates' contents refer to: classes by file name or definition, methods, paths."""
     refs = extract.references(files.join(merged.select("path").distinct(), "path", "left_semi")).join(merged.select("query", "path"), "path")
-    classes = refs.filter("kind = 'class'").select("query", F.col("ref").alias("name")).distinct()
-    by_name = files.select("path", F.lower(T.basename(F.col("path"))).alias("base")).join(classes.select("query", F.explode(F.array(*[F.concat(F.lower("name"), F.lit(f".{e}")) for e in CLASS_FILES])).alias("base")), "base")
-    defined = match_symbols(classes, symbols).filter(F.col("kind").isin("class", "interface"))
-    methods = match_symbols(refs.filter("kind = 'method'").select("query", F.col("ref").alias("name")), symbols)
-    paths = match_paths(refs.filter("kind = 'path'").select("query", F.col("ref").alias("pattern")), files)
-    every = by_name.select("query", "path").union(defined.select("query", "path")).union(methods.select("query", "path")).union(paths.select("query", "path")).distinct()
+    refs = staged(refs.select("query", F.col("kind").alias("of"), F.col("ref").alias("name")).distinct(), "references")  # read four times
+    # A name with an ending that has no dot: the ending goes from the file's name, and the names need not be made with each.
+    of_class = F.lower(T.extension(F.col("path"))).isin(*CLASS_FILES)
+    bases = files.select("path").filter(of_class).select("path", F.regexp_replace(F.lower(T.basename(F.col("path"))), r"\.[^.]+$", "").alias("base"))
+    by_name = bases.join(refs.filter("of = 'class'").select("query", F.lower("name").alias("base")).distinct(), "base")
+    defined = match_symbols(refs.filter("of in ('class', 'method')"), symbols).filter((F.col("of") == "method") | F.col("kind").isin("class", "interface"))
+    paths = match_paths(refs.filter("of = 'path'").select("query", F.col("name").alias("pattern")), files)
+    every = by_name.select("query", "path").union(defined.select("query", "path")).union(paths.select("query", "path")).distinct()
     return signals(every, related_file=F.lit(True))
 
 

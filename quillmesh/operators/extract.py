@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
+from quillmesh.session import staged
 
 TOKEN = r"""\w+|"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|::|->|=>|\S"""
 #: Tokens of a line that a declaration may take.
@@ -131,14 +132,19 @@ def lines(files: DataFrame, *keep: str) -> DataFrame:
     return files.select("path", *keep, F.posexplode(F.split("content", r"\r?\n")).alias("line", "body")).withColumn("line", F.col("line") + 1)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """``files``: path, language, content. path, name, kind, start_line, end_line, signature; of several
-    symbols of a name in a file the one of the first form and line."""
+def symbol_starts(files: DataFrame) -> DataFrame:
+    """``files``: path, language, content. path, name, kind, start_line, signature; of several symbols of a name in a
+    file the one of the first form and line."""
     ls = lines(files.filter("language <> 'unknown'"), "language").select("path", "line", "body", grammar(F.col("language")).alias("lang"), tokens(F.col("body")).alias("toks"))
     found = F.array_compact(F.array(declared(F.col("toks"), F.col("lang")), undeclared(F.col("toks"), F.col("lang"))))
     found = ls.filter(F.size("toks") > 1).select("path", "line", "body", F.posexplode(found).alias("ord", "s")).select("path", "line", "body", "ord", "s.*").filter(~F.col("name").isin(*NO_NAMES))
     first = F.row_number().over(Window.partitionBy("path", "name").orderBy("ord", "line"))
-    starts = found.withColumn("rn", first).filter("rn = 1").select("path", "name", "kind", F.col("line").alias("start_line"), T.signature(F.col("body")).alias("signature"))
+    return found.withColumn("rn", first).filter("rn = 1").select("path", "name", "kind", F.col("line").alias("start_line"), T.signature(F.col("body")).alias("signature"))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """The rows of ``symbol_starts``, and their end_line. They are written, for the ends are found by them."""
+    starts = staged(symbol_starts(files), "starts")
     return starts.join(symbol_ends(files, starts), ["path", "start_line"])
 
 

@@ -689,7 +689,7 @@ def second_hop(spark, sf):
     """What candidates refer to, in five tasks: files that define their classes and methods."""
     f = files(spark, sf)
     merged = table(spark, sf, "documents").filter("doc_id % 3 = 2").selectExpr("doc_id % 5 AS query", "concat('gen/d', doc_id % 20, '/unit_', doc_id, '.php') AS path")
-    return discover.from_references(merged, f, staged(extract.symbols(f), "symbols")).select("query", "path")
+    return discover.from_references(merged, f, staged(extract.symbol_starts(f).select("path", "kind", "name"), "symbols")).select("query", "path")
 
 
 _VERB = "CASE doc_id % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'add' WHEN 2 THEN 'update' ELSE 'split' END"

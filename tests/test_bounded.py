@@ -68,3 +68,30 @@ def test_rows_meet_needles_by_longer_grams_and_are_not_exchanged(spark, monkeypa
     many = contain.containing(rows, "hay", needles, "word")
     assert sorted((r.id, r.q, r.word) for r in many.collect()) == want
     assert "SortMergeJoin" not in plan(many)
+
+
+def test_contents_are_read_once_for_symbols_and_references(spark):
+    from quillmesh.operators import discover, extract
+
+    content = "<?php\nclass Cart\n{\n    public function total() {\n        return new Price();\n    }\n}\n"
+    rows = [("a/Cart.php", content, "php"), ("a/price.TS", "export class Other {\n}\n", "typescript"), ("b/Price.md", "Price", "markdown"), ("b/pricelist.php", "<?php\nclass PriceList {}\n", "php")]
+    files = spark.createDataFrame(rows, "path string, content string, language string")
+    symbols = extract.symbols(files)
+    assert "regexp_extract_all" not in plan(symbols)
+    assert sorted((r.path, r.name, r.start_line, r.end_line) for r in symbols.collect()) == [("a/Cart.php", "Cart", 2, 7), ("a/Cart.php", "total", 4, 6), ("a/price.TS", "Other", 1, 2), ("b/pricelist.php", "PriceList", 2, 2)]
+    merged = spark.createDataFrame([(1, "a/Cart.php"), (2, "b/Price.md")], "query long, path string")
+    found = discover.from_references(merged, files, symbols)
+    assert "regexp_extract_all" not in plan(found)
+    assert sorted((r.query, r.path) for r in found.collect()) == [(1, "a/Cart.php"), (1, "a/price.TS"), (1, "b/pricelist.php")]
+
+
+def test_grams_of_many_needles_are_of_different_texts_only(spark, monkeypatch):
+    from quillmesh.operators import contain
+
+    monkeypatch.setattr(contain, "MAX_BROADCAST", 0)
+    rows = spark.createDataFrame([(i, ["unit1", "run12", None, ""][i % 4]) for i in range(40)], "id long, hay string")
+    needles = spark.createDataFrame([(1, "unit1"), (1, "n1"), (2, "n1"), (3, "unit12")], "q long, word string")
+    got = contain.containing(rows, "hay", needles, "word")
+    want = sorted((r.id, q, w) for r in rows.collect() for q, w in [(1, "unit1"), (1, "n1"), (2, "n1"), (3, "unit12")] if w in (r.hay or ""))
+    assert sorted((r.id, r.q, r.word) for r in got.collect()) == want
+    assert not any("id#" in line for line in plan(got).split("\n") if "Generate explode" in line)
